@@ -4,8 +4,9 @@ Of all document rates between 0 and MOST, those nearest in entropy to a rate of
 exponentially tilted: rate = 2 / (1 + exp(-lambda * tokens)), with one multiplier per source, found as the maximum of the convex
 dual by Newton steps. A step sums the gradient and the curvature over a table of (source, size, count), which stands
 for all documents exactly; steps that leave the bracket known so far are replaced by its middle. The rates are rounded
-to copies at a random offset by a hash of the id, and one shift per source of that offset, found in three passes over
-sums by bucket, brings the words taken to within about a document of the target.
+to copies at a random offset by a hash of the id, and a shift of that offset for each source, found in three passes over
+sums by bucket, brings the words taken up to the target. Where the next document is too long for what is missing, shorter
+ones fill the gap in the same way.
 
 Targets: sources by code point, null last, take the weights in turn; a source gets its share of all tokens, at most MOST
 times what it has, and what is above that is shared by weight among the others until none is above.
@@ -31,6 +32,7 @@ MOST = 2
 STEPS, STEPS_EACH = 40, 4
 NEAR = 1e-7  # of a source's tokens
 BUCKETS, PASSES = 4096, 3
+ROUNDS, CLOSE = 5, 1e-3
 
 
 def n_words(text: Column) -> Column:
@@ -123,10 +125,9 @@ def mix(df: DataFrame, stages: common.Stages, weights: Sequence[float] = WEIGHTS
     r = F.when(F.col("_edge") == 1, F.lit(float(MOST))).when(F.col("_edge") == -1, 0.0).otherwise(rate(F.col("lam"), F.col("size"), F.col("_mean")))
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11).cast("double") / float(1 << 53)
     rows = stages.put(rows.select("doc_id", "source", "size", "source_size", "target", r.alias("rate"), (r + unit).alias("_at")))
-    shifted = _shift(rows, goals.select("source", "target"))
-    rows = rows.join(shifted.select(F.col("source").alias("_s"), "_d"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    flips = sum((F.when(_breaks(k) <= F.col("_d"), 1).otherwise(0) for k in range(1, MOST + 1)), F.lit(0))
-    return rows.withColumn("copies", flips.cast("int")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("_at", "_d")
+    rows = rows.join(_shifts(rows, goals, stages).select(F.col("source").alias("_s"), "_steps"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    flips = sum((F.when(_taken(_breaks(k)), 1).otherwise(0) for k in range(1, MOST + 1)), F.lit(0))
+    return rows.withColumn("copies", flips.cast("int")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("_at", "_steps")
 
 
 def _breaks(k: int) -> Column:
@@ -134,28 +135,47 @@ def _breaks(k: int) -> Column:
     return F.lit(float(k)) - F.col("_at")
 
 
-def _shift(rows: DataFrame, goals: DataFrame) -> DataFrame:
-    """(source, _d): the shift at which the words taken come nearest to the target from below or at it.
+def _taken(at: Column) -> Column:
+    """Whether a copy that starts at the shift `at` is taken: by one of the source's steps (shift, greatest size)."""
+    return F.exists("_steps", lambda t: (at <= t["d"]) & (F.col("size") <= t["most"]))
 
-    Each pass sums the words that flip in each of BUCKETS equal parts of the range left and keeps the part where the target is
-    passed; a window holds BUCKETS rows of a source at most.
-    """
-    state = goals.select("source", "target", F.lit(-2.0 - 1e-9).alias("_a"), F.lit(MOST + 4e-9 + 2.0).alias("_w"), F.lit(0.0).alias("_base"))
+
+def _shifts(rows: DataFrame, goals: DataFrame, stages: common.Stages) -> DataFrame:
+    """(source, _steps). The first step shifts all documents up to the target; while more than CLOSE of a target is missing,
+    as the next document is too long, another goes on with those of a quarter of the gap at most."""
+    none = F.array().cast("array<struct<d:double,most:double>>")
+    state = goals.select("source", "target", F.lit(0.0).alias("got"), none.alias("_steps"))
     flips = rows.filter(F.col("size") > 0).select(F.col("source").alias("_s"), "size", F.explode(F.array(*(_breaks(k) for k in range(1, MOST + 1)))).alias("_x"))
+    for step in range(ROUNDS):
+        most = F.lit(float("inf")) if not step else (F.col("target") - F.col("got")) / 4
+        new = _shift(flips, state.select("source", "_steps", (F.col("target") - F.col("got")).alias("target"), most.alias("_most")))
+        new = new.select(F.col("source").alias("_s"), F.col("_a").alias("d"), "_most", "_base")
+        state = state.join(new, F.col("source").eqNullSafe(F.col("_s"))).select("source", "target", (F.col("got") + F.col("_base")).alias("got"), F.concat("_steps", F.array(F.struct("d", F.col("_most").alias("most")))).alias("_steps"))
+        state = stages.put(state)
+        if not state.filter(F.col("target") - F.col("got") > CLOSE * F.col("target")).limit(1).count():
+            break
+    return state
+
+
+def _shift(flips: DataFrame, goals: DataFrame) -> DataFrame:
+    """(source, _a, _most, _base): the greatest shift at which the words of copies not yet taken stay under the target, and those words.
+
+    Each pass sums the words of the copies that start in each of BUCKETS equal parts of the range left and keeps the part
+    where the target is passed; a window holds BUCKETS rows of a source at most.
+    """
+    state = goals.select("source", "target", "_most", "_steps", F.lit(-2.0 - 1e-9).alias("_a"), F.lit(MOST + 4e-9 + 2.0).alias("_w"), F.lit(0.0).alias("_base"))
     for _ in range(PASSES):
         at = F.floor((F.col("_x") - F.col("_a")) / F.col("_w") * BUCKETS)
-        inside = flips.join(state, F.col("source").eqNullSafe(F.col("_s"))).filter((F.col("_x") >= F.col("_a")) & (at < BUCKETS) & (at >= 0))
+        inside = flips.join(state, F.col("source").eqNullSafe(F.col("_s"))).filter((F.col("_x") >= F.col("_a")) & (at < BUCKETS) & (at >= 0) & (F.col("size") <= F.col("_most")) & ~_taken(F.col("_x")))
         parts = inside.groupBy("source", at.alias("_b")).agg(F.sum("size").cast("double").alias("_v"))
         w = W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-        parts = parts.withColumn("_sum", F.sum("_v").over(w)).select(F.col("source").alias("_s"), "_b", "_v", "_sum")
+        parts = parts.withColumn("_sum", F.sum("_v").over(w)).select(F.col("source").alias("_s"), "_b", "_sum")
         found = state.join(parts, F.col("source").eqNullSafe(F.col("_s")), "left")
-        # the first part that passes the target; none: all flips fit
         under = F.col("_base") + F.col("_sum") <= F.col("target") + 1e-6
-        found = found.groupBy("source", "target", "_a", "_w", "_base").agg(
-            F.min(F.when(~under, F.col("_b"))).alias("_b"), F.max(F.when(under, F.col("_sum"))).alias("_below"))
+        found = found.groupBy("source", "target", "_most", "_steps", "_a", "_w", "_base").agg(F.min(F.when(~under, F.col("_b"))).alias("_b"), F.max(F.when(under, F.col("_sum"))).alias("_below"))
         part = F.col("_w") / BUCKETS
-        state = found.select("source", "target", F.when(F.col("_b").isNull(), F.col("_a") + F.col("_w")).otherwise(F.col("_a") + F.col("_b") * part).alias("_a"), part.alias("_w"), (F.col("_base") + F.coalesce("_below", F.lit(0.0))).alias("_base"))
-    return state.select("source", F.col("_a").alias("_d"))
+        state = found.select("source", "target", "_most", "_steps", F.when(F.col("_b").isNull(), F.col("_a") + F.col("_w")).otherwise(F.col("_a") + F.col("_b") * part).alias("_a"), part.alias("_w"), (F.col("_base") + F.coalesce("_below", F.lit(0.0))).alias("_base"))
+    return state.select("source", "_a", "_most", "_base")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
