@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import media, minhash, mixing, quality, sharding, toxicity, url_filter
+from . import decontaminate, media, minhash, mixing, quality, sharding, suffix_dedup, toxicity, url_filter
 
-MODULES = (mixing, minhash, media, toxicity, sharding, quality, url_filter)
+MODULES = (mixing, minhash, media, suffix_dedup, toxicity, sharding, quality, url_filter, decontaminate)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
