@@ -154,9 +154,9 @@ def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool =
     Values are dealt to parts by approximate quantiles; within a part a window sums up, and the parts before add their totals
     (a window over as many rows as there are parts).
     """
-    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("_c"))
-    part = F.aggregate("_c", F.lit(0), lambda n, c: n + F.when(F.col(order) > c, 1).otherwise(0))
-    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_part", F.coalesce(part, F.lit(0))).drop("_c")  # one row of cuts
+    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("_cuts"))
+    part = F.aggregate("_cuts", F.lit(0), lambda n, c: n + F.when(F.col(order) > c, 1).otherwise(0))
+    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_part", F.coalesce(part, F.lit(0))).drop("_cuts")  # one row of cuts
     o, p = (F.col(order).desc(), F.col("_part").desc()) if descending else (F.col(order).asc(), F.col("_part").asc())
     totals = dealt.groupBy("_part").agg(*(F.sum(v).alias(f"_t{k}") for k, v in sums.items()))
     w = W.orderBy(p).rowsBetween(W.unboundedPreceding, -1)

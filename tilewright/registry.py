@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import catalog, stats
+from .operators import catalog, metrics, sampling, stats
 
-MODULES = (catalog, stats)
+MODULES = (catalog, stats, metrics, sampling)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.SQL.items()}
