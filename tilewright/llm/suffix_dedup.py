@@ -3,14 +3,18 @@
 The suffixes that share their first SPAN = 400 bytes with another one are those whose buckets still hold several members when the
 array is refined to depth 400. A suffix's bucket at depth 2h is the pair of its bucket at h and the bucket of the suffix
 h later; the identifiers are 64-bit mixtures of such pairs, so doubling needs no sort and the pointers of later offsets are reused
-at every depth. Only what stays in a bucket with others is refined further:
+at every depth. Only what stays in a bucket with others is refined further, in three rounds of the same step over ever finer pieces of
+neighbouring suffixes:
 
-1. Initial buckets are q-grams of 200 bytes. Of each 400-byte string only its least q-gram bucket counts (equal strings
-   have the same one), so neighbouring suffixes go as one run (first, last suffix) under one bucket. A bucket with one
-   place is finished and leaves.
-2. The runs of a bucket are refined by the pointers at the later offsets that cover the run's whole string. Equal
-   runs are repeated as a whole. A bucket in which all runs are equal is finished.
-3. What is left, one run for each different one, is refined to the single suffixes, by the pointers at offsets 0 and 144 of depth 256.
+1. Runs. Initial buckets are q-grams of 200 bytes. Of each 400-byte string only its least q-gram counts (equal strings have
+   the same one); the suffixes that share it make a run.
+2. Blocks of 32 suffixes at fixed distances from that q-gram. Their bucket is the string that all suffixes of the block
+   share within their first 400 bytes.
+3. Single suffixes, with their first 400 bytes as bucket.
+
+A step sorts pieces into buckets and, within them, by the pointers at the later offsets that cover all of the piece's
+bytes. A bucket with one place is finished: none of its suffixes is repeated. Pieces that agree in all pointers are
+repeated as a whole. Of a bucket with different pieces one of each kind goes on to the next round.
 
 Equal texts form a class that takes part once; a class with several members of at least 400 bytes is repeated as a whole.
 
@@ -22,11 +26,11 @@ empty results. Only id and text are read, so other columns can't clash.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,15 +108,21 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[int]
         yield number, offset, ends, np.frombuffer(b"".join(parts), np.uint8)
 
 
-i64 = lambda a: pa.array(np.ascontiguousarray(a).view(np.int64))
-RUNS = "c1 long, c2 long, bucket long, pointers long, place long, x int, y int"
+
+def batch_of(c1: np.ndarray, c2: np.ndarray, bucket: np.ndarray, pointers: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    i64 = lambda a: pa.array(np.ascontiguousarray(a).view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), i64(bucket), i64(pointers), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], names=NAMES)
+
+
+PIECES = "c1 long, c2 long, bucket long, pointers long, x int, y int"
+NAMES = [c.split()[0] for c in PIECES.split(", ")]
+SUFFIXES = 32  # of a block
 
 
 def all_runs(docs: DataFrame) -> DataFrame:
-    """The runs of every text. place: stands for (text, first suffix); equal texts have equal places."""
+    """The runs of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in RUNS.split(", ")]
         for b in common.chunks(batches):
             texts = [t or b"" for t in common.as_bytes(b.column(2))]
             c1, c2 = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
@@ -122,32 +132,53 @@ def all_runs(docs: DataFrame) -> DataFrame:
                 shift = (np.array(offset) - np.append(0, ends[:-1]))[which]
                 doc = np.array(number)[which]
                 x, y = x + shift, y + shift
-                place = pair(c1[doc].astype(np.int64).view(np.uint64), x.astype(np.uint64) + c2[doc].astype(np.int64).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(c1[doc]), pa.array(c2[doc]), i64(bucket), i64(pointers), i64(place), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], names=names)
+                yield batch_of(c1[doc], c2[doc], bucket, pointers, x, y)
 
-    return docs.filter(F.octet_length("text") >= SPAN).select("c1", "c2", "text").mapInArrow(run, RUNS)
+    return docs.filter(F.octet_length("text") >= SPAN).select("c1", "c2", "text").mapInArrow(run, PIECES)
 
 
-def single_suffixes(texts: DataFrame) -> DataFrame:
-    """texts: c1, c2, text and todo, a list of runs (x, y, whole). A row (p1, p2, c1, c2, at, whole) for each suffix of these runs."""
+def blocks(text: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(bucket, pointers, first, last) of the blocks that hold the runs (x, y) of a text."""
+    q, deep = refine(text)
+    n = len(text) - SPAN  # the last suffix
+    anchor = np.array([b + int(q[b : a + SPAN - Q + 1].argmin()) for a, b in zip(x, y, strict=True)])
+    near, far = (anchor - y) // SUFFIXES, (anchor - x) // SUFFIXES
+    count = far - near + 1
+    which = np.repeat(np.arange(len(x)), count)
+    j = near[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    last = anchor[which] - SUFFIXES * j
+    first = last - SUFFIXES + 1
+    size = SPAN - SUFFIXES + 1  # bytes that the suffixes of a block share
+    bucket = pair(deep[last], deep[last + size - DEEP] + j.astype(np.uint64))
+    f, e = np.maximum(first, 0), np.minimum(last, n)  # at an end of the text a block has fewer suffixes, and equals such blocks only
+    pointers = pair(deep[f], deep[e + SPAN - DEEP] + ((f - first) * SUFFIXES + (e - f)).astype(np.uint64))
+    return bucket, pointers, f, e
+
+
+def single(text: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same of each suffix of the blocks (x, y)."""
+    deep = refine(text)[1]
+    at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(x, y, strict=True)]))
+    return deep[at], deep[at + SPAN - DEEP], at, at
+
+
+def finer(texts: DataFrame, split: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
+    """texts: c1, c2, text and todo, a list of pieces (x, y) of it. The finer pieces, as PIECES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches):
-            rows = zip(*(b.column(k).to_pylist() for k in (0, 1)), common.as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True)
-            for c1, c2, text, todo in rows:
-                at = np.concatenate([np.arange(t["x"], t["y"] + 1) for t in todo])
-                whole = np.concatenate([np.full(t["y"] - t["x"] + 1, t["whole"]) for t in todo])
-                order = np.argsort(at, kind="stable")
-                at, whole = at[order], whole[order]
-                for s in range(0, len(text) - SPAN + 1, PIECE):
-                    lo, hi = np.searchsorted(at, [s, s + PIECE])
-                    if lo < hi:
-                        _, deep = refine(np.frombuffer(text, np.uint8)[s : s + PIECE + SPAN - 1])
-                        p = at[lo:hi] - s
-                        n = hi - lo
-                        yield pa.RecordBatch.from_arrays([i64(deep[p]), i64(deep[p + SPAN - DEEP]), pa.array(np.full(n, c1)), pa.array(np.full(n, c2)), pa.array(at[lo:hi].astype(np.int32)), pa.array(whole[lo:hi])], names=["p1", "p2", "c1", "c2", "at", "whole"])
-
-    return texts.select("c1", "c2", "text", "todo").mapInArrow(run, "p1 long, p2 long, c1 long, c2 long, at int, whole boolean")
+            for c1, c2, text, todo in zip(*(b.column(k).to_pylist() for k in (0, 1)), common.as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
+                x, y = np.unique(np.array([(t["x"], t["y"]) for t in todo]), axis=0).T
+                data, at = np.frombuffer(text, np.uint8), 0
+                while at < len(x):  # in parts of a long text, with all bytes around that a piece may need
+                    to = max(at + 1, int(np.searchsorted(x, x[at] + PIECE)))
+                    lo, hi = max(0, int(x[at]) - SPAN), int(y[at:to].max()) + 3 * SPAN
+                    bucket, pointers, f, e = split(data[lo:hi], x[at:to] - lo, y[at:to] - lo)
+                    n = len(f)
+                    yield batch_of(np.full(n, c1), np.full(n, c2), bucket, pointers, f + lo, e + lo)
+                    at = to
+
+    return texts.select("c1", "c2", "text", "todo").mapInArrow(run, PIECES)
 
 
 def spans(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -179,6 +210,22 @@ def cut(texts: DataFrame, with_bytes: bool) -> DataFrame:
     return texts.select("c1", "c2", "text", "starts", "ends").mapInArrow(run, CUT)
 
 
+def step(pieces: DataFrame, stages: common.Stages) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of written pieces: those in buckets with several places; the strings repeated as a whole; and (c1, c2, todo), what goes on."""
+    pieces = pieces.withColumn("place", F.xxhash64("c1", "c2", "x"))
+    buckets = pieces.groupBy("bucket").agg(F.min("place").alias("p1"), F.max("place").alias("p2"), F.min("pointers").alias("r1"), F.max("pointers").alias("r2")).filter("p1 != p2")
+    left = stages.put(pieces.join(buckets.select("bucket", (F.col("r1") != F.col("r2")).alias("mixed")), "bucket"))
+    mixed = left.filter("mixed")
+    kinds = mixed.groupBy("bucket", "pointers").agg(F.min(F.struct("place", "c1", "c2", "x", "y")).alias("one"), F.max("place").alias("p2"))
+    kinds = stages.put(kinds.select("bucket", "pointers", "one", (F.col("one.place") != F.col("p2")).alias("whole")))
+    columns = ["c1", "c2", F.col("x").alias("s"), (F.col("y") + SPAN).alias("e")]
+    whole = left.filter("not mixed").select(*columns).union(mixed.join(kinds.filter("whole").select("bucket", "pointers"), ["bucket", "pointers"]).select(*columns))
+    # buckets whose pieces are all of repeated kinds need nothing more
+    open_ = kinds.groupBy("bucket").agg(F.every("whole").alias("done")).filter("not done").select("bucket")
+    todo = kinds.join(open_, "bucket").groupBy("one.c1", "one.c2").agg(F.collect_list(F.struct("one.x", "one.y")).alias("todo"))
+    return left, whole, todo
+
+
 def remove_repeats(docs: DataFrame, stages: common.Stages, with_bytes: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans and kept_sha256; with_bytes: also kept and spans."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -187,29 +234,19 @@ def remove_repeats(docs: DataFrame, stages: common.Stages, with_bytes: bool = Fa
     rows = stages.put(docs.select("doc_id", "rep", "c1", "c2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
     own = ["c1", "c2"]
     classes = stages.put(rows.filter(F.col("n_bytes") >= SPAN).groupBy(*own).agg(F.min("rep").alias("rep"), F.count("*").alias("c")))
-    every = stages.put(all_runs(docs))
-    # 1: buckets with several places
-    buckets = every.groupBy("bucket").agg(F.min("place").alias("p1"), F.max("place").alias("p2"), F.min("pointers").alias("r1"), F.max("pointers").alias("r2")).filter("p1 != p2")
-    buckets = buckets.select("bucket", (F.col("r1") != F.col("r2")).alias("mixed"))
-    left = stages.put(every.join(buckets, "bucket"))
-    stages.drop(every)
-    # 2: runs that are equal as a whole
-    mixed = left.filter("mixed")
-    groups = mixed.groupBy("bucket", "pointers").agg(F.min(F.struct("place", "c1", "c2", "x", "y")).alias("one"), F.max("place").alias("p2"))
-    groups = stages.put(groups.select("bucket", "pointers", "one", (F.col("one.place") != F.col("p2")).alias("whole")))
-    whole = left.filter("not mixed").select(*own, "x", "y").union(mixed.join(groups.filter("whole").select("bucket", "pointers"), ["bucket", "pointers"]).select(*own, "x", "y"))
-    whole = whole.select(*own, F.col("x").alias("s"), (F.col("y") + SPAN).alias("e"))
-    # 3: single suffixes
-    todo = groups.select("one.c1", "one.c2", F.struct("one.x", "one.y", "whole").alias("t")).groupBy(*own).agg(F.collect_list("t").alias("todo"))
-    todo = stages.put(todo.join(classes, own))
-    suffixes = stages.put(single_suffixes(texts_of(docs, todo)))
-    several = suffixes.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.every("whole").alias("done")).filter("n > 1 and not done").select("p1", "p2")
-    single = suffixes.filter("not whole").join(several, ["p1", "p2"]).select(*own, F.col("at").alias("s"), (F.col("at") + SPAN).alias("e"))
-    # a class with several members goes as a whole, so its own runs don't matter
-    covered = whole.union(single).distinct().join(classes.filter("c = 1"), own, "left_semi").groupBy(*own).agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
-    covered = stages.put(covered.join(classes, own))
-    stages.drop(left, groups, todo, suffixes)
-    done = stages.put(cut(texts_of(docs, covered), with_bytes))
+    pieces = stages.put(all_runs(docs))
+    left, whole, todo = step(pieces, stages)
+    # texts are dealt out once: those of one row of each class that has a repeated q-gram
+    texts = stages.put(texts_of(docs, left.select(*own).distinct().join(classes, own)))
+    covered = [whole]
+    for split in (blocks, single):
+        finer_pieces = stages.put(finer(texts.join(todo, own), split))
+        left, whole, todo = step(finer_pieces, stages)
+        covered.append(whole)
+    # a class with several members goes as a whole, so its own pieces don't matter
+    alone = reduce(DataFrame.union, covered).distinct().join(classes.filter("c = 1"), own, "left_semi")
+    alone = alone.groupBy(*own).agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
+    done = stages.put(cut(texts.join(alone, own), with_bytes))
     out = rows.join(done, own, "left").join(classes.filter("c > 1").select(*own, F.lit(True).alias("gone")), own, "left")
     none = hashlib.sha256(b"").hexdigest()
     result = ["doc_id", "n_bytes", F.when(F.col("gone"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"), F.when(F.col("gone"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(F.col("gone"), none).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256")]
