@@ -13,7 +13,7 @@ times what it has, and what is above that is shared by weight among the others u
 
 Defined results: a null text has 0 words and rate 1 before the shift; a source without words has target 0; a null source is
 a source of its own; repeated rows of an id take the same copies; an empty table gives an empty result. Only id, text and source
-are read, so other columns can't clash.
+are read; other columns are carried along, but for those with the name of an output.
 """
 
 from __future__ import annotations
@@ -114,20 +114,32 @@ def _newton(sizes: DataFrame, state: DataFrame, names: list[str]) -> DataFrame:
     return both.select(*names)
 
 
-def mix(df: DataFrame, stages: common.Stages, weights: Sequence[float] = WEIGHTS, share: float = SHARE, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source, source_size, target, rate, copies and taken for each row of df."""
-    rows = stages.put(df.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size")))
+def solve(df: DataFrame, stages: common.Stages, weights: Sequence[float] = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """(source, source_size, target, lam, _mean, _edge, _steps) for each source of df (doc_id, text, source)."""
+    rows = stages.put(df.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")))
     sizes = stages.put(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     per = sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("size"), F.sum("n").alias("n_docs"))
-    goals = multipliers(sizes, targets(per, weights, share), stages)
-    g = goals.select(F.col("source").alias("_s"), F.col("size").alias("source_size"), "target", "lam", "_mean", "_edge")
-    rows = rows.join(g, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    goals = multipliers(sizes, targets(per, weights, share), stages).withColumnRenamed("size", "source_size").select("source", "source_size", "target", "lam", "_mean", "_edge")
+    rows = stages.put(placed(rows, goals).select("source", "size", "_at"))
+    steps = _shifts(rows, goals, stages).select(F.col("source").alias("_s"), "_steps")
+    return goals.join(steps, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def placed(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """rows with their source's columns of goals, their rate and their place _at on the scale of copies."""
+    rows = rows.join(goals.withColumnRenamed("source", "_s"), F.col("source").cast("string").eqNullSafe(F.col("_s"))).drop("_s")
     r = F.when(F.col("_edge") == 1, F.lit(float(MOST))).when(F.col("_edge") == -1, 0.0).otherwise(rate(F.col("lam"), F.col("size"), F.col("_mean")))
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11).cast("double") / float(1 << 53)
-    rows = stages.put(rows.select("doc_id", "source", "size", "source_size", "target", r.alias("rate"), (r + unit).alias("_at")))
-    rows = rows.join(_shifts(rows, goals, stages).select(F.col("source").alias("_s"), "_steps"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    return rows.withColumn("rate", r).withColumn("_at", F.col("rate") + unit)
+
+
+def mix(df: DataFrame, stages: common.Stages, weights: Sequence[float] = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """df (doc_id, text, source, ...) with size, source_size, target, rate, copies and taken; the texts aren't dealt out, only
+    the table of sources is joined to them. Columns of df with these names are replaced."""
+    df = df.drop("size", "source_size", "target", "rate", "copies", "taken")
+    rows = placed(df.withColumn("size", n_words(F.col("text"))), solve(df, stages, weights, share))
     flips = sum((F.when(_taken(_breaks(k)), 1).otherwise(0) for k in range(1, MOST + 1)), F.lit(0))
-    return rows.withColumn("copies", flips.cast("int")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("_at", "_steps")
+    return rows.withColumn("copies", flips.cast("int")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("lam", "_mean", "_edge", "_at", "_steps")
 
 
 def _breaks(k: int) -> Column:
@@ -179,8 +191,8 @@ def _shift(flips: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(common.table(spark, sf_dir, "documents"), common.Stages(spark, "op1"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs, common.Stages(spark, "op1")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
 QUERIES = {"op1_source_mixing": op1_source_mixing}

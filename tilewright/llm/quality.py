@@ -55,9 +55,9 @@ def statistics(text: bytes) -> tuple[float, ...]:
     )
 
 
-def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """df without its text, with the statistics; one Arrow pass, no shuffle."""
-    keep = [c for c in df.columns if c != text and c not in NAMES]
+def with_statistics(df: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """df with the statistics, without its text unless keep_text; one Arrow pass, no shuffle."""
+    keep = [c for c in df.columns if (c != text or keep_text) and c not in NAMES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches, "__text"):
@@ -187,9 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> RuleMod
     return fit(rows[list(NAMES)].to_numpy(np.float64), rows["y"].to_numpy(np.float64))
 
 
-def score(df: DataFrame, model: RuleModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score(df: DataFrame, model: RuleModel, text: str = "text", threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:
     """df's other columns, the statistics, score and predicted."""
-    out = with_statistics(df.drop("score", "predicted"), text).withColumn("score", model.column())
+    out = with_statistics(df.drop("score", "predicted"), text, keep_text).withColumn("score", model.column())
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
