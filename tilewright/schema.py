@@ -38,7 +38,7 @@ def first_present(columns: Sequence[str], candidates: Sequence[str]) -> str | No
 
 def uid_list(raw: Column) -> Column:
     """A comma-separated list of ids as an array: trimmed, without blanks and the placeholder 9999."""
-    return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), F.trim), lambda u: (u != "") & (u != NO_UID))
+    return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), lambda x: F.trim(x)), lambda u: (u != "") & (u != NO_UID))
 
 
 def canonical(df: DataFrame) -> DataFrame:
