@@ -122,7 +122,8 @@ def solve(df: DataFrame, stages: common.Stages, weights: Sequence[float] = WEIGH
     goals = multipliers(sizes, targets(per, weights, share), stages).withColumnRenamed("size", "source_size").select("source", "source_size", "target", "lam", "_mean", "_edge")
     rows = stages.put(placed(rows, goals).select("source", "size", "_at"))
     steps = _shifts(rows, goals, stages).select(F.col("source").alias("_s"), "_steps")
-    return goals.join(steps, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    # written, so that its size is known where the documents are joined to it
+    return stages.put(goals.join(steps, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
 
 
 def placed(rows: DataFrame, goals: DataFrame) -> DataFrame:
@@ -166,7 +167,13 @@ def _shifts(rows: DataFrame, goals: DataFrame, stages: common.Stages) -> DataFra
         state = stages.put(state)
         if not state.filter(F.col("target") - F.col("got") > CLOSE * F.col("target")).limit(1).count():
             break
-    return state
+    # the shortest copy left, where passing the target by it comes nearer
+    gap = F.col("target") - F.col("got")
+    left = flips.join(state, F.col("source").eqNullSafe(F.col("_s"))).filter(~_taken(F.col("_x")) & (F.col("size") < 2 * gap))
+    one = left.groupBy("source").agg(F.min(F.struct(F.col("size").cast("double").alias("most"), F.col("_x").alias("d"))).alias("m")).select(F.col("source").alias("_s"), "m")
+    state = state.join(one, F.col("source").eqNullSafe(F.col("_s")), "left")
+    more = F.when(F.col("m").isNotNull(), F.array(F.struct("m.d", "m.most"))).otherwise(none)
+    return state.select("source", F.concat("_steps", more).alias("_steps"))
 
 
 def _shift(flips: DataFrame, goals: DataFrame) -> DataFrame:
