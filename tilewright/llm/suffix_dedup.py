@@ -214,14 +214,16 @@ def step(pieces: DataFrame, stages: common.Stages) -> tuple[DataFrame, DataFrame
     """Of written pieces: those in buckets with several places; the strings repeated as a whole; and (c1, c2, todo), what goes on."""
     pieces = pieces.withColumn("place", F.xxhash64("c1", "c2", "x"))
     buckets = pieces.groupBy("bucket").agg(F.min("place").alias("p1"), F.max("place").alias("p2"), F.min("pointers").alias("r1"), F.max("pointers").alias("r2")).filter("p1 != p2")
-    left = stages.put(pieces.join(buckets.select("bucket", (F.col("r1") != F.col("r2")).alias("mixed")), "bucket"))
+    # what is joined by bucket is written before, so that the join with a bucket of very many pieces can be split
+    buckets = stages.put(buckets.select("bucket", (F.col("r1") != F.col("r2")).alias("mixed")))
+    left = stages.put(pieces.join(buckets, "bucket"))
     mixed = left.filter("mixed")
     kinds = mixed.groupBy("bucket", "pointers").agg(F.min(F.struct("place", "c1", "c2", "x", "y")).alias("one"), F.max("place").alias("p2"))
     kinds = stages.put(kinds.select("bucket", "pointers", "one", (F.col("one.place") != F.col("p2")).alias("whole")))
     columns = ["c1", "c2", F.col("x").alias("s"), (F.col("y") + SPAN).alias("e")]
     whole = left.filter("not mixed").select(*columns).union(mixed.join(kinds.filter("whole").select("bucket", "pointers"), ["bucket", "pointers"]).select(*columns))
     # buckets whose pieces are all of repeated kinds need nothing more
-    open_ = kinds.groupBy("bucket").agg(F.every("whole").alias("done")).filter("not done").select("bucket")
+    open_ = stages.put(kinds.groupBy("bucket").agg(F.every("whole").alias("done")).filter("not done").select("bucket"))
     todo = kinds.join(open_, "bucket").groupBy("one.c1", "one.c2").agg(F.collect_list(F.struct("one.x", "one.y")).alias("todo"))
     return left, whole, todo
 
