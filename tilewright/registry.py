@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .functions import scalar
-from .operators import catalog, metrics, raster, sampling, spatial, stats, vectors
+from .operators import catalog, fields, metrics, raster, sampling, spatial, stats, vectors
 from .plans import decisions, suites
 from .streaming import state
 
-MODULES = (catalog, stats, metrics, sampling, spatial, scalar, raster, vectors, state, decisions, suites)
+MODULES = (catalog, fields, stats, metrics, sampling, spatial, scalar, raster, vectors, state, decisions, suites)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.SQL.items()}
