@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, stages: common.Stages) -> DataFrame:
     """edges (u, v), u > v. Large: every neighbour above a node goes to the least node around it; small: those below it do."""
     around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written, so that the join with a hub's rows can be split
+    least = stages.put(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     if large:
         out = around.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -30,8 +31,8 @@ def components(links: DataFrame, stages: common.Stages, most: int = 60) -> DataF
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
     now = mark(edges)
     for _ in range(most):
-        large = stages.put(_star(edges, True))
-        new = stages.put(_star(large, False))
+        large = stages.put(_star(edges, True, stages))
+        new = stages.put(_star(large, False, stages))
         stages.drop(edges, large)
         edges, before, now = new, now, mark(new)
         if now == before:

@@ -7,10 +7,10 @@ indexed under each chunk with each choice of that one symbol left out, so all pa
 At similarity 0.8 a pair meets with probability 1 - 2.4e-5, above it more often. Sets too small for any other partner
 than an equal set aren't indexed, as they need no search.
 
-What meets is linked only after a check of the full sets. In an index bucket each member is checked against the least
-one; then, where members are still in different components, against the least members of the bucket's two least components; the rest of
-such buckets is compared in blocks by signature, and every pair of different components within the distance is checked. So no
-group emits all of its pairs, and none that the index finds is left unchecked.
+What meets is linked only after a check of the full sets. Each class is checked against one hub; in buckets whose members
+are then still in different components each is checked against its nearest member of another component, and at last against
+all that their signatures and the least hashes of the sets allow. No group emits all of its pairs, and none that the index
+finds and that would connect two components is left out.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and is its own component;
 fewer words than a shingle count as one shingle; equal sets are linked whatever the order of texts. Rows that repeat an
@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +37,7 @@ SYMBOLS = CHUNKS * WIDTH
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Pairs that meet in the index by luck may lie farther apart; up to here they are checked (at similarity 0.8 all but 1e-8 lie nearer).
 FARTHEST = 30
+LOWEST = 256  # least hashes that are kept of each set that meets another
 BLOCK = 1000
 MAX_CACHE = 300_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -127,11 +127,36 @@ def index_keys(classes: DataFrame) -> DataFrame:
     return classes.filter(F.col("sig").isNotNull()).select("id", "sig").mapInArrow(run, "key long, id long")
 
 
+def least_hashes(texts: DataFrame, k: int) -> DataFrame:
+    """(id, low): the upper halves of the LOWEST least hashes of each id's set, as 32-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in common.chunks(batches):
+            if len(words) > MAX_CACHE:
+                words.clear()
+            low = [(shingles(t or b"", k, words)[:LOWEST] >> np.uint64(32)).astype(np.uint32).tobytes() for t in common.as_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.binary())], names=["id", "low"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "id long, low binary").groupBy("id").agg(F.max("low").alias("low"))
+
+
+def may_be_similar(n1: int, low1: np.ndarray, n2: int, low2: np.ndarray, similar: int) -> bool:
+    """Whether the least hashes of two sets allow the similarity: exactly where both sets are whole, else up to 4.9 deviations."""
+    both = np.concatenate([low1, low2])
+    both.sort()
+    twice = both[1:][both[1:] == both[:-1]]
+    if n1 <= LOWEST and n2 <= LOWEST:
+        return 100 * len(twice) >= similar * (len(both) - len(twice))
+    union = np.unique(both)[:LOWEST]
+    need = len(union) * similar / 100
+    return (twice <= union[-1]).sum() >= need - 4.9 * np.sqrt(need * (1 - similar / 100)) - 1
+
+
 def near_signatures(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) whose set sizes allow the similarity and whose signatures lie within FARTHEST."""
-    c = classes.select("id", "n", "sig")
-    both = pairs.join(c.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(c.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-    both = both.filter(100 * F.least("na", "nb") >= similar * F.greatest("na", "nb"))
+    """The pairs (a, b) whose set sizes and signatures (up to FARTHEST) allow the similarity."""
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= similar * F.greatest("na", "nb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,59 +196,119 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFr
 
 
 def link(docs: DataFrame, classes: DataFrame, k: int, similar: int, stages: common.Stages) -> DataFrame:
-    """(a, b): confirmed links that connect all classes that any confirmed link of the index connects. classes: (id, n, sig), written."""
+    """(a, b): confirmed links that connect all classes that any confirmed link of the index connects. classes: (id, n, sig), written.
+
+    First each class is checked against the least class that it meets. Then the members of buckets that still hold several
+    components are compared by signature; each is checked against the nearest member of another component, and at last
+    against all of them that may be similar.
+    """
     keys = index_keys(classes)
-    buckets = stages.put(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub"), F.max("id").alias("last")).filter("c > 1 and hub < last"))
-    twos, more = buckets.filter("c = 2").select(F.col("hub").alias("a"), F.col("last").alias("b")), buckets.filter("c > 2")
-    members = stages.put(keys.join(more.select("key", "hub"), "key"))
-    pairs = twos.union(members.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct()
-    check = lambda p: confirmed(stages.put(near_signatures(p, classes, similar)), docs, k, similar)
-    links = stages.put(check(pairs))
-    for step in ("hubs", "rest"):
+    buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub"), F.max("id").alias("last")).filter("c > 1 and hub < last")
+    members = stages.put(keys.join(stages.put(buckets.select("key", "hub")), "key"))
+    met = members.select(F.col("id").alias("doc_id")).distinct()
+    texts = stages.put(docs.join(met, "doc_id", "left_semi"))  # all that the checks read
+    sketches = stages.put(least_hashes(texts, k))
+    tested: list[DataFrame] = []
+
+    def check(pairs: DataFrame) -> DataFrame:
+        for t in tested:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        tested.append(stages.put(pairs))
+        return stages.put(confirmed(tested[-1], texts, k, similar))
+
+    links = check(near_signatures(members.filter("id != hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), classes, similar))
+    for nearest in (True, False):
         comps = components(links, stages)
-        named = members.join(comps, "id", "left").select("key", "id", "hub", F.coalesce("comp", "id").alias("comp"))
-        split = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("c")).filter("c1 != c2")
-        open_ = stages.put(named.join(split, "key"))
+        named = stages.put(members.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
+        counts = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        split = counts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("c")).filter("comps > 1")
+        open_ = stages.put(named.join(stages.put(split.select("key", F.col("most.comp").alias("most"), "c")), "key"))
+        stages.drop(named)
         if open_.isEmpty():
             break
-        pairs = component_hubs(open_) if step == "hubs" else across(open_, classes, similar)
-        new = stages.put(check(pairs.distinct()))
-        links = stages.put(links.union(new))
+        links = stages.put(links.union(check(across(open_, classes, sketches, similar, nearest))))
+        stages.drop(open_)
     return links
 
 
-def component_hubs(open_: DataFrame) -> DataFrame:
-    """Each member against the least member of its bucket's least and greatest component, where that isn't its own."""
-    hubs = open_.groupBy("key").agg(F.min(F.struct("comp", "id")).alias("x"), F.max(F.struct("comp", F.negative("id").alias("id"))).alias("y"))
-    at = open_.join(hubs, "key")
-    far = [(F.col("x.comp"), F.col("x.id")), (F.col("y.comp"), -F.col("y.id"))]
-    return at.select("id", "comp", F.explode(F.array(*(F.struct(c.alias("comp"), i.alias("id")) for c, i in far))).alias("h")).filter("comp != h.comp").select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))
-
-
-def across(open_: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
-    """Pairs of members of different components of a bucket within the signature distance, compared in blocks of BLOCK."""
-    n = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), n).cast("int")
-    rows = open_.join(classes.select("id", F.col("n").alias("size"), "sig"), "id").withColumn("blocks", n).withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "size", "sig")
-
-    def compare(x: pd.DataFrame) -> pd.DataFrame:
-        i, j = x["i"].iat[0], x["j"].iat[0]
-        left, right = x[x["own"] == i], x[x["own"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        unpack = lambda d: (np.frombuffer(b"".join(d["sig"]), np.uint8).reshape(-1, SYMBOLS), d["size"].to_numpy(), d["comp"].to_numpy(), d["id"].to_numpy())
-        (s1, n1, c1, d1), (s2, n2, c2, d2) = unpack(left), unpack(right)
-        out = []
-        for r in range(len(s1)):
-            near = (c2 != c1[r]) & (100 * np.minimum(n2, n1[r]) >= similar * np.maximum(n2, n1[r]))
-            at = np.flatnonzero(near)
-            at = at[(s2[at] != s1[r]).sum(1) <= FARTHEST]
-            out.append(np.stack([np.minimum(d2[at], d1[r]), np.maximum(d2[at], d1[r])], 1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
-
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+def first_meeting(equal: np.ndarray) -> np.ndarray:
+    """equal: pairs x SYMBOLS. The least number of an index key under which each pair meets; SYMBOLS if there is none."""
+    wrong = ~equal.reshape(-1, CHUNKS, WIDTH)
+    errors = wrong.sum(2)
+    chunk = (errors <= ERRORS).argmax(1)
+    at = np.arange(len(equal))
+    return np.where(errors[at, chunk] <= ERRORS, chunk * WIDTH + np.where(errors[at, chunk] == 0, 0, wrong[at, chunk].argmax(1)), SYMBOLS)
+
+
+def across(open_: DataFrame, classes: DataFrame, sketches: DataFrame, similar: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of members of different components of a bucket that may be similar. nearest: of each member only the nearest.
+
+    A bucket is compared in blocks of about BLOCK members of its most common component, to each of which its other members are
+    sent; so its rows grow with its size and not with its square, unless it has no common component.
+    """
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    rows = open_.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("minor", F.col("comp") != F.col("most"))
+    where = F.when(F.col("minor"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))
+    rows = rows.withColumn("block", F.explode(where)).join(classes.select("id", F.col("n").alias("size"), "sig"), "id")
+    rows = rows.withColumn("low", F.lit(None).cast("binary")) if nearest else rows.join(sketches, "id")
+    rows = rows.select("key", "block", "own", "minor", "id", "comp", "size", "sig", "low").repartition("key", "block").sortWithinPartitions("key", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            key, block, own, minor, ids, comp, size = (t.column(i).to_numpy() for i in range(7))
+            sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+            low, out = t.column(8), [np.zeros((0, 3), np.int64)]
+            for d in range(1, len(ids)):  # rows and those d further in their group
+                x = np.flatnonzero((key[d:] == key[:-d]) & (block[d:] == block[:-d]))
+                if not len(x):
+                    break
+                y = x + d
+                mine = np.where(minor[x] & minor[y], np.where(ids[x] < ids[y], own[x], own[y]) == block[x], True)
+                ok = mine & (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= similar * np.maximum(size[x], size[y]))
+                x, y = x[ok], y[ok]
+                equal = sig[x] == sig[y]
+                far = SYMBOLS - equal.sum(1)
+                ok = far <= FARTHEST
+                if not nearest:
+                    ok &= first_meeting(equal) == key[x] >> 8 * (WIDTH - 1)
+                x, y, far = x[ok], y[ok], far[ok]
+                ok = np.array([may_be_similar(size[i], np.frombuffer(low[int(i)].as_py(), np.uint32), size[j], np.frombuffer(low[int(j)].as_py(), np.uint32), similar) for i, j in zip(x, y, strict=True)], bool) if not nearest else np.ones(len(x), bool)
+                out.append(np.stack([far, ids[x], ids[y]], 1)[ok])
+            found = np.concatenate(out)
+            if nearest:  # both ways, the nearest of each
+                found = np.concatenate([found, found[:, [0, 2, 1]]])
+                found = found[np.lexsort((found[:, 2], found[:, 0], found[:, 1]))]
+                found = found[np.append(True, found[1:, 1] != found[:-1, 1])] if len(found) else found
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T.copy()], names=["far", "id", "other"])
+
+    found = rows.mapInArrow(run, "far long, id long, other long")
+    if nearest:
+        found = found.groupBy("id").agg(F.min(F.struct("far", "other")).alias("x")).select("id", F.col("x.other").alias("other"))
+    return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.Table]:
+    """The sorted rows of a partition in tables that never cut a group of (key, block)."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            part = b.slice(s, rows)
+            key, block = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+            if held:
+                last = held[-1]
+                new = (key != last.column(0)[-1].as_py()) | (block != last.column(1)[-1].as_py())
+            else:
+                new = np.ones(len(key), bool)
+            ends = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+            cut = int(ends[-1]) if len(ends) else (0 if held and new[0] else -1)
+            if cut >= 0:
+                if held or cut:
+                    yield pa.Table.from_batches([*held, part.slice(0, cut)]).combine_chunks()
+                held = [part.slice(cut)]
+            else:
+                held.append(part)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def near_duplicates(docs: DataFrame, stages: common.Stages, k: int = 2, similar: int = SIMILAR) -> DataFrame:
@@ -232,7 +317,7 @@ def near_duplicates(docs: DataFrame, stages: common.Stages, k: int = 2, similar:
     rows = stages.put(set_features(docs, k, similar))
     classes = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.count("*").alias("c"), F.max("doc_id").alias("last"))
     classes = stages.put(classes)
-    links = link(docs, stages.put(classes.filter("sig is not null and id is not null").groupBy("id").agg(F.max("n").alias("n"), F.max_by("sig", "n").alias("sig"))), k, similar, stages)
+    links = link(docs, stages.put(classes.filter("sig is not null and id is not null").groupBy("id").agg(F.max(F.struct("n", "sig")).alias("x")).select("id", "x.n", "x.sig")), k, similar, stages)
     # an id with several texts connects their classes
     members = rows.filter("n > 0").join(classes.filter("c > 1 and last != id").select("h1", "h2", "id"), ["h1", "h2"]).filter("doc_id != id")
     comps = components(links.union(members.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))), stages)
