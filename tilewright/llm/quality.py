@@ -179,7 +179,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(label).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    return docs.select("doc_id", "text").join(picked, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # limit rows at most
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> RuleModel:
