@@ -19,10 +19,15 @@ from tilewright.llm import common, decontaminate, minhash, mixing, quality, shar
 SHINGLE = 5
 
 
+def _apart(docs: DataFrame, *columns: str) -> DataFrame:
+    """Whole rows as _row beside the columns in use, so that no other column can clash with what an operator adds."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), *columns)
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the rule ensemble, fitted on the labelled rows of docs, takes for good."""
     model = quality.train(docs, common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep_text=True).filter(F.col("predicted") == 1).select(*docs.columns)
+    return quality.score(_apart(docs, "text"), model).filter(F.col("predicted") == 1).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +43,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix of its source says: not at all, once or twice."""
-    mixed = mixing.mix(docs, common.Stages(spark, "mix")).filter(F.col("copies") > 0)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    mixed = mixing.mix(_apart(docs, "doc_id", "text", "source"), common.Stages(spark, "mix")).filter(F.col("copies") > 0)
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

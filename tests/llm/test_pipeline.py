@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tilewright.llm import common, quality
 
@@ -49,6 +51,19 @@ def test_stages(spark):
     assert len(rows) == len(before) and max(n.values()) - min(n.values()) <= 1
 
 
+def test_clashing_columns_and_nulls(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    odd = docs.union(spark.createDataFrame([(None, None, None, None, None), (900, "", "en", None, 0)], docs.schema))
+    for c in ("size", "score", "n_words", "target", "predicted", "copies"):
+        odd = odd.withColumn(c, F.lit("own"))
+    for name in ("quality", "mixture"):
+        out = dict(corpus_pipeline.STAGES)[name](spark, odd, SMALL)
+        assert out.columns == odd.columns and {tuple(r)[5:] for r in out.collect()} == {("own",) * 6}
+    for name in ("near_duplicates", "decontamination"):
+        out = dict(corpus_pipeline.STAGES)[name](spark, odd, SMALL)
+        assert out.columns == odd.columns and {r.doc_id for r in out.collect()} >= {None, 900}
+
+
 def test_run_and_empty_tables(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SMALL}/{t}.parquet").filter("false").write.parquet(f"{tmp_path}/{t}.parquet")
