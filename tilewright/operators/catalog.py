@@ -124,9 +124,9 @@ def compare_sets(a: DataFrame, b: DataFrame, key: str, first: int = 5) -> DataFr
     """What one side has and the other lacks: side, count and the first ids, in one full outer join."""
     left, right = a.select(key).distinct().withColumn("_a", F.lit(True)), b.select(key).distinct().withColumn("_b", F.lit(True))
     both = left.join(right, key, "full_outer").filter("_a is null or _b is null").select(F.when(F.col("_a").isNull(), "right_only").otherwise("left_only").alias("side"), key)
-    n = F.row_number().over(W.partitionBy("side").orderBy(key))
-    top = both.withColumn("_n", n)
-    return top.groupBy("side").agg(F.count("*").alias("n"), F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("_n") <= first, F.col(key))))).alias("first_ids"))
+    top = both.withColumn("_n", F.row_number().over(W.partitionBy("side").orderBy(key))).filter(F.col("_n") <= first)  # limited before the shuffle
+    top = top.groupBy("side").agg(F.concat_ws(",", F.array_sort(F.collect_list(key))).alias("first_ids"))
+    return both.groupBy("side").agg(F.count("*").alias("n")).join(top, "side")
 
 
 def leakage(splits: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:

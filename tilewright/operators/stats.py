@@ -192,8 +192,10 @@ def stretch(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98) ->
 def error_kinds(errors: DataFrame, column: str = "error", first: int = 5) -> DataFrame:
     """Errors by what stands before ':' or '!=': count, and the first examples."""
     kind = F.trim(F.split(F.split(F.col(column), ":")[0], "!=")[0])
-    ranked = errors.withColumn("kind", kind).withColumn("_n", F.row_number().over(W.partitionBy("kind").orderBy(column)))
-    return ranked.groupBy("kind").agg(F.count("*").alias("n"), F.concat_ws("|", F.array_sort(F.collect_list(F.when(F.col("_n") <= first, F.col(column))))).alias("examples"))
+    tagged = errors.withColumn("kind", kind)
+    top = tagged.withColumn("_n", F.row_number().over(W.partitionBy("kind").orderBy(column))).filter(F.col("_n") <= first)  # limited before the shuffle
+    top = top.groupBy("kind").agg(F.concat_ws("|", F.array_sort(F.collect_list(column))).alias("examples"))
+    return tagged.groupBy("kind").agg(F.count("*").alias("n")).join(top, "kind")
 
 
 def weighted_mean(v: Column, n: Column) -> Column:
