@@ -313,7 +313,7 @@ def test_packing(spark, odd):
         n[r.doc_id, r.doc_offset] += 1
     assert {d: b"".join(v for _, v in sorted(p.items())) for d, p in back.items()} == texts and n[7, 0] == 4
     enc, cache = packing.encoding(packing.RANKS), packing.Pieces(packing.RANKS)
-    for t in ("Hello  world's 12 é\n\n x", "", " a\u00a0b ", "<|endoftext|>"):
+    for t in ("Hello  world's 12 é\n\n x", "", " a\u00a0b ", "<|endoftext|>", "".join(map(chr, range(128))), "a \x1c b\x1f\x1f c\t\t\td  \n ", "x\x85y \u2003z ½²"):
         assert cache.ids(t).tolist() == enc.encode_ordinary(t)
     assert packing.pack(spark.createDataFrame([], EMPTY)).count() == 0
 
