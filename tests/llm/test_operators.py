@@ -424,6 +424,24 @@ def test_resharding(spark, odd, stages, tmp_path):
     assert sharding.digest(spark.createDataFrame([], EMPTY), stages).count() == 0
 
 
+def test_shards_hold_the_texts(spark, odd, stages):
+    df = frame(spark, [prose(random.Random(i), i % 40) for i in range(333)]).unionByName(odd.select(*DOC.replace(",", "").split()[::2]))
+    out = sharding.digest(df, stages).collect()
+    lies = spark.read.parquet(f"{stages.root}/shards").collect()
+    assert Counter((r.doc_id, r.text) for r in lies) == Counter((r.doc_id, r.text) for r in df.collect())
+    assert {(r.shard, r.slot): (r.doc_id, zlib.crc32((r.text or "").encode())) for r in lies} == {(r.shard, r.slot): (r.doc_id, r.text_crc32) for r in out}
+
+
+def test_shard_without_change_stays(spark, stages, monkeypatch):
+    monkeypatch.setattr(sharding, "prior_shard", lambda doc_id: F.when(doc_id < 12, 0).otherwise(1))
+    texts = [prose(random.Random(i), 9) for i in range(96)]
+    out = sharding.digest(frame(spark, texts), stages).collect()
+    assert {r.doc_id for r in out if r.shard == 0} == set(range(12))
+    assert sorted((r.doc_id, r.text_crc32) for r in out) == [(i, zlib.crc32(t.encode())) for i, t in enumerate(texts)]
+    lies = {r.doc_id: r.text for r in spark.read.parquet(f"{stages.root}/shards").collect()}
+    assert lies == {i: t for i, t in enumerate(texts) if i >= 12}
+
+
 # --- 9: urls
 
 

@@ -159,8 +159,9 @@ def rewrite(assigned: DataFrame, path: str) -> DataFrame:
     """Writes the shards that gain or lose rows below path, a folder shard=N each; returns moved(). Other shards' old files stay as they are."""
     change = moved(assigned)
     affected = change.filter("rewritten").select("shard")
-    per = F.pmod(F.col("slot"), F.lit(64))  # a shard is written by many tasks
-    assigned.join(F.broadcast(affected), "shard").repartition("shard", per).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    # no deal by shard: reshard() has dealt the rows evenly already, and texts that are dealt out twice take the disk once more
+    mine = assigned.join(F.broadcast(affected), "shard").sortWithinPartitions("shard", "slot")
+    mine.write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
     return change
 
 
@@ -170,11 +171,21 @@ def prior_shard(doc_id: Column, n_old: int = N_OLD) -> Column:
 
 
 def digest(docs: DataFrame, stages: common.Stages) -> DataFrame:
-    """docs (doc_id, text) from N_OLD to N_NEW shards under the law of rows, without the texts."""
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (text_bytes(text) + 1).alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"))
-    out = reshard(rows, prior_shard(F.col("doc_id")), F.col("size"), N_NEW, stages)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """docs (doc_id, text) from N_OLD to N_NEW shards under the law of rows; what it returns is read back from the shards.
+
+    Shards that gain or lose rows are written with their texts below stages.root/shards, which stays. One that neither gains nor loses
+    any stays in its old place, which is the table that reshard() has written.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("size", text_bytes(F.col("text")) + 1)
+    assigned = reshard(rows, prior_shard(F.col("doc_id")), F.col("size"), N_NEW, stages)
+    path = f"{stages.root}/shards"
+    same = [r.shard for r in rewrite(assigned, path).filter(~F.col("rewritten")).select("shard").collect()]  # at most N_NEW
+    out = docs.sparkSession.read.schema(assigned.schema).parquet(path)
+    if same:
+        out = out.unionByName(assigned.filter(F.col("old_shard").isin(same)))
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32")
+    return out.select("doc_id", (text_bytes(F.col("text")) + 1).alias("size"), crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def op7_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
