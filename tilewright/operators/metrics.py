@@ -203,8 +203,7 @@ def _quality(spark, d):
 def _ap_by_ratio(s, d):
     px = _scored(s, d)
     tiles = px.groupBy("tile_id").agg(F.max(F.col("label") == 1).alias("is_pos"))
-    keep = tiles.filter(~F.col("is_pos") | (F.col("tile_id") % 97 == 0))
-    return ap_at_ratios(px.join(keep.select("tile_id"), "tile_id"), keep, (1, 5, 20)).select("ratio", R("ap").alias("ap"), "n_neg", "bootstrapped")
+    return ap_at_ratios(px, tiles, (1, 5, 20)).select("ratio", R("ap").alias("ap"), "n_neg", "bootstrapped")
 
 
 GRID = [i / 4 for i in range(2, 21)]
