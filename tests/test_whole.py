@@ -25,3 +25,20 @@ def test_ap_at_ratios_has_all_positives(spark, con):
     out = {r.ratio: r for r in registry.QUERIES["m03_ap_at_ratios"](spark, MEDIUM).collect()}
     assert {k: (r.n_neg, r.bootstrapped) for k, r in out.items()} == {k: (pos * k, pos * k > neg) for k in (1, 5, 20)}
     assert all(0 < r.ap < 1 for r in out.values()) and out[1].ap > out[5].ap > out[20].ap
+
+
+def agrees(spark, con, name: str, sql: str) -> None:
+    df = registry.QUERIES[name](spark, MEDIUM)
+    columns = sorted(df.columns)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+    assert sorted([cell(r[c]) for c in columns] for r in df.collect()) == sorted([cell(v) for v in r] for r in want)
+
+
+def uncut(name: str, cut: str, whole: str = "") -> str:
+    """The SQL of a query whose SQL is given with a cut, without it."""
+    assert cut in registry.SQL[name]
+    return registry.SQL[name].replace(cut, whole)
+
+
+def test_distance_to_all_positives(spark, con):
+    agrees(spark, con, "j11_distance_to_all_positives", uncut("j11_distance_to_positive", " AND b.id < 500"))

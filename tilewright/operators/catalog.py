@@ -225,8 +225,8 @@ QUERIES = {
 }
 
 
-def _stack(spark: SparkSession, d: str) -> DataFrame:
-    li = schema.table(spark, d, "lineitem").filter("l_linenumber <= 4")
+def _stack(spark: SparkSession, d: str, rows: str = "true") -> DataFrame:
+    li = schema.table(spark, d, "lineitem").filter(rows)
     per = lambda f, n: li.filter(f).groupBy(F.col("l_orderkey").alias("tile_id"), F.col("l_linenumber").alias("row")).agg(F.count("*").alias(n))
     return stack_modalities(per("l_tax <= 0.05", "r"), per("l_discount >= 0.03", "band"), per("l_returnflag = 'R'", "label"), ["tile_id", "row"])
 

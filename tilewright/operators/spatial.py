@@ -179,9 +179,9 @@ def _resume(s, d):
     return resume(p, p.filter("tile_id % 3 = 0")).select("tile_id")
 
 
-def _positive_distance(s, d):
+def _positive_distance(s, d, positives="cls = 0"):
     p = _pts(s, d)
-    pos = p.filter("cls = 0 and id < 500").select(F.col("id").cast("string").alias("name"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    pos = p.filter(positives).select(F.col("id").cast("string").alias("name"), F.col("x").alias("cx"), F.col("y").alias("cy"))
     return nearest_centroid(p.filter("cls > 0"), pos, "id", "name").select("id", F.round("dist", 6).alias("dist"))
 
 
@@ -193,7 +193,8 @@ QUERIES = {
     "c18_within_then_nearest": lambda s, d: region_of(_pts(s, d), _regions(s, d), _centres(s, d), "id", "region", 4.0),
     "j09_covering_cell": lambda s, d: covering_cell(_pts(s, d), with_bounds(_regions(s, d)).select(F.col("region").alias("grid"), "min_x", "min_y", "max_x", "max_y"), "id", 8.0),
     "j10_boxes_hit": lambda s, d: boxes_hit(_box(s, d), _regions(s, d), "id", 4.0).select("id"),
-    "j11_distance_to_positive": _positive_distance,
+    "j11_distance_to_positive": lambda s, d: _positive_distance(s, d, "cls = 0 and id < 500"),  # the candidates of its SQL
+    "j11_distance_to_all_positives": _positive_distance,
     "j13_realigned_samples": lambda s, d: realign(schema.table(s, d, "supplier").filter("s_suppkey % 4 <> 1").select(F.col("s_suppkey").alias("idx"), F.col("s_acctbal").alias("v")), schema.table(s, d, "supplier").select(F.col("s_suppkey").alias("idx"), "s_name")),
     "j14_provenance": lambda s, d: _pts(s, d).select(F.col("id").alias("idx"), F.struct("x", "y").alias("at")).join(schema.table(s, d, "supplier").select(F.col("s_suppkey").alias("idx")), "idx", "left_semi").select("idx", F.col("at.x").alias("x"), F.col("at.y").alias("y")),
     "a22_zonal_mean": lambda s, d: zonal_mean(_pts(s, d).withColumn("v", F.col("cls").cast("double")), _regions(s, d), "region", "v", 4.0).select("region", F.round("mean", 6).alias("mean"), "n"),
