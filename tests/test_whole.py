@@ -42,3 +42,12 @@ def uncut(name: str, cut: str, whole: str = "") -> str:
 
 def test_distance_to_all_positives(spark, con):
     agrees(spark, con, "j11_distance_to_all_positives", uncut("j11_distance_to_positive", " AND b.id < 500"))
+
+
+def test_block_any_of_all_tiles(spark, con):
+    sql = uncut("a29_block_any", " WHERE tile_id = 7 GROUP BY 1, 2", " GROUP BY 1, 2, tile_id")
+    agrees(spark, con, "a29_block_any_by_tile", sql.replace("SELECT (row // 4)", "SELECT tile_id, (row // 4)").replace("GROUP BY 1, 2, tile_id", "GROUP BY 1, 2, 3"))
+
+
+def test_reclassify_in_domain(spark, con):
+    agrees(spark, con, "r25_reclassify_in_domain", uncut("r25_reclassify", "WHERE tile_id % 2 = 0", "WHERE label <> 255"))

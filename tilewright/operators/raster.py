@@ -270,9 +270,14 @@ def mosaic(df: DataFrame, order: str, value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy("grow", "gcol").agg(F.max_by(value, order).alias(value))
 
 
-def block_any(df: DataFrame, size: int = 100) -> DataFrame:
-    """1 for blocks with any 1, else null."""
-    return df.groupBy(F.floor(F.col("row") / size).alias("brow"), F.floor(F.col("col") / size).alias("bcol")).agg(F.max(F.when(F.col("v") == 1, 1)).alias("v"))
+def clip(df: DataFrame, domain: DataFrame) -> DataFrame:
+    """The pixels (tile_id, row, col) of df that domain has."""
+    return df.join(domain, ["tile_id", "row", "col"], "left_semi")
+
+
+def block_any(df: DataFrame, size: int = 100, *by: str) -> DataFrame:
+    """1 for blocks with any 1, else null; the blocks of each by are apart."""
+    return df.groupBy(*by, F.floor(F.col("row") / size).alias("brow"), F.floor(F.col("col") / size).alias("bcol")).agg(F.max(F.when(F.col("v") == 1, 1)).alias("v"))
 
 
 def window_of(min_x: Column, min_y: Column, max_x: Column, max_y: Column, height: Column, width: Column, size: int = 512) -> Column:
@@ -370,6 +375,8 @@ QUERIES = {
     "r24_mosaic": lambda s, d: mosaic(_grid(s, d).withColumn("grow", F.col("row") + F.floor(F.col("tile_id") / 10) * SIDE).withColumn("gcol", F.col("col") + F.col("tile_id") % 10 * 8), "tile_id", "v").select(F.col("grow").cast("long").alias("grow"), F.col("gcol").cast("long").alias("gcol"), "v"),
     "r25_reclassify": lambda s, d: _grid(s, d).filter("tile_id % 2 = 0").select("tile_id", "row", "col", F.when((F.col("v") > 0) & (F.col("v") <= 5), 1).alias("cls")),
     "r26_crop": lambda s, d: per_tile(_grid(s, d), "v", lambda a: crop(a, 9, 2, 8)).select("tile_id", "row", "col", "out"),
+    "r25_reclassify_in_domain": lambda s, d: clip(_grid(s, d), _grid(s, d).filter(F.col("label") != IGNORE)).select("tile_id", "row", "col", F.when((F.col("v") > 0) & (F.col("v") <= 5), 1).alias("cls")),
+    "a29_block_any_by_tile": lambda s, d: block_any(_grid(s, d).withColumn("v", F.col("mask")), 4, "tile_id"),
     "a29_block_any": lambda s, d: block_any(_grid(s, d).filter("tile_id = 7").withColumn("v", F.col("mask")), 4),
     "j16_blob_overlap": lambda s, d: blobs(_grid(s, d)).join(blobs(_grid(s, d).withColumn("mask", (F.col("label") == 1).cast("int"))).withColumnRenamed("blob", "truth"), ["tile_id", "row", "col"]).groupBy("tile_id", "blob", "truth").agg(F.count("*").alias("n")).groupBy("tile_id").agg(F.sum("n").alias("n")),
     "s06_window_read": _windows,
