@@ -51,3 +51,7 @@ def test_block_any_of_all_tiles(spark, con):
 
 def test_reclassify_in_domain(spark, con):
     agrees(spark, con, "r25_reclassify_in_domain", uncut("r25_reclassify", "WHERE tile_id % 2 = 0", "WHERE label <> 255"))
+
+
+def test_stack_of_all_rows(spark, con):
+    agrees(spark, con, "j04_modality_stack_all_rows", uncut("j04_modality_stack", " WHERE l_linenumber <= 4"))
