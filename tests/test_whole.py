@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tilewright import registry
+from tilewright.operators import stats
 
 from .test_oracle import TABLES, cell
 
@@ -55,3 +56,13 @@ def test_reclassify_in_domain(spark, con):
 
 def test_stack_of_all_rows(spark, con):
     agrees(spark, con, "j04_modality_stack_all_rows", uncut("j04_modality_stack", " WHERE l_linenumber <= 4"))
+
+
+def test_mode_of_all_scenes(spark, con):
+    agrees(spark, con, "a17_mode_fallback_all_scenes", uncut("a17_mode_fallback", " WHERE qa % 3 = 0"))
+
+
+def test_mode_none(spark):
+    rows = [(1, "IW", ["VV"]), (1, "EW", ["VV", "VH"]), (2, "EW", ["HH", "HV"]), (2, "IW", ["VV"]), (3, "EW", ["HH", "HV"]), (3, "IW", ["VV", "VH"])]
+    df = spark.createDataFrame(rows, "pixel int, mode string, pols array<string>")
+    assert {tuple(r) for r in stats.mode_choice(df, "pixel").collect()} == {(1, "NONE"), (2, "EW"), (3, "IW")}

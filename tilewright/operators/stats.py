@@ -248,7 +248,8 @@ QUERIES = {
     "a14_median_composite": lambda s, d: median_composite(_scenes(s, d).filter(cloud_free(F.col("qa"))), "pixel", "band").select("pixel", "band", F.round("composite", 9).alias("composite")),
     "a15_linear_mean_db": lambda s, d: _scenes(s, d).filter("value > 0.5").groupBy("pixel").agg(R6(to_db(F.avg(to_linear(to_db(F.col("value")))))).alias("mean_db"), R6(F.stddev_pop(to_db(F.col("value")))).alias("std_db")),
     "a16_orbit_majority": lambda s, d: orbit_choice(_scenes(s, d), "orbit", "pixel"),
-    "a17_mode_fallback": lambda s, d: mode_choice(_scenes(s, d).filter("qa % 3 = 0"), "pixel"),
+    "a17_mode_fallback": lambda s, d: mode_choice(_scenes(s, d).filter("qa % 3 = 0"), "pixel"),  # the scenes of its SQL
+    "a17_mode_fallback_all_scenes": lambda s, d: mode_choice(_scenes(s, d), "pixel"),
     "a18_season_shift": lambda s, d: season_shift(_scenes(s, d).filter("value > 0.5").withColumn("db", to_db(F.col("value"))), "db", F.col("month"), "pixel").select("pixel", R6("shift").alias("shift")),
     "a18b_single_pol_mean": lambda s, d: _scenes(s, d).filter("value > 0.5").groupBy("pixel").agg(R6(F.avg(F.when(F.col("band") == "click", to_db(F.col("value"))))).alias("mean_db")),
     "a23_histogram_mode": lambda s, d: histogram_mode(_li(s, d), "l_quantity", "l_returnflag", bins=7).select("l_returnflag", R6("mode").alias("mode")),
