@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -465,23 +466,58 @@ def test_url_filter(spark):
 # --- 10: leaks
 
 
-def plain_leaks(docs: dict, items: dict) -> set:
-    """All passages against all items, without bounds."""
-    index = decontaminate.build(sorted(items.items()))
-    out = set()
+def plain_terms(text):
+    return [w for w in (re.sub(r"^\W+|\W+$", "", w.lower()) for w in (text or "").split()) if w]
+
+
+def plain_parts(text):
+    """Question and answer."""
+    t = text.rstrip()
+    inner = [i for i, c in enumerate(t) if c == "?" and i < len(t) - 1]
+    ends = [m.end() for m in re.finditer(r"[.!?]\s+", t)]
+    cut = inner[-1] + 1 if inner else ends[-1] if ends else 0
+    q, a = plain_terms(text[:cut]), plain_terms(text[cut:])
+    if not q or not a:
+        w = q or a
+        k = len(w) - max(1, len(w) // 3) if len(w) > 1 else 0
+        q, a = w[:k], w[k:]
+    return q, a
+
+
+def plain_scores(docs: dict, items: dict) -> dict:
+    """(document, item): best score of a passage with question and answer; all passages against all items, by the formula of BM25."""
+    bags = {i: Counter(plain_terms(t)) for i, t in items.items() if plain_terms(t)}
+    df = Counter(w for b in bags.values() for w in b)
+    mean = sum(sum(b.values()) for b in bags.values()) / max(1, len(bags))
+    gain = {i: {w: math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for w, tf in b.items()} for i, b in bags.items()}
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    out = {}
     for d, t in docs.items():
-        w = decontaminate.terms(t or "")
-        for s in range(0, max(1, len(w)), index.words // 2):
-            p = w[s : s + index.words]
-            for k, i in enumerate(index.ids):
-                q = {index.vocabulary[x] for x in p if x in index.vocabulary}
-                if index.impacts[sorted(q), k].sum(dtype=np.float64) >= index.cut[k]:
-                    ids = np.array([index.vocabulary.get(x, len(index.vocabulary)) for x in p])
-                    if min(decontaminate.overlap(x, ids) for x in index.parts[k]) >= 0.8:
-                        out.add((d, i))
+        words = plain_terms(t)
+        for i, g in gain.items():
+            size = 64
+            while size < 2 * sum(bags[i].values()):
+                size *= 2
+            last = max(0, len(words) - size)
+            for s in sorted({min(x, last) for x in range(0, len(words), size // 2)}):
+                p = words[s : s + size]
+                score = sum(g[w] for w in set(p) if w in g)
+                if score < 0.6 * sum(g.values()) - 1e-6:
+                    continue
+                share = []
+                for part in plain_parts(items[i]):
+                    k = min(5, len(part))
+                    want = grams(part, k) if part else set()
+                    share.append(len(want & grams(p, k)) / len(want) if want else 1.0)
+                if min(share) >= 0.8:
+                    out[d, i] = max(out.get((d, i), 0), score)
     return out
 
 
+def plain_leaks(docs: dict, items: dict) -> set:
+    return set(plain_scores(docs, items))
+
+
 def test_leaks(spark):
     rng = random.Random(12)
     items = {i: prose(rng, rng.randrange(15, 60)).capitalize() + ". " + prose(rng, rng.randrange(3, 9)) + "." for i in range(40)} | {90: "What is kaban? " + prose(rng, 6)}
@@ -499,18 +535,54 @@ def test_leaks(spark):
     docs |= {200: None, 201: "", 202: items[3]}
     df = frame(spark, list(docs.values()), ids=list(docs))
     bench = spark.createDataFrame([*items.items(), (91, None), (92, "...")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()}
-    assert got == plain_leaks(docs, items) and (202, 3) in got and len(got) >= 30
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(df, bench).collect()}
+    want = plain_scores(docs, items)
+    assert set(got) == set(want) and (202, 3) in got and len(got) >= 30
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-6) for k in want)
     assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == set(docs) - {d for d, _ in got}
     assert decontaminate.leaks(df, bench.filter("false")).count() == 0 and decontaminate.leaks(df.filter("false"), bench).count() == 0
 
 
-def test_many_items_make_several_indexes(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MAX_ITEMS", 3)
-    items = spark.createDataFrame([(i, prose(random.Random(i), 20)) for i in range(8)], "item_id long, text string")
-    assert [len(i.ids) for i in decontaminate.indexes(items)] == [3, 3, 2]
-    docs = frame(spark, [r.text for r in items.collect()])
-    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} >= {(i, i) for i in range(8)}
+def test_any_division_of_the_items_gives_equal_scores(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = {i: prose(rng, rng.randrange(8, 40)) + "? " + prose(rng, 6) for i in range(1500)}
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    assert [len(i.ids) for i in decontaminate.indexes(items)] == [1500]
+    docs = frame(spark, [prose(rng, 90) + " " + texts[i * 7] + " " + prose(rng, 700) for i in range(30)])
+    rows = lambda: sorted(tuple(r) for r in decontaminate.leaks(docs, items).collect())
+    one = rows()
+    assert {(r[0], r[1]) for r in one} >= {(i, i * 7) for i in range(30)}
+    monkeypatch.setattr(decontaminate, "MAX_INDEX_BYTES", 40_000)
+    parts = [len(i.ids) for i in decontaminate.indexes(items)]
+    assert len(parts) > 5 and sum(parts) == 1500
+    several = rows()
+    assert [r[:2] for r in one] == [r[:2] for r in several] and all(np.allclose(a[2:], b[2:]) for a, b in zip(one, several, strict=True))
+
+
+def test_pivots_reach_every_item():
+    rng = random.Random(22)
+    items = [(i, " ".join(rng.choices(WORDS, weights=range(1, len(WORDS) + 1), k=rng.randrange(1, 30)))) for i in range(300)]
+    bags = [Counter(decontaminate.terms(t)) for _, t in items]
+    stats = decontaminate.Statistics(len(items), sum(sum(b.values()) for b in bags) / len(items), Counter(w for b in bags for w in b))
+    index = decontaminate.build(items, stats)
+    queries = [np.unique(rng.choices(range(len(index.vocabulary)), k=rng.randrange(0, 40))).astype(np.int64) for _ in range(200)]
+    value = np.zeros((len(index.vocabulary), len(items)))
+    for i, (t, x) in enumerate(index.bags):
+        value[t, i] = x
+    want = [(q, int(i)) for q, terms in enumerate(queries) for i in np.flatnonzero(value[terms].sum(0) >= 1 - 1e-6)]
+    assert index.wand(queries) == want and 0 < len(want) < 200 * 300
+
+
+def test_leaks_odd(spark):
+    rng = random.Random(23)
+    item = prose(rng, 30) + "? " + prose(rng, 9)
+    long = prose(rng, 3000) + " " + item + " " + prose(rng, 70_000) + " " + item
+    df = frame(spark, [long, item, item, None, prose(rng, 40)], ids=[0, None, 2, 3, 4]).withColumn("score", F.lit("own")).withColumn("item_id", F.lit(1))
+    df = df.union(df.filter("doc_id = 2"))
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None)], "item_id long, text string").withColumn("doc_id", F.lit(5))
+    assert Counter((r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()) == {(0, 1): 1, (None, 1): 1, (2, 1): 2}
+    left = decontaminate.clean(df, bench)
+    assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {3, 4}
 
 
 # --- all on the small tables
