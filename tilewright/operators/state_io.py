@@ -1,4 +1,4 @@
-"""Which saved epochs are there, through Spark's own file systems."""
+"""Small files and saved epochs through Spark's own file systems, so that any path works that Spark can read."""
 
 from __future__ import annotations
 
@@ -7,10 +7,47 @@ import re
 from pyspark.sql import SparkSession
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of a path or URI."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
+
+
+def replace(spark: SparkSession, new: str, old: str) -> None:
+    """Puts a written folder in the place of another, which goes to `old`.old until the new one is there."""
+    fs, target = file_system(spark, old)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{old.rstrip('/')}.old")
+    fs.delete(aside, True)
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"{old} can't be moved")
+    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(new), target):
+        raise OSError(f"{new} can't be moved; the rows are there and in {aside}")
+    fs.delete(aside, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file: configuration or a report."""
+    fs, p = file_system(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def drop_epochs(spark: SparkSession, path: str, keep: int) -> None:
+    """Deletes the complete epochs but the newest."""
+    for e in epochs(spark, path)[: -keep if keep else None]:
+        fs, p = file_system(spark, f"{path.rstrip('/')}/epoch={e}")
+        fs.delete(p, True)
+
+
 def epochs(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete epochs below a path."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, p = file_system(spark, path)
     if not fs.exists(p):
         return []
     found = [(str(f.getPath().getName()), f.getPath()) for f in fs.listStatus(p)]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from pathlib import Path
 
 import pandas as pd
 import yaml
@@ -14,7 +13,7 @@ from pyspark.sql import types as T
 
 from .. import schema
 from ..operators.catalog import append_merge, split_errors
-from ..operators.state_io import latest
+from ..operators.state_io import drop_epochs, exists, latest, replace, write_text
 from . import tiff
 
 STATS = T.StructType([
@@ -44,7 +43,7 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_splits(splits: dict[str, list[str]], path: str) -> None:
-    Path(path).write_text(yaml.safe_dump(splits, sort_keys=True))
+    write_text(SparkSession.active(), path, yaml.safe_dump(splits, sort_keys=True))
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -65,17 +64,24 @@ def write_stats(stats: DataFrame, path: str) -> None:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(properties map, kind, rings) for each feature; of a multipolygon a row for each part."""
+    """(properties map, kind, rings) for each feature of collections, or of files with a feature in each line; of a multipolygon a row
+    for each part."""
     poly = T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))
     feature = "struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
-    raw = spark.read.schema(f"features array<{feature}>").json(path, multiLine=True).select(F.explode("features").alias("f"))
+    doc = f"struct<type:string,features:array<{feature}>,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+    # a whole collection is one document; features one a line are split among tasks
+    text = spark.read.text(path)
+    if text.filter(F.col("value").rlike(r"\S")).select(F.from_json("value", "type string").alias("j")).filter("j.type is null").limit(1).count():
+        text = spark.read.text(path, wholetext=True)
+    docs = text.select(F.from_json("value", doc).alias("d")).filter("d is not null")
+    raw = docs.select(F.explode(F.when(F.col("d.type") == "FeatureCollection", F.col("d.features")).otherwise(F.array(F.struct("d.type", "d.properties", "d.geometry")))).alias("f"))
     kind, xy = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     parts = F.when(kind == "MultiPolygon", F.from_json(xy, T.ArrayType(poly))).when(kind == "Polygon", F.array(F.from_json(xy, poly))).otherwise(F.array(F.array(F.array(F.from_json(xy, T.ArrayType(T.DoubleType()))))))
     return raw.select(F.col("f.properties").alias("properties"), kind.alias("kind"), F.explode(parts).alias("rings"))
 
 
 def write_geojson(df: DataFrame, path: str) -> None:
-    """A feature for each row, one line each: columns but rings become properties."""
+    """A feature for each row, one line each, which read_geojson() reads back: columns but rings become properties."""
     props = F.struct(*(c for c in df.columns if c != "rings"))
     geometry = F.struct(F.lit("Polygon").alias("type"), F.col("rings").alias("coordinates"))
     df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), geometry.alias("geometry"))).alias("value")).write.mode("overwrite").text(path)
@@ -113,11 +119,11 @@ def listing(spark: SparkSession, path: str, suffix: str = "tif") -> DataFrame:
 
 
 def append_csv(spark: SparkSession, new: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """Old and new rows in one file set under the given columns; what was read is written beside before it replaces the old."""
-    old = Path(path)
-    merged = append_merge(spark.read.csv(path, header=True), new, columns) if old.exists() else new.select(*columns)
+    """Old and new rows in one file set under the given columns; it is written beside the old one and then takes its place."""
+    path = path.rstrip("/")
+    merged = append_merge(spark.read.csv(path, header=True), new, columns) if exists(spark, path) else new.select(*columns)
     merged.write.mode("overwrite").csv(f"{path}.new", header=True)
-    spark.read.csv(f"{path}.new", header=True, schema=merged.schema).write.mode("overwrite").csv(path, header=True)
+    replace(spark, f"{path}.new", path)
 
 
 def drift_report(drift: DataFrame, path: str) -> int:
@@ -131,12 +137,13 @@ def write_by_region(df: DataFrame, path: str, region: str = "region") -> None:
 
 
 def write_metrics(metrics: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(metrics, indent=1, sort_keys=True))
+    write_text(SparkSession.active(), path, json.dumps(metrics, indent=1, sort_keys=True))
 
 
 def save_checkpoint(df: DataFrame, path: str, epoch: int, keep: int = 3) -> list[int]:
-    """Writes an epoch's state under its number by Spark's commit protocol; returns the epochs that are kept, the others can go."""
+    """Writes an epoch's state under its number by Spark's commit protocol, then deletes older ones; returns the epochs that are kept."""
     df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    drop_epochs(df.sparkSession, path, keep)
     return latest(df.sparkSession, path, keep)
 
 
