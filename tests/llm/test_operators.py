@@ -402,47 +402,116 @@ def test_flow_is_cheapest():
         assert sum(f[j] * cost[b][j] for b, f in enumerate(flow) for j in range(3)) == best
 
 
-def test_resharding(spark, odd, stages, tmp_path):
-    texts = [prose(random.Random(i), i % 40) for i in range(333)]
-    df = frame(spark, texts).unionByName(odd.select(*DOC.replace(",", "").split()[::2]))
-    out = sharding.digest(df, stages).collect()
-    n = df.count()
-    assert len(out) == n
+def written(spark, df, path):
+    df.write.mode("overwrite").parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def least_bytes(old: dict, n_new: int = 8) -> int:
+    """The fewest bytes that must move, over all choices of the shards with one row more: each old shard loses its smallest rows.
+    old: sizes by shard."""
+    n = sum(map(len, old.values()))
+    least, more = divmod(n, n_new)
+    sums = {o: list(itertools.accumulate(sorted(x), initial=0)) for o, x in old.items()}
+    cost = lambda o, cap: sums[o][max(0, len(old[o]) - cap)] if o < n_new else sums[o][-1]
+    # more shards get one row more; so many at least can hold it as those that have rows enough
+    return min(sum(cost(o, least + (o in more_)) for o in old) for more_ in itertools.combinations(range(n_new), more))
+
+
+def check_shards(rows, texts_by_row, n_new=8):
     by = defaultdict(list)
-    for r in out:
+    for r in rows:
         by[r.shard].append(r.slot)
-    assert set(by) <= set(range(8)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert set(by) <= set(range(n_new)) and max(map(len, by.values())) - (min(map(len, by.values())) if len(by) == n_new else 0) <= 1
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
-    for r in out:
-        if r.doc_id is not None and r.doc_id >= 10:
-            t = texts[r.doc_id].encode()
-            assert (r["size"], r.text_crc32, r.law) == (len(t) + 1, zlib.crc32(t), "rows")
-    old = Counter(r.old_shard for r in out)
-    assert sum(r.old_shard != r.shard for r in out) == sum(max(0, c - (n // 8 + 1)) for c in old.values()) or sum(r.old_shard != r.shard for r in out) <= n // 4 + 8
-    assigned = sharding.reshard(df.select("doc_id", (sharding.text_bytes(F.col("text")) + 1).alias("size")), sharding.prior_shard(F.col("doc_id")), F.col("size"), 8, stages)
-    change = {r.shard: r for r in sharding.rewrite(assigned, str(tmp_path / "out")).collect()}
-    assert spark.read.parquet(str(tmp_path / "out")).count() == sum(r.n_rows for r in change.values() if r.rewritten)
-    assert sharding.digest(spark.createDataFrame([], EMPTY), stages).count() == 0
-
-
-def test_shards_hold_the_texts(spark, odd, stages):
-    df = frame(spark, [prose(random.Random(i), i % 40) for i in range(333)]).unionByName(odd.select(*DOC.replace(",", "").split()[::2]))
+    got = Counter((r.doc_id, r["size"], r.text_crc32, r.law) for r in rows)
+    assert got == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "rows") for i, t in texts_by_row)
+
+
+@pytest.mark.parametrize("n", [0, 3, 97, 600])
+def test_resharding_moves_the_fewest_bytes(spark, stages, tmp_path, n):
+    rng = random.Random(n)
+    texts = [f"{i} {prose(rng, rng.randrange(0, 60))}" for i in range(n)]
+    df = written(spark, frame(spark, texts), tmp_path / "in")
+    rows = sharding.digest(df, stages).collect()
+    if n:
+        check_shards(rows, list(enumerate(texts)))
+        old = defaultdict(list)
+        for r in rows:
+            old[r.old_shard].append(r["size"])
+        assert sum(r["size"] for r in rows if r.old_shard != r.shard) == least_bytes(old)
+    assert len(rows) == n
+
+
+def test_equal_texts_stay_together(spark, stages, tmp_path, odd):
+    rng = random.Random(31)
+    texts = [prose(rng, 12)[:60] for _ in range(500)]
+    for n in (2, 2, 3, 5, 9, 30, 60):
+        texts += [prose(rng, 12)[:60]] * n
+    extra = odd.select(*DOC.replace(",", "").split()[::2])
+    df = written(spark, frame(spark, texts).unionByName(extra), tmp_path / "in")
+    rows = sharding.digest(df, stages).collect()
+    pairs = [(r.doc_id, r.text) for r in df.collect()]
+    check_shards(rows, pairs)
+    where = defaultdict(set)
+    for r in rows:
+        where[r.text_crc32, r["size"]].add(r.shard)
+    assert all(len(s) == 1 for s in where.values()) and {r.groups_split for r in rows} == {0}
+
+
+def test_a_group_larger_than_a_shard_is_split(spark, stages, tmp_path):
+    rng = random.Random(32)
+    texts = ["hot text"] * 300 + [prose(rng, rng.randrange(1, 9)) for _ in range(500)]
+    df = written(spark, frame(spark, texts), tmp_path / "in")
+    rows = sharding.digest(df, stages).collect()
+    check_shards(rows, list(enumerate(texts)))
+    where = defaultdict(set)
+    for r in rows:
+        where[texts[r.doc_id]].add(r.shard)
+    assert len(where.pop("hot text")) > 1 and all(len(s) == 1 for s in where.values()) and {r.groups_split for r in rows} == {1}
+    old = defaultdict(list)
+    for r in rows:
+        old[r.old_shard].append(r["size"])
+    assert sum(r["size"] for r in rows if r.old_shard != r.shard) == least_bytes(old)
+
+
+def test_cut_passes_over_what_is_too_large(spark, monkeypatch):
+    rng = random.Random(33)
+    monkeypatch.setattr(sharding, "WINDOW", 40)
+    pairs = sorted({(rng.randrange(-(1 << 63), 1 << 63) >> rng.choice([0, 0, 50]), rng.randrange(9)): rng.choice([1, 1, 1, 4]) for _ in range(3000)}.items())
+    pool = spark.createDataFrame([(a, b, n) for (a, b), n in pairs], "u1 long, u2 long, n int")
+    for need in (1, 2, 777, 2500, sum(n for _, n in pairs)):
+        end, passed, left = sharding.cut_at(pool, need)
+        out = {p for p, _ in passed}
+        assert left == 0 and sum(n for p, n in pairs if p <= end and p not in out) == need
+
+
+def test_rewrite_keeps_what_lies_there(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    first = spark.createDataFrame([(i, i % 3) for i in range(12)] + [(50, 9)], "id int, shard int")
+    sharding.rewrite(first, sharding.moved(first.select("shard", F.col("shard").alias("old_shard"), F.lit(1).alias("size"))), path)
+    assert {(r.id, r.shard) for r in spark.read.parquet(path).collect()} == {(r.id, r.shard) for r in first.collect()}
+    lies = lambda j: {(f.name, f.stat().st_mtime_ns) for f in (tmp_path / "shards" / f"shard={j}").iterdir()}
+    before = lies(1)
+    # from the same place: shard 9 vanishes, its row and one of shard 0 go to shard 2; shard 1 isn't touched
+    now = spark.read.schema("id int, shard int").parquet(path).withColumnRenamed("shard", "old_shard")
+    now = now.withColumn("shard", F.when((F.col("id") == 3) | (F.col("old_shard") == 9), 2).otherwise(F.col("old_shard")))
+    change = sharding.moved(now.withColumn("size", F.lit(1)))
+    assert {r.shard: r.rewritten for r in change.collect()} == {0: True, 1: False, 2: True, 9: True}
+    sharding.rewrite(now, change, path)
+    got = {r.id: r.shard for r in spark.read.schema("id int, shard int").parquet(path).collect()}
+    assert got == {i: i % 3 for i in range(12)} | {3: 2, 50: 2} and lies(1) == before
+    assert sorted(p.name for p in (tmp_path / "shards").iterdir() if not p.name.startswith(("_", "."))) == ["shard=0", "shard=1", "shard=2"]
+
+
+def test_shards_hold_the_texts(spark, odd, stages, tmp_path):
+    df = written(spark, frame(spark, [prose(random.Random(i), i % 40) for i in range(333)]).unionByName(odd.select(*DOC.replace(",", "").split()[::2])), tmp_path / "in")
     out = sharding.digest(df, stages).collect()
-    lies = spark.read.parquet(f"{stages.root}/shards").collect()
+    lies = sharding.read_shards(spark, f"{stages.root}/shards", "doc_id long, text string").collect()
     assert Counter((r.doc_id, r.text) for r in lies) == Counter((r.doc_id, r.text) for r in df.collect())
     assert {(r.shard, r.slot): (r.doc_id, zlib.crc32((r.text or "").encode())) for r in lies} == {(r.shard, r.slot): (r.doc_id, r.text_crc32) for r in out}
 
 
-def test_shard_without_change_stays(spark, stages, monkeypatch):
-    monkeypatch.setattr(sharding, "prior_shard", lambda doc_id: F.when(doc_id < 12, 0).otherwise(1))
-    texts = [prose(random.Random(i), 9) for i in range(96)]
-    out = sharding.digest(frame(spark, texts), stages).collect()
-    assert {r.doc_id for r in out if r.shard == 0} == set(range(12))
-    assert sorted((r.doc_id, r.text_crc32) for r in out) == [(i, zlib.crc32(t.encode())) for i, t in enumerate(texts)]
-    lies = {r.doc_id: r.text for r in spark.read.parquet(f"{stages.root}/shards").collect()}
-    assert lies == {i: t for i, t in enumerate(texts) if i >= 12}
-
-
 # --- 9: urls
 
 

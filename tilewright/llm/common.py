@@ -22,17 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The shared folder of the cluster, spark.checkpoint.dir. Where that is unset, a temporary one, as in tests: only with a local
+    master, whose tasks all see it, else RuntimeError."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jsc.get() if jsc.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of a path or URI."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 class Stages:
     """Tables written to the shared folder to cut lineage; drop() removes those that nothing reads any more.
 
@@ -53,10 +62,9 @@ class Stages:
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in dfs:
-            path = jvm.org.apache.hadoop.fs.Path(df._stage_path)
-            path.getFileSystem(conf).delete(path, True)
+            fs, path = file_system(self.spark, df._stage_path)
+            fs.delete(path, True)
 
 
 def words(text: Column) -> Column:
