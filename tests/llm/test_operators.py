@@ -342,6 +342,44 @@ def test_toxicity_held_out():
     assert np.mean((m[:100] >= 0) == np.array(y[400:])) >= 0.95 and np.isfinite(m).all()
 
 
+def test_toxicity_learns_from_whole_texts():
+    rng = random.Random(34)
+    long = lambda n: prose(rng, n).split()
+    texts, y = [], []
+    for i in range(160):  # the one bad word stands anywhere in far more than a block of words
+        w = long(toxicity.BLOCK + 300)
+        y.append(i % 2)
+        if i % 2:
+            w[rng.randrange(len(w))] = "grumlat"
+        texts.append(" ".join(w))
+    model = toxicity.fit(texts[:120], np.array(y[:120], float))
+    m = model.margins(texts[120:], toxicity.Vocabulary())
+    assert np.mean((m >= 0) == np.array(y[120:])) >= 0.9
+
+
+def test_pooling_against_loops():
+    rng = np.random.default_rng(35)
+    parts = [[rng.standard_normal((50, 4)).astype(np.float32) for _ in range(w)] for w in (1, 2, 3)]
+    for n in (1, 2, 7, toxicity.BLOCK - 1, toxicity.BLOCK, toxicity.BLOCK + 2, 2 * toxicity.BLOCK + 1):
+        ids = rng.integers(0, 50, n)
+        want = [[max(0.0, max(sum(float(p[k][ids[i + k], f]) for k in range(len(p)) if i + k < n) for i in range(n))) for f in range(4)] for p in parts]
+        assert np.allclose(toxicity._one(ids, parts), np.concatenate(want), atol=1e-4)
+        zero = [[np.vstack([np.zeros((1, 4), np.float32), t]) for t in p] for p in parts]
+        flat = np.concatenate([ids + 1, [0] * 3, ids[: n // 2] + 1, [0] * 3])
+        values, at = toxicity._pool(flat, np.array([0, n + 3]), zero)
+        assert np.allclose(np.maximum(values[0], 0), np.concatenate(want), atol=1e-4) and (at[0] < n + 3).all() and (at[1] >= n + 3).all()
+
+
+def test_toxicity_bounds_choose_rows(spark):
+    df = frame(spark, [prose(random.Random(i), 10 if i % 2 else 400) for i in range(200)])
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(200)], "doc_id long, toxic int")
+    whole = {r.doc_id: r.text for r in df.collect()}
+    rows = toxicity.training_rows(df, labels, 1000, 60_000).collect()
+    assert all(r.text == whole[r.doc_id] for r in rows) and 20 < len(rows) < 140
+    for y in (0, 1):
+        assert 20_000 < sum(len(r.text) for r in rows if r.y == y) <= 30_000
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(5, 1), (6, 0), (7, None), (None, 1), (8, 1)], "doc_id long, toxic int")
     rows = toxicity.score(odd, toxicity.train(odd, labels)).collect()
@@ -528,8 +566,31 @@ def test_url_filter(spark):
     con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR)")
     con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
     assert {r[0]: tuple(r[1:5]) for r in con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({url_filter.SQL['op9_url_filter']})").fetchall()} == got
-    with pytest.raises(ValueError):
-        url_filter.rule_of(F.lit(""), F.lit(""), [("block", f"{i}/") for i in range(1001)])
+
+
+def test_url_rules_and_vocabulary_from_tables(spark, monkeypatch):
+    rng = random.Random(41)
+    names = ["a", "b", "ads", "x"]
+    urls = ["http://" + ".".join(rng.choices(names, k=rng.randrange(1, 4))) + "".join("/" + rng.choice(names) for _ in range(rng.randrange(0, 3))) for _ in range(300)] + [None, "", "http://", "a/b"]
+    rules = sorted({(rng.choice(["allow", "block"]), ".".join(rng.choices(names, k=rng.randrange(1, 4))) + "/" + "/".join(rng.choices(names, k=rng.randrange(0, 3)))) for _ in range(150)})
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("_hits", F.lit(1)).withColumn("_rule", F.lit(2)).withColumn("row", F.lit(3)).withColumn("fit", F.lit(4))
+    table = spark.createDataFrame([*rules, (None, "a/"), ("block", None)], "verdict string, rule string")
+    got = url_filter.judge(df, rules=table)
+    assert got.columns == ["page_id", "url", "_hits", "_rule", "row", "fit", *url_filter.OUTPUTS]
+    got = {r.page_id: tuple(r)[2:] for r in got.collect()}
+    assert len(got) == len(urls) and {v[:4] for v in got.values()} == {(1, 2, 3, 4)}
+    for i, u in enumerate(urls):
+        host, path = re.match(r"([^/?#]*)([^?#]*)", u.partition("://")[2].lower()).groups() if u and "://" in u else ("", "")
+        fit = [(len(r), r, v) for v, r in rules if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        assert got[i][4:7] == (host, path, max(fit)[1] if fit else None) and (not fit or got[i][9] == max(fit)[2])
+    assert {r.page_id: tuple(r)[2:] for r in url_filter.judge(df, rules=rules).collect()} == got
+    monkeypatch.setattr(url_filter, "MAX_RULES", 10)
+    assert {r.page_id: tuple(r)[2:] for r in url_filter.judge(df, rules=rules).collect()} == got
+    terms = spark.createDataFrame([("Böse", "strict"), ("x", "soft"), ("ads", "soft"), (None, "soft"), ("", "strict")], "term string, kind string")
+    assert url_filter.vocabulary(terms) == (("böse",), ("ads", "x"))
+    strict, soft = url_filter.vocabulary(terms)
+    one = spark.createDataFrame([(1, "http://q/böse"), (2, "http://q/ads/x"), (3, "http://q/x/x")], "page_id int, url string")
+    assert [r.verdict for r in url_filter.judge(one, rules=(), strict=strict, soft=soft).orderBy("page_id").collect()] == ["block", "block", "allow"]
 
 
 # --- 10: leaks
