@@ -106,6 +106,15 @@ def test_mixing(spark, stages):
         assert not slopes or max(slopes) - min(slopes) < 1e-4
 
 
+def test_mixing_carries_any_column(spark, stages):
+    df = frame(spark, [prose(random.Random(i), i % 9) for i in range(60)], ["ab"[i % 2] for i in range(60)])
+    names = ["lam", "_mean", "_edge", "_steps", "_at", "_s", "row", "_state", "n"]
+    for n in names:
+        df = df.withColumn(n, F.lit(n))
+    rows = mixing.mix(df, stages).collect()
+    assert len(rows) == 60 and {tuple(r[n] for n in names) for r in rows} == {tuple(names)}
+
+
 def test_mixing_odd(spark, odd, stages):
     rows = mixing.mix(odd, stages).collect()
     assert len(rows) == odd.count() and {r.doc_id: r["size"] for r in rows}[0] == 0

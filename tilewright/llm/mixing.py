@@ -13,7 +13,8 @@ times what it has, and what is above that is shared by weight among the others u
 
 Defined results: a null text has 0 words and rate 1 before the shift; a source without words has target 0; a null source is
 a source of its own; repeated rows of an id take the same copies; an empty table gives an empty result. Only id, text and source
-are read; other columns are carried along, but for those with the name of an output.
+are read; other columns, whatever their names, are carried along, but for those with the name of an output. Multipliers that
+don't converge raise RuntimeError.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from . import common
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2
-STEPS, STEPS_EACH = 40, 4
+STEPS = 80  # the bracket alone would do in fewer
 NEAR = 1e-7  # of a source's tokens
 BUCKETS, PASSES = 4096, 3
 ROUNDS, CLOSE = 5, 1e-3
@@ -45,7 +46,7 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     """sources: a row (source, size) for each. Adds weight and target.
 
     Filled like vessels: with the sources by size over weight, the level at which the next isn't full gives all targets.
-    The windows hold one row for each source, not its documents.
+    The windows hold one row for each source, not its documents, so their number has to fit a task (millions do).
     """
     every = W.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod(F.row_number().over(every) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -80,27 +81,25 @@ def multipliers(sizes: DataFrame, goals: DataFrame, stages: common.Stages) -> Da
     inner = F.greatest(F.least(share, F.lit(1 - 1e-12)), F.lit(1e-12))
     state = state.withColumn("lam", F.when(F.col("_edge") == 0, F.ln(inner / (1 - inner))).otherwise(0.0))
     state = state.withColumn("_lo", F.lit(-1e12)).withColumn("_hi", F.lit(1e12)).withColumn("_off", F.lit(1.0))
-    names = state.columns
     state = stages.put(state)
-    for _ in range(0, STEPS, STEPS_EACH):
-        before, new = state, state
-        for _ in range(STEPS_EACH):
-            new = _newton(sizes, new, names)
-        state = stages.put(new)
+    for _ in range(STEPS):
+        before, state = state, stages.put(_newton(sizes, state))
         stages.drop(before)
         if not state.filter(F.col("_off") > NEAR).limit(1).count():
-            break
-    return state
+            return state
+    raise RuntimeError("the multipliers didn't converge")
 
 
-def _newton(sizes: DataFrame, state: DataFrame, names: list[str]) -> DataFrame:
-    m = state.select(F.col("source").alias("_s"), "lam", F.col("_mean").alias("_m"))
-    at = sizes.join(m, F.col("source").eqNullSafe(F.col("_s")))
-    r = rate(F.col("lam"), F.col("size"), F.col("_m"))
-    x = F.col("size").cast("double")
-    sums = at.groupBy("source").agg(F.sum(F.col("n") * x * r).alias("_f"), F.sum(F.col("n") * x * x / F.col("_m") * r * (1 - r / MOST)).alias("_g"))
-    sums = sums.select(F.col("source").alias("_s"), "_f", "_g")
-    both = state.join(sums, F.col("source").eqNullSafe(F.col("_s")), "left")
+def _newton(sizes: DataFrame, state: DataFrame) -> DataFrame:
+    """A step for each source: one join, whose rows are summed by source at once."""
+    names = state.columns
+    mine = state.select(F.struct(*names).alias("_state"))
+    # few rows a source, and none without; the state's size is known, as it is written
+    at = sizes.select(F.col("source").alias("_s"), F.col("size").alias("_x"), "n").join(mine, F.col("_s").eqNullSafe(F.col("_state.source")))
+    x = F.col("_x").cast("double")
+    r = rate(F.col("_state.lam"), x, F.col("_state._mean"))
+    sums = at.groupBy("_state").agg(F.sum(F.col("n") * x * r).alias("_f"), F.sum(F.col("n") * x * x / F.col("_state._mean") * r * (1 - r / MOST)).alias("_g"))
+    both = sums.select("_state.*", "_f", "_g")
     gap = F.col("_f") - F.col("target")
     both = both.withColumn("_lo", F.when(gap < 0, F.col("lam")).otherwise(F.col("_lo"))).withColumn("_hi", F.when(gap > 0, F.col("lam")).otherwise(F.col("_hi")))
     step = F.col("lam") - F.when(F.col("_g") > 0, gap / F.col("_g"))
@@ -134,13 +133,18 @@ def placed(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return rows.withColumn("rate", r).withColumn("_at", F.col("rate") + unit)
 
 
+OUTPUTS = ("size", "source_size", "target", "rate", "copies", "taken")
+
+
 def mix(df: DataFrame, stages: common.Stages, weights: Sequence[float] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """df (doc_id, text, source, ...) with size, source_size, target, rate, copies and taken; the texts aren't dealt out, only
-    the table of sources is joined to them. Columns of df with these names are replaced."""
-    df = df.drop("size", "source_size", "target", "rate", "copies", "taken")
-    rows = placed(df.withColumn("size", n_words(F.col("text"))), solve(df, stages, weights, share))
+    the table of sources is joined to them. Columns of df with these names are replaced; others may have any name."""
+    keep = [c for c in df.columns if c not in OUTPUTS]
+    work = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), "doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    rows = placed(work, solve(df, stages, weights, share))
     flips = sum((F.when(_taken(_breaks(k)), 1).otherwise(0) for k in range(1, MOST + 1)), F.lit(0))
-    return rows.withColumn("copies", flips.cast("int")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("lam", "_mean", "_edge", "_at", "_steps")
+    rows = rows.withColumn("copies", flips.cast("int")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+    return rows.select("row.*", *OUTPUTS)
 
 
 def _breaks(k: int) -> Column:
