@@ -356,10 +356,11 @@ def rewrite(assigned: DataFrame, change: DataFrame, path: str) -> None:
     fs.delete(common.file_system(spark, beside)[1], True)
 
 
-def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows of the shards below path, with shard and slot: a row's place in its shard, through the files by name."""
+def read_shards(spark: SparkSession, path: str, schema: str, *columns: str | Column) -> DataFrame:
+    """columns (default: all) of the rows of the shards below path, with shard and slot: a row's place in its shard, through the files by
+    name. The columns are dealt out to find the slot, so texts are better left out of them."""
     rows = spark.read.schema(f"{schema}, shard int").parquet(path)
-    rows = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    rows = rows.select(*(columns or rows.columns[:-1]), "shard", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
     files = rows.groupBy("shard", "_file").agg(F.count("*").alias("n"))  # a row for each file
     before = F.sum("n").over(W.partitionBy("shard").orderBy("_file").rowsBetween(W.unboundedPreceding, -1))
     files = files.select(F.col("shard").alias("_s"), F.col("_file").alias("_f"), F.coalesce(before, F.lit(0)).alias("_first"))
@@ -380,9 +381,10 @@ def digest(docs: DataFrame, stages: common.Stages) -> DataFrame:
     assigned, short, placement = reshard(rows, prior_shard(F.col("text")), text_bytes(F.col("text")) + 1, F.col("text"), N_NEW, stages)
     path = f"{stages.root}/shards"
     rewrite(assigned.select("doc_id", "text", "old_shard", "shard"), moved(short), path)
-    out = read_shards(docs.sparkSession, path, "doc_id long, text string, old_shard int")
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32")
-    return out.select("doc_id", (text_bytes(F.col("text")) + 1).alias("size"), crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", F.lit(placement.split).alias("groups_split"))
+    size = (text_bytes(F.col("text")) + 1).alias("size")
+    out = read_shards(docs.sparkSession, path, "doc_id long, text string, old_shard int", "doc_id", size, crc, "old_shard")
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", F.lit(placement.split).alias("groups_split"))
 
 
 def op7_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
