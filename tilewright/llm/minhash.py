@@ -10,12 +10,15 @@ than an equal set aren't indexed, as they need no search.
 What meets is linked only after a check of the full sets. Each class is checked against one hub; in buckets whose members
 are then still in different components each is checked against its nearest member of another component, and at last against
 all that their signatures and the least hashes of the sets allow. No group emits all of its pairs, and none that the index
-finds and that would connect two components is left out.
+finds and that would connect two components is left out but by two tests that are right with a stated probability: a pair whose
+signatures differ in over FARTHEST symbols (1e-8 at similarity 0.8) and one of long sets whose least hashes lie 4.9 deviations
+under the similarity (5e-7). exact=True does without both: then every pair that the index finds is checked in full.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and is its own component;
 fewer words than a shingle count as one shingle; equal sets are linked whatever the order of texts. Rows that repeat an
-id share its component. A row with a null id takes part in its class but is never kept, and its component is null if no
-other row has one. Empty tables give empty results. Only id and text are read, so other columns can't clash.
+id share one component, which all their texts' classes belong to. A row with a null id takes part like any other but is never
+kept, and its component is null if no row of it has an id. Empty tables give empty results. Only id and text are read, so other
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -83,7 +86,7 @@ def least_indexed(similar: int = SIMILAR) -> int:
     return next(n for n in range(1, 1000) if 100 * n >= similar * (n + 1))
 
 
-FEATURES = "doc_id long, n long, h1 long, h2 long, sig binary"
+FEATURES = "doc_id long, row long, n long, h1 long, h2 long, sig binary"
 
 
 def set_features(docs: DataFrame, k: int, similar: int = SIMILAR) -> DataFrame:
@@ -95,14 +98,14 @@ def set_features(docs: DataFrame, k: int, similar: int = SIMILAR) -> DataFrame:
             if len(words) > MAX_CACHE:
                 words.clear()
             n, h, sig = [], [], []
-            for t in common.as_bytes(b.column(1)):
+            for t in common.as_bytes(b.column(2)):
                 s = shingles(t or b"", k, words)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s)), h.append(d), sig.append(signature(s) if len(s) >= least else None)
             h = np.frombuffer(b"".join(h), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(sig, pa.binary())], names=["doc_id", "n", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(sig, pa.binary())], names=[c.split()[0] for c in FEATURES.split(", ")])
 
-    return docs.mapInArrow(run, FEATURES)
+    return docs.select("doc_id", "row", "text").mapInArrow(run, FEATURES)
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
@@ -153,8 +156,8 @@ def may_be_similar(n1: int, low1: np.ndarray, n2: int, low2: np.ndarray, similar
     return (twice <= union[-1]).sum() >= need - 4.9 * np.sqrt(need * (1 - similar / 100)) - 1
 
 
-def near_signatures(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) whose set sizes and signatures (up to FARTHEST) allow the similarity."""
+def near_signatures(pairs: DataFrame, classes: DataFrame, similar: int, farthest: int = FARTHEST) -> DataFrame:
+    """The pairs (a, b) whose set sizes and signatures (up to farthest) allow the similarity."""
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= similar * F.greatest("na", "nb"))
 
@@ -162,7 +165,7 @@ def near_signatures(pairs: DataFrame, classes: DataFrame, similar: int) -> DataF
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SYMBOLS) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((x != y).sum(1) <= FARTHEST))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((x != y).sum(1) <= farthest))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -195,8 +198,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFr
     return both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
-def link(docs: DataFrame, classes: DataFrame, k: int, similar: int, stages: common.Stages) -> DataFrame:
-    """(a, b): confirmed links that connect all classes that any confirmed link of the index connects. classes: (id, n, sig), written.
+def link(docs: DataFrame, classes: DataFrame, k: int, similar: int, stages: common.Stages, exact: bool = False) -> DataFrame:
+    """(a, b): confirmed links that connect all classes that any confirmed link of the index connects. classes: (id, n, sig), written;
+    docs: doc_id and text, among them a row for the id of each class.
 
     First each class is checked against the least class that it meets. Then the members of buckets that still hold several
     components are compared by signature; each is checked against the nearest member of another component, and at last
@@ -216,17 +220,17 @@ def link(docs: DataFrame, classes: DataFrame, k: int, similar: int, stages: comm
         tested.append(stages.put(pairs))
         return stages.put(confirmed(tested[-1], texts, k, similar))
 
-    links = check(near_signatures(members.filter("id != hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), classes, similar))
+    links = check(near_signatures(members.filter("id != hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), classes, similar, SYMBOLS if exact else FARTHEST))
     for nearest in (True, False):
         comps = components(links, stages)
         named = stages.put(members.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
         counts = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
         split = counts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("c")).filter("comps > 1")
-        open_ = stages.put(named.join(stages.put(split.select("key", F.col("most.comp").alias("most"), "c")), "key"))
+        open_ = stages.put(named.join(stages.put(split.select("key", F.col("most.comp").alias("most"), "c", (F.col("c") - F.col("most.c")).alias("others"))), "key"))
         stages.drop(named)
         if open_.isEmpty():
             break
-        links = stages.put(links.union(check(across(open_, classes, sketches, similar, nearest))))
+        links = stages.put(links.union(check(across(open_, classes, sketches, similar, nearest, exact))))
         stages.drop(open_)
     return links
 
@@ -240,22 +244,28 @@ def first_meeting(equal: np.ndarray) -> np.ndarray:
     return np.where(errors[at, chunk] <= ERRORS, chunk * WIDTH + np.where(errors[at, chunk] == 0, 0, wrong[at, chunk].argmax(1)), SYMBOLS)
 
 
-def across(open_: DataFrame, classes: DataFrame, sketches: DataFrame, similar: int, nearest: bool) -> DataFrame:
+def across(open_: DataFrame, classes: DataFrame, sketches: DataFrame, similar: int, nearest: bool, exact: bool = False) -> DataFrame:
     """Pairs (a, b) of members of different components of a bucket that may be similar. nearest: of each member only the nearest.
 
-    A bucket is compared in blocks of about BLOCK members of its most common component, to each of which its other members are
-    sent; so its rows grow with its size and not with its square, unless it has no common component.
+    A bucket is compared block by chunk: its c members lie in blocks of about BLOCK, its m members outside the most common component
+    (the others) in chunks of about BLOCK as well; a member's block meets every chunk. So no task holds more than two of these at
+    once, and the rows sent are c * (m / BLOCK + 1) + m * (c / BLOCK + 1): they grow with the bucket's size while few components are open.
     """
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = open_.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("minor", F.col("comp") != F.col("most"))
-    where = F.when(F.col("minor"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))
-    rows = rows.withColumn("block", F.explode(where)).join(classes.select("id", F.col("n").alias("size"), "sig"), "id")
-    rows = rows.withColumn("low", F.lit(None).cast("binary")) if nearest else rows.join(sketches, "id")
-    rows = rows.select("key", "block", "own", "minor", "id", "comp", "size", "sig", "low").repartition("key", "block").sortWithinPartitions("key", "block")
+    spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
+    blocks, chunks = F.ceil(F.col("c") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int")
+    rows = open_.withColumn("minor", F.col("comp") != F.col("most"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    lies = F.transform(upto(chunks), lambda m: F.struct(spread(blocks, 1).alias("b"), m.alias("m"), F.lit(False).alias("guest")))
+    goes = F.transform(upto(blocks), lambda b: F.struct(b.alias("b"), spread(chunks, 2).alias("m"), F.lit(True).alias("guest")))
+    rows = rows.withColumn("x", F.explode(F.when(F.col("minor"), F.concat(lies, goes)).otherwise(lies)))
+    rows = rows.withColumn("block", F.col("x.b").cast("long") * 1_000_000_007 + F.col("x.m")).join(classes.select("id", F.col("n").alias("size"), "sig"), "id")
+    rows = rows.withColumn("low", F.lit(None).cast("binary")) if nearest or exact else rows.join(sketches, "id")
+    rows = rows.select("key", "block", F.col("x.guest").alias("guest"), "minor", "id", "comp", "size", "sig", "low").repartition("key", "block").sortWithinPartitions("key", "block")
+    farthest = SYMBOLS if exact else FARTHEST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
-            key, block, own, minor, ids, comp, size = (t.column(i).to_numpy() for i in range(7))
+            key, block, guest, minor, ids, comp, size = (t.column(i).to_numpy() for i in range(7))
             sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, SYMBOLS)
             low, out = t.column(8), [np.zeros((0, 3), np.int64)]
             for d in range(1, len(ids)):  # rows and those d further in their group
@@ -263,16 +273,17 @@ def across(open_: DataFrame, classes: DataFrame, sketches: DataFrame, similar: i
                 if not len(x):
                     break
                 y = x + d
-                mine = np.where(minor[x] & minor[y], np.where(ids[x] < ids[y], own[x], own[y]) == block[x], True)
-                ok = mine & (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= similar * np.maximum(size[x], size[y]))
+                # a guest meets those that lie there; of two others the one of lesser id is the guest
+                mine = np.where(minor[x] & minor[y], (ids[x] < ids[y]) == guest[x], True)
+                ok = (guest[x] != guest[y]) & mine & (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= similar * np.maximum(size[x], size[y]))
                 x, y = x[ok], y[ok]
                 equal = sig[x] == sig[y]
                 far = SYMBOLS - equal.sum(1)
-                ok = far <= FARTHEST
+                ok = far <= farthest
                 if not nearest:
                     ok &= first_meeting(equal) == key[x] >> 8 * (WIDTH - 1)
                 x, y, far = x[ok], y[ok], far[ok]
-                ok = np.array([may_be_similar(size[i], np.frombuffer(low[int(i)].as_py(), np.uint32), size[j], np.frombuffer(low[int(j)].as_py(), np.uint32), similar) for i, j in zip(x, y, strict=True)], bool) if not nearest else np.ones(len(x), bool)
+                ok = np.array([may_be_similar(size[i], np.frombuffer(low[int(i)].as_py(), np.uint32), size[j], np.frombuffer(low[int(j)].as_py(), np.uint32), similar) for i, j in zip(x, y, strict=True)], bool) if not (nearest or exact) else np.ones(len(x), bool)
                 out.append(np.stack([far, ids[x], ids[y]], 1)[ok])
             found = np.concatenate(out)
             if nearest:  # both ways, the nearest of each
@@ -311,21 +322,28 @@ def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterato
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def near_duplicates(docs: DataFrame, stages: common.Stages, k: int = 2, similar: int = SIMILAR) -> DataFrame:
-    """docs: doc_id and text. Per row: doc_id, n_shingles, component_id and kept."""
+def near_duplicates(docs: DataFrame, stages: common.Stages, k: int = 2, similar: int = SIMILAR, exact: bool = False) -> DataFrame:
+    """docs: doc_id and text. Per row: doc_id, n_shingles, component_id and kept. exact: check all pairs of the index in full."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), "text"))  # rows with the same id and text are one
     rows = stages.put(set_features(docs, k, similar))
-    classes = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.count("*").alias("c"), F.max("doc_id").alias("last"))
+    # a class has an id of its own, that of one of its rows, as a document's id may stand in several classes
+    classes = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.min("doc_id").alias("least"))
     classes = stages.put(classes)
-    links = link(docs, stages.put(classes.filter("sig is not null and id is not null").groupBy("id").agg(F.max(F.struct("n", "sig")).alias("x")).select("id", "x.n", "x.sig")), k, similar, stages)
-    # an id with several texts connects their classes
-    members = rows.filter("n > 0").join(classes.filter("c > 1 and last != id").select("h1", "h2", "id"), ["h1", "h2"]).filter("doc_id != id")
-    comps = components(links.union(members.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))), stages)
-    least = classes.select("h1", "h2", F.col("id").alias("_own"))
-    out = rows.join(comps.select(F.col("id").alias("doc_id"), "comp"), "doc_id", "left")
-    lost = out.filter("doc_id is null").join(least, ["h1", "h2"], "left").join(comps.select(F.col("id").alias("_own"), F.col("comp").alias("_comp")), "_own", "left")
-    lost = lost.select("doc_id", "n", F.coalesce("_comp", "_own").alias("component_id"))
-    whole = out.filter("doc_id is not null").select("doc_id", "n", F.coalesce("comp", "doc_id").alias("component_id")).union(lost)
+    indexed = stages.put(classes.filter("sig is not null").select("id", "n", "sig"))
+    links = link(docs.select(F.col("row").alias("doc_id"), "text"), indexed, k, similar, stages, exact)
+    several = rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x != y").select("doc_id")
+    of = rows.filter("n > 0").join(stages.put(several), "doc_id").select("doc_id", "h1", "h2").distinct().join(classes, ["h1", "h2"]).select("doc_id", "id")
+    joins = stages.put(of)
+    hubs = joins.groupBy("doc_id").agg(F.min("id").alias("hub"))
+    comps = components(links.union(joins.join(hubs, "doc_id").select(F.col("id").alias("a"), F.col("hub").alias("b"))), stages)
+    named = classes.join(comps, "id", "left").select("h1", "h2", "least", F.coalesce("comp", "id").alias("comp"))
+    named = stages.put(named)
+    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
+    # written, so that the join with a class of very many rows can be split
+    component = stages.put(named.join(least, "comp").select("h1", "h2", "component_id"))
+    found = rows.filter("n > 0").join(component, ["h1", "h2"]).select("doc_id", "n", "component_id")
+    whole = found.union(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
