@@ -170,6 +170,55 @@ def test_near_duplicates_odd(spark, odd, stages):
     assert minhash.near_duplicates(spark.createDataFrame([], EMPTY), stages).count() == 0
 
 
+def test_near_duplicates_of_long_texts(spark):
+    """Recall over pairs at and above the threshold whose sets are longer than the hashes that are kept of each."""
+    rng = random.Random(36)
+    texts = []
+    for _ in range(60):
+        w = prose(rng, rng.randrange(300, 1500)).split()
+        texts.append(" ".join(w))
+        for share in (0.05, 0.053, 0.055, 0.057, 0.06):  # of words changed: similarities about the threshold
+            x = list(w)
+            for i in rng.sample(range(len(x)), int(len(x) * share)):
+                x[i] = prose(rng, 1)
+            texts.append(" ".join(x))
+    sets = {i: word_set(t, 2) for i, t in enumerate(texts)}
+    want = groups(sets)
+    for exact in (False, True):
+        rows = minhash.near_duplicates(frame(spark, texts), common.Stages(spark, "long"), exact=exact).collect()
+        got = {r.doc_id: r.component_id for r in rows}
+        linked = [(a, b) for a in want for b in want if a < b and want[a] == want[b]]
+        found = sum(got[a] == got[b] for a, b in linked) / len(linked)
+        assert len(linked) > 200 and found == 1.0 and all(want[a] == want[c] for a, c in got.items())
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_buckets_without_a_common_component(spark, stages, monkeypatch, exact):
+    """Members of one bucket that are alike but mostly not similar, in blocks and chunks of a few rows."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rng = random.Random(37)
+    base = prose(rng, 60).split()
+    texts = []
+    for _ in range(70):
+        x = list(base)
+        for i in rng.sample(range(60), rng.choice([1, 3, 4, 5, 6])):
+            x[i] = prose(rng, 1)
+        texts.append(" ".join(x))
+    want = groups({i: word_set(t, 2) for i, t in enumerate(texts)})
+    assert 5 < len(set(want.values())) < 65
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, texts), stages, exact=exact).collect()} == want
+
+
+def test_an_id_with_several_texts(spark, stages):
+    rng = random.Random(38)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    near = lambda t: " ".join([*t.split()[:-1], "end"])
+    df = frame(spark, [a, b, near(a), near(b), c, near(c), near(c) + " more"], ids=[0, 0, 5, 6, None, 8, 9])
+    rows = minhash.near_duplicates(df, stages).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(0, 0), (5, 0), (6, 0), (None, 8), (8, 8), (9, 8)}
+    assert sum(r.kept for r in rows) == 3
+
+
 def test_index_guarantee():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 256, (400, minhash.SYMBOLS), dtype=np.uint8)
@@ -241,6 +290,13 @@ def test_media_columns(spark, odd):
     assert media.features(media.encode(spark.createDataFrame([], EMPTY))).count() == 0
 
 
+def test_media_of_a_text_longer_than_a_chunk(spark):
+    text = prose(random.Random(40), 400_000)
+    row = media.features(media.encode(frame(spark, [text]))).collect()[0]
+    p = media.payload_of(text.encode())
+    assert len(p) > media.IDAT_BYTES and (row.payload_bytes, row.payload_sha256, row.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+
+
 # --- 4: repeated strings
 
 
@@ -278,6 +334,29 @@ def test_repeated_strings(spark, stages):
         n_spans = sum(1 for k in range(len(c)) if c[k] and (k == 0 or not c[k - 1]))
         r = rows[i]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), sum(c), n_spans, hashlib.sha256(kept).hexdigest()), i
+        assert r.shortened == any(c)
+
+
+def test_repeated_strings_of_all_small_documents(spark, stages):
+    """Every document of the smallest tables, by positions of all strings of 400 bytes."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, stages).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for (i, t), c in zip(texts.items(), covered(list(texts.values())), strict=True):
+        kept = bytes(b for b, x in zip(t, c, strict=True) if not x)
+        n_spans = sum(1 for k in range(len(c)) if c[k] and (k == 0 or not c[k - 1]))
+        assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) == (len(t), sum(c), n_spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_repeats_across_pieces_of_a_long_text(spark, stages):
+    rng = random.Random(39)
+    a, b = prose(rng, 100)[:900], prose(rng, 100)[:700]
+    long = prose(rng, 110_000)[: suffix_dedup.PIECE + 3000]
+    at = suffix_dedup.PIECE - 450
+    text = long[:at] + a + long[at : at + 1200] + b + long[at + 1200 :]
+    rows = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame(spark, [text, "x " + a, b + " y"]), stages, with_bytes=True).collect()}
+    assert [(s.start, s.end) for s in rows[0].spans] == [(at, at + 900), (at + 2100, at + 2800)]
+    assert rows[0].kept.decode() == long and rows[1].kept == b"x " and rows[2].kept == b" y"
 
 
 def test_repeated_strings_odd(spark, odd, stages):

@@ -229,7 +229,10 @@ def step(pieces: DataFrame, stages: common.Stages) -> tuple[DataFrame, DataFrame
 
 
 def remove_repeats(docs: DataFrame, stages: common.Stages, with_bytes: bool = False) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans and kept_sha256; with_bytes: also kept and spans."""
+    """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and shortened; with_bytes: also kept and spans.
+
+    shortened: whether any byte is removed, which n_bytes, the length before, doesn't show.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     docs = docs.select("doc_id", "text", *content_key(F.col("text")), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rep"))
@@ -252,7 +255,7 @@ def remove_repeats(docs: DataFrame, stages: common.Stages, with_bytes: bool = Fa
     out = rows.join(done, own, "left").join(classes.filter("c > 1").select(*own, F.lit(True).alias("gone")), own, "left")
     none = hashlib.sha256(b"").hexdigest()
     result = ["doc_id", "n_bytes", F.when(F.col("gone"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"), F.when(F.col("gone"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(F.col("gone"), none).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256")]
-    return out.select(*result, *(["kept", "spans"] if with_bytes else []))
+    return out.select(*result, *(["kept", "spans"] if with_bytes else [])).withColumn("shortened", F.col("n_removed") > 0)
 
 
 def content_key(text) -> tuple:
