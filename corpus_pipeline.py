@@ -3,8 +3,18 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last return the columns of
 documents. run() writes each stage's rows to the shared folder and reads them again for the next one.
 
-Rows without an id go through all stages as documents of their own that are no near-duplicate of another. Empty tables give
-empty results.
+Defined results, stage by stage:
+
+* quality: null texts count as empty; ties of the score are judged alike; repeated rows are judged alike.
+* near_duplicates: null texts and texts without words have no near-duplicate and stay. Of a group the least id stays. Rows that
+  repeat an id are one document: all stay or all go. Rows without an id always stay, as no id tells which of them would go.
+* decontamination: null texts and texts without words stay.
+* mixture: null texts have no words and are taken by the same rates; rows that repeat an id are taken equally often; a null source is
+  a source of its own.
+* shards: null texts are empty; repeated rows and rows without an id are rows like any other; equal texts lie together.
+
+Columns of documents, whatever their names, go through all stages but the last. Empty tables give empty results. The last stage
+writes the texts by shard below the shared folder and returns a digest that is read back from there.
 """
 
 from __future__ import annotations
@@ -48,7 +58,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deals the mix out to shards of equal row counts, moving the fewest bytes."""
+    """Deals the mix out to shards of equal row counts, moving the fewest bytes, and writes it."""
     return sharding.digest(docs, common.Stages(spark, "shards"))
 
 
