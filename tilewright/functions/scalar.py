@@ -262,6 +262,7 @@ SQL = {
     "f09_normalised_difference": f"SELECT {ID3}, CASE WHEN l_discount + l_tax <> 0 THEN round((l_discount - l_tax) / (l_discount + l_tax), 6) END AS nd FROM lineitem",
     "f10_tasselled_cap": f"SELECT {ID3}, round(l_quantity * {CAP[0]} + l_tax * {CAP[1]} + l_discount * {CAP[2]} + l_quantity * {CAP[3]} + 1e-7, 4) AS tc FROM lineitem",
     "f11_radar_indices": f"SELECT {ID3}, round(4 * l_tax / (l_quantity + l_tax), 6) AS rvi FROM lineitem",
+    "f21_uuid5": "WITH h AS (SELECT n_name, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || n_name::BLOB) AS h FROM nation) SELECT n_name, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) AS uid FROM h",
     "f22_next_version": "SELECT n_name, 'v.' || (n_nationkey + 1) || '.0.0' AS version FROM nation",
     "f23_list_items": "SELECT p_partkey, replace(p_name, ' ', '|') AS items FROM part",
     "f24_blob_path": "SELECT p_partkey, p_brand || '/' || p_type || '/' || p_size || '.tif' AS path FROM part",

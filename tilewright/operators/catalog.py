@@ -200,7 +200,7 @@ QUERIES = {
     "j01_class_lookup": lambda spark, d: lookup_class(schema.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("tile_id")).distinct(), schema.catalog(spark, d)),
     "j02_region_split": _cat(lambda c, s: with_split(c, s).groupBy("region", "split").agg(F.count("*").alias("n"))),
     "j03_ecoregion_default": lambda spark, d: with_ecoregion(schema.table(spark, d, "nation").select(F.col("n_name").alias("region")), schema.table(spark, d, "nation").filter("n_nationkey % 2 = 0").join(schema.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("region"), F.col("r_name").alias("ecoregion"))),
-    "j04_modality_stack": lambda spark, d: _stack(spark, d, "l_linenumber <= 4"),  # the rows of its SQL
+    "j04_modality_stack": lambda spark, d: _stack(spark, d),
     "j04_modality_stack_all_rows": lambda spark, d: _stack(spark, d),
     "a01_region_stats": _cat(lambda c, s: region_stats(c)),
     "a02_split_summary": _cat(split_summary),
@@ -226,8 +226,8 @@ QUERIES = {
 }
 
 
-def _stack(spark: SparkSession, d: str, rows: str = "true") -> DataFrame:
-    li = schema.table(spark, d, "lineitem").filter(rows)
+def _stack(spark: SparkSession, d: str) -> DataFrame:
+    li = schema.table(spark, d, "lineitem")
     per = lambda f, n: li.filter(f).groupBy(F.col("l_orderkey").alias("tile_id"), F.col("l_linenumber").alias("row")).agg(F.count("*").alias(n))
     return stack_modalities(per("l_tax <= 0.05", "r"), per("l_discount >= 0.03", "band"), per("l_returnflag = 'R'", "label"), ["tile_id", "row"])
 
@@ -252,7 +252,7 @@ SQL = {
     "j01_class_lookup": f"{WITH} SELECT tile_id, train_class FROM (SELECT DISTINCT l_orderkey AS tile_id FROM lineitem) JOIN cat USING (tile_id)",
     "j02_region_split": f"{WITH} SELECT region, split, count(*) AS n FROM cat LEFT JOIN splits USING (region) GROUP BY 1, 2",
     "j03_ecoregion_default": "SELECT n_name AS region, CASE WHEN n_nationkey % 2 = 0 THEN r_name ELSE n_name END AS ecoregion FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "j04_modality_stack": """WITH li AS (SELECT l_orderkey AS tile_id, l_linenumber AS row, * FROM lineitem WHERE l_linenumber <= 4), a AS (SELECT tile_id, row, count(*) AS r FROM li WHERE l_tax <= 0.05 GROUP BY 1, 2),
+    "j04_modality_stack": """WITH li AS (SELECT l_orderkey AS tile_id, l_linenumber AS row, * FROM lineitem), a AS (SELECT tile_id, row, count(*) AS r FROM li WHERE l_tax <= 0.05 GROUP BY 1, 2),
       b AS (SELECT tile_id, row, count(*) AS band FROM li WHERE l_discount >= 0.03 GROUP BY 1, 2), l AS (SELECT tile_id, row, count(*) AS label FROM li WHERE l_returnflag = 'R' GROUP BY 1, 2)
       SELECT tile_id, row, r, band, coalesce(label, 0) AS label FROM a JOIN b USING (tile_id, row) LEFT JOIN l USING (tile_id, row)""",
     "a01_region_stats": f"{WITH} SELECT region, {COUNTS} FROM cat GROUP BY 1",
@@ -279,4 +279,5 @@ SQL = {
     "u07_subset_test": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) = 0 AS ok FROM orders GROUP BY 1",
     "j15_uid_merge": "SELECT s_suppkey AS tile_id, CASE WHEN s_suppkey % 4 = 0 THEN 'new-' || s_name ELSE s_name END AS uid FROM supplier",
 }
+SQL["j04_modality_stack_all_rows"] = SQL["j04_modality_stack"]
 assert len(SPLITS) == len(schema.SPLIT_NAMES)

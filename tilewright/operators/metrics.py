@@ -84,17 +84,20 @@ def ap_at_ratios(pixels: DataFrame, tiles: DataFrame, ratios: tuple[int, ...] =
 
     tiles: (tile_id, is_pos). Too few negatives are drawn again with replacement: each tile then weighs as often as it is drawn.
     """
+    from .sampling import hash_order, take
+
     n = tiles.agg(F.count_if("is_pos").alias("p"), F.count_if(~F.col("is_pos")).alias("n")).first()
     out = None
-    ordered = tiles.filter(~F.col("is_pos")).withColumn("_h", F.md5(F.concat_ws("|", "tile_id", F.lit(seed))))
+    negatives = tiles.filter(~F.col("is_pos")).select("tile_id")
     for r in ratios:
         need = n.p * r
         if need <= n.n:
-            draw = ordered.orderBy("_h", "tile_id").limit(need).select("tile_id", F.lit(1).alias("w"))
+            draw = take(negatives, need, hash_order(F.col("tile_id"), seed), "tile_id").select("tile_id", F.lit(1).alias("w"))
         else:
             spark = tiles.sparkSession
-            picks = spark.range(need).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(n.n, 1))).alias("_i")).groupBy("_i").agg(F.count("*").alias("w"))
-            numbered = running(ordered.select("tile_id", F.lit(1).alias("_one")), "tile_id", {"_i": "_one"}).select("tile_id", (F.col("_i") - 1).alias("_i"))
+            drawn = F.conv(F.substring(hash_order(F.col("id"), seed).cast("string"), 1, 12), 16, 10).cast("long")
+            picks = spark.range(need).select(F.pmod(drawn, F.lit(max(n.n, 1))).alias("_i")).groupBy("_i").agg(F.count("*").alias("w"))
+            numbered = running(negatives.select("tile_id", F.lit(1).alias("_one")), "tile_id", {"_i": "_one"}).select("tile_id", (F.col("_i") - 1).alias("_i"))
             draw = numbered.join(picks, "_i").select("tile_id", "w")
         chosen = draw.union(tiles.filter("is_pos").select("tile_id", F.lit(1)))
         ap = average_precision(by_score(pixels.join(chosen, "tile_id"), weight="w")).select(F.lit(r).alias("ratio"), "ap", F.lit(need).cast("long").alias("n_neg"), F.lit(need > n.n).alias("bootstrapped"))
@@ -255,3 +258,18 @@ SQL = {
     "f33_class_weights": f"WITH {PIX}, c AS (SELECT l_linestatus, count(*) FILTER (label = 0) / count(*) FILTER (label = 1) AS r FROM pix GROUP BY 1) SELECT l_linestatus, round(r, 6) AS linear, round(sqrt(r), 6) AS sqrt, round(ln(1 + r), 6) AS log FROM c",
     "f37_scaled_confusion": f"WITH {PIX}, c AS (SELECT {COUNTS} FROM val), k AS (SELECT *, least(1.0::DOUBLE, 1.0::DOUBLE * (tp + fn) / greatest(fp + tn, 1)) AS k FROM c) SELECT tp, fn, round_even(fp * k, 0)::BIGINT AS fp, round_even(tn * k, 0)::BIGINT AS tn FROM k",
 }
+
+
+def _ratio_sql(r: int) -> str:
+    """Average precision at one ratio: the first negatives in hash order, or as many draws with replacement."""
+    return f"""SELECT {r} AS ratio, (SELECT round(sum(pos / allp * (tp / (tp + fp))), 6) FROM (SELECT pos, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS allp
+      FROM (SELECT score, coalesce(sum(w) FILTER (label = 1), 0)::DOUBLE AS pos, coalesce(sum(w) FILTER (label <> 1), 0)::DOUBLE AS neg FROM val JOIN (
+        SELECT tile_id, 1 AS w FROM t WHERE is_pos UNION ALL
+        SELECT tile_id, 1 FROM neg, k WHERE k.p * {r} <= k.n AND h <= k.p * {r} UNION ALL
+        SELECT tile_id, d.w FROM neg, k, (SELECT ('0x' || substr(md5(range || '|42'), 1, 12))::BIGINT % (SELECT greatest(n, 1) FROM k) AS i, count(*) AS w FROM range((SELECT p * {r} FROM k)) GROUP BY 1) d WHERE k.p * {r} > k.n AND d.i = neg.i) USING (tile_id) GROUP BY 1))) AS ap,
+      (p * {r})::BIGINT AS n_neg, p * {r} > n AS bootstrapped FROM k"""
+
+
+SQL["m03_ap_at_ratios"] = f"""WITH {PIX}, t AS (SELECT tile_id, bool_or(label = 1) AS is_pos FROM pix GROUP BY 1), k AS (SELECT count(*) FILTER (is_pos) AS p, count(*) FILTER (NOT is_pos) AS n FROM t),
+  neg AS (SELECT tile_id, row_number() OVER (ORDER BY md5(tile_id::VARCHAR || '|42'), tile_id) AS h, row_number() OVER (ORDER BY tile_id) - 1 AS i FROM t WHERE NOT is_pos)
+  """ + " UNION ALL ".join(map(_ratio_sql, (1, 5, 20)))

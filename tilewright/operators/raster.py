@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from .. import schema
 from ..schema import IGNORE
-from .spatial import in_polygon
+from .spatial import in_polygon, with_bounds
 
 # Array cores.
 
@@ -76,10 +76,10 @@ def components(mask: np.ndarray, eight: bool = False) -> np.ndarray:
     return inverse.reshape(h, w) + (0 if len(ids) and ids[0] == 0 else 1)
 
 
-def drop_small(mask: np.ndarray, least: int) -> np.ndarray:
+def drop_small(mask: np.ndarray, least: int, eight: bool = False) -> np.ndarray:
     if least <= 1:
         return mask.astype(bool)
-    c = components(mask)
+    c = components(mask, eight)
     keep = np.bincount(c.ravel()) >= least
     keep[0] = False
     return keep[c]
@@ -87,7 +87,8 @@ def drop_small(mask: np.ndarray, least: int) -> np.ndarray:
 
 def match_objects(pred: np.ndarray, truth: np.ndarray, confidence: np.ndarray, least: float = 0.3, best_only: bool = False) -> tuple[int, int, int]:
     """(tp, fp, fn) of components: predictions by falling confidence, ties by number, each take the free true object of greatest
-    overlap of at least `least`. best_only: only their best object counts, and they fail if it is taken."""
+    overlap of at least `least`. best_only: only their best object counts, and they fail if it is taken. Equal confidences have no
+    order of their own; the lower number, which comes first in reading order, goes first."""
     n, m = int(pred.max(initial=0)), int(truth.max(initial=0))
     joint = np.bincount((pred.astype(np.int64) * (m + 1) + truth).ravel(), minlength=(n + 1) * (m + 1)).reshape(n + 1, m + 1)
     union = joint.sum(1)[1:, None] + joint.sum(0)[None, 1:] - joint[1:, 1:]
@@ -192,9 +193,25 @@ def per_tile(df: DataFrame, value: str, f: Callable[[np.ndarray], np.ndarray], k
     return df.select(*keys, "row", "col", value).groupBy(*keys).applyInPandas(run, ", ".join([*fields, "row int", "col int", f"out {kind}"]))
 
 
+def map_rasters(rasters: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(tile_id, height, width, data): an array function applied to whole tiles as read_rasters() gives them (band, row, column; float32),
+    where they lie. Tiles with an error are left out. This is the way for tiles in files; per_tile() is for pixels in tables."""
+
+    def run(frames):
+        for x in frames:
+            rows = []
+            for t, h, w, data in zip(x["tile_id"], x["height"], x["width"], x["data"], strict=True):
+                out = np.asarray(f(np.frombuffer(data, "<f4").reshape(-1, int(h), int(w))), "<f4")
+                out = out if out.ndim == 3 else out[None]
+                rows.append((t, out.shape[1], out.shape[2], np.ascontiguousarray(out).tobytes()))
+            yield pd.DataFrame(rows, columns=["tile_id", "height", "width", "data"])
+
+    return rasters.filter("data is not null").select("tile_id", "height", "width", "data").mapInPandas(run, "tile_id string, height int, width int, data binary")
+
+
 def blobs(df: DataFrame, mask: str = "mask", least: int = 1, eight: bool = False) -> DataFrame:
     """Pixels (tile_id, row, col, blob) of components with at least `least` pixels."""
-    out = per_tile(df, mask, lambda a: components(drop_small(a > 0, least), eight).astype(float), "double")
+    out = per_tile(df, mask, lambda a: components(drop_small(a > 0, least, eight), eight).astype(float), "double")
     return out.filter("out > 0").select("tile_id", "row", "col", F.col("out").cast("int").alias("blob"))
 
 
@@ -229,7 +246,9 @@ def rasterize(tiles: DataFrame, polygons: DataFrame, size: int, scale: float) ->
     """
     grid = tiles.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     x, y = F.col("origin_x") + (F.col("col") + 0.5) * scale, F.col("origin_y") - (F.col("row") + 0.5) * scale
-    hit = grid.join(polygons.select("tile_id", "rings", F.col("label").alias("_l")), "tile_id", "left").withColumn("_in", F.coalesce(in_polygon(x, y, F.col("rings")), F.lit(False)))
+    near = with_bounds(polygons.select("tile_id", "rings", F.col("label").alias("_l")))
+    inside = F.when(x.between(F.col("min_x"), F.col("max_x")) & y.between(F.col("min_y"), F.col("max_y")), in_polygon(x, y, F.col("rings")))
+    hit = grid.join(near, "tile_id", "left").withColumn("_in", F.coalesce(inside, F.lit(False)))  # bounds first: most pixels meet few rings
     rank = F.when(F.col("_in") & (F.col("_l") == 1), 2).when(F.col("_in"), 1).otherwise(0)
     px = hit.groupBy("tile_id", "row", "col").agg(F.max(rank).alias("_r")).withColumn("label", F.when(F.col("_r") == 2, 1).when(F.col("_r") == 1, IGNORE).otherwise(0))
     has = F.max(F.when(F.col("label") == 1, 1).otherwise(0)).over(W.partitionBy("tile_id"))
@@ -334,6 +353,12 @@ def _rasterized(s, d):
     return rasterize(t, one.union(two), 16, 1.0).groupBy("tile_id", "label").agg(F.count("*").alias("n"))
 
 
+def _mosaicked(s, d):
+    """The tiles side by side in one grid of pixels."""
+    g = _grid(s, d)
+    return g.select((F.col("row") + F.floor(F.col("tile_id") / 10) * SIDE).alias("row"), (F.col("col") + F.col("tile_id") % 10 * SIDE).alias("col"), (F.col("v") >= 15).cast("int").alias("v"))
+
+
 def _windows(s, d):
     k = F.col("p_partkey")
     w = window_of(k % 900, k % 700, k % 900 + F.col("p_size") * 11, k % 700 + 40, F.lit(1000), F.lit(1200))
@@ -362,7 +387,7 @@ QUERIES = {
     "r11_slope": lambda s, d: per_tile(_grid(s, d), "v", lambda a: terrain(a, 1.0)["slope"]).groupBy("tile_id").agg(F.round(F.avg("out"), 6).alias("slope")),
     "r12_shaded_relief": lambda s, d: per_tile(_grid(s, d), "v", lambda a: shaded_relief(terrain(a, 1.0)["hillshade"], terrain(a, 1.0)["laplacian"])).groupBy("tile_id").agg(F.round(F.avg("out"), 6).alias("relief")),
     "r13_flip_average": lambda s, d: per_tile(_grid(s, d), "v", lambda a: augmented_mean(lambda x: x * (np.arange(x.shape[1]) + 1), a, "standard")).select("tile_id", "row", "col", F.round("out", 6).alias("mean")),
-    "r14_half_scale": lambda s, d: per_tile(_grid(s, d), "v", lambda a: resample(resample(a, SIDE // 2, SIDE // 2), SIDE, SIDE)).groupBy("tile_id").agg(F.round(F.avg("out"), 6).alias("mean")),
+    "r14_half_scale": lambda s, d: per_tile(_grid(s, d), "v", lambda a: resample(resample(a, SIDE // 2, SIDE // 2), SIDE, SIDE)).select("tile_id", "row", "col", F.round("out", 6).alias("v")),
     "r16_channel_stack": lambda s, d: _grid(s, d).select("tile_id", "row", "col", F.array("v", "score", F.col("mask").cast("double")).alias("stack")).select("tile_id", "row", "col", F.col("stack")[1].alias("second")),
     "r17_weighted_fusion": lambda s, d: _fused(s, d, "weighted_mean"),
     "r18_max_fusion": lambda s, d: _fused(s, d, "max"),
@@ -373,17 +398,24 @@ QUERIES = {
     "r22_tile_errors": _errors,
     "r23_label_semantics": lambda s, d: _grid(s, d).groupBy("tile_id").agg(F.count_if(F.col("label") == 1).alias("n1")).select("tile_id", F.when(F.col("tile_id") % 2 == 0, F.col("n1") > 0).otherwise(F.col("n1") == 0).alias("ok")),
     "r24_mosaic": lambda s, d: mosaic(_grid(s, d).withColumn("grow", F.col("row") + F.floor(F.col("tile_id") / 10) * SIDE).withColumn("gcol", F.col("col") + F.col("tile_id") % 10 * 8), "tile_id", "v").select(F.col("grow").cast("long").alias("grow"), F.col("gcol").cast("long").alias("gcol"), "v"),
-    "r25_reclassify": lambda s, d: _grid(s, d).filter("tile_id % 2 = 0").select("tile_id", "row", "col", F.when((F.col("v") > 0) & (F.col("v") <= 5), 1).alias("cls")),
+    "r25_reclassify": lambda s, d: _grid(s, d).select("tile_id", "row", "col", F.when((F.col("v") > 0) & (F.col("v") <= 5), 1).alias("cls")),
     "r26_crop": lambda s, d: per_tile(_grid(s, d), "v", lambda a: crop(a, 9, 2, 8)).select("tile_id", "row", "col", "out"),
     "r25_reclassify_in_domain": lambda s, d: clip(_grid(s, d), _grid(s, d).filter(F.col("label") != IGNORE)).select("tile_id", "row", "col", F.when((F.col("v") > 0) & (F.col("v") <= 5), 1).alias("cls")),
     "a29_block_any_by_tile": lambda s, d: block_any(_grid(s, d).withColumn("v", F.col("mask")), 4, "tile_id"),
-    "a29_block_any": lambda s, d: block_any(_grid(s, d).filter("tile_id = 7").withColumn("v", F.col("mask")), 4),
+    "a29_block_any": lambda s, d: block_any(_mosaicked(s, d), 5),
     "j16_blob_overlap": lambda s, d: blobs(_grid(s, d)).join(blobs(_grid(s, d).withColumn("mask", (F.col("label") == 1).cast("int"))).withColumnRenamed("blob", "truth"), ["tile_id", "row", "col"]).groupBy("tile_id", "blob", "truth").agg(F.count("*").alias("n")).groupBy("tile_id").agg(F.sum("n").alias("n")),
     "s06_window_read": _windows,
 }
+BLOBS = f"""WITH RECURSIVE {GRID}, m AS (SELECT tile_id, row, col, v FROM grid WHERE mask = 1), reach AS (SELECT tile_id, row AS r0, col AS c0, row, col FROM m
+  UNION SELECT a.tile_id, a.r0, a.c0, b.row, b.col FROM reach a JOIN m b ON a.tile_id = b.tile_id AND abs(a.row - b.row) + abs(a.col - b.col) = 1),
+  c AS (SELECT r.tile_id, r.row, r.col, min(r0 * {SIDE} + c0) AS root, any_value(m.v) AS v FROM reach r JOIN m ON m.tile_id = r.tile_id AND m.row = r.row AND m.col = r.col GROUP BY 1, 2, 3)"""
+LARGE = "b AS (SELECT tile_id, root, count(*) AS area, row_number() OVER (PARTITION BY tile_id ORDER BY root)::INT AS blob FROM c GROUP BY 1, 2 HAVING count(*) >= {least})"
 _edge = lambda a, n: f"greatest(0, least({n}, {a}))"
 FOC = f"""WITH {GRID}, p AS (SELECT g.tile_id, g.row, g.col, o.v FROM grid g, (SELECT unnest(range(-1, 2)) AS i) x, (SELECT unnest(range(-1, 2)) AS j) y, grid o
   WHERE o.tile_id = g.tile_id AND o.row = {_edge('g.row + i', SIDE - 1)} AND o.col = {_edge('g.col + j', SIDE - 1)})"""
+SLOPE = f"""WITH {GRID}, q AS (SELECT g.tile_id, g.row, g.col, i, j, o.v FROM grid g, (SELECT unnest(range(-1, 2)) AS i) x, (SELECT unnest(range(-1, 2)) AS j) y, grid o
+  WHERE o.tile_id = g.tile_id AND o.row = {_edge('g.row + i', SIDE - 1)} AND o.col = {_edge('g.col + j', SIDE - 1)}),
+  d AS (SELECT tile_id, row, col, sum(v * j * CASE i WHEN 0 THEN 2 ELSE 1 END) / 8 AS dx, sum(v * i * CASE j WHEN 0 THEN 2 ELSE 1 END) / 8 AS dy, sum(v) - 9 * sum(v) FILTER (i = 0 AND j = 0) AS lap FROM q GROUP BY 1, 2, 3)"""
 SQL = {
     "r01_rasterize": """WITH t AS (SELECT n_nationkey::BIGINT AS tile_id, r + 0.5 AS y0, c + 0.5 AS x FROM nation, range(16) a(r), range(16) b(c)), p AS (SELECT tile_id, x, 16 - y0 AS y, tile_id % 5 AS k FROM t),
       l AS (SELECT tile_id, CASE WHEN tile_id % 4 <> 3 AND x > 2 + k AND x < 9 + k AND y > 2 + k AND y < 9 + k THEN 1 WHEN x > 1 AND x < 6 AND y > 1 AND y < 6 THEN 255 ELSE 0 END AS label FROM p) SELECT tile_id, label, count(*) AS n FROM l WHERE tile_id % 4 <> 3 GROUP BY 1, 2""",
@@ -404,9 +436,24 @@ SQL = {
     "r22_tile_errors": f"WITH {GRID}, p AS (SELECT tile_id, count(*) FILTER (label = 1) AS n1, bool_or(label NOT IN (0, 1)) AS bad FROM grid GROUP BY 1) SELECT tile_id, 'labels outside 0 and 1' AS error FROM p WHERE bad UNION ALL SELECT tile_id, 'no target' FROM p WHERE n1 <= 50",
     "r23_label_semantics": f"WITH {GRID} SELECT tile_id, CASE WHEN tile_id % 2 = 0 THEN count(*) FILTER (label = 1) > 0 ELSE count(*) FILTER (label = 1) = 0 END AS ok FROM grid GROUP BY 1",
     "r24_mosaic": f"WITH {GRID} SELECT row + tile_id // 10 * {SIDE} AS grow, col + tile_id % 10 * 8 AS gcol, arg_max(v, tile_id) AS v FROM grid GROUP BY 1, 2",
-    "r25_reclassify": f"WITH {GRID} SELECT tile_id, row, col, CASE WHEN v > 0 AND v <= 5 THEN 1 END AS cls FROM grid WHERE tile_id % 2 = 0",
+    "r25_reclassify": f"WITH {GRID} SELECT tile_id, row, col, CASE WHEN v > 0 AND v <= 5 THEN 1 END AS cls FROM grid",
+    "r25_reclassify_in_domain": f"WITH {GRID} SELECT tile_id, row, col, CASE WHEN v > 0 AND v <= 5 THEN 1 END AS cls FROM grid WHERE label <> 255",
     "r26_crop": f"WITH {GRID} SELECT t.tile_id, r::INT AS row, c::INT AS col, coalesce(v, 0) AS out FROM (SELECT DISTINCT tile_id FROM grid) t CROSS JOIN range(8) a(r) CROSS JOIN range(8) b(c) LEFT JOIN grid g ON g.tile_id = t.tile_id AND g.row = r + 5 AND g.col = c",
-    "a29_block_any": f"WITH {GRID} SELECT (row // 4)::BIGINT AS brow, (col // 4)::BIGINT AS bcol, max(CASE WHEN mask = 1 THEN 1 END) AS v FROM grid WHERE tile_id = 7 GROUP BY 1, 2",
+    "a29_block_any": f"WITH {GRID} SELECT ((row + tile_id // 10 * {SIDE}) // 5)::BIGINT AS brow, ((col + tile_id % 10 * {SIDE}) // 5)::BIGINT AS bcol, max(CASE WHEN v >= 15 THEN 1 END) AS v FROM grid GROUP BY 1, 2",
+    "a29_block_any_by_tile": f"WITH {GRID} SELECT tile_id, (row // 4)::BIGINT AS brow, (col // 4)::BIGINT AS bcol, max(CASE WHEN mask = 1 THEN 1 END) AS v FROM grid GROUP BY 1, 2, 3",
+    "r03_components": f"{BLOBS} SELECT tile_id, count(DISTINCT root) AS n_blobs, count(*) AS n FROM c GROUP BY 1",
+    "r04_large_blobs": f"{BLOBS}, {LARGE.format(least=4)} SELECT tile_id, blob, area FROM b",
+    "r05_blob_records": f"{BLOBS}, {LARGE.format(least=4)} SELECT tile_id, blob, any_value(area) AS area, round(avg(v / 16), 6) AS mean_score, max(v / 16) AS max_score FROM b JOIN c USING (tile_id, root) GROUP BY 1, 2",
+    "r21_vectors": f"{BLOBS}, {LARGE.format(least=6)} SELECT tile_id, blob, round(avg(row), 6) AS row, round(avg(col), 6) AS col FROM b JOIN c USING (tile_id, root) GROUP BY 1, 2",
+    "r11_slope": f"{SLOPE} SELECT tile_id, round(avg(degrees(atan(sqrt(dx * dx + dy * dy)))), 6) AS slope FROM d GROUP BY 1",
+    "r12_shaded_relief": f"""{SLOPE}, h AS (SELECT tile_id, lap, atan(sqrt(dx * dx + dy * dy)) AS s, atan2(-dx, dy) AS a FROM d),
+      x AS (SELECT tile_id, lap, greatest(0, least(255, 255 * (cos(radians(45)) * cos(s) + sin(radians(45)) * sin(s) * cos(radians(315) - a)))) AS hs FROM h),
+      p AS (SELECT tile_id, quantile_cont(hs, 0.02) AS h0, quantile_cont(hs, 0.98) AS h1, quantile_cont(lap, 0.02) AS l0, quantile_cont(lap, 0.98) AS l1 FROM x GROUP BY 1)
+      SELECT tile_id, round(avg(0.7::DOUBLE * greatest(0, least(1, (hs - h0) / (h1 - h0))) + 0.3::DOUBLE * greatest(0, least(1, (lap - l0) / (l1 - l0)))), 6) AS relief FROM x JOIN p USING (tile_id) GROUP BY 1""",
+    "r14_half_scale": f"""WITH {GRID}, h AS (SELECT tile_id, row // 2 AS r, col // 2 AS c, avg(v) AS m FROM grid GROUP BY 1, 2, 3),
+      w(k, near, far, a, b) AS (VALUES {", ".join(f"({k}, {min(max(k // 2, 0), SIDE // 2 - 1)}, {min(max(k // 2 + (1 if k % 2 else -1), 0), SIDE // 2 - 1)}, 0.75::DOUBLE, 0.25::DOUBLE)" for k in range(SIDE))}),
+      ax AS (SELECT k, near AS at, a AS w FROM w UNION ALL SELECT k, far, b FROM w)
+      SELECT tile_id, y.k::INT AS row, x.k::INT AS col, round(sum(m * y.w * x.w), 6) AS v FROM ax y, ax x, h WHERE h.r = y.at AND h.c = x.at GROUP BY 1, 2, 3""",
     "j16_blob_overlap": f"WITH {GRID} SELECT tile_id, count(*)::BIGINT AS n FROM grid WHERE mask = 1 AND label = 1 GROUP BY 1",
     "s06_window_read": """WITH b AS (SELECT p_partkey, p_partkey % 900 AS x0, p_partkey % 700 AS y0, p_partkey % 900 + p_size * 11 AS x1, p_partkey % 700 + 40 AS y1 FROM part)
       SELECT p_partkey, CASE WHEN x1 - x0 <= 512 THEN greatest(0, least(floor((y0 + y1) / 2 - 256)::INT, 488)) END AS row, CASE WHEN x1 - x0 <= 512 THEN greatest(0, least(floor((x0 + x1) / 2 - 256)::INT, 688)) END AS col FROM b""",

@@ -23,9 +23,32 @@ def first_n(df: DataFrame, n: int, key: str) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
+def take(df: DataFrame, n: int, order: Column, *ties: str, gather: int = 10_000) -> DataFrame:
+    """The n rows that come first in a hash order, ties by columns. Up to `gather` rows are a plain top-n; of more, those below
+    a bound of the order are kept where they are, and only the last part of it, which holds `gather` rows or so, is sorted."""
+    if n <= gather:
+        return df.orderBy(order, *ties).limit(n)
+    at = df.withColumn("_h", F.conv(F.substring(order.cast("string"), 1, 12), 16, 10).cast("long"))
+    low, width, need = 0, 1 << 48, n
+    while width > 1:
+        width //= 4096
+        near = at.filter(F.col("_h").between(low, low + width * 4096 - 1)).groupBy(F.floor((F.col("_h") - low) / width).alias("b")).count()
+        for b, c in sorted(tuple(r) for r in near.collect()):  # 4,096 at most
+            if c >= need:
+                low += b * width
+                break
+            need -= c
+        else:
+            return df  # it has no more rows
+        if c <= gather:
+            break
+    last = at.filter(F.col("_h").between(low, low + width - 1)).orderBy(order, *ties).limit(need)
+    return at.filter(F.col("_h") < low).unionByName(last).drop("_h")
+
+
 def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int = SEED) -> DataFrame:
     """Exactly max(1, floor(n * fraction)) rows."""
-    return df.orderBy(hash_order(F.col(key), seed), key).limit(max(1, int(df.count() * fraction)))
+    return take(df, max(1, int(df.count() * fraction)), hash_order(F.col(key), seed), key)
 
 
 def capped(df: DataFrame, key: str, by: Sequence[str], cap: int | Column, seed: int = SEED) -> DataFrame:
@@ -35,19 +58,19 @@ def capped(df: DataFrame, key: str, by: Sequence[str], cap: int | Column, seed:
 
 
 def all_of_one_some_of_other(df: DataFrame, key: str, cls: str, whole: str, cap: int, seed: int = SEED) -> DataFrame:
-    rest = df.filter(F.col(cls) != whole).orderBy(hash_order(F.col(key), seed), key).limit(cap)
+    rest = take(df.filter(F.col(cls) != whole), cap, hash_order(F.col(key), seed), key)
     return df.filter(F.col(cls) == whole).unionByName(rest)
 
 
 def stratified(df: DataFrame, key: str, group: str, target: int, seed: int = SEED) -> DataFrame:
     """max(1, target // groups) rows of each group, small groups whole, then target rows at most."""
     per = max(1, target // max(1, df.select(group).distinct().count()))
-    return capped(df, key, [group], per, seed).orderBy(hash_order(F.col(key), seed, 2), key).limit(target)
+    return take(capped(df, key, [group], per, seed), target, hash_order(F.col(key), seed, 2), key)
 
 
 def two_stage(df: DataFrame, key: str, tile: str, per_tile: int, cap: int, seed: int = SEED) -> DataFrame:
     """At most per_tile rows of each tile, then at most cap rows in all."""
-    return capped(df, key, [tile], per_tile, seed).orderBy(hash_order(F.col(key), seed), key).limit(cap)
+    return take(capped(df, key, [tile], per_tile, seed), cap, hash_order(F.col(key), seed), key)
 
 
 def strip_quota(df: DataFrame, key: str, strip: str, n: int, seed: int = SEED) -> DataFrame:
@@ -62,14 +85,14 @@ def positive_subset(df: DataFrame, key: str, cls: str, percent: int, seed: int =
         raise ValueError("percent must be between 1 and 100")
     pos = df.filter(F.col(cls) == "Positive")
     n = pos.count()
-    return pos.orderBy(hash_order(F.col(key), seed), key).limit(max(1, round(n * percent / 100)) if n else 0).unionByName(df.filter(F.col(cls) != "Positive"))
+    return take(pos, max(1, round(n * percent / 100)) if n else 0, hash_order(F.col(key), seed), key).unionByName(df.filter(F.col(cls) != "Positive"))
 
 
 def draw_negatives(df: DataFrame, key: str, need: int, seed: int = SEED) -> DataFrame:
     """need rows (key, draw, bootstrapped): without replacement if there are enough, else with replacement."""
     n = df.count()
     if need <= n:
-        return df.orderBy(hash_order(F.col(key), seed), key).limit(need).select(key, F.lit(0).cast("long").alias("draw"), F.lit(False).alias("bootstrapped"))
+        return take(df, need, hash_order(F.col(key), seed), key).select(key, F.lit(0).cast("long").alias("draw"), F.lit(False).alias("bootstrapped"))
     from .stats import running
 
     numbered = running(df.select(key, F.lit(1).alias("_one")), key, {"_i": "_one"}).select(key, (F.col("_i") - 1).alias("_i"))
@@ -137,21 +160,23 @@ def balanced_batches(df: DataFrame, batch_size: int, ratio: int, seed: int = SEE
         raise ValueError("both classes are needed")
     n = pos // n_pos + (0 if drop_last or pos % n_pos == 0 else 1)
 
-    def numbered(rows: DataFrame, *salt: int) -> DataFrame:
-        h = rows.select(key, F.concat(hash_order(F.col(key), *salt), F.lit("|"), F.col(key).cast("string")).alias("_h"), F.lit(1).alias("_one"))
-        parts = h.withColumn("_h2", F.conv(F.substring("_h", 1, 15), 16, 10).cast("long"))
-        first = running(parts.groupBy("_h2").agg(F.count("*").alias("_c")), "_h2", {"_to": "_c"})
-        ties = F.row_number().over(W.partitionBy("_h2").orderBy("_h"))
-        return parts.join(first, "_h2").select(key, (F.col("_to") - F.col("_c") + ties - 1).alias("_i"))
+    def numbered(rows: DataFrame, cycle: Column, *salt: int | Column) -> DataFrame:
+        """(cycle, key, _i): places through all cycles, one after the other."""
+        h = rows.select(key, cycle.cast("long").alias("_cycle"), F.concat(hash_order(F.col(key), *salt), F.lit("|"), F.col(key).cast("string")).alias("_h"))
+        h = h.withColumn("_at", F.shiftleft("_cycle", 32) + F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"))
+        first = running(h.groupBy("_at").agg(F.count("*").alias("_c")), "_at", {"_to": "_c"})
+        ties = F.row_number().over(W.partitionBy("_at").orderBy("_h"))
+        return h.join(first, "_at").select("_cycle", key, (F.col("_to") - F.col("_c") + ties - 1).alias("_i"))
 
-    p = numbered(df.filter(F.col(cls) == "Positive"), seed, epoch).withColumn("batch", F.floor(F.col("_i") / n_pos)).filter(F.col("batch") < n)
+    p = numbered(df.filter(F.col(cls) == "Positive"), F.lit(0), seed, epoch).withColumn("batch", F.floor(F.col("_i") / n_pos)).filter(F.col("batch") < n)
     out = p.select("batch", key, F.lit("Positive").alias(cls))
-    per_cycle = max(1, neg // n_neg) if n_neg else 0
-    negatives = df.filter(F.col(cls) == "Negative").select(key)
-    for cycle in range(-(-n // per_cycle) if per_cycle else 0):
-        q = numbered(negatives, seed, epoch, cycle).withColumn("batch", F.floor(F.col("_i") / n_neg)).filter(F.col("batch") < per_cycle).withColumn("batch", F.col("batch") + cycle * per_cycle).filter(F.col("batch") < n)
-        out = out.union(q.select("batch", key, F.lit("Negative")))
-    return out
+    if not n_neg:
+        return out
+    per_cycle = max(1, neg // n_neg)
+    negatives = df.filter(F.col(cls) == "Negative").select(key).withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n // per_cycle) - 1)))))
+    q = numbered(negatives, F.col("_turn"), seed, epoch, F.col("_turn").cast("string"))
+    q = q.withColumn("_b", F.floor((F.col("_i") - F.col("_cycle") * neg) / n_neg)).withColumn("batch", F.col("_b") + F.col("_cycle") * per_cycle)
+    return out.union(q.filter((F.col("_b") < per_cycle) & (F.col("batch") < n)).select("batch", key, F.lit("Negative")))
 
 
 def batch_gate(batches: DataFrame, n_pos: int, n_neg: int) -> DataFrame:

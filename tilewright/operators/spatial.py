@@ -1,7 +1,7 @@
 """Spatial joins: points in polygons, nearest regions and features, grid cells, box overlaps.
 
-Polygons and regions are joined by cells of a grid: both sides are dealt out by the cells that they touch, so a point meets only the
-polygons near it. Sides that are broadcast are checked for their size.
+Both sides of a join are dealt out by the cells of a grid that they touch, so a point meets only what is near it. Nearest joins widen
+the cells for the points that haven't found theirs; only few candidates, counted before, are held in each task instead.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import schema
 
-MOST_QUERIES = 1_000_000
+HELD, HELD_POINTS = 1000, 20_000  # candidates, and their polygons' points, that each task may hold
+WIDER = 8
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -49,19 +50,52 @@ def within(points: DataFrame, polygons: DataFrame, key: str, name: str, cell: fl
     return points.join(hits.groupBy(key).agg(F.min(name).alias(name)), key, "left")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df as a set of candidates for every row: at most MOST_QUERIES rows, else ValueError."""
-    if df.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError("too many candidates to hold in each task")
-    return F.broadcast(df)
+def _nearest(points: DataFrame, candidates: DataFrame, key: str, name: str, distance: Column, own: tuple[str, ...]) -> DataFrame:
+    """(key, name, dist): of the candidates (name, min_x, max_x, min_y, max_y and the columns `own`) the nearest to each point (key, x, y)
+    by `distance`, ties to the least name; none: null.
+
+    A point looks at the candidates that touch the nine cells around it; what isn't there is a cell's width away at least. Points
+    whose best is farther than that go on with cells WIDER times as wide, until the nine cells hold everything. The first cells
+    hold few candidates each, and no row of points meets all of them.
+    """
+    best = F.struct(F.col("_d").alias("dist"), F.col(name))
+    e = candidates.agg(F.count("*").alias("n"), F.min("min_x").alias("x0"), F.max("max_x").alias("x1"), F.min("min_y").alias("y0"), F.max("max_y").alias("y1"), F.greatest(F.avg(F.col("max_x") - F.col("min_x")), F.avg(F.col("max_y") - F.col("min_y"))).alias("side")).first()
+    p = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    state = points.select(key, "x", "y", F.lit(None).cast(f"struct<dist:double,{name}:{candidates.schema[name].dataType.simpleString()}>").alias("_best"))
+    if e.n and e.x0 is not None and p.x0 is not None:
+        width, height = e.x1 - e.x0, e.y1 - e.y0
+        reach = max(max(e.x1, p.x1) - min(e.x0, p.x0), max(e.y1, p.y1) - min(e.y0, p.y0))
+        cell = max(2 * (width * height / e.n) ** 0.5, e.side, max(width, height) / 1e6) or 1.0
+        while True:
+            around = F.array(*(F.struct((F.floor(F.col("x") / cell) + i).alias("cx"), (F.floor(F.col("y") / cell) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+            none = F.array(F.lit(None).cast("struct<cx:bigint,cy:bigint>"))
+            # points that have found theirs meet nothing more
+            looks = state.withColumn("_c", F.explode(F.when(F.col("_best").isNull() | (F.col("_best.dist") >= cell / WIDER), around).otherwise(none)))
+            near = cells_of(candidates, cell).select(name, *own, F.struct("cx", "cy").alias("_cell"))
+            met = looks.join(near, F.col("_c") == F.col("_cell"), "left").withColumn("_d", F.when(F.col("_cell").isNotNull(), distance))
+            state = met.groupBy(key, "x", "y").agg(F.min(F.when(F.col("_d").isNotNull(), best)).alias("_new"), F.min("_best").alias("_old"))
+            state = state.select(key, "x", "y", F.coalesce("_new", "_old").alias("_best"))
+            if cell > reach:
+                break
+            cell *= WIDER
+    out = state.groupBy(key).agg(F.min("_best").alias("_b"))
+    return out.select(key, F.col(f"_b.{name}").alias(name), F.col("_b.dist").alias("dist"))
+
+
+def _held(points: DataFrame, candidates: DataFrame, key: str, name: str, distance: Column) -> DataFrame:
+    """The same by comparing each point with all of a few candidates; the best is kept while a point is still in its task."""
+    best = points.crossJoin(F.broadcast(candidates)).groupBy(key).agg(F.min(F.struct(distance.alias("dist"), F.col(name))).alias("b"))
+    return best.select(key, F.col(f"b.{name}").alias(name), F.col("b.dist").alias("dist"))
 
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, name, dist): the centroid (name, cx, cy) nearest to each point (key, x, y), ties to the least name. The centroids of
-    regions are a stated set of candidates; the best is kept while a point is still in its task."""
-    d = F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2))
-    best = points.crossJoin(_small(centroids)).groupBy(key).agg(F.min(F.struct(d.alias("dist"), F.col(name))).alias("b"))
-    return best.select(key, F.col(f"b.{name}"), F.col("b.dist"))
+    """(key, name, dist): the centroid (name, cx, cy) nearest to each point (key, x, y), ties to the least name."""
+    c = centroids.select(name, F.col("cx").cast("double").alias("_x"), F.col("cy").cast("double").alias("_y"))
+    d = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
+    if c.limit(HELD + 1).count() <= HELD:
+        return _held(points, c, key, name, d)
+    boxes = c.select("*", F.col("_x").alias("min_x"), F.col("_x").alias("max_x"), F.col("_y").alias("min_y"), F.col("_y").alias("max_y"))
+    return _nearest(points, boxes, key, name, d, ("_x", "_y"))
 
 
 def segment_distance(x: Column, y: Column, ring: Column) -> Column:
@@ -79,8 +113,11 @@ def segment_distance(x: Column, y: Column, ring: Column) -> Column:
 def nearest_feature(points: DataFrame, polygons: DataFrame, key: str, name: str) -> DataFrame:
     """(key, name, dist): the polygon nearest to each point, 0 inside."""
     d = F.when(in_polygon(F.col("x"), F.col("y"), F.col("rings")), 0.0).otherwise(segment_distance(F.col("x"), F.col("y"), F.col("rings")[0]))
-    best = points.crossJoin(_small(polygons.select(name, "rings"))).groupBy(key).agg(F.min(F.struct(d.alias("dist"), F.col(name))).alias("b"))
-    return best.select(key, F.col(f"b.{name}"), F.col("b.dist"))
+    c = polygons.select(name, "rings")
+    n = c.limit(HELD + 1).agg(F.count("*").alias("n"), F.sum(F.aggregate("rings", F.lit(0), lambda a, r: a + F.size(r))).alias("points")).first()
+    if n.n <= HELD and (n.points or 0) <= HELD_POINTS:
+        return _held(points, c, key, name, d)
+    return _nearest(points, with_bounds(c), key, name, d, ("rings",))
 
 
 def region_of(points: DataFrame, polygons: DataFrame, centroids: DataFrame, key: str, name: str, cell: float = 1.0) -> DataFrame:
@@ -179,9 +216,9 @@ def _resume(s, d):
     return resume(p, p.filter("tile_id % 3 = 0")).select("tile_id")
 
 
-def _positive_distance(s, d, positives="cls = 0"):
+def _positive_distance(s, d):
     p = _pts(s, d)
-    pos = p.filter(positives).select(F.col("id").cast("string").alias("name"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    pos = p.filter("cls = 0").select(F.col("id").cast("string").alias("name"), F.col("x").alias("cx"), F.col("y").alias("cy"))
     return nearest_centroid(p.filter("cls > 0"), pos, "id", "name").select("id", F.round("dist", 6).alias("dist"))
 
 
@@ -193,7 +230,7 @@ QUERIES = {
     "c18_within_then_nearest": lambda s, d: region_of(_pts(s, d), _regions(s, d), _centres(s, d), "id", "region", 4.0),
     "j09_covering_cell": lambda s, d: covering_cell(_pts(s, d), with_bounds(_regions(s, d)).select(F.col("region").alias("grid"), "min_x", "min_y", "max_x", "max_y"), "id", 8.0),
     "j10_boxes_hit": lambda s, d: boxes_hit(_box(s, d), _regions(s, d), "id", 4.0).select("id"),
-    "j11_distance_to_positive": lambda s, d: _positive_distance(s, d, "cls = 0 and id < 500"),  # the candidates of its SQL
+    "j11_distance_to_positive": _positive_distance,
     "j11_distance_to_all_positives": _positive_distance,
     "j13_realigned_samples": lambda s, d: realign(schema.table(s, d, "supplier").filter("s_suppkey % 4 <> 1").select(F.col("s_suppkey").alias("idx"), F.col("s_acctbal").alias("v")), schema.table(s, d, "supplier").select(F.col("s_suppkey").alias("idx"), "s_name")),
     "j14_provenance": lambda s, d: _pts(s, d).select(F.col("id").alias("idx"), F.struct("x", "y").alias("at")).join(schema.table(s, d, "supplier").select(F.col("s_suppkey").alias("idx")), "idx", "left_semi").select("idx", F.col("at.x").alias("x"), F.col("at.y").alias("y")),
@@ -213,9 +250,10 @@ SQL = {
     "c18_within_then_nearest": f"WITH {PTS}, n AS ({NEAR}), w AS (SELECT id, min(region) AS w FROM pts LEFT JOIN reg ON {IN} GROUP BY 1) SELECT id, coalesce(w, region) AS region FROM w JOIN n USING (id)",
     "j09_covering_cell": f"WITH {PTS}, d AS (SELECT id, region, NOT {INC} AS o, {OUT} AS d FROM pts, reg WHERE floor(x / 8) + 1 >= floor(x0 / 8) AND floor(x / 8) - 1 <= floor((x0 + 6) / 8) AND floor(y / 8) + 1 >= floor(y0 / 8) AND floor(y / 8) - 1 <= floor((y0 + 4) / 8)), b AS (SELECT id, min((o, d, region)) AS b FROM d GROUP BY 1) SELECT id, b[3] AS grid, NOT b[1] AS contained FROM b",
     "j10_boxes_hit": f"WITH {PTS}, box AS (SELECT s_suppkey AS id, (s_suppkey * 37) % 360 / 10.0::DOUBLE AS x, (s_suppkey * 53) % 250 / 10.0::DOUBLE AS y FROM supplier) SELECT DISTINCT id FROM box, reg WHERE x <= x0 + 6 AND x + 0.5::DOUBLE >= x0 AND y <= y0 + 4 AND y + 0.5::DOUBLE >= y0",
-    "j11_distance_to_positive": f"WITH {PTS} SELECT a.id, round(min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 6) AS dist FROM pts a, pts b WHERE a.cls > 0 AND b.cls = 0 AND b.id < 500 GROUP BY 1",
+    "j11_distance_to_positive": f"WITH {PTS} SELECT a.id, round(min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 6) AS dist FROM pts a, pts b WHERE a.cls > 0 AND b.cls = 0 GROUP BY 1",
     "j13_realigned_samples": "SELECT s_suppkey AS idx, s_name, s_acctbal AS v FROM supplier WHERE s_suppkey % 4 <> 1 ORDER BY 1",
     "j14_provenance": f"WITH {PTS} SELECT id AS idx, x, y FROM pts WHERE id IN (SELECT s_suppkey FROM supplier)",
     "a22_zonal_mean": f"WITH {PTS} SELECT region, round(avg(cls::DOUBLE), 6) AS mean, count(id) AS n FROM reg LEFT JOIN pts ON {IN} GROUP BY 1",
     "f39_sphere_area": f"WITH {PTS} SELECT region, round(radians(6) * (sin(radians(y0 + 4)) - sin(radians(y0))) * 6371008.8::DOUBLE * 6371008.8::DOUBLE / 1e6, 2) AS km2 FROM reg",
 }
+SQL["j11_distance_to_all_positives"] = SQL["j11_distance_to_positive"]

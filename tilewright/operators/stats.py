@@ -148,13 +148,14 @@ def average_ranks(df: DataFrame, column: str) -> DataFrame:
     return running(counts, "value", {"_to": "n"}).select("value", "n", (F.col("_to") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False, parts: int = 64) -> DataFrame:
+def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False, parts: int = 512, part_rows: int = 50_000) -> DataFrame:
     """df with running sums in the order of a distinct column, without a window over all rows.
 
-    Values are dealt to parts by approximate quantiles; within a part a window sums up, and the parts before add their totals
-    (a window over as many rows as there are parts).
+    Values are dealt by approximate quantiles to as many parts as their number asks for, part_rows each and `parts` at most; within a
+    part a window sums up, and the parts before add their totals (a window over as many rows as there are parts).
     """
-    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("_cuts"))
+    fine = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("_c"), F.greatest(F.lit(1), F.least(F.lit(parts), F.ceil(F.count("*") / part_rows))).alias("_n"))
+    cuts = fine.select(F.filter("_c", lambda c, i: (i + 1) % F.ceil(parts / F.col("_n")) == 0).alias("_cuts"))
     part = F.aggregate("_cuts", F.lit(0), lambda n, c: n + F.when(F.col(order) > c, 1).otherwise(0))
     dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_part", F.coalesce(part, F.lit(0))).drop("_cuts")  # one row of cuts
     o, p = (F.col(order).desc(), F.col("_part").desc()) if descending else (F.col(order).asc(), F.col("_part").asc())
@@ -248,7 +249,7 @@ QUERIES = {
     "a14_median_composite": lambda s, d: median_composite(_scenes(s, d).filter(cloud_free(F.col("qa"))), "pixel", "band").select("pixel", "band", F.round("composite", 9).alias("composite")),
     "a15_linear_mean_db": lambda s, d: _scenes(s, d).filter("value > 0.5").groupBy("pixel").agg(R6(to_db(F.avg(to_linear(to_db(F.col("value")))))).alias("mean_db"), R6(F.stddev_pop(to_db(F.col("value")))).alias("std_db")),
     "a16_orbit_majority": lambda s, d: orbit_choice(_scenes(s, d), "orbit", "pixel"),
-    "a17_mode_fallback": lambda s, d: mode_choice(_scenes(s, d).filter("qa % 3 = 0"), "pixel"),  # the scenes of its SQL
+    "a17_mode_fallback": lambda s, d: mode_choice(_scenes(s, d), "pixel"),
     "a17_mode_fallback_all_scenes": lambda s, d: mode_choice(_scenes(s, d), "pixel"),
     "a18_season_shift": lambda s, d: season_shift(_scenes(s, d).filter("value > 0.5").withColumn("db", to_db(F.col("value"))), "db", F.col("month"), "pixel").select("pixel", R6("shift").alias("shift")),
     "a18b_single_pol_mean": lambda s, d: _scenes(s, d).filter("value > 0.5").groupBy("pixel").agg(R6(F.avg(F.when(F.col("band") == "click", to_db(F.col("value"))))).alias("mean_db")),
@@ -282,7 +283,7 @@ SQL = {
     "a14_median_composite": f"WITH {SCENES_SQL} SELECT pixel, band, round(median(value) * 1e-4, 9) AS composite FROM scenes WHERE qa & 1024 = 0 AND qa & 2048 = 0 GROUP BY 1, 2",
     "a15_linear_mean_db": f"WITH {SCENES_SQL} SELECT pixel, round(10 * log10(avg(value)), 6) AS mean_db, round(stddev_pop(10 * log10(value)), 6) AS std_db FROM scenes WHERE value > 0.5 GROUP BY 1",
     "a16_orbit_majority": f"WITH {SCENES_SQL} SELECT pixel, count(*) FILTER (orbit = 'ASCENDING') AS n_asc, count(*) FILTER (orbit = 'DESCENDING') AS n_desc, CASE WHEN count(*) FILTER (orbit = 'ASCENDING') >= count(*) FILTER (orbit = 'DESCENDING') THEN 'ASCENDING' ELSE 'DESCENDING' END AS orbit FROM scenes GROUP BY 1",
-    "a17_mode_fallback": f"WITH {SCENES_SQL} SELECT pixel, CASE WHEN bool_or(mode = 'IW' AND list_contains(pols, 'VV') AND list_contains(pols, 'VH')) THEN 'IW' WHEN bool_or(mode = 'EW' AND list_contains(pols, 'HH') AND list_contains(pols, 'HV')) THEN 'EW' ELSE 'NONE' END AS mode FROM scenes WHERE qa % 3 = 0 GROUP BY 1",
+    "a17_mode_fallback": f"WITH {SCENES_SQL} SELECT pixel, CASE WHEN bool_or(mode = 'IW' AND list_contains(pols, 'VV') AND list_contains(pols, 'VH')) THEN 'IW' WHEN bool_or(mode = 'EW' AND list_contains(pols, 'HH') AND list_contains(pols, 'HV')) THEN 'EW' ELSE 'NONE' END AS mode FROM scenes GROUP BY 1",
     "a18_season_shift": f"WITH {SCENES_SQL} SELECT pixel, round(coalesce(avg(10 * log10(value)) FILTER (month IN (8, 9)) - avg(10 * log10(value)) FILTER (month = 7), 0), 6) AS shift FROM scenes WHERE value > 0.5 GROUP BY 1",
     "a18b_single_pol_mean": f"WITH {SCENES_SQL} SELECT pixel, round(avg(10 * log10(value)) FILTER (band = 'click'), 6) AS mean_db FROM scenes WHERE value > 0.5 GROUP BY 1",
     "a23_histogram_mode": """WITH r AS (SELECT l_returnflag, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1), b AS (SELECT l_returnflag, lo, hi, least(floor((l_quantity - lo) / (hi - lo) * 7) + 1, 7) AS b, count(*) AS n FROM lineitem JOIN r USING (l_returnflag) GROUP BY ALL)
@@ -304,4 +305,5 @@ SQL = {
     "t09_season_windows": f"WITH {SCENES_SQL} SELECT pixel, count(*) FILTER (month = 7) AS july, count(*) FILTER (month IN (8, 9)) AS late FROM scenes GROUP BY 1",
 }
 SQL["t05_merged_stats"] = SQL["a09_channel_stats"]
+SQL["a17_mode_fallback_all_scenes"] = SQL["a17_mode_fallback"]
 
