@@ -195,3 +195,7 @@ SQL = {
     "f20_unit": "WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda v: v * v))) AS n FROM embeddings) SELECT vec_id, 1.0::DOUBLE AS length, round(embedding[1]::DOUBLE / n, 5) AS first FROM n",
     "o03_nearest_vectors": "WITH d AS (SELECT c.vec_id AS centroid, e.vec_id, 1 - list_inner_product(e.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS dist FROM embeddings e, embeddings c WHERE c.vec_id < 4), r AS (SELECT *, row_number() OVER (PARTITION BY centroid ORDER BY dist, vec_id)::INT AS place FROM d) SELECT centroid, vec_id, round(dist, 5) AS dist, place FROM r WHERE place <= 6",
 }
+SQL["m05_silhouette"] = """WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS v, label AS c FROM embeddings ORDER BY md5(vec_id::VARCHAR || '|42'), vec_id LIMIT 10000),
+  d AS (SELECT a.vec_id, a.c, b.c AS k, sum(list_distance(a.v, b.v)) AS t, count(*) AS n FROM s a, s b GROUP BY 1, 2, 3),
+  x AS (SELECT vec_id, max(CASE WHEN c = k THEN t / greatest(n - 1, 1) END) AS a, min(CASE WHEN c <> k THEN t / n END) AS o, max(CASE WHEN c = k THEN n END) AS n FROM d GROUP BY 1)
+  SELECT round(avg(CASE WHEN n > 1 THEN (o - a) / greatest(greatest(a, o), 1e-12) ELSE 0 END), 4) AS silhouette FROM x"""

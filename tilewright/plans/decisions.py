@@ -48,6 +48,19 @@ def find_splits(catalog: DataFrame, seed: int = 42, tries: int = 500, least_test
     raise ValueError(f"no feasible split in {tries} tries")
 
 
+def split_report(catalog: DataFrame, splits: dict[str, list[str]], tries: int, least_train: float = 0.7) -> dict:
+    """Counts and shares of each split, and warnings: validation and test may be met while training has too few of all positives."""
+    counts = {r.region: r for r in region_stats(catalog).collect()}  # as many as there are regions
+    total = sum(r.positive for r in counts.values())
+    out = {}
+    for name, regions in splits.items():
+        own = [counts[r] for r in regions if r in counts]
+        positive = sum(r.positive for r in own)
+        out[name] = {"n_regions": len(regions), "total": sum(r.total for r in own), "positive": positive, "positive_share": positive / total if total else 0.0}
+    short = total and out.get("train", {"positive_share": 0.0})["positive_share"] < least_train
+    return {"splits": out, "tries": tries, "warnings": [f"training has {out['train']['positive_share']:.1%} of all positives, under {least_train:.0%}"] if short else []}
+
+
 # Gates.
 
 

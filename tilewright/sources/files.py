@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Sequence
+import os
+import tempfile
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +17,7 @@ from pyspark.sql import types as T
 
 from .. import schema
 from ..operators.catalog import append_merge, split_errors
-from ..operators.state_io import drop_epochs, exists, latest, replace, write_text
+from ..operators.state_io import drop_epochs, exists, file_system, latest, replace, write_text
 from . import tiff
 
 STATS = T.StructType([
@@ -42,7 +46,10 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
     return schema.split_map(spark, splits)
 
 
-def write_splits(splits: dict[str, list[str]], path: str) -> None:
+def write_splits(splits: dict[str, list[str]], path: str, summary: dict | None = None) -> None:
+    """The split map as YAML, and what split_report() says of it as JSON beside it."""
+    if summary is not None:
+        write_metrics(summary, f"{path}.summary.json")
     write_text(SparkSession.active(), path, yaml.safe_dump(splits, sort_keys=True))
 
 
@@ -92,24 +99,30 @@ def assemble(features: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
     return features.withColumn(key, F.col("properties")[key]).join(mapping, key)
 
 
-def read_rasters(spark: SparkSession, path: str, bands: Sequence[int] | None = None) -> DataFrame:
+def read_rasters(spark: SparkSession, path: str, bands: Sequence[int] | None = None, windows: DataFrame | None = None, size: int = 512) -> DataFrame:
     """(tile_id, height, width, transform, epsg, names, data): TIFF tiles, of which only the wanted bands are kept; a file that can't be
-    read has an error instead. data: float32, band by band."""
+    read has an error instead. data: float32, band by band. windows (tile_id, row, col): only the files named there, and of each the
+    window of size from that corner, whose strips alone are unpacked."""
     wanted = None if bands is None else list(bands)
+    part = windows is not None
 
     def decode(frames):
         for x in frames:
             rows = []
-            for tile, content in zip(x["tile_id"], x["content"], strict=True):
+            corners = zip(x["row"], x["col"], strict=True) if part else ((None, None),) * len(x)
+            for tile, content, (row, col) in zip(x["tile_id"], x["content"], corners, strict=True):
                 try:
-                    r = tiff.read(content, wanted)
+                    r = tiff.read(content, wanted, (int(row), int(col), size, size) if part else None)
                     rows.append((tile, r.data.shape[1], r.data.shape[2], list(r.transform), r.epsg, r.bands, r.data.astype("<f4").tobytes(), None))
                 except (ValueError, KeyError, IndexError) as e:
                     rows.append((tile, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["tile_id", "height", "width", "transform", "epsg", "names", "data", "error"]).astype({"height": "Int32", "width": "Int32", "epsg": "Int32"})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.tif$", 1).alias("tile_id"), "content").mapInPandas(decode, "tile_id string, height int, width int, transform array<double>, epsg int, names array<string>, data binary, error string")
+    files = files.select(F.regexp_extract("path", r"([^/]+)\.tif$", 1).alias("tile_id"), "content")
+    if part:
+        files = files.join(windows.filter("row is not null and col is not null").select("tile_id", "row", "col"), "tile_id")
+    return files.mapInPandas(decode, "tile_id string, height int, width int, transform array<double>, epsg int, names array<string>, data binary, error string")
 
 
 def listing(spark: SparkSession, path: str, suffix: str = "tif") -> DataFrame:
@@ -118,6 +131,55 @@ def listing(spark: SparkSession, path: str, suffix: str = "tif") -> DataFrame:
     return files.select(F.regexp_extract("path", rf"([^/]+)\.{suffix}$", 1).alias("tile_id"), "path", "length")
 
 
+def entries(spark: SparkSession, path: str) -> DataFrame:
+    """(name, is_dir, length) of what lies directly in a folder; names only, nothing is read."""
+    fs, p = file_system(spark, path)
+    found = [(str(f.getPath().getName()), bool(f.isDirectory()), int(f.getLen())) for f in fs.listStatus(p)]
+    return spark.createDataFrame(found, "name string, is_dir boolean, length long")
+
+
+def read_tile_list(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
+    """(tile_id) of a CSV that names tiles, whatever else it has; ids as text, once each and never blank."""
+    columns = spark.read.csv(path, header=True).columns
+    name = column or schema.first_present(columns, schema.SPELLINGS["tile_id"])
+    if name not in columns:
+        raise ValueError(f"no tile ids among {columns}")
+    text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    ids = spark.read.schema(text).csv(path, header=True).select(F.trim(F.col(f"`{name}`")).alias("tile_id"))
+    return ids.filter("tile_id is not null and tile_id <> ''").distinct()
+
+
+def write_rasters(rasters: DataFrame, path: str) -> None:
+    """A TIFF for each row (tile_id, height, width, transform, epsg, names, data: float32) in a folder that all executors see under this
+    path. A file is written beside and renamed, so a task that runs again leaves whole files."""
+
+    def run(frames):
+        for x in frames:
+            for t, h, w, transform, epsg, names, data in zip(*(x[c] for c in ("tile_id", "height", "width", "transform", "epsg", "names", "data")), strict=True):
+                r = tiff.Raster(np.frombuffer(data, "<f4").reshape(-1, int(h), int(w)), tuple(transform), int(epsg), list(names))
+                os.makedirs(path, exist_ok=True)
+                with tempfile.NamedTemporaryFile(dir=path, prefix=".", delete=False) as f:
+                    f.write(tiff.write(r))
+                os.replace(f.name, f"{path}/{t}.tif")
+            yield pd.DataFrame({"n": [len(x)]})
+
+    columns = ["tile_id", "height", "width", "transform", "epsg", "names", "data"]
+    rasters.filter("data is not null").select(*columns).mapInPandas(run, "n long").agg(F.sum("n")).collect()
+
+
+def cached(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table kept under a key: read if it was written whole, else made and written."""
+    path = f"{folder.rstrip('/')}/{hashlib.sha256(key.encode()).hexdigest()[:32]}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_lr_range(steps: DataFrame, path: str) -> None:
+    """(global_step, lr, loss) as one CSV in the order of steps."""
+    steps.select("global_step", "lr", "loss").coalesce(1).sortWithinPartitions("global_step").write.mode("overwrite").csv(path, header=True)
+
+
 def append_csv(spark: SparkSession, new: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Old and new rows in one file set under the given columns; it is written beside the old one and then takes its place."""
     path = path.rstrip("/")

@@ -52,8 +52,9 @@ def unlzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def read(raw: bytes, bands: Sequence[int] | None = None) -> Raster:
-    """The raster, or only some of its bands (from 0), in their order."""
+def read(raw: bytes, bands: Sequence[int] | None = None, window: tuple[int, int, int, int] | None = None) -> Raster:
+    """The raster, or only some of its bands (from 0), in their order. window: (row, column, height, width) of the part that is
+    wanted; only strips that it touches, of bands that are wanted, are unpacked."""
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
     if order is None or struct.unpack(order + "H", raw[2:4])[0] != 42:
         raise ValueError("not a TIFF")
@@ -71,24 +72,38 @@ def read(raw: bytes, bands: Sequence[int] | None = None) -> Raster:
     h, w, n, bits, kind = one(HEIGHT), one(WIDTH), one(SAMPLES, 1), one(BITS, 8), one(FORMAT, 1)
     dtype = np.dtype(f"{order}{'uif'[kind - 1]}{bits // 8}")
     inflate = {1: bytes, 5: unlzw}.get(one(COMPRESSION, 1), zlib.decompress)
-    flat = np.frombuffer(b"".join(inflate(raw[o : o + c]) for o, c in zip(tags[OFFSETS], tags[COUNTS], strict=True)), dtype)
-    data = flat.reshape(n, h, w) if one(PLANAR, 1) == 2 else flat.reshape(h, w, n).transpose(2, 0, 1)
-    data = (data if bands is None else data[list(bands)]).astype(dtype.newbyteorder("="))
+    top, left, rows, cols = window or (0, 0, h, w)
+    if top < 0 or left < 0 or rows < 1 or cols < 1 or top + rows > h or left + cols > w:
+        raise ValueError("the window leaves the raster")
+    per = min(one(ROWS_PER_STRIP, h), h)
+    planes, wanted = -(-h // per), range(n) if bands is None else list(bands)
+    a, z = top // per, (top + rows - 1) // per + 1
+
+    def plane(p: int, values: int) -> np.ndarray:
+        strips = zip(tags[OFFSETS][p * planes + a : p * planes + z], tags[COUNTS][p * planes + a : p * planes + z], strict=True)
+        return np.frombuffer(b"".join(inflate(raw[o : o + c]) for o, c in strips), dtype).reshape(-1, w, values)[top - a * per :][:rows, left : left + cols]
+
+    if one(PLANAR, 1) == 2:
+        data = np.stack([plane(range(n)[b], 1)[:, :, 0] for b in wanted])
+    else:
+        data = plane(0, n).transpose(2, 0, 1)[list(wanted)]
+    data = data.astype(dtype.newbyteorder("="))
     sx, sy = tags.get(PIXEL_SCALE, (1.0, 1.0))[:2]
     col, row, _, x, y = tags.get(TIE_POINT, (0.0,) * 5)[:5]
     keys = tags.get(GEO_KEYS, ())
     found = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i + 1] == 0}
     names = one(DESCRIPTION, "")
-    return Raster(np.ascontiguousarray(data), (sx, 0.0, x - col * sx, 0.0, -sy, y + row * sy), next((found[k] for k in CRS_KEYS if k in found), 0), names.split(",") if names else [])
+    return Raster(np.ascontiguousarray(data), (sx, 0.0, x - col * sx + left * sx, 0.0, -sy, y + row * sy - top * sy), next((found[k] for k in CRS_KEYS if k in found), 0), names.split(",") if names else [])
 
 
-def write(r: Raster) -> bytes:
-    """Planar, one strip for each band, deflate."""
+def write(r: Raster, rows: int = 64) -> bytes:
+    """Planar, strips of some rows, deflate."""
     n, h, w = r.data.shape
-    strips = [zlib.compress(np.ascontiguousarray(b).tobytes(), 6) for b in r.data]
+    rows = min(rows, h)
+    strips = [zlib.compress(np.ascontiguousarray(b[i : i + rows]).tobytes(), 6) for b in r.data for i in range(0, h, rows)]
     kind = {"u": 1, "i": 2, "f": 3}[r.data.dtype.kind]
     a, _, c, _, e, f = r.transform
-    fields = [(WIDTH, "I", [w]), (HEIGHT, "I", [h]), (BITS, "H", [r.data.dtype.itemsize * 8] * n), (COMPRESSION, "H", [8]), (PHOTOMETRIC, "H", [1]), (DESCRIPTION, "s", ",".join(r.bands)), (OFFSETS, "I", [0] * n), (SAMPLES, "H", [n]), (ROWS_PER_STRIP, "I", [h]), (COUNTS, "I", [len(s) for s in strips]), (PLANAR, "H", [2]), (FORMAT, "H", [kind] * n), (PIXEL_SCALE, "d", [a, -e, 0.0]), (TIE_POINT, "d", [0.0, 0.0, 0.0, c, f, 0.0]), (GEO_KEYS, "H", [1, 1, 0, 1, 3072, 0, 1, r.epsg])]
+    fields = [(WIDTH, "I", [w]), (HEIGHT, "I", [h]), (BITS, "H", [r.data.dtype.itemsize * 8] * n), (COMPRESSION, "H", [8]), (PHOTOMETRIC, "H", [1]), (DESCRIPTION, "s", ",".join(r.bands)), (OFFSETS, "I", [0] * len(strips)), (SAMPLES, "H", [n]), (ROWS_PER_STRIP, "I", [rows]), (COUNTS, "I", [len(s) for s in strips]), (PLANAR, "H", [2]), (FORMAT, "H", [kind] * n), (PIXEL_SCALE, "d", [a, -e, 0.0]), (TIE_POINT, "d", [0.0, 0.0, 0.0, c, f, 0.0]), (GEO_KEYS, "H", [1, 1, 0, 1, 3072, 0, 1, r.epsg])]
     fields = [x for x in fields if not (x[0] == DESCRIPTION and not r.bands)]
     at = 8 + 2 + 12 * len(fields) + 4
     sizes = [len(v) + 1 if k == "s" else struct.calcsize(k) * len(v) for _, k, v in fields]
