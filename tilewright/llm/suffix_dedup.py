@@ -31,6 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,13 +163,22 @@ def single(text: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray,
     return deep[at], deep[at + SPAN - DEEP], at, at
 
 
+def parts(lists: pa.ListArray) -> list[pa.Array]:
+    """The list of each row, as long as it may be, without an object for each entry."""
+    values, at = lists.flatten(), np.append(0, np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)))
+    return [values.slice(a, z - a) for a, z in zip(at, at[1:], strict=False)]
+
+
 def finer(texts: DataFrame, split: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
     """texts: c1, c2, text and todo, a list of pieces (x, y) of it. The finer pieces, as PIECES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches):
-            for c1, c2, text, todo in zip(*(b.column(k).to_pylist() for k in (0, 1)), common.as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
-                x, y = np.unique(np.array([(t["x"], t["y"]) for t in todo]), axis=0).T
+            todo = parts(b.column(3))
+            for i, text in enumerate(common.as_bytes(b.column(2))):
+                c1, c2 = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                t = todo[i]
+                x, y = np.unique(np.stack([t.field(k).to_numpy() for k in (0, 1)], 1), axis=0).T
                 data, at = np.frombuffer(text, np.uint8), 0
                 while at < len(x):  # in parts of a long text, with all bytes around that a piece may need
                     to = max(at + 1, int(np.searchsorted(x, x[at] + PIECE)))
@@ -181,9 +191,8 @@ def finer(texts: DataFrame, split: Callable[..., tuple[np.ndarray, ...]]) -> Dat
     return texts.select("c1", "c2", "text", "todo").mapInArrow(run, PIECES)
 
 
-def spans(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
-    """Maximal covered runs; runs that touch are one."""
-    s, e = np.array(starts), np.array(ends)
+def spans(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal covered runs of starts and ends; runs that touch are one."""
     order = np.argsort(s, kind="stable")
     s, e = s[order], np.maximum.accumulate(e[order])
     new = np.append(True, s[1:] > e[:-1])
@@ -199,9 +208,10 @@ def cut(texts: DataFrame, with_bytes: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches):
-            rows = []
-            for c1, c2, text, starts, ends in zip(*(b.column(k).to_pylist() for k in (0, 1)), common.as_bytes(b.column(2)), *(b.column(k).to_pylist() for k in (3, 4)), strict=True):
-                found = spans(starts, ends)
+            rows, starts, ends = [], parts(b.column(3)), parts(b.column(4))
+            for i, text in enumerate(common.as_bytes(b.column(2))):
+                c1, c2 = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                found = spans(starts[i].to_numpy(), ends[i].to_numpy())
                 kept = b"".join(text[a:z] for a, z in zip([0, *(f[1] for f in found)], [*(f[0] for f in found), len(text)], strict=True))
                 rows.append((c1, c2, len(text) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), kept if with_bytes else None, [{"start": s, "end": e} for s, e in found] if with_bytes else None))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
