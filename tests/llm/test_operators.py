@@ -291,10 +291,11 @@ def test_media_columns(spark, odd):
 
 
 def test_media_of_a_text_longer_than_a_chunk(spark):
-    text = prose(random.Random(40), 400_000)
+    text = "".join(random.Random(40).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .", k=3_000_000))
+    assert len(media.encode_png(media.payload_of(text.encode()))) > 2 * media.IDAT_BYTES
     row = media.features(media.encode(frame(spark, [text]))).collect()[0]
     p = media.payload_of(text.encode())
-    assert len(p) > media.IDAT_BYTES and (row.payload_bytes, row.payload_sha256, row.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+    assert (row.payload_bytes, row.payload_sha256, row.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
 
 
 # --- 4: repeated strings
@@ -401,7 +402,11 @@ def test_packing(spark, odd):
         back[r.doc_id][r.doc_offset] = r.bytes
         n[r.doc_id, r.doc_offset] += 1
     assert {d: b"".join(v for _, v in sorted(p.items())) for d, p in back.items()} == texts and n[7, 0] == 4
-    enc, cache = packing.encoding(packing.RANKS), packing.Pieces(packing.RANKS)
+    raw = packing.ranks(spark)
+    assert packing.ranks(spark, f"file://{packing.RANKS}") == raw
+    with pytest.raises(Exception, match="nowhere"):
+        packing.ranks(spark, "/nowhere")
+    enc, cache = packing.encoding(raw), packing.Pieces(raw)
     for t in ("Hello  world's 12 é\n\n x", "", " a\u00a0b ", "<|endoftext|>", "".join(map(chr, range(128))), "a \x1c b\x1f\x1f c\t\t\td  \n ", "x\x85y \u2003z ½²"):
         assert cache.ids(t).tolist() == enc.encode_ordinary(t)
     assert packing.pack(spark.createDataFrame([], EMPTY)).count() == 0
@@ -495,6 +500,32 @@ def test_quality_held_out_and_compiled(spark):
     assert np.allclose([rows[i] for i in range(600)], p, atol=1e-9)
 
 
+def test_lasso_meets_its_optimality_conditions():
+    rng = np.random.default_rng(42)
+    f = (rng.random((400, 25)) < rng.random(25)).astype(float)
+    w = np.where(rng.random(25) < 0.3, rng.normal(0, 2, 25), 0)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(f @ w - 0.5)))).astype(float)
+    for penalty in (0.002, 0.01, 0.05):
+        b, got = quality.lasso(f, y, penalty, 20_000)
+        g = np.hstack([np.ones((400, 1)), f]).T @ (1 / (1 + np.exp(-(f @ got + b))) - y) / 400
+        assert abs(g[0]) < 1e-5 and (np.abs(g[1:][got == 0]) <= penalty + 1e-5).all()
+        assert np.allclose(g[1:][got != 0], -penalty * np.sign(got[got != 0]), atol=1e-5)
+
+
+def test_tree_paths_split_where_gain_is_greatest():
+    rng = np.random.default_rng(43)
+    x = rng.random((200, 3))
+    y = ((x[:, 1] > 0.6) ^ (rng.random(200) < 0.05)).astype(float)
+    cuts = [np.quantile(c, [0.2, 0.4, 0.6, 0.8]) for c in x.T]
+    codes = np.stack([np.searchsorted(c, v) for c, v in zip(cuts, x.T, strict=True)], 1)
+    p = np.full(200, y.mean())
+    grad, hess, rules = y - p, p * (1 - p), set()
+    quality.grow(x, codes, cuts, grad, hess, np.arange(200), 1, (), 5, rules, np.zeros(200))
+    score = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + 1)
+    j, c = max(((j, c) for j in range(3) for c in cuts[j]), key=lambda t: score(x[:, t[0]] > t[1]) + score(x[:, t[0]] <= t[1]))
+    assert rules == {((j, False, float(c)),), ((j, True, float(c)),)}
+
+
 def test_quality_odd(spark, odd):
     labels = spark.createDataFrame([(5, 1), (6, 0), (7, None), (None, 1)], "doc_id long, quality int")
     rows = quality.score(odd, quality.train(odd, labels)).collect()

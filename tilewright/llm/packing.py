@@ -9,13 +9,15 @@ Packing works on groups of GROUP_TOKENS tokens within a partition, in the order
 number of tokens and a lost task packs the same rows again.
 
 Defined results: a null text is the empty text, and an empty text is its end mark alone; special marks within a text are ordinary
-text; rows that repeat are packed again; an empty table gives an empty result. Only id and text are read.
+text; rows that repeat are packed again; an empty table gives an empty result. Only id and text are read. The vocabulary file is
+read on the driver, from its own disk or any place that Spark can read, and goes to the tasks with the job (MAX_RANKS bytes at
+most); how rows are grouped follows how the input is divided, so another division packs other rows of the same segments.
 """
 
 from __future__ import annotations
 
 import base64
-
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,21 +37,34 @@ END = 50256
 ROW_TOKENS = 2048
 GROUP_TOKENS = 1 << 20
 MAX_CACHE = 200_000
+MAX_RANKS = 64 << 20
+
+
+def ranks(spark: SparkSession, path: str = RANKS) -> bytes:
+    """A vocabulary file, whole."""
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            raw = f.read(MAX_RANKS + 1)
+    else:
+        files = spark.read.format("binaryFile").load(path)
+        raw = files.select("content").first()[0] if files.filter(F.col("length") <= MAX_RANKS).count() else None
+    if raw is None or len(raw) > MAX_RANKS:
+        raise ValueError(f"{path} isn't there or has more than {MAX_RANKS} bytes")
+    return bytes(raw)
 
 
 @lru_cache(maxsize=2)
-def encoding(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+def encoding(raw: bytes) -> tiktoken.Encoding:
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Pieces(dict):
     """Piece of a text to the bytes of its ids (little-endian int32)."""
 
-    def __init__(self, path: str):
+    def __init__(self, raw: bytes):
         super().__init__()
-        self.encode = encoding(path).encode_ordinary
+        self.encode = encoding(raw).encode_ordinary
         self.find = regex.compile(PATTERN).findall
 
     def __missing__(self, piece: str) -> bytes:
@@ -132,9 +147,10 @@ def pack_group(docs: list[tuple[int | None, np.ndarray]], width: int) -> list[tu
 
 def pack(docs: DataFrame, width: int = ROW_TOKENS, path: str = RANKS, group: int = GROUP_TOKENS) -> DataFrame:
     """Rows of width ids. doc_offsets: the first token of each segment within its document; cu_seqlens: 0 and the segments' ends."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks(docs.sparkSession, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, waiting, size = Pieces(path), [], 0
+        pieces, waiting, size = Pieces(shared.value), [], 0
 
         def packed() -> pa.RecordBatch:
             rows = pack_group(waiting, width)
@@ -162,9 +178,10 @@ def write_packed(packed: DataFrame, path: str) -> None:
 
 def unpack(packed: DataFrame, path: str = RANKS) -> DataFrame:
     """(doc_id, doc_offset, bytes): the text bytes of each segment, without the end mark."""
+    shared = packed.sparkSession.sparkContext.broadcast(ranks(packed.sparkSession, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoding(path).decode_bytes
+        decode = encoding(shared.value).decode_bytes
         for b in common.chunks(batches, "input_ids"):
             rows = []
             for docs, at, ends, ids in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
