@@ -196,7 +196,7 @@ def _schedule(s: SparkSession) -> DataFrame:
 
 
 QUERIES = {
-    "o01_sorted_ids": lambda s, d: _c(s, d).filter("region = 'NATION_3'").select("tile_id").orderBy("tile_id"),
+    "o01_sorted_ids": lambda s, d: _c(s, d).select("tile_id").orderBy("tile_id"),
     "o02_limit_after_sort": lambda s, d: first_n(_c(s, d).select("tile_id", "region"), 20, "tile_id"),
     "o05_fraction_sample": lambda s, d: sample_fraction(_c(s, d).select("tile_id"), "tile_id", 0.02),
     "o06_positives_and_some": lambda s, d: all_of_one_some_of_other(_c(s, d).select("tile_id", "train_class"), "tile_id", "train_class", "Positive", 200),
@@ -232,7 +232,7 @@ def _batches_sql(n_pos: int, n_neg: int) -> str:
 
 
 SQL = {
-    "o01_sorted_ids": f"{W_} SELECT tile_id FROM cat WHERE region = 'NATION_3' ORDER BY 1",
+    "o01_sorted_ids": f"{W_} SELECT tile_id FROM cat ORDER BY 1",
     "o02_limit_after_sort": f"{W_} SELECT tile_id, region FROM cat ORDER BY tile_id LIMIT 20",
     "o05_fraction_sample": f"{W_}, n AS (SELECT tile_id, row_number() OVER (ORDER BY {H('tile_id', SEED)}, tile_id) AS i, count(*) OVER () AS n FROM cat) SELECT tile_id FROM n WHERE i <= greatest(1, floor(n * 0.02))",
     "o06_positives_and_some": f"{W_} SELECT tile_id, train_class FROM cat WHERE train_class = 'Positive' UNION ALL FROM (SELECT tile_id, train_class FROM cat WHERE train_class <> 'Positive' ORDER BY {H('tile_id', SEED)}, tile_id LIMIT 200)",

@@ -240,6 +240,7 @@ def _prices(spark, d):
     return schema.table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 97).cast("double").alias("code"))
 
 
+# A logarithm needs a value above 0; at 0.5 and below the sensor's noise stands for no measurement, as where a scene has no data.
 QUERIES = {
     "a09_channel_stats": lambda s, d: _rounded_stats(channel_stats(_li(s, d), CHANNELS)),
     "a10_clipped_stats": lambda s, d: clipped(_li(s, d), "l_extendedprice", 0.02, 0.98, "l_returnflag").groupBy("l_returnflag").agg(F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.stddev_pop("l_extendedprice"), 4).alias("std")),
