@@ -339,8 +339,8 @@ def near_duplicates(docs: DataFrame, stages: common.Stages, k: int = 2, similar:
     comps = components(links.union(joins.join(hubs, "doc_id").select(F.col("id").alias("a"), F.col("hub").alias("b"))), stages)
     named = classes.join(comps, "id", "left").select("h1", "h2", "least", F.coalesce("comp", "id").alias("comp"))
     named = stages.put(named)
-    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    # written, so that the join with a class of very many rows can be split
+    # both written, so that joins with a component of very many classes and a class of very many rows can be split
+    least = stages.put(named.groupBy("comp").agg(F.min("least").alias("component_id")))
     component = stages.put(named.join(least, "comp").select("h1", "h2", "component_id"))
     found = rows.filter("n > 0").join(component, ["h1", "h2"]).select("doc_id", "n", "component_id")
     whole = found.union(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
