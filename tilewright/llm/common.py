@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -45,26 +45,36 @@ def file_system(spark: SparkSession, path: str):
 class Stages:
     """Tables written to the shared folder to cut lineage; drop() removes those that nothing reads any more.
 
-    A lost executor costs only the tasks that it ran: what a stage has written is read again from the shared folder.
+    A lost executor costs only the tasks that it ran: what a stage has written is read again from the shared folder. Tables that a
+    result still reads stay there after it; clear() removes those when the result has been used.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
+        self.live: set[str] = set()
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.live.add(path)
         out._stage_path = path
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
-            fs, path = file_system(self.spark, df._stage_path)
-            fs.delete(path, True)
+            self._delete(df._stage_path)
+
+    def clear(self, *keep: DataFrame, before: Collection[str] = ()) -> None:
+        """Removes all tables but those in keep and those that were there before: a copy of `live` from then."""
+        for path in self.live - {df._stage_path for df in keep} - set(before):
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        fs, at = file_system(self.spark, path)
+        fs.delete(at, True)
+        self.live.discard(path)
 
 
 def words(text: Column) -> Column:

@@ -324,6 +324,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterato
 
 def near_duplicates(docs: DataFrame, stages: common.Stages, k: int = 2, similar: int = SIMILAR, exact: bool = False) -> DataFrame:
     """docs: doc_id and text. Per row: doc_id, n_shingles, component_id and kept. exact: check all pairs of the index in full."""
+    before = set(stages.live)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), "text"))  # rows with the same id and text are one
     rows = stages.put(set_features(docs, k, similar))
@@ -342,6 +343,7 @@ def near_duplicates(docs: DataFrame, stages: common.Stages, k: int = 2, similar:
     # both written, so that joins with a component of very many classes and a class of very many rows can be split
     least = stages.put(named.groupBy("comp").agg(F.min("least").alias("component_id")))
     component = stages.put(named.join(least, "comp").select("h1", "h2", "component_id"))
+    stages.clear(rows, component, before=before)
     found = rows.filter("n > 0").join(component, ["h1", "h2"]).select("doc_id", "n", "component_id")
     whole = found.union(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -115,6 +115,7 @@ def _newton(sizes: DataFrame, state: DataFrame) -> DataFrame:
 
 def solve(df: DataFrame, stages: common.Stages, weights: Sequence[float] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """(source, source_size, target, lam, _mean, _edge, _steps) for each source of df (doc_id, text, source)."""
+    before = set(stages.live)
     rows = stages.put(df.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")))
     sizes = stages.put(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     per = sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("size"), F.sum("n").alias("n_docs"))
@@ -122,7 +123,9 @@ def solve(df: DataFrame, stages: common.Stages, weights: Sequence[float] = WEIGH
     rows = stages.put(placed(rows, goals).select("source", "size", "_at"))
     steps = _shifts(rows, goals, stages).select(F.col("source").alias("_s"), "_steps")
     # written, so that its size is known where the documents are joined to it
-    return stages.put(goals.join(steps, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
+    out = stages.put(goals.join(steps, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
+    stages.clear(out, before=before)
+    return out
 
 
 def placed(rows: DataFrame, goals: DataFrame) -> DataFrame:

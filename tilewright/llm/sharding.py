@@ -376,11 +376,12 @@ def prior_shard(text: Column, n_old: int = N_OLD) -> Column:
 def digest(docs: DataFrame, stages: common.Stages) -> DataFrame:
     """docs (doc_id, text), read from files, from N_OLD to N_NEW shards under the law of rows, written with their texts below
     stages.root/shards, which stays; what it returns is read back from there. groups_split: texts whose copies lie in several shards."""
-    text = F.col("text").cast("string")
+    before, text = set(stages.live), F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), "_metadata")
     assigned, short, placement = reshard(rows, prior_shard(F.col("text")), text_bytes(F.col("text")) + 1, F.col("text"), N_NEW, stages)
     path = f"{stages.root}/shards"
     rewrite(assigned.select("doc_id", "text", "old_shard", "shard"), moved(short), path)
+    stages.clear(before=before)
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32")
     size = (text_bytes(F.col("text")) + 1).alias("size")
     out = read_shards(docs.sparkSession, path, "doc_id long, text string, old_shard int", "doc_id", size, crc, "old_shard")

@@ -227,6 +227,7 @@ def step(pieces: DataFrame, stages: common.Stages) -> tuple[DataFrame, DataFrame
     # what is joined by bucket is written before, so that the join with a bucket of very many pieces can be split
     buckets = stages.put(buckets.select("bucket", (F.col("r1") != F.col("r2")).alias("mixed")))
     left = stages.put(pieces.join(buckets, "bucket"))
+    stages.drop(buckets)
     mixed = left.filter("mixed")
     kinds = mixed.groupBy("bucket", "pointers").agg(F.min(F.struct("place", "c1", "c2", "x", "y")).alias("one"), F.max("place").alias("p2"))
     kinds = stages.put(kinds.select("bucket", "pointers", "one", (F.col("one.place") != F.col("p2")).alias("whole")))
@@ -243,6 +244,7 @@ def remove_repeats(docs: DataFrame, stages: common.Stages, with_bytes: bool = Fa
 
     shortened: whether any byte is removed, which n_bytes, the length before, doesn't show.
     """
+    before = set(stages.live)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     docs = docs.select("doc_id", "text", *content_key(F.col("text")), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rep"))
@@ -251,17 +253,20 @@ def remove_repeats(docs: DataFrame, stages: common.Stages, with_bytes: bool = Fa
     classes = stages.put(rows.filter(F.col("n_bytes") >= SPAN).groupBy(*own).agg(F.min("rep").alias("rep"), F.count("*").alias("c")))
     pieces = stages.put(all_runs(docs))
     left, whole, todo = step(pieces, stages)
+    stages.drop(pieces)
     # texts are dealt out once: those of one row of each class that has a repeated q-gram
     texts = stages.put(texts_of(docs, left.select(*own).distinct().join(classes, own)))
     covered = [whole]
     for split in (blocks, single):
         finer_pieces = stages.put(finer(texts.join(todo, own), split))
         left, whole, todo = step(finer_pieces, stages)
+        stages.drop(finer_pieces)
         covered.append(whole)
     # a class with several members goes as a whole, so its own pieces don't matter
     alone = reduce(DataFrame.union, covered).distinct().join(classes.filter("c = 1"), own, "left_semi")
     alone = alone.groupBy(*own).agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
     done = stages.put(cut(texts.join(alone, own), with_bytes))
+    stages.clear(rows, done, classes, before=before)
     out = rows.join(done, own, "left").join(classes.filter("c > 1").select(*own, F.lit(True).alias("gone")), own, "left")
     none = hashlib.sha256(b"").hexdigest()
     result = ["doc_id", "n_bytes", F.when(F.col("gone"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"), F.when(F.col("gone"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(F.col("gone"), none).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256")]
