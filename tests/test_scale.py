@@ -87,6 +87,19 @@ def test_nearest_feature_by_cells(spark, monkeypatch):
         assert math.isclose(got[i], want, abs_tol=1e-9)
 
 
+def test_nearest_to_candidates_in_clusters(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "HELD", 5)
+    monkeypatch.setattr(spatial, "CROWDED", 8)
+    rng = random.Random(8)
+    at = [(i, rng.gauss(0, 1) if i % 2 else rng.uniform(-1e4, 1e4), rng.gauss(0, 1)) for i in range(80)]
+    c = [(i, rng.gauss(0, 0.01), rng.gauss(0, 0.01)) for i in range(200)] + [(200, 1e4, 1e4), (201, -1e4, 0.0)] + [(300 + i, 0.5, 0.5) for i in range(30)]
+    out = spatial.nearest_centroid(spark.createDataFrame(at, "id int, x double, y double"), spark.createDataFrame(c, "name int, cx double, cy double"), "id", "name")
+    for r in out.collect():
+        _, x, y = at[r.id]
+        d, name = min((math.sqrt((x - a) ** 2 + (y - b) ** 2), k) for k, a, b in c)
+        assert r.name == name and math.isclose(r.dist, d, abs_tol=1e-9)
+
+
 def test_nearest_without_candidates_or_extent(spark, monkeypatch):
     monkeypatch.setattr(spatial, "HELD", 1)
     _, df = points_of(spark, 5)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schema
 
 HELD, HELD_POINTS = 1000, 20_000  # candidates, and their polygons' points, that each task may hold
-WIDER = 8
+WIDER, CROWDED = 8, 64
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -56,7 +56,8 @@ def _nearest(points: DataFrame, candidates: DataFrame, key: str, name: str, dist
 
     A point looks at the candidates that touch the nine cells around it; what isn't there is a cell's width away at least. Points
     whose best is farther than that go on with cells WIDER times as wide, until the nine cells hold everything. The first cells
-    hold few candidates each, and no row of points meets all of them.
+    hold few candidates each (CROWDED, unless polygons are larger than such cells), so a point with a candidate nearby meets few. One
+    that is far from all meets those of ever wider cells.
     """
     best = F.struct(F.col("_d").alias("dist"), F.col(name))
     e = candidates.agg(F.count("*").alias("n"), F.min("min_x").alias("x0"), F.max("max_x").alias("x1"), F.min("min_y").alias("y0"), F.max("max_y").alias("y1"), F.greatest(F.avg(F.col("max_x") - F.col("min_x")), F.avg(F.col("max_y") - F.col("min_y"))).alias("side")).first()
@@ -66,6 +67,8 @@ def _nearest(points: DataFrame, candidates: DataFrame, key: str, name: str, dist
         width, height = e.x1 - e.x0, e.y1 - e.y0
         reach = max(max(e.x1, p.x1) - min(e.x0, p.x0), max(e.y1, p.y1) - min(e.y0, p.y0))
         cell = max(2 * (width * height / e.n) ** 0.5, e.side, max(width, height) / 1e6) or 1.0
+        while cell / WIDER > max(e.side, reach / 1e9) and cells_of(candidates, cell).groupBy("cx", "cy").count().filter(F.col("count") > CROWDED).limit(1).count():
+            cell /= WIDER  # candidates lie in clusters
         while True:
             around = F.array(*(F.struct((F.floor(F.col("x") / cell) + i).alias("cx"), (F.floor(F.col("y") / cell) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
             none = F.array(F.lit(None).cast("struct<cx:bigint,cy:bigint>"))
@@ -90,7 +93,7 @@ def _held(points: DataFrame, candidates: DataFrame, key: str, name: str, distanc
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, name: str) -> DataFrame:
     """(key, name, dist): the centroid (name, cx, cy) nearest to each point (key, x, y), ties to the least name."""
-    c = centroids.select(name, F.col("cx").cast("double").alias("_x"), F.col("cy").cast("double").alias("_y"))
+    c = centroids.groupBy(F.col("cx").cast("double").alias("_x"), F.col("cy").cast("double").alias("_y")).agg(F.min(name).alias(name))
     d = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
     if c.limit(HELD + 1).count() <= HELD:
         return _held(points, c, key, name, d)
