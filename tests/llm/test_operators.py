@@ -338,6 +338,50 @@ def test_repeated_strings(spark, stages):
         assert r.shortened == any(c)
 
 
+def sharing(texts: dict) -> set:
+    """The ids of documents with 51 words in a row that another document has too."""
+    at = defaultdict(set)
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        for k in range(len(w) - 50):
+            at[tuple(w[k : k + 51])].add(i)
+    return {i for ids in at.values() if len(ids) > 1 for i in ids}
+
+
+def test_shared_passages(spark, stages):
+    rng = random.Random(44)
+    short = lambda n: " ".join(rng.choice("a b c d ef gh".split()) for _ in range(n))
+    passages = [short(n) for n in (49, 50, 51, 52, 60)] + [prose(rng, n) for n in (50, 51, 80)]
+    texts = {}
+    for i in range(60):
+        parts = [prose(rng, rng.randrange(0, 60)) for _ in range(3)]
+        parts.insert(rng.randrange(4), rng.choice(passages) if i % 2 else "")
+        if i % 7 == 0:
+            parts = [p.upper().replace(" ", rng.choice([" \n", "\t", "  "])) for p in parts]
+        texts[i] = " ".join(parts)
+    twice = prose(rng, 55)
+    texts |= {70: short(51), 71: None, 72: "", 73: twice + " x " + twice, 74: "é" * 300_000 + " " + passages[4], 75: prose(rng, 60_000) + " " + passages[3] + " " + prose(rng, 100)}
+    texts |= {76: short(55), 80: prose(rng, 50), 81: prose(rng, 51)}
+    texts |= {82: texts[80], 83: texts[81], 84: texts[76]}
+    rows = {r.doc_id: r.shared for r in suffix_dedup.remove_repeats(frame(spark, list(texts.values()), ids=list(texts)), stages).collect()}
+    want = sharing(texts)
+    assert {i for i, s in rows.items() if s} == want and 20 < len(want) < 50 and {74, 75, 76, 81} <= want and not {70, 73, 80} & want
+
+
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", 64)
+    rng = random.Random(45)
+    words = ["".join(rng.choices("abcXYZé", k=rng.choice([1, 2, 9, 60, 130]))) for _ in range(80)]
+    text = "".join(rng.choice(words) + rng.choice([" ", "\n\t ", "  "]) for _ in range(900)).encode()
+    h, at = suffix_dedup.words_of(np.frombuffer(text, np.uint8))
+    plain = re.findall(rb"[^\x20\x09-\x0D]+", text.lower())
+    assert len(h) == len(plain) and all(text[a:].lower().startswith(w) for a, w in zip(at, plain, strict=True))
+    by = defaultdict(set)
+    for w, x in zip(plain, h.tolist(), strict=True):
+        by[w].add(x)
+    assert len(set.union(*by.values())) == len(by) and all(len(x) == 1 for x in by.values())
+
+
 def test_repeated_strings_of_all_small_documents(spark, stages):
     """Every document of the smallest tables, by positions of all strings of 400 bytes."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
@@ -347,6 +391,7 @@ def test_repeated_strings_of_all_small_documents(spark, stages):
         kept = bytes(b for b, x in zip(t, c, strict=True) if not x)
         n_spans = sum(1 for k in range(len(c)) if c[k] and (k == 0 or not c[k - 1]))
         assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) == (len(t), sum(c), n_spans, hashlib.sha256(kept).hexdigest())
+    assert {i for i, r in rows.items() if r.shared} == sharing({r.doc_id: r.text for r in docs.collect()})
 
 
 def test_repeats_across_pieces_of_a_long_text(spark, stages):

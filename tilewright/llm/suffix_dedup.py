@@ -18,6 +18,10 @@ repeated as a whole. Of a bucket with different pieces one of each kind goes on
 
 Equal texts form a class that takes part once; a class with several members of at least 400 bytes is repeated as a whole.
 
+A passage of many short words may be shorter than 400 bytes. So the same refinement runs over words too, A-Z lower-cased: its q-grams
+are GRAM words long, its depth is PASSAGE = 51 words, and runs go to single suffixes at once. It removes nothing; it marks the
+documents of which over 50 words in a row stand in another document as well.
+
 Defined results: a null text is the empty text; texts under 400 bytes keep all bytes; rows that repeat, and rows with
 null ids, are documents of their own, so a repeated row of at least 400 bytes loses all bytes in each. Empty tables give
 empty results. Only id and text are read, so other columns can't clash.
@@ -42,6 +46,13 @@ TABLE = np.random.default_rng(4).integers(0, 1 << 64, 256, np.uint64)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 GROUP = 1 << 17  # bytes that are refined together
 PIECE = 1 << 20  # suffixes of a text that are refined together
+PASSAGE, GRAM = 51, 20  # words
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+ODD = 0x9E3779B97F4A7C15
+POWER = np.append(np.uint64(1), np.cumprod(np.full((1 << 18) - 1, ODD, np.uint64)))
+INVERSE = np.append(np.uint64(1), np.cumprod(np.full((1 << 18) - 1, pow(ODD, -1, 1 << 64), np.uint64)))
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -191,6 +202,114 @@ def finer(texts: DataFrame, split: Callable[..., tuple[np.ndarray, ...]]) -> Dat
     return texts.select("c1", "c2", "text", "todo").mapInArrow(run, PIECES)
 
 
+def words_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, and where it starts; in parts that end between words."""
+    gap = np.flatnonzero(SPACE[text])
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(text):
+        to = len(text)
+        if to - at > GROUP:
+            k = int(np.searchsorted(gap, at + GROUP, side="right"))
+            to = int(gap[k - 1]) + 1 if k and gap[k - 1] >= at else int(gap[k]) + 1 if k < len(gap) else to
+        part = text[at:to]
+        black = ~SPACE[part]
+        s = np.flatnonzero(black & ~np.append(False, black[:-1]))
+        e = np.flatnonzero(black & ~np.append(black[1:], False))
+        long = e - s + 1 >= GROUP  # such a word fills a part
+        h = np.zeros(len(s), np.uint64)
+        if not long.all():
+            v = TABLE[FOLD[part]] * POWER[: to - at]
+            total = np.cumsum(v)
+            h = (total[e] - total[s] + v[s]) * INVERSE[s]
+        for i in np.flatnonzero(long):
+            h[i] = hash64(FOLD[part[s[i] : e[i] + 1]].tobytes())
+        hashes.append(pair(h, (e - s).astype(np.uint64)))
+        starts.append(s + at)
+        at = to
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def hash64(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+
+
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """Buckets at a depth of n words of every suffix that is long enough."""
+    size = 1
+    while 2 * size <= n:
+        h, size = pair(h[:-size], h[size:]), 2 * size
+    return pair(h[: len(h) - (n - size)], h[n - size :]) if n > size else h
+
+
+WORD_RUNS = "c1 long, bucket long, x int, y int"
+
+
+def word_runs(docs: DataFrame) -> DataFrame:
+    """The runs of suffixes with one least q-gram of words, of every text of PASSAGE words or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.chunks(batches):
+            texts, c1 = [t or b"" for t in common.as_bytes(b.column(1))], b.column(0).to_numpy(zero_copy_only=False)
+            group, size = [], 0
+            for i, t in enumerate([*texts, None]):
+                if group and (t is None or size + len(t) > GROUP):
+                    ends = np.cumsum([len(texts[k]) + 1 for k in group])
+                    h, at = words_of(np.frombuffer(b" ".join(texts[k] for k in group), np.uint8))
+                    doc = np.searchsorted(ends, at, side="right")
+                    first = np.searchsorted(doc, np.arange(len(group)))
+                    if len(h) >= PASSAGE:
+                        yield _word_runs(h, doc, first, c1[group])
+                    group, size = [], 0
+                if t is not None:
+                    group.append(i)
+                    size += len(t)
+
+    return docs.filter(F.octet_length("text") > 2 * (PASSAGE - 1)).select("c1", "text").mapInArrow(run, WORD_RUNS)
+
+
+def _word_runs(h: np.ndarray, doc: np.ndarray, first: np.ndarray, c1: np.ndarray) -> pa.RecordBatch:
+    q, n = grams(h, GRAM), PASSAGE - GRAM + 1
+    m, k = q, 1
+    while 2 * k <= n:
+        m, k = np.minimum(m[:-k], m[k:]), 2 * k
+    m = np.minimum(m[: len(m) - (n - k)], m[n - k :])
+    at = np.flatnonzero(doc[: len(m)] == doc[PASSAGE - 1 : PASSAGE - 1 + len(m)])
+    new = np.ones(len(at), bool)
+    new[1:] = (m[at[1:]] != m[at[:-1]]) | (q[at[:-1]] == m[at[:-1]]) | (np.diff(at) > 1) | (doc[at[1:]] != doc[at[:-1]])
+    x = at[np.flatnonzero(new)]
+    y = at[np.append(np.flatnonzero(new)[1:], len(at))[: len(x)] - 1]
+    own = doc[x]
+    return pa.RecordBatch.from_arrays([pa.array(c1[own]), pa.array(m[x].view(np.int64)), pa.array((x - first[own]).astype(np.int32)), pa.array((y - first[own]).astype(np.int32))], names=["c1", "bucket", "x", "y"])
+
+
+def shared_passages(docs: DataFrame, classes: DataFrame, stages: common.Stages) -> DataFrame:
+    """(c1, c2) of the classes that share PASSAGE words in a row with another document. docs: c1, c2, rep, text; classes: c1, c2, rep, c."""
+
+    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.chunks(batches):
+            todo = parts(b.column(2))
+            for i, text in enumerate(common.as_bytes(b.column(1))):
+                deep = grams(words_of(np.frombuffer(text, np.uint8))[0], PASSAGE)
+                x, y = (todo[i].field(k).to_numpy() for k in (0, 1))
+                n = y - x + 1
+                at = np.unique(np.repeat(x - np.cumsum(n) + n, n) + np.arange(n.sum()))
+                found = np.unique(deep[at])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b.column(0)[i].as_py())), pa.array(found.view(np.int64))], names=["c1", "bucket"])
+
+    def of_several(rows: DataFrame) -> DataFrame:
+        """The rows in buckets with several texts; what is joined is written, so that a hot bucket can be split."""
+        shared = rows.groupBy("bucket").agg(F.min("c1").alias("a"), F.max("c1").alias("z")).filter("a != z").select("bucket")
+        return rows.join(stages.put(shared), "bucket")
+
+    runs_ = stages.put(word_runs(docs.select("c1", "text")))
+    todo = of_several(runs_).groupBy("c1").agg(F.collect_list(F.struct("x", "y")).alias("todo"))
+    copies = stages.put(classes.filter("c > 1").select("c1", "c2").join(runs_, "c1", "left_semi"))
+    texts = texts_of(docs, stages.put(todo.join(classes, "c1").select("c1", "c2", "rep", "todo")))
+    found = stages.put(texts.select("c1", "text", "todo").mapInArrow(singles, "c1 long, bucket long"))
+    alike = of_several(found).select("c1").distinct().join(classes, "c1").select("c1", "c2")
+    return alike.union(copies).distinct()
+
+
 def spans(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
     """Maximal covered runs of starts and ends; runs that touch are one."""
     order = np.argsort(s, kind="stable")
@@ -242,7 +361,8 @@ def step(pieces: DataFrame, stages: common.Stages) -> tuple[DataFrame, DataFrame
 def remove_repeats(docs: DataFrame, stages: common.Stages, with_bytes: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and shortened; with_bytes: also kept and spans.
 
-    shortened: whether any byte is removed, which n_bytes, the length before, doesn't show.
+    shortened: whether any byte is removed, which n_bytes, the length before, doesn't show. shared: whether over 50 words in a row
+    stand in another document too, however few bytes these are.
     """
     before = set(stages.live)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -250,7 +370,9 @@ def remove_repeats(docs: DataFrame, stages: common.Stages, with_bytes: bool = Fa
     docs = docs.select("doc_id", "text", *content_key(F.col("text")), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rep"))
     rows = stages.put(docs.select("doc_id", "rep", "c1", "c2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
     own = ["c1", "c2"]
-    classes = stages.put(rows.filter(F.col("n_bytes") >= SPAN).groupBy(*own).agg(F.min("rep").alias("rep"), F.count("*").alias("c")))
+    classes = stages.put(rows.filter(F.col("n_bytes") > 2 * (PASSAGE - 1)).groupBy(*own).agg(F.min("rep").alias("rep"), F.count("*").alias("c"), F.max("n_bytes").alias("n")))
+    shared = stages.put(shared_passages(docs, classes, stages).withColumn("shared", F.lit(True)))
+    stages.clear(rows, classes, shared, before=before)
     pieces = stages.put(all_runs(docs))
     left, whole, todo = step(pieces, stages)
     stages.drop(pieces)
@@ -266,10 +388,11 @@ def remove_repeats(docs: DataFrame, stages: common.Stages, with_bytes: bool = Fa
     alone = reduce(DataFrame.union, covered).distinct().join(classes.filter("c = 1"), own, "left_semi")
     alone = alone.groupBy(*own).agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
     done = stages.put(cut(texts.join(alone, own), with_bytes))
-    stages.clear(rows, done, classes, before=before)
-    out = rows.join(done, own, "left").join(classes.filter("c > 1").select(*own, F.lit(True).alias("gone")), own, "left")
+    stages.clear(rows, done, classes, shared, before=before)
+    out = rows.join(done, own, "left").join(classes.filter((F.col("c") > 1) & (F.col("n") >= SPAN)).select(*own, F.lit(True).alias("gone")), own, "left").join(shared, own, "left")
     none = hashlib.sha256(b"").hexdigest()
     result = ["doc_id", "n_bytes", F.when(F.col("gone"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"), F.when(F.col("gone"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(F.col("gone"), none).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256")]
+    result.append(F.coalesce("shared", F.lit(False)).alias("shared"))
     return out.select(*result, *(["kept", "spans"] if with_bytes else [])).withColumn("shortened", F.col("n_removed") > 0)
 
 
