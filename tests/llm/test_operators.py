@@ -888,3 +888,16 @@ def test_registered(spark):
     numbers = sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES)
     assert numbers == list(range(1, 11))
     assert registry.QUERIES["op9_url_filter"](spark, SMALL).count() == 50
+
+
+@pytest.mark.parametrize("name", ["op2_minhash_hamming", "op4_suffix_dedup", "op9_url_filter"])
+def test_query_agrees_with_sql(spark, name):
+    from tilewright.llm import registry
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    df = registry.QUERIES[name](spark, SMALL)
+    columns = sorted(df.columns)
+    found = con.execute(f"SELECT {', '.join(columns)} FROM ({registry.SQL[name]})").fetchall()
+    assert Counter(tuple(r[c] for c in columns) for r in df.collect()) == Counter(tuple(r) for r in found)

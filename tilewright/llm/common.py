@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters outside ASCII white space (0x20, 0x09-0x0D).
 NOT_WORD = r"[\x20\x09-\x0D]+"
+#: The same in DuckDB, A-Z lower-cased: a list of the words of `text`.
+SQL_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL_WORDS = f"list_filter(regexp_split_to_array({SQL_FOLDED}, '{NOT_WORD}'), lambda x: x <> '')"
 #: A Python worker handles at most about so many text bytes at once, whatever the Arrow batch holds.
 CHUNK_BYTES = 8 << 20
 

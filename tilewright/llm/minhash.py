@@ -354,4 +354,13 @@ def op2_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_minhash_hamming": op2_minhash_hamming}
-SQL: dict[str, str] = {}
+SQL = {"op2_minhash_hamming": f"""WITH RECURSIVE w AS (SELECT doc_id, {common.SQL_WORDS} AS w FROM documents),
+  g AS (SELECT doc_id, unnest(CASE len(w) WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+  s AS (SELECT DISTINCT doc_id, g FROM g),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= {SIMILAR} * (x.n + y.n - i)),
+  e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+  r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+  m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)"""}

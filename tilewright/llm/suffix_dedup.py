@@ -412,4 +412,17 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
-SQL: dict[str, str] = {}
+SQL = {"op4_suffix_dedup": f"""WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+  p AS (SELECT doc_id, h, unnest(range(0, n - {SPAN - 1})) AS p FROM h WHERE n >= {SPAN}),
+  k AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, {2 * SPAN})) AS k FROM p),
+  r AS (SELECT doc_id, p FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) > 1)),
+  f AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {SPAN} THEN 0 ELSE 1 END AS f FROM r),
+  g AS (SELECT doc_id, p, sum(f) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM f),
+  s AS (SELECT doc_id, min(p) AS s, max(p) + {SPAN} AS e FROM g GROUP BY doc_id, g),
+  t AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM s),
+  c AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) AS kept, max(e) AS e FROM t JOIN h USING (doc_id) GROUP BY 1),
+  w AS (SELECT doc_id, {common.SQL_WORDS} AS w FROM documents),
+  q AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i + 1 : i + {PASSAGE}], ' ')) AS q FROM (SELECT doc_id, w, unnest(range(0, len(w) - {PASSAGE - 1})) AS i FROM w WHERE len(w) >= {PASSAGE})),
+  z AS (SELECT DISTINCT doc_id FROM q WHERE q IN (SELECT q FROM q GROUP BY q HAVING count(*) > 1))
+  SELECT h.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept || substr(h.h, 2 * e + 1), h.h))) AS kept_sha256, z.doc_id IS NOT NULL AS shared, coalesce(n_removed, 0) > 0 AS shortened
+  FROM h LEFT JOIN c USING (doc_id) LEFT JOIN z ON z.doc_id = h.doc_id"""}
