@@ -11,7 +11,7 @@ divided among shards, its large groups are dealt first, and the others follow in
 row count; a group across the cut goes to a later shard and the next ones take its rows. Only a group that fits into no
 shard's part of its block is divided, by its rows' places (Placement.split counts those).
 
-What decides is compiled into one expression over a row's old shard, size and hashes, so texts are never dealt out: each task writes
+What decides are short broadcast tables and an expression over a row's old shard, size and hashes, so texts are never dealt out: each task writes
 its rows to their shards, and a row's slot is its place in the shard's files. Only files of shards that gain or lose
 rows are written anew (rewrite()).
 
@@ -174,18 +174,16 @@ class Division:
     last: int = 0
 
     def column(self) -> Column:
+        """Where a row goes whose group isn't named; as long as there are cuts and split groups, which are few."""
         upto = lambda x, y, at: (F.col(x) < at[0]) | ((F.col(x) == at[0]) & (F.col(y) <= at[1]))
         out = F.lit(self.last)
         for at, j in reversed(self.cuts):
             out = F.when(upto("_g1", "_g2", at), j).otherwise(out)
-        is_ = lambda g: (F.col("_g1") == g[0]) & (F.col("_g2") == g[1])
-        for g, j in self.named.items():
-            out = F.when(is_(g), j).otherwise(out)
         for g, parts in self.split.items():
             own = F.lit(parts[-1][1])
             for at, j in reversed(parts[:-1]):
                 own = F.when(upto("_r1", "_r2", at), j).otherwise(own)
-            out = F.when(is_(g), own).otherwise(out)
+            out = F.when((F.col("_g1") == g[0]) & (F.col("_g2") == g[1]), own).otherwise(out)
         return out
 
 
@@ -268,13 +266,19 @@ class Placement:
         return sum(len(d.split) for _, d in self.divisions)
 
     def of(self, rows: DataFrame) -> DataFrame:
-        """rows (_old, _size and hashes) with their shard; the blocks' table is as long as there are blocks."""
+        """rows (_old, _size and hashes) with their shard. The tables that are broadcast have a row for each block, and for each named
+        group: LARGE and WINDOW of each cut at most."""
         table = rows.sparkSession.createDataFrame([(b.old, b.lo, b.hi, j) for b, j in self.blocks], "_o int, _lo long, _hi long, _to int")
         hit = (F.col("_old") == F.col("_o")) & F.col("_size").between(F.col("_lo"), F.col("_hi"))
         shard = F.col("_to")
         for b, d in self.divisions:
             shard = F.when(F.col("_to").isNull() & (F.col("_o") == b.old) & (F.col("_lo") == b.lo), d.column()).otherwise(shard)
-        return rows.join(F.broadcast(table), hit).withColumn("shard", shard.cast("int")).drop("_o", "_lo", "_hi", "_to")
+        out = rows.join(F.broadcast(table), hit)
+        if named := [(*g, j) for _, d in self.divisions for g, j in d.named.items()]:
+            names = rows.sparkSession.createDataFrame(named, "_n1 long, _n2 long, _nj int")
+            out = out.join(F.broadcast(names), (F.col("_g1") == F.col("_n1")) & (F.col("_g2") == F.col("_n2")), "left")
+            shard = F.coalesce("_nj", shard)
+        return out.withColumn("shard", shard.cast("int")).drop("_o", "_lo", "_hi", "_to", "_n1", "_n2", "_nj")
 
 
 def hashed(df: DataFrame, old_shard: Column, size: Column, group: Column, place: Column) -> DataFrame:
