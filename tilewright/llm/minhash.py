@@ -331,18 +331,19 @@ def near_duplicates(docs: DataFrame, stages: common.Stages, k: int = 2, similar:
     # a class has an id of its own, that of one of its rows, as a document's id may stand in several classes
     classes = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.min("doc_id").alias("least"))
     classes = stages.put(classes)
-    indexed = stages.put(classes.filter("sig is not null").select("id", "n", "sig"))
+    indexed = classes.filter("sig is not null").select("id", "n", "sig")
     links = link(docs.select(F.col("row").alias("doc_id"), "text"), indexed, k, similar, stages, exact)
-    several = rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x != y").select("doc_id")
-    of = rows.filter("n > 0").join(stages.put(several), "doc_id").select("doc_id", "h1", "h2").distinct().join(classes, ["h1", "h2"]).select("doc_id", "id")
-    joins = stages.put(of)
-    hubs = joins.groupBy("doc_id").agg(F.min("id").alias("hub"))
-    comps = components(links.union(joins.join(hubs, "doc_id").select(F.col("id").alias("a"), F.col("hub").alias("b"))), stages)
-    named = classes.join(comps, "id", "left").select("h1", "h2", "least", F.coalesce("comp", "id").alias("comp"))
-    named = stages.put(named)
-    # both written, so that joins with a component of very many classes and a class of very many rows can be split
-    least = stages.put(named.groupBy("comp").agg(F.min("least").alias("component_id")))
-    component = stages.put(named.join(least, "comp").select("h1", "h2", "component_id"))
+    several = stages.put(rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x != y").select("doc_id"))
+    if not several.isEmpty():
+        joins = stages.put(rows.filter("n > 0").join(several, "doc_id").select("doc_id", "h1", "h2").distinct().join(classes, ["h1", "h2"]).select("doc_id", "id"))
+        hubs = joins.groupBy("doc_id").agg(F.min("id").alias("hub"))
+        links = links.union(joins.join(hubs, "doc_id").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    named = stages.put(classes.join(components(links, stages), "id", "left").select("h1", "h2", "least", "comp"))
+    # what is joined is written, so that a component of very many classes and a class of very many rows can be split
+    linked = named.filter("comp is not null")
+    least = stages.put(linked.groupBy("comp").agg(F.min("least").alias("component_id")))
+    alone = named.filter("comp is null").select("h1", "h2", F.col("least").alias("component_id"))
+    component = stages.put(linked.join(least, "comp").select("h1", "h2", "component_id").union(alone))
     stages.clear(rows, component, before=before)
     found = rows.filter("n > 0").join(component, ["h1", "h2"]).select("doc_id", "n", "component_id")
     whole = found.union(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
