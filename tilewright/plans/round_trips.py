@@ -133,7 +133,7 @@ def _pixels(rasters: DataFrame) -> DataFrame:
 def _written(s: SparkSession, d: str) -> str:
     """A folder of the tiles as TIFF files. The sink writes where all executors see the shared folder under its path."""
     at = scratch(s, "tiles")
-    files.write_rasters(_tiles(s, d), at.removeprefix("file://"))
+    files.write_rasters(_tiles(s, d), at)
     return at
 
 

@@ -151,7 +151,11 @@ def read_tile_list(spark: SparkSession, path: str, column: str | None = None) ->
 
 def write_rasters(rasters: DataFrame, path: str) -> None:
     """A TIFF for each row (tile_id, height, width, transform, epsg, names, data: float32) in a folder that all executors see under this
-    path. A file is written beside and renamed, so a task that runs again leaves whole files."""
+    path (another file system than the executors' own raises ValueError). A file is written beside and renamed, so a task that runs again
+    leaves whole files."""
+    path = path.removeprefix("file://").rstrip("/")
+    if "://" in path:
+        raise ValueError("tasks write rasters to a folder that is mounted, not to a store")
 
     def run(frames):
         for x in frames:
