@@ -198,8 +198,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFr
     return both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
-def link(docs: DataFrame, classes: DataFrame, k: int, similar: int, stages: common.Stages, exact: bool = False) -> DataFrame:
-    """(a, b): confirmed links that connect all classes that any confirmed link of the index connects. classes: (id, n, sig), written;
+def link(docs: DataFrame, classes: DataFrame, k: int, similar: int, stages: common.Stages, exact: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b) and their components if these are known: confirmed links that connect all classes that any confirmed link of the index connects. classes: (id, n, sig), written;
     docs: doc_id and text, among them a row for the id of each class.
 
     First each class is checked against the least class that it meets. Then the members of buckets that still hold several
@@ -229,10 +229,10 @@ def link(docs: DataFrame, classes: DataFrame, k: int, similar: int, stages: comm
         open_ = stages.put(named.join(stages.put(split.select("key", F.col("most.comp").alias("most"), "c", (F.col("c") - F.col("most.c")).alias("others"))), "key"))
         stages.drop(named)
         if open_.isEmpty():
-            break
+            return links, comps
         links = stages.put(links.union(check(across(open_, classes, sketches, similar, nearest, exact))))
         stages.drop(open_)
-    return links
+    return links, None
 
 
 def first_meeting(equal: np.ndarray) -> np.ndarray:
@@ -332,13 +332,13 @@ def near_duplicates(docs: DataFrame, stages: common.Stages, k: int = 2, similar:
     classes = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.min("doc_id").alias("least"))
     classes = stages.put(classes)
     indexed = classes.filter("sig is not null").select("id", "n", "sig")
-    links = link(docs.select(F.col("row").alias("doc_id"), "text"), indexed, k, similar, stages, exact)
+    links, comps = link(docs.select(F.col("row").alias("doc_id"), "text"), indexed, k, similar, stages, exact)
     several = stages.put(rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x != y").select("doc_id"))
     if not several.isEmpty():
         joins = stages.put(rows.filter("n > 0").join(several, "doc_id").select("doc_id", "h1", "h2").distinct().join(classes, ["h1", "h2"]).select("doc_id", "id"))
         hubs = joins.groupBy("doc_id").agg(F.min("id").alias("hub"))
-        links = links.union(joins.join(hubs, "doc_id").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    named = stages.put(classes.join(components(links, stages), "id", "left").select("h1", "h2", "least", "comp"))
+        comps, links = None, links.union(joins.join(hubs, "doc_id").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    named = stages.put(classes.join(components(links, stages) if comps is None else comps, "id", "left").select("h1", "h2", "least", "comp"))
     # what is joined is written, so that a component of very many classes and a class of very many rows can be split
     linked = named.filter("comp is not null")
     least = stages.put(linked.groupBy("comp").agg(F.min("least").alias("component_id")))
