@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, minhash, mixing, packing, quality, sharding, suffix_dedup, toxicity, url_filter
+from . import decontaminate, langid, lexical, media, minhash, mixing, packing, quality, resampling, sharding, suffix_dedup, toxicity, url_filter
 
-MODULES = (mixing, minhash, media, suffix_dedup, packing, toxicity, sharding, quality, url_filter, decontaminate)
+MODULES = (mixing, minhash, media, suffix_dedup, packing, toxicity, sharding, quality, url_filter, decontaminate, lexical, langid, resampling)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
