@@ -10,7 +10,7 @@ a new phrase begins at its root. With these restarts written into its table an a
 batch advance by one symbol at a time in all languages at once. A text is parsed in slices of SLICE characters and pieces of PIECE symbols,
 whose edges end a phrase in every language alike; so long texts take part whole without being followed alone.
 
-The sample is bounded, all else isn't: of each language the SAMPLE_ROWS training rows with the least hashes are read, equal texts
+The sample is bounded, all else isn't: of each language (MAX_LANGS at most) SAMPLE_ROWS training rows with the least hashes are read, equal texts
 once, and whole texts are taken in this order until SYMBOLS is reached; texts longer than that are left out of the sample.
 Tables of all languages take MODEL_BYTES at most: many languages or letters make shorter samples.
 
@@ -38,6 +38,7 @@ from . import common
 
 SYMBOLS = 48_000  # of a language's sample
 SAMPLE_ROWS = 300  # of a language that are read for it
+MAX_LANGS = 4096  # that are learned, those with most rows
 MAX_CLASSES = 256  # symbols that are told apart
 MODEL_BYTES = 256 << 20
 SLICE, PIECE = 1 << 20, 1024
@@ -185,15 +186,18 @@ class Parser:
 
 
 def sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Of each language the texts to learn from; docs: (doc_id, text, lang). SAMPLE_ROWS short rows of a language reach the driver at most."""
+    """Of each language the texts to learn from; docs: (doc_id, text, lang). Rows are counted first, and then only those whose hash lies
+    below the share that about twice SAMPLE_ROWS rows of their language have leave their task, however many tasks there are."""
     learned = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out(F.col("doc_id")))
-    n = {r.lang: r.n for r in learned.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
+    found = learned.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGS).collect()
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 2 * SAMPLE_ROWS / r.n) * 2.0**63) for r in found], "lang string, _below double")
     by = W.partitionBy("lang").orderBy("_h", "doc_id", "text")
-    rows = learned.filter(F.char_length("text") <= SYMBOLS).withColumn("_h", F.xxhash64("doc_id", "text", F.lit(12)))
+    rows = learned.filter(F.char_length("text") <= SYMBOLS).withColumn("_h", F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(12)), 1))
+    rows = rows.join(F.broadcast(shares), "lang").filter(F.col("_h") < F.col("_below"))  # a row for each language, MAX_LANGS at most
     rows = rows.select("lang", "text", "doc_id", "_h").withColumn("_k", F.row_number().over(by)).filter(F.col("_k") <= SAMPLE_ROWS)
     total = F.sum(F.char_length("text")).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))
     some = rows.withColumn("_total", total).filter(F.col("_total") <= 4 * SYMBOLS)
-    texts: dict[str, dict[str, None]] = {lang: {} for lang in sorted(n, key=lambda x: (-n[x], x))}
+    texts: dict[str, dict[str, None]] = {r.lang: {} for r in found}
     for r in some.orderBy("lang", "_k").toLocalIterator():
         texts[r.lang][r.text] = None
     return {lang: list(ts) for lang, ts in texts.items() if ts}
