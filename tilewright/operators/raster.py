@@ -16,7 +16,6 @@ from pyspark.sql.window import Window as W
 
 from .. import schema
 from ..schema import IGNORE
-from .spatial import in_polygon, with_bounds
 
 # Array cores.
 
@@ -60,20 +59,22 @@ def boundary_band(label: np.ndarray, width: int = 10) -> np.ndarray:
 
 
 def components(mask: np.ndarray, eight: bool = False) -> np.ndarray:
-    """Numbers from 1 in reading order of each component's first pixel, 0 outside: labels sink to the least one around and jump along."""
+    """Numbers from 1 in reading order of each component's first pixel, 0 outside: roots of neighbours hang on the lesser one and paths are
+    halved, in rounds of whole arrays."""
     h, w = mask.shape
-    label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
-    big = h * w + 1
-    while True:
-        around = np.where(label > 0, label, big)
-        new = np.where(mask, np.minimum(around, neighbours(around, eight, big).min(0)), 0)
-        flat = new.ravel()
-        new = np.where(mask, flat[np.maximum(flat, 1) - 1].reshape(h, w), 0)  # on to the label of the pixel named
-        if (new == label).all():
-            break
-        label = new
-    ids, inverse = np.unique(label, return_inverse=True)
-    return inverse.reshape(h, w) + (0 if len(ids) and ids[0] == 0 else 1)
+    m, at, root = mask.astype(bool), np.arange(h * w).reshape(h, w), np.arange(h * w)
+    sides = [((slice(None), slice(0, -1)), (slice(None), slice(1, None))), ((slice(0, -1), slice(None)), (slice(1, None), slice(None)))]
+    sides += [((slice(0, -1), slice(0, -1)), (slice(1, None), slice(1, None))), ((slice(0, -1), slice(1, None)), (slice(1, None), slice(0, -1)))] * eight
+    a, b = (np.concatenate([at[s[k]][m[s[0]] & m[s[1]]] for s in sides]) for k in (0, 1))
+    while len(a):
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    out = np.zeros(h * w, int)
+    out[m.ravel()] = np.unique(root[m.ravel()], return_inverse=True)[1] + 1
+    return out.reshape(h, w)
 
 
 def drop_small(mask: np.ndarray, least: int, eight: bool = False) -> np.ndarray:
@@ -242,17 +243,11 @@ def object_counts(df: DataFrame, threshold: float = 0.5, least: int = 4, iou: fl
 def rasterize(tiles: DataFrame, polygons: DataFrame, size: int, scale: float) -> DataFrame:
     """(tile_id, row, col, label): pixel centres in polygons (tile_id, rings, label); target wins over ignore, tiles without target vanish.
 
-    tiles: tile_id, origin_x, origin_y (top left).
+    tiles: tile_id, origin_x, origin_y (top left). The labels are filled by scan lines, a tile at a time.
     """
-    grid = tiles.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    x, y = F.col("origin_x") + (F.col("col") + 0.5) * scale, F.col("origin_y") - (F.col("row") + 0.5) * scale
-    near = with_bounds(polygons.select("tile_id", "rings", F.col("label").alias("_l")))
-    inside = F.when(x.between(F.col("min_x"), F.col("max_x")) & y.between(F.col("min_y"), F.col("max_y")), in_polygon(x, y, F.col("rings")))
-    hit = grid.join(near, "tile_id", "left").withColumn("_in", F.coalesce(inside, F.lit(False)))  # bounds first: most pixels meet few rings
-    rank = F.when(F.col("_in") & (F.col("_l") == 1), 2).when(F.col("_in"), 1).otherwise(0)
-    px = hit.groupBy("tile_id", "row", "col").agg(F.max(rank).alias("_r")).withColumn("label", F.when(F.col("_r") == 2, 1).when(F.col("_r") == 1, IGNORE).otherwise(0))
-    has = F.max(F.when(F.col("label") == 1, 1).otherwise(0)).over(W.partitionBy("tile_id"))
-    return px.withColumn("_h", has).filter("_h = 1").select("tile_id", "row", "col", "label")
+    from . import outlines
+
+    return outlines.label_pixels(outlines.rasterize(tiles, polygons, size, scale), size)
 
 
 def fuse(df: DataFrame, mode: str = "weighted_mean", size: int = 512, sigma: float = 128.0) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql.window import Window as W
 
 from .. import schema
 from ..schema import CATALOG_SQL
+from .selection import HELD, group_sample
+from .state_io import Kept
 
 SEED = 42
 
@@ -52,9 +54,13 @@ def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int = SEED)
 
 
 def capped(df: DataFrame, key: str, by: Sequence[str], cap: int | Column, seed: int = SEED) -> DataFrame:
-    """At most cap rows of each group; the cap may be a column."""
-    n = F.row_number().over(W.partitionBy(*by).orderBy(hash_order(F.col(key), seed), key))
-    return df.withColumn("_n", n).filter(F.col("_n") <= cap).drop("_n")
+    """At most cap rows of each group; the cap may be a column that is equal in a group."""
+    order = hash_order(F.col(key), seed)
+    if isinstance(cap, int) and cap <= HELD:
+        n = F.row_number().over(W.partitionBy(*by).orderBy(order, key))
+        return df.withColumn("_n", n).filter(F.col("_n") <= cap).drop("_n")  # limited in each task before it is dealt out
+    first = F.conv(F.substring(order.cast("string"), 1, 12), 16, 10).cast("long")
+    return group_sample(df, by, [first, order, F.col(key)], F.lit(cap) if isinstance(cap, int) else cap, Kept(df.sparkSession, "capped"))
 
 
 def all_of_one_some_of_other(df: DataFrame, key: str, cls: str, whole: str, cap: int, seed: int = SEED) -> DataFrame:
@@ -187,10 +193,16 @@ def batch_gate(batches: DataFrame, n_pos: int, n_neg: int) -> DataFrame:
 
 # --- queries -------------------------------------------------------------------------------------------------------
 
-SCHEDULE = {"11-30": 5, "1-10": 1, "31-50": 10, "51-100": 15, "101-300": 20}
+SCHEDULE = {"1-10": 1, "11-30": 5, "31-50": 10, "51-100": 15, "101-300": 20}
 _c = schema.catalog
 
 
+def _weeks(s: SparkSession, d: str) -> DataFrame:
+    """Weeks of orders as epochs, from 0."""
+    week = F.floor(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")) / 7).cast("int")
+    return schema.table(s, d, "orders").select(week.alias("epoch")).distinct()
+
+
 def _schedule(s: SparkSession) -> DataFrame:
     return s.createDataFrame(parse_schedule(SCHEDULE), "lo int, hi int, ratio int")
 
@@ -212,12 +224,13 @@ QUERIES = {
     "w04_middle_band": lambda s, d: middle_band(schema.table(s, d, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", "s_suppkey"),
     "w08_balanced_batches": lambda s, d: balanced_batches(_c(s, d), 12, 5),
     "m21_batch_gate": lambda s, d: batch_gate(balanced_batches(_c(s, d), 12, 1), *batch_sizes(12, 1)),
-    "j12_curriculum_ratio": lambda s, d: ratio_for_epoch(s.range(0, 400).select(F.col("id").cast("int").alias("epoch")), _schedule(s)),
-    "w10_bucket_clamp": lambda s, d: ratio_for_epoch(s.createDataFrame([(-3,), (0,), (1,), (300,), (301,), (999,)], "epoch int"), _schedule(s)),
-    "t10_curriculum_batches": lambda s, d: ratio_for_epoch(s.range(1, 60).select(F.col("id").cast("int").alias("epoch")), _schedule(s)).select("epoch", F.greatest(F.lit(1), F.floor(F.lit(32) / (1 + F.col("ratio"))).cast("int")).alias("n_pos")),
+    "j12_curriculum_ratio": lambda s, d: ratio_for_epoch(_weeks(s, d), _schedule(s)),
+    "w10_bucket_clamp": lambda s, d: ratio_for_epoch(schema.table(s, d, "customer").select(F.floor(F.col("c_acctbal") / 10).cast("int").alias("epoch")).distinct(), _schedule(s)),
+    "t10_curriculum_batches": lambda s, d: ratio_for_epoch(_weeks(s, d), _schedule(s)).select("epoch", F.greatest(F.lit(1), F.floor(F.lit(32) / (1 + F.col("ratio"))).cast("int")).alias("n_pos")),
 }
 H = lambda key, *salt: f"md5({key}::VARCHAR" + "".join(f" || '|{s}'" for s in salt) + ")"
 W_ = f"WITH {CATALOG_SQL}"
+WEEKS = "SELECT DISTINCT floor(date_diff('day', DATE '1992-01-01', o_orderdate::DATE) / 7)::INT AS epoch FROM orders"
 CLAMP = "CASE WHEN epoch <= 10 THEN 1 WHEN epoch <= 30 THEN 5 WHEN epoch <= 50 THEN 10 WHEN epoch <= 100 THEN 15 ELSE 20 END::INT AS ratio"
 BAND = "SELECT s_suppkey, s_acctbal FROM (SELECT *, row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier) WHERE i >= floor(n * 0.25) AND i < floor(n * 0.75)"
 
@@ -248,7 +261,7 @@ SQL = {
     "w04_middle_band": BAND,
     "w08_balanced_batches": f"{_batches_sql(2, 10)} SELECT batch::BIGINT AS batch, tile_id, train_class FROM batches",
     "m21_batch_gate": f"{_batches_sql(6, 6)}, g AS (SELECT batch::BIGINT AS batch, count(*) FILTER (train_class = 'Positive') AS n_pos, count(*) FILTER (train_class <> 'Positive') AS n_neg FROM batches GROUP BY 1) SELECT *, n_pos = 6 AND n_neg = 6 AS ok FROM g",
-    "j12_curriculum_ratio": f"SELECT epoch::INT AS epoch, {CLAMP} FROM range(0, 400) t(epoch)",
-    "w10_bucket_clamp": f"SELECT epoch::INT AS epoch, {CLAMP} FROM (VALUES (-3), (0), (1), (300), (301), (999)) t(epoch)",
-    "t10_curriculum_batches": f"WITH r AS (SELECT epoch::INT AS epoch, {CLAMP} FROM range(1, 60) t(epoch)) SELECT epoch, greatest(1, floor(32 / (1 + ratio))::INT) AS n_pos FROM r",
+    "j12_curriculum_ratio": f"SELECT epoch, {CLAMP} FROM ({WEEKS})",
+    "w10_bucket_clamp": f"SELECT epoch, {CLAMP} FROM (SELECT DISTINCT floor(c_acctbal / 10)::INT AS epoch FROM customer)",
+    "t10_curriculum_batches": f"WITH r AS (SELECT epoch, {CLAMP} FROM ({WEEKS})) SELECT epoch, greatest(1, floor(32 / (1 + ratio))::INT) AS n_pos FROM r",
 }

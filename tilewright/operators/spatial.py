@@ -43,7 +43,7 @@ def cells_of(df: DataFrame, size: float) -> DataFrame:
 
 
 def within(points: DataFrame, polygons: DataFrame, key: str, name: str, cell: float = 1.0) -> DataFrame:
-    """points (key, x, y, ...) with the least name of the polygons (name, rings) that hold them, else null."""
+    """points (key, x, y, ...) with the least name of the polygons (name, rings) that hold them, else null, as where x or y is null or NaN."""
     p = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
     q = cells_of(with_bounds(polygons.select(name, "rings")), cell)
     hits = p.join(q, ["cx", "cy"]).filter(F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y")) & in_polygon(F.col("x"), F.col("y"), F.col("rings")))
@@ -87,14 +87,23 @@ def _nearest(points: DataFrame, candidates: DataFrame, key: str, name: str, dist
 
 def _held(points: DataFrame, candidates: DataFrame, key: str, name: str, distance: Column) -> DataFrame:
     """The same by comparing each point with all of a few candidates; the best is kept while a point is still in its task."""
-    best = points.crossJoin(F.broadcast(candidates)).groupBy(key).agg(F.min(F.struct(distance.alias("dist"), F.col(name))).alias("b"))
+    d = F.when(distance.isNotNull(), F.struct(distance.alias("dist"), F.col(name)))
+    best = points.crossJoin(F.broadcast(candidates)).groupBy(key).agg(F.min(d).alias("b"))
     return best.select(key, F.col(f"b.{name}").alias(name), F.col("b.dist").alias("dist"))
 
 
+def _placed(points: DataFrame) -> DataFrame:
+    """Points without a place, whose x or y is null or NaN, have none in either; they are near to nothing."""
+    there = ~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double"))
+    return points.withColumn("x", F.when(there, F.col("x"))).withColumn("y", F.when(there, F.col("y")))
+
+
 def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, name, dist): the centroid (name, cx, cy) nearest to each point (key, x, y), ties to the least name."""
+    """(key, name, dist): the centroid (name, cx, cy) nearest to each point (key, x, y), ties to the least name; null for a point whose x or
+    y is null or NaN."""
     c = centroids.groupBy(F.col("cx").cast("double").alias("_x"), F.col("cy").cast("double").alias("_y")).agg(F.min(name).alias(name))
     d = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
+    points = _placed(points)
     if c.limit(HELD + 1).count() <= HELD:
         return _held(points, c, key, name, d)
     boxes = c.select("*", F.col("_x").alias("min_x"), F.col("_x").alias("max_x"), F.col("_y").alias("min_y"), F.col("_y").alias("max_y"))
@@ -114,8 +123,11 @@ def segment_distance(x: Column, y: Column, ring: Column) -> Column:
 
 
 def nearest_feature(points: DataFrame, polygons: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, name, dist): the polygon nearest to each point, 0 inside."""
-    d = F.when(in_polygon(F.col("x"), F.col("y"), F.col("rings")), 0.0).otherwise(segment_distance(F.col("x"), F.col("y"), F.col("rings")[0]))
+    """(key, name, dist): the polygon nearest to each point, 0 inside; in a hole, as outside, the distance to the nearest edge of any ring.
+    Null for a point whose x or y is null or NaN."""
+    points = _placed(points)
+    edge = F.array_min(F.transform("rings", lambda r: segment_distance(F.col("x"), F.col("y"), r)))
+    d = F.when(in_polygon(F.col("x"), F.col("y"), F.col("rings")), 0.0).otherwise(edge)
     c = polygons.select(name, "rings")
     n = c.limit(HELD + 1).agg(F.count("*").alias("n"), F.sum(F.aggregate("rings", F.lit(0), lambda a, r: a + F.size(r))).alias("points")).first()
     if n.n <= HELD and (n.points or 0) <= HELD_POINTS:
@@ -145,14 +157,13 @@ def covering_cell(points: DataFrame, grid: DataFrame, key: str, cell: float) ->
 
 def boxes_hit(boxes: DataFrame, polygons: DataFrame, key: str, cell: float = 1.0) -> DataFrame:
     """The boxes (key, min_x, ...) that some polygon's bounds overlap and that share a point with it: a corner in the polygon, a
-    vertex in the box, or an edge through it."""
+    vertex in the box, or an edge through it, those of holes included. A box that lies in a hole is missed by all three."""
     q = cells_of(with_bounds(polygons.select("rings")), cell).select("rings", "cx", "cy", *(F.col(c).alias(f"p_{c}") for c in ("min_x", "min_y", "max_x", "max_y")))
     c = {k: F.col(k) for k in ("min_x", "min_y", "max_x", "max_y")}
     overlap = (c["min_x"] <= F.col("p_max_x")) & (c["max_x"] >= F.col("p_min_x")) & (c["min_y"] <= F.col("p_max_y")) & (c["max_y"] >= F.col("p_min_y"))
     corner = in_polygon(c["min_x"], c["min_y"], F.col("rings")) | in_polygon(c["max_x"], c["max_y"], F.col("rings")) | in_polygon(c["min_x"], c["max_y"], F.col("rings")) | in_polygon(c["max_x"], c["min_y"], F.col("rings"))
-    vertex = F.exists(F.col("rings")[0], lambda p: p[0].between(c["min_x"], c["max_x"]) & p[1].between(c["min_y"], c["max_y"]))
-    ring = F.col("rings")[0]
-    nexts = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
+    vertex = F.exists("rings", lambda r: F.exists(r, lambda p: p[0].between(c["min_x"], c["max_x"]) & p[1].between(c["min_y"], c["max_y"])))
+    nexts = lambda r: F.concat(F.slice(r, 2, F.size(r) - 1), F.slice(r, 1, 1))
     side = lambda a, b, x, y: F.signum((b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]))
 
     def through(a: Column, b: Column) -> Column:
@@ -161,7 +172,7 @@ def boxes_hit(boxes: DataFrame, polygons: DataFrame, key: str, cell: float = 1.0
         near = (F.least(a[0], b[0]) <= c["max_x"]) & (F.greatest(a[0], b[0]) >= c["min_x"]) & (F.least(a[1], b[1]) <= c["max_y"]) & (F.greatest(a[1], b[1]) >= c["min_y"])
         return ~apart & near
 
-    edge = F.exists(F.zip_with(ring, nexts, through), lambda t: t)
+    edge = F.exists("rings", lambda r: F.exists(F.zip_with(r, nexts(r), through), lambda t: t))
     hits = cells_of(boxes, cell).join(q, ["cx", "cy"]).filter(overlap & (vertex | corner | edge)).select(key).distinct()
     return boxes.join(hits, key, "left_semi")
 
@@ -234,7 +245,6 @@ QUERIES = {
     "j09_covering_cell": lambda s, d: covering_cell(_pts(s, d), with_bounds(_regions(s, d)).select(F.col("region").alias("grid"), "min_x", "min_y", "max_x", "max_y"), "id", 8.0),
     "j10_boxes_hit": lambda s, d: boxes_hit(_box(s, d), _regions(s, d), "id", 4.0).select("id"),
     "j11_distance_to_positive": _positive_distance,
-    "j11_distance_to_all_positives": _positive_distance,
     "j13_realigned_samples": lambda s, d: realign(schema.table(s, d, "supplier").filter("s_suppkey % 4 <> 1").select(F.col("s_suppkey").alias("idx"), F.col("s_acctbal").alias("v")), schema.table(s, d, "supplier").select(F.col("s_suppkey").alias("idx"), "s_name")),
     "j14_provenance": lambda s, d: _pts(s, d).select(F.col("id").alias("idx"), F.struct("x", "y").alias("at")).join(schema.table(s, d, "supplier").select(F.col("s_suppkey").alias("idx")), "idx", "left_semi").select("idx", F.col("at.x").alias("x"), F.col("at.y").alias("y")),
     "a22_zonal_mean": lambda s, d: zonal_mean(_pts(s, d).withColumn("v", F.col("cls").cast("double")), _regions(s, d), "region", "v", 4.0).select("region", F.round("mean", 6).alias("mean"), "n"),
@@ -259,4 +269,3 @@ SQL = {
     "a22_zonal_mean": f"WITH {PTS} SELECT region, round(avg(cls::DOUBLE), 6) AS mean, count(id) AS n FROM reg LEFT JOIN pts ON {IN} GROUP BY 1",
     "f39_sphere_area": f"WITH {PTS} SELECT region, round(radians(6) * (sin(radians(y0 + 4)) - sin(radians(y0))) * 6371008.8::DOUBLE * 6371008.8::DOUBLE / 1e6, 2) AS km2 FROM reg",
 }
-SQL["j11_distance_to_all_positives"] = SQL["j11_distance_to_positive"]

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def file_system(spark: SparkSession, path: str):
@@ -70,3 +70,34 @@ def epochs(spark: SparkSession, path: str) -> list[int]:
 def latest(spark: SparkSession, path: str, keep: int) -> list[int]:
     """The newest epochs, newest first."""
     return epochs(spark, path)[::-1][:keep]
+
+
+class Kept:
+    """Tables written to the shared folder to cut lineage between the rounds of an iteration; drop() removes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.n, self.live = spark, scratch(spark, name), 0, set()
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.kept_path = path
+        self.live.add(path)
+        return out
+
+    def drop(self, *dfs: DataFrame) -> None:
+        for df in dfs:
+            fs, at = file_system(self.spark, df.kept_path)
+            fs.delete(at, True)
+            self.live.discard(df.kept_path)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """df written; all other tables are removed, as it reads none of them any more."""
+        out = self.put(df)
+        for path in self.live - {out.kept_path}:
+            fs, at = file_system(self.spark, path)
+            fs.delete(at, True)
+        self.live = {out.kept_path}
+        return out

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .. import schema
+from .selection import percentiles
+from .state_io import Kept
 
 MEAN_DRIFT, STD_DRIFT = 0.5, 0.25
 
@@ -47,7 +49,7 @@ def merge_stats(parts: DataFrame, *by: str) -> DataFrame:
 
 def clipped(df: DataFrame, column: str, low: float, high: float, *by: str) -> DataFrame:
     """df with the column clipped to its exact percentiles within each group."""
-    p = df.groupBy(*by).agg(F.percentile(column, [low, high]).alias("_p"))
+    p = percentiles(df, column, [low, high], Kept(df.sparkSession, "clipped"), *by).select(*by, F.col("q").alias("_p"))
     return df.join(p, list(by)).withColumn(column, F.least(F.greatest(F.col(column), F.col("_p")[0]), F.col("_p")[1])).drop("_p")
 
 
@@ -79,7 +81,14 @@ def cloud_free(qa: Column) -> Column:
 
 
 def median_composite(df: DataFrame, *by: str, value: str = "value", scale: float = 1e-4) -> DataFrame:
-    return df.groupBy(*by).agg((F.median(value) * scale).alias("composite"))
+    return percentiles(df, value, [0.5], Kept(df.sparkSession, "median"), *by).select(*by, (F.col("q")[0] * scale).alias("composite"))
+
+
+def exposure(df: DataFrame, key: str, kept: Kept) -> DataFrame:
+    """(max, median, p99, n) of how often each key occurs."""
+    counts = kept.put(df.groupBy(key).agg(F.count("*").alias("c")))
+    q = percentiles(counts, "c", [0.5, 0.99, 1.0], kept)
+    return q.select(F.col("q")[2].cast("long").alias("max"), F.col("q")[0].alias("median"), F.col("q")[1].alias("p99"), "n")
 
 
 def to_linear(db: Column) -> Column:
@@ -184,7 +193,7 @@ def z_score(v: Column, mean: Column, std: Column) -> Column:
 
 def stretch(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """value stretched to 0..1 between its percentiles and clipped; a range without width gives 0."""
-    p = df.agg(F.percentile(finite(F.col(value)), [low, high]).alias("_p"))
+    p = percentiles(df.select(finite(F.col(value).cast("double")).alias("_v")), "_v", [low, high], Kept(df.sparkSession, "stretch")).select(F.col("q").alias("_p"))
     lo, hi = F.col("_p")[0], F.col("_p")[1]
     out = F.when(hi > lo, F.least(F.greatest((F.col(value) - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     return df.crossJoin(F.broadcast(p)).withColumn("stretched", out).drop("_p")  # one row of bounds
@@ -240,23 +249,22 @@ def _prices(spark, d):
     return schema.table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 97).cast("double").alias("code"))
 
 
-# A logarithm needs a value above 0; at 0.5 and below the sensor's noise stands for no measurement, as where a scene has no data.
+# A logarithm needs a value above 0.
 QUERIES = {
     "a09_channel_stats": lambda s, d: _rounded_stats(channel_stats(_li(s, d), CHANNELS)),
     "a10_clipped_stats": lambda s, d: clipped(_li(s, d), "l_extendedprice", 0.02, 0.98, "l_returnflag").groupBy("l_returnflag").agg(F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.stddev_pop("l_extendedprice"), 4).alias("std")),
     "a11_stats_document": lambda s, d: channel_stats(_li(s, d), CHANNELS[:3]).withColumn("pos", F.expr("array_position(array('l_quantity', 'l_extendedprice', 'l_discount'), channel)")).transform(lambda x: stats_document(x, None, "v1", 1)).select("dataset_version", "n_tiles_used", F.concat_ws(",", "rgb.channel_names").alias("names"), F.round(F.element_at("rgb.mean", 2), 4).alias("mean_2")),
     "a12_drift_report": _drift,
-    "a13_percentiles": lambda s, d: _li(s, d).groupBy("l_returnflag").agg(*(R6(F.percentile("l_extendedprice", p)).alias(f"p{int(p * 100):02d}") for p in (0.02, 0.5, 0.95, 0.98))),
+    "a13_percentiles": lambda s, d: percentiles(_li(s, d), "l_extendedprice", (0.02, 0.5, 0.95, 0.98), Kept(s, "a13"), "l_returnflag").select("l_returnflag", *(R6(F.col("q")[k]).alias(n) for k, n in enumerate(("p02", "p50", "p95", "p98")))),
     "a14_median_composite": lambda s, d: median_composite(_scenes(s, d).filter(cloud_free(F.col("qa"))), "pixel", "band").select("pixel", "band", F.round("composite", 9).alias("composite")),
-    "a15_linear_mean_db": lambda s, d: _scenes(s, d).filter("value > 0.5").groupBy("pixel").agg(R6(to_db(F.avg(to_linear(to_db(F.col("value")))))).alias("mean_db"), R6(F.stddev_pop(to_db(F.col("value")))).alias("std_db")),
+    "a15_linear_mean_db": lambda s, d: _scenes(s, d).filter("value > 0").groupBy("pixel").agg(R6(to_db(F.avg(to_linear(to_db(F.col("value")))))).alias("mean_db"), R6(F.stddev_pop(to_db(F.col("value")))).alias("std_db")),
     "a16_orbit_majority": lambda s, d: orbit_choice(_scenes(s, d), "orbit", "pixel"),
     "a17_mode_fallback": lambda s, d: mode_choice(_scenes(s, d), "pixel"),
-    "a17_mode_fallback_all_scenes": lambda s, d: mode_choice(_scenes(s, d), "pixel"),
-    "a18_season_shift": lambda s, d: season_shift(_scenes(s, d).filter("value > 0.5").withColumn("db", to_db(F.col("value"))), "db", F.col("month"), "pixel").select("pixel", R6("shift").alias("shift")),
-    "a18b_single_pol_mean": lambda s, d: _scenes(s, d).filter("value > 0.5").groupBy("pixel").agg(R6(F.avg(F.when(F.col("band") == "click", to_db(F.col("value"))))).alias("mean_db")),
+    "a18_season_shift": lambda s, d: season_shift(_scenes(s, d).filter("value > 0").withColumn("db", to_db(F.col("value"))), "db", F.col("month"), "pixel").select("pixel", R6("shift").alias("shift")),
+    "a18b_single_pol_mean": lambda s, d: _scenes(s, d).filter("value > 0").groupBy("pixel").agg(R6(F.avg(F.when(F.col("band") == "click", to_db(F.col("value"))))).alias("mean_db")),
     "a23_histogram_mode": lambda s, d: histogram_mode(_li(s, d), "l_quantity", "l_returnflag", bins=7).select("l_returnflag", R6("mode").alias("mode")),
     "a24_fixed_histogram": lambda s, d: histogram(_li(s, d).withColumn("p", F.col("l_quantity") / 64), "p", 50, 0.0, 1.0),
-    "a25_exposure": lambda s, d: _li(s, d).groupBy("l_partkey").agg(F.count("*").alias("c")).agg(F.max("c").alias("max"), F.median("c").alias("median"), R6(F.percentile("c", 0.99)).alias("p99"), F.count("*").alias("n")),
+    "a25_exposure": lambda s, d: exposure(_li(s, d), "l_partkey", Kept(s, "a25")).select("max", "median", R6("p99").alias("p99"), "n"),
     "a27_pearson": lambda s, d: pearson_matrix(_li(s, d), CHANNELS).select("a", "b", R6("r").alias("r")),
     "a28_spearman": lambda s, d: spearman_matrix(_prices(s, d), ["size", "price", "code"], "p_partkey").select("a", "b", R6("r").alias("r")),
     "a32_error_kinds": lambda s, d: error_kinds(schema.table(s, d, "events").select(F.concat_ws(": ", "event_type", F.col("event_id").cast("string")).alias("error"))),
@@ -282,11 +290,11 @@ SQL = {
       SELECT channel, round(abs(m1 - m0), 6) AS mean_delta, round(abs(m1 - m0) / s0, 6) AS mean_drift, round(abs(s1 / s0 - 1), 6) AS std_drift, abs(m1 - m0) / s0 > 0.5 OR abs(s1 / s0 - 1) > 0.25 AS concerning FROM x""",
     "a13_percentiles": "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 6) AS p{int(p * 100):02d}" for p in (0.02, 0.5, 0.95, 0.98)) + " FROM lineitem GROUP BY 1",
     "a14_median_composite": f"WITH {SCENES_SQL} SELECT pixel, band, round(median(value) * 1e-4, 9) AS composite FROM scenes WHERE qa & 1024 = 0 AND qa & 2048 = 0 GROUP BY 1, 2",
-    "a15_linear_mean_db": f"WITH {SCENES_SQL} SELECT pixel, round(10 * log10(avg(value)), 6) AS mean_db, round(stddev_pop(10 * log10(value)), 6) AS std_db FROM scenes WHERE value > 0.5 GROUP BY 1",
+    "a15_linear_mean_db": f"WITH {SCENES_SQL} SELECT pixel, round(10 * log10(avg(value)), 6) AS mean_db, round(stddev_pop(10 * log10(value)), 6) AS std_db FROM scenes WHERE value > 0 GROUP BY 1",
     "a16_orbit_majority": f"WITH {SCENES_SQL} SELECT pixel, count(*) FILTER (orbit = 'ASCENDING') AS n_asc, count(*) FILTER (orbit = 'DESCENDING') AS n_desc, CASE WHEN count(*) FILTER (orbit = 'ASCENDING') >= count(*) FILTER (orbit = 'DESCENDING') THEN 'ASCENDING' ELSE 'DESCENDING' END AS orbit FROM scenes GROUP BY 1",
     "a17_mode_fallback": f"WITH {SCENES_SQL} SELECT pixel, CASE WHEN bool_or(mode = 'IW' AND list_contains(pols, 'VV') AND list_contains(pols, 'VH')) THEN 'IW' WHEN bool_or(mode = 'EW' AND list_contains(pols, 'HH') AND list_contains(pols, 'HV')) THEN 'EW' ELSE 'NONE' END AS mode FROM scenes GROUP BY 1",
-    "a18_season_shift": f"WITH {SCENES_SQL} SELECT pixel, round(coalesce(avg(10 * log10(value)) FILTER (month IN (8, 9)) - avg(10 * log10(value)) FILTER (month = 7), 0), 6) AS shift FROM scenes WHERE value > 0.5 GROUP BY 1",
-    "a18b_single_pol_mean": f"WITH {SCENES_SQL} SELECT pixel, round(avg(10 * log10(value)) FILTER (band = 'click'), 6) AS mean_db FROM scenes WHERE value > 0.5 GROUP BY 1",
+    "a18_season_shift": f"WITH {SCENES_SQL} SELECT pixel, round(coalesce(avg(10 * log10(value)) FILTER (month IN (8, 9)) - avg(10 * log10(value)) FILTER (month = 7), 0), 6) AS shift FROM scenes WHERE value > 0 GROUP BY 1",
+    "a18b_single_pol_mean": f"WITH {SCENES_SQL} SELECT pixel, round(avg(10 * log10(value)) FILTER (band = 'click'), 6) AS mean_db FROM scenes WHERE value > 0 GROUP BY 1",
     "a23_histogram_mode": """WITH r AS (SELECT l_returnflag, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1), b AS (SELECT l_returnflag, lo, hi, least(floor((l_quantity - lo) / (hi - lo) * 7) + 1, 7) AS b, count(*) AS n FROM lineitem JOIN r USING (l_returnflag) GROUP BY ALL)
       SELECT l_returnflag, round(arg_max(lo + (hi - lo) * (b - 0.5) / 7, n * 1000 - b), 6) AS mode FROM b GROUP BY 1""",
     "a24_fixed_histogram": "SELECT least(floor(l_quantity / 64 * 50) + 1, 50)::INT AS bin, count(*) AS n FROM lineitem WHERE l_quantity / 64 BETWEEN 0 AND 1 GROUP BY 1",
@@ -306,5 +314,4 @@ SQL = {
     "t09_season_windows": f"WITH {SCENES_SQL} SELECT pixel, count(*) FILTER (month = 7) AS july, count(*) FILTER (month IN (8, 9)) AS late FROM scenes GROUP BY 1",
 }
 SQL["t05_merged_stats"] = SQL["a09_channel_stats"]
-SQL["a17_mode_fallback_all_scenes"] = SQL["a17_mode_fallback"]
 

@@ -248,8 +248,8 @@ QUERIES = {
     "m15_bands": lambda s, d: schema.table(s, d, "lineitem").groupBy("l_suppkey").agg((F.avg("l_discount") - 0.05).alias("g"), (F.stddev_samp("l_discount") / F.sqrt(F.count("*"))).alias("sd")).select("l_suppkey", sigma_band(F.col("g"), F.col("sd")).alias("band")),
     "m15_slope": lambda s, d: schema.table(s, d, "lineitem").groupBy("l_linenumber").agg(F.avg("l_quantity").alias("auc")).agg(*(c.alias(n) for c, n in zip(slope_band(F.col("auc"), F.col("l_linenumber")), ("slope", "band"), strict=True))).select(R("slope").alias("slope"), "band"),
     "m18b_noise_floor": lambda s, d: schema.table(s, d, "lineitem").groupBy("l_linenumber").agg(F.avg("l_discount").alias("v")).agg(F.round(noise_floor(F.col("v")), 8).alias("min_delta")),
-    "f34_learning_rates": lambda s, d: learning_rates(s.range(1, 51).select(F.col("id").cast("int").alias("epoch")), 50).select("epoch", "grp", F.round("lr", 12).alias("lr")),
-    "f35_lr_range": lambda s, d: lr_range(s.range(100).withColumnRenamed("id", "step"), 100).select("step", F.round("lr", 10).alias("lr")),
+    "f34_learning_rates": lambda s, d: learning_rates(schema.table(s, d, "part").select("p_size").distinct().select(F.col("p_size").cast("int").alias("epoch")), 50).select("epoch", "grp", F.round("lr", 12).alias("lr")),
+    "f35_lr_range": lambda s, d: lr_range(schema.table(s, d, "part").select((F.col("p_size") - 1).cast("long").alias("step")).distinct(), 50).select("step", F.round("lr", 10).alias("lr")),
     "p15_calibration_guard": lambda s, d: calibration_guard(schema.table(s, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 10000).alias("threshold"), F.lit(1.5).alias("temperature"))).select("s_suppkey", R("threshold").alias("threshold")),
     "p20_packageable": lambda s, d: packageable(schema.table(s, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderstatus") == "F", "FINISHED").otherwise("RUNNING").alias("status"), F.split("o_orderpriority", "-").alias("files")), ["1", "HIGH"]).filter("ok or missing = '1'"),
 }
@@ -269,10 +269,10 @@ SQL = {
     "m15_bands": f"SELECT l_suppkey, CASE WHEN abs(g) / sd < 1 THEN 'noise' WHEN abs(g) / sd < 2 THEN 'weak' WHEN abs(g) / sd < 3 THEN 'moderate' ELSE 'strong' END AS band FROM (SELECT l_suppkey, {BAND} FROM lineitem GROUP BY 1)",
     "m15_slope": "WITH a AS (SELECT l_linenumber AS n, avg(l_quantity) AS auc FROM lineitem GROUP BY 1), s AS (SELECT regr_slope(auc, ln(n)) AS slope FROM a) SELECT round(slope, 6) AS slope, CASE WHEN slope < 0.005 THEN 'saturated' WHEN slope < 0.02 THEN 'slowing' ELSE 'growing' END AS band FROM s",
     "m18b_noise_floor": "SELECT round(2 * stddev_samp(v), 8) AS min_delta FROM (SELECT avg(l_discount) AS v FROM lineitem GROUP BY l_linenumber)",
-    "f34_learning_rates": """WITH e AS (SELECT range::INT AS epoch FROM range(1, 51))
+    "f34_learning_rates": """WITH e AS (SELECT DISTINCT p_size::INT AS epoch FROM part)
       SELECT epoch, 'backbone' AS grp, round(CASE WHEN epoch <= 10 THEN 1e-3 WHEN epoch - 11 < 3 THEN 1e-5 * (epoch - 11) / 2 WHEN epoch <= 15 THEN 1e-5 ELSE 1e-7 + (1e-5 - 1e-7) * (1 + cos(pi() * (epoch - 15) / 35)) / 2 END, 12) AS lr FROM e
       UNION ALL SELECT epoch, 'decoder', round(CASE WHEN epoch <= 10 THEN 1e-3 WHEN epoch - 11 < 5 THEN 1e-6 + (1e-4 - 1e-6) * (epoch - 11) / 4 ELSE 1e-6 + (1e-4 - 1e-6) * (1 + cos(pi() * (epoch - 15) / 35)) / 2 END, 12) FROM e""",
-    "f35_lr_range": "SELECT range AS step, round(exp(ln(1e-7) + range / 99 * (ln(1e-1) - ln(1e-7))), 10) AS lr FROM range(100)",
+    "f35_lr_range": "SELECT DISTINCT p_size - 1 AS step, round(exp(ln(1e-7) + (p_size - 1) / 49 * (ln(1e-1) - ln(1e-7))), 10) AS lr FROM part",
     "p15_calibration_guard": "SELECT s_suppkey, round(s_acctbal / 10000, 6) AS threshold FROM supplier",
     "p20_packageable": "WITH x AS (SELECT o_orderkey AS run_id, o_orderstatus = 'F' AS fin, list_filter(['1', 'HIGH'], lambda f: NOT list_contains(string_split(o_orderpriority, '-'), f)) AS m FROM orders), y AS (SELECT run_id, fin AND len(m) = 0 AS ok, array_to_string(m, ',') AS missing FROM x) FROM y WHERE ok OR missing = '1'",
 }

@@ -29,8 +29,12 @@ def _catalog_csv(s: SparkSession, d: str) -> DataFrame:
 
 
 def _split_map(s: SparkSession, d: str) -> DataFrame:
-    at = scratch(s, "splits") + ".yaml"
-    files.write_splits(schema.SPLITS, at)
+    """The nations as regions; a split map is configuration, as short as they are."""
+    at, splits = scratch(s, "splits") + ".yaml", {name: [] for name in schema.SPLIT_NAMES}
+    for r in schema.table(s, d, "nation").orderBy("n_nationkey").collect():
+        for name in ("train",) if r.n_nationkey < 15 else ("val_balanced", "val_realistic") if r.n_nationkey < 19 else ("test_realistic",):
+            splits[name].append(r.n_name)
+    files.write_splits(splits, at)
     return files.read_splits(s, at)
 
 
@@ -191,9 +195,10 @@ def _best_k(s: SparkSession, d: str) -> DataFrame:
 
 
 def _shape_errors(s: SparkSession, d: str) -> DataFrame:
-    names = [r.n_name for r in schema.table(s, d, "nation").orderBy("n_nationkey").limit(2).collect()]
-    bad = {"train": names, "val_balanced": names[0], "val_realistic": [1], "extra": []}
-    return s.createDataFrame([(e,) for e in catalog.split_errors(bad)], "error string")
+    """Regions of the world as splits, every other one of them a name where a list has to be."""
+    n = schema.table(s, d, "nation").groupBy("n_regionkey").agg(F.to_json(F.array_sort(F.collect_list("n_name"))).alias("many"), F.to_json(F.struct(F.min("n_name").alias("name"))).alias("one"))
+    name = F.element_at(F.array(*map(F.lit, ("train", "val_balanced", "extra", "val_realistic", "other"))), (F.col("n_regionkey") + 1).cast("int"))
+    return catalog.split_shape(n.select(name.alias("split"), F.when(F.col("n_regionkey") % 2 == 0, F.col("many")).otherwise(F.col("one")).alias("value")))
 
 
 def _config_hash(s: SparkSession, d: str) -> DataFrame:
@@ -247,7 +252,7 @@ QUERIES = {
 W = f"WITH {GRID}"
 SQL = {
     "s01_catalog_csv": f"WITH {CATALOG_SQL} SELECT tile_id::VARCHAR AS tile_id, tile_id % 170 - 85.0::DOUBLE AS centroid_lat, tile_id % 350 - 175.0::DOUBLE AS centroid_lon, train_class, region, 'u' || tile_id || '|v' AS uids FROM cat",
-    "s02_split_map_yaml": f"WITH {schema.SPLITS_SQL} SELECT split, region FROM splits",
+    "s02_split_map_yaml": "SELECT unnest(CASE WHEN n_nationkey < 15 THEN ['train'] WHEN n_nationkey < 19 THEN ['val_balanced', 'val_realistic'] ELSE ['test_realistic'] END) AS split, n_name AS region FROM nation",
     "s03_stats_json": " UNION ALL ".join(f"SELECT {i + 1} AS pos, '{c}' AS channel, round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS std FROM lineitem" for i, c in enumerate(stats.CHANNELS)),
     "s04_raster_bands": f"{W} SELECT tile_id, 0 AS band, sum(mask)::DOUBLE AS total FROM grid GROUP BY 1 UNION ALL SELECT tile_id, 1, sum(v) FROM grid GROUP BY 1",
     "s06_raster_windows": f"{W} SELECT tile_id, sum(v) AS total, count(*) AS n FROM grid WHERE row >= tile_id % 7 AND row < tile_id % 7 + 5 AND col >= tile_id % 5 AND col < tile_id % 5 + 5 GROUP BY 1",
@@ -268,7 +273,9 @@ SQL = {
     "r15_joint_flip": f"{W} SELECT tile_id, row, ({SIDE - 1} - col)::INT AS col, v FROM grid",
     "d01_mapped_rasters": raster.SQL["r02_dilate"],
     "o04_best_k": "SELECT p_size AS k FROM part GROUP BY 1 ORDER BY count(*) % 7 DESC, k LIMIT 1",
-    "u10_split_shape": "SELECT * FROM (VALUES ('missing split test_realistic'), ('val_balanced isn''t a list of names'), ('val_realistic isn''t a list of names'), ('unknown split extra')) t(error)",
+    "u10_split_shape": """WITH s AS (SELECT DISTINCT n_regionkey AS k, ['train', 'val_balanced', 'extra', 'val_realistic', 'other'][n_regionkey + 1] AS split FROM nation)
+      SELECT 'missing split ' || n AS error FROM (VALUES ('train'), ('val_balanced'), ('val_realistic'), ('test_realistic')) t(n) WHERE n NOT IN (SELECT split FROM s)
+      UNION ALL SELECT 'unknown split ' || split FROM s WHERE split IN ('extra', 'other') UNION ALL SELECT split || ' isn''t a list of names' FROM s WHERE k % 2 = 1""",
     "f25_config_hash": """SELECT n_name, sha256('[{"key":"key","value":"' || n_nationkey || '"},{"key":"name","value":"' || n_name || '"}]') AS h, true AS same FROM nation""",
     "f27_overrides": "SELECT 'n.k' || n_nationkey AS key, CASE WHEN n_nationkey % 2 = 0 THEN (n_nationkey // 2) || '.0' ELSE (n_nationkey // 2) || '.5' END AS value FROM nation UNION ALL SELECT * FROM (VALUES ('a.b', 'True'), ('a.c', 'x'), ('a.d', '7')) t(k, v)",
     "m16_free_rider": "SELECT * FROM (VALUES ('b'), ('c')) t(chosen)",

@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import tempfile
 from collections.abc import Callable, Sequence
 
-import numpy as np
 import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +15,7 @@ from pyspark.sql import types as T
 from .. import schema
 from ..operators.catalog import append_merge, split_errors
 from ..operators.state_io import drop_epochs, exists, file_system, latest, replace, write_text
-from . import tiff
+from . import tiles
 
 STATS = T.StructType([
     T.StructField("dataset_version", T.StringType()), T.StructField("computed_date", T.StringType()), T.StructField("n_tiles_used", T.LongType()),
@@ -102,27 +99,30 @@ def assemble(features: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
 def read_rasters(spark: SparkSession, path: str, bands: Sequence[int] | None = None, windows: DataFrame | None = None, size: int = 512) -> DataFrame:
     """(tile_id, height, width, transform, epsg, names, data): TIFF tiles, of which only the wanted bands are kept; a file that can't be
     read has an error instead. data: float32, band by band. windows (tile_id, row, col): only the files named there, and of each the
-    window of size from that corner, whose strips alone are unpacked."""
-    wanted = None if bands is None else list(bands)
-    part = windows is not None
+    window of size from that corner.
+
+    Tasks open the files themselves and read the directory and the blocks that are wanted by their ranges; what is listed, joined and dealt out
+    are names. In a store that only Spark opens the files come whole, as binary rows.
+    """
+    wanted, part = None if bands is None else list(bands), windows is not None
+    try:
+        tiles.opened(path)
+        content = False
+    except ValueError:
+        content = True
 
     def decode(frames):
         for x in frames:
-            rows = []
             corners = zip(x["row"], x["col"], strict=True) if part else ((None, None),) * len(x)
-            for tile, content, (row, col) in zip(x["tile_id"], x["content"], corners, strict=True):
-                try:
-                    r = tiff.read(content, wanted, (int(row), int(col), size, size) if part else None)
-                    rows.append((tile, r.data.shape[1], r.data.shape[2], list(r.transform), r.epsg, r.bands, r.data.astype("<f4").tobytes(), None))
-                except (ValueError, KeyError, IndexError) as e:
-                    rows.append((tile, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["tile_id", "height", "width", "transform", "epsg", "names", "data", "error"]).astype({"height": "Int32", "width": "Int32", "epsg": "Int32"})
+            for tile, at, (row, col) in zip(x["tile_id"], x["at"], corners, strict=True):
+                window = (int(row), int(col), size, size) if part else None
+                yield pd.DataFrame([tiles.read_tile(tile, at, wanted, window)], columns=tiles.COLUMNS).astype({"height": "Int32", "width": "Int32", "epsg": "Int32"})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(path)
-    files = files.select(F.regexp_extract("path", r"([^/]+)\.tif$", 1).alias("tile_id"), "content")
+    files = files.select(F.regexp_extract("path", r"([^/]+)\.tif$", 1).alias("tile_id"), F.col("content" if content else "path").alias("at"))
     if part:
         files = files.join(windows.filter("row is not null and col is not null").select("tile_id", "row", "col"), "tile_id")
-    return files.mapInPandas(decode, "tile_id string, height int, width int, transform array<double>, epsg int, names array<string>, data binary, error string")
+    return files.mapInPandas(decode, tiles.SCHEMA)
 
 
 def listing(spark: SparkSession, path: str, suffix: str = "tif") -> DataFrame:
@@ -149,26 +149,13 @@ def read_tile_list(spark: SparkSession, path: str, column: str | None = None) ->
     return ids.filter("tile_id is not null and tile_id <> ''").distinct()
 
 
-def write_rasters(rasters: DataFrame, path: str) -> None:
-    """A TIFF for each row (tile_id, height, width, transform, epsg, names, data: float32) in a folder that all executors see under this
-    path (another file system than the executors' own raises ValueError). A file is written beside and renamed, so a task that runs again
-    leaves whole files."""
-    path = path.removeprefix("file://").rstrip("/")
-    if "://" in path:
-        raise ValueError("tasks write rasters to a folder that is mounted, not to a store")
-
-    def run(frames):
-        for x in frames:
-            for t, h, w, transform, epsg, names, data in zip(*(x[c] for c in ("tile_id", "height", "width", "transform", "epsg", "names", "data")), strict=True):
-                r = tiff.Raster(np.frombuffer(data, "<f4").reshape(-1, int(h), int(w)), tuple(transform), int(epsg), list(names))
-                os.makedirs(path, exist_ok=True)
-                with tempfile.NamedTemporaryFile(dir=path, prefix=".", delete=False) as f:
-                    f.write(tiff.write(r))
-                os.replace(f.name, f"{path}/{t}.tif")
-            yield pd.DataFrame({"n": [len(x)]})
-
+def write_rasters(rasters: DataFrame, path: str, overviews: int = 0) -> None:
+    """A tiled TIFF for each row (tile_id, height, width, transform, epsg, names, data: float32) below a path or URI, with overviews; others that lie
+    there stay. Files take their places when all tasks have succeeded; a job that fails leaves none."""
+    tiles.register(rasters.sparkSession)
     columns = ["tile_id", "height", "width", "transform", "epsg", "names", "data"]
-    rasters.filter("data is not null").select(*columns).mapInPandas(run, "n long").agg(F.sum("n")).collect()
+    rows = rasters.filter("data is not null").select(*columns)
+    rows.write.format("tiles").mode("append").option("overviews", str(overviews)).save(path)
 
 
 def cached(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -179,9 +166,10 @@ def cached(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFr
     return spark.read.parquet(path)
 
 
-def write_lr_range(steps: DataFrame, path: str) -> None:
-    """(global_step, lr, loss) as one CSV in the order of steps."""
-    steps.select("global_step", "lr", "loss").coalesce(1).sortWithinPartitions("global_step").write.mode("overwrite").csv(path, header=True)
+def write_lr_range(steps: DataFrame, path: str, part_rows: int = 1_000_000) -> None:
+    """(global_step, lr, loss) as CSV parts whose names follow the order of steps: each task sorts a range of about part_rows."""
+    parts = max(1, -(-steps.count() // part_rows))
+    steps.select("global_step", "lr", "loss").repartitionByRange(parts, "global_step").sortWithinPartitions("global_step").write.mode("overwrite").csv(path, header=True)
 
 
 def append_csv(spark: SparkSession, new: DataFrame, path: str, columns: Sequence[str]) -> None:
@@ -220,3 +208,24 @@ def load_checkpoint(spark: SparkSession, path: str, epoch: int) -> DataFrame:
 def log_metrics(df: DataFrame, path: str) -> None:
     """Appends (run_id, epoch, metric, value)."""
     df.select("run_id", "epoch", "metric", "value").write.mode("append").parquet(path)
+
+
+def feasibility(multi_scale: dict, variants: dict[str, dict[str, float]], gates: dict) -> dict:
+    """The feasibility of inference as one document: figures of several scales, those of each variant of augmentation, the gates, and what
+    they recommend: the cheapest variant (in the given order) that passes, else the first."""
+    gain, drop = gates["least_gain"], gates["most_drop"]
+    names = list(variants)
+    base = variants[names[0]]
+    passed = [n for n in names[1:] if variants[n]["pr_auc"] - base["pr_auc"] >= gain and base["precision"] - variants[n]["precision"] <= drop]
+    large = multi_scale["multi_pr_auc"] - multi_scale["baseline_pr_auc"]
+    ok = large >= gates["least_large_gain"] and multi_scale["fp_rate_delta"] <= gates["most_fp_delta"]
+    return {"multi_scale": {**multi_scale, "gain": large, "passed": ok, "scales": [1.0, 0.5] if ok else [1.0]}, "variants": variants, "gates": gates, "recommended": passed[0] if passed else names[0]}
+
+
+def write_feasibility(report: dict, path: str) -> None:
+    """The document as JSON, and as a table for readers beside it."""
+    write_metrics(report, f"{path}.json")
+    m = report["multi_scale"]
+    lines = ["# Feasibility", "", *(f"* {k}: {v}" for k, v in sorted(m.items())), "", "| Variant | PR-AUC | Precision |", "|---|---|---|"]
+    lines += [f"| {n} | {v['pr_auc']:.4f} | {v['precision']:.4f} |" for n, v in report["variants"].items()] + ["", f"Recommended: {report['recommended']}", ""]
+    write_text(SparkSession.active(), f"{path}.md", "\n".join(lines))

@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window as W
 
 from .. import schema
@@ -34,19 +35,23 @@ def early_stopping(df: DataFrame, patience: int, min_delta: float = 0.0, start_e
     """
     value = F.when(F.col("value").isNotNull(), F.col("value")).otherwise(F.raise_error(F.lit("the metric is missing")).cast("double"))
     s = moving_average(df.withColumn("value", value), k)
-    series = F.array_sort(F.collect_list(F.struct("epoch", "smoothed"))).alias("_s")
-    none = F.array().cast("array<struct<epoch:int,smoothed:double,best:double,counter:int,stopped:boolean>>")
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("counter"), F.lit(False).alias("stopped"), none.alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        better = a["best"].isNull() | (x["smoothed"] > a["best"] + min_delta)
-        best, counter = F.when(better, x["smoothed"]).otherwise(a["best"]), F.when(better, 0).otherwise(a["counter"] + 1)
-        stopped = a["stopped"] | ((counter >= patience) & (x["epoch"] >= start_epoch))
-        row = F.struct(x["epoch"].cast("int").alias("epoch"), x["smoothed"].alias("smoothed"), best.alias("best"), counter.alias("counter"), stopped.alias("stopped"))
-        return F.struct(best.alias("best"), counter.alias("counter"), stopped.alias("stopped"), F.concat(a["out"], F.array(row)).alias("out"))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a run's epochs come together and in order, as the window needs them so; one row is held, not the run
+        now: Any = object()
+        best, counter, stopped = None, 0, False
+        for x in frames:
+            out = []
+            for run_id, epoch, smoothed in zip(x["run_id"], x["epoch"], x["smoothed"], strict=True):
+                if run_id != now:
+                    now, best, counter, stopped = run_id, None, 0, False
+                best, counter = (smoothed, 0) if best is None or smoothed > best + min_delta else (best, counter + 1)
+                stopped = stopped or (counter >= patience and epoch >= start_epoch)
+                out.append((run_id, epoch, smoothed, best, counter, stopped))
+            yield pd.DataFrame(out, columns=["run_id", "epoch", "smoothed", "best", "counter", "stopped"])
 
-    folded = s.groupBy("run_id").agg(series).select("run_id", F.aggregate("_s", start, step)["out"].alias("_o"))
-    return folded.select("run_id", F.explode("_o").alias("_x")).select("run_id", "_x.*")
+    ordered = s.select("run_id", F.col("epoch").cast("int").alias("epoch"), "smoothed").sortWithinPartitions("run_id", "epoch")
+    return ordered.mapInPandas(run, f"run_id {df.schema['run_id'].dataType.simpleString()}, epoch int, smoothed double, best double, counter int, stopped boolean")
 
 
 def best_so_far(df: DataFrame, value: str = "value") -> DataFrame:
@@ -92,6 +97,55 @@ def stop_stream(df: DataFrame, patience: int, min_delta: float = 0.0, start_epoc
     return df.groupBy("run_id").applyInPandasWithState(fold, "run_id string, epoch int, smoothed double, best double, counter int, stopped boolean", "last array<double>, best double, counter int, stopped boolean", "append", "NoTimeout")
 
 
+STOPPED = "run_id string, epoch int, smoothed double, best double, counter int, stopped boolean, last array<double>"
+
+
+class _Stopping(StatefulProcessor):
+    """early_stopping for one run; `held` is (last values, best, counter, stopped)."""
+
+    def __init__(self, patience: int, min_delta: float, start_epoch: int, k: int, ttl_ms: int | None):
+        self.rule, self.ttl_ms = (patience, min_delta, start_epoch, k), ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "last array<double>, best double, counter int, stopped boolean", self.ttl_ms)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: Any) -> None:
+        x = initialState.iloc[0]
+        self.held.update(([float(v) for v in x["last"]], float(x["best"]), int(x["counter"]), bool(x["stopped"])))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        patience, min_delta, start_epoch, k = self.rule
+        last, best, counter, stopped = self.held.get() if self.held.exists() else ([], None, 0, False)
+        out = []
+        for x in pd.concat(list(rows)).sort_values("epoch").itertuples():
+            last = [*last, float(x.value)][-k:]
+            smoothed = sum(last) / len(last)
+            best, counter = (smoothed, 0) if best is None or smoothed > best + min_delta else (best, counter + 1)
+            stopped = bool(stopped or (counter >= patience and x.epoch >= start_epoch))
+            out.append((key[0], int(x.epoch), smoothed, best, counter, stopped, last))
+        self.held.update((list(last), float(best), int(counter), stopped))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in STOPPED.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def resumable_stops(df: DataFrame, patience: int, min_delta: float = 0.0, start_epoch: int = 0, k: int = 3, initial: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """STOPPED: early_stopping over a stream of (run_id, epoch, value) that goes on from `initial`, as saved_state() gives it. With ttl_ms the state of
+    a run that is silent for so long goes. The session has to use the state store of RocksDB.
+
+    Without a time to live the same epochs in the same batches give the same rows, whether the stream ran through or was stopped and given its state back."""
+    extra = {} if initial is None else {"initialState": initial.groupBy("run_id")}
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return df.groupBy("run_id").transformWithStateInPandas(_Stopping(patience, min_delta, start_epoch, k, ttl_ms), STOPPED, "Append", mode, **extra)
+
+
+def saved_state(rows: DataFrame) -> DataFrame:
+    """(run_id, last, best, counter, stopped): what a stream held after its last epoch of each run, from the rows that it wrote."""
+    newest = rows.groupBy("run_id").agg(F.max_by(F.struct("last", "best", "counter", "stopped"), "epoch").alias("s"))
+    return newest.select("run_id", "s.*")
+
+
 def stats_sink(path: str, channels: list[str]) -> Callable[[DataFrame, int], None]:
     """foreachBatch: the partial statistics of each batch, under its number, so that a batch that is written again replaces itself."""
 
