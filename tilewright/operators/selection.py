@@ -34,7 +34,7 @@ def percentiles(df: DataFrame, value: str, ps: Sequence[float], kept: Kept, *by:
     goes on. The ranges of all groups and positions are divided in the same pass, so passes are the logarithm of the largest
     group. What is left of a range is at most `held` rows.
     """
-    by = list(by)
+    by, pivots = list(by), max(2, pivots)  # of two values one always divides a range
     key = by or ["_g"]
     v = F.col(value).cast("double").alias("v")
     rows = df.select(*by, v) if by else df.select(F.lit(0).alias("_g"), v)

@@ -83,7 +83,7 @@ def hilbert(x: np.ndarray, y: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def bounds_of(rings: Column) -> Column:
     """struct<xmin, ymin, xmax, ymax> of a polygon's outer ring."""
-    xs, ys = (F.transform(rings[0], lambda p, k=k: p[k]) for k in (0, 1))
+    xs, ys = F.transform(rings[0], lambda p: p[0]), F.transform(rings[0], lambda p: p[1])
     return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
 
 
