@@ -901,3 +901,16 @@ def test_query_agrees_with_sql(spark, name):
     columns = sorted(df.columns)
     found = con.execute(f"SELECT {', '.join(columns)} FROM ({registry.SQL[name]})").fetchall()
     assert Counter(tuple(r[c] for c in columns) for r in df.collect()) == Counter(tuple(r) for r in found)
+
+
+# --- names and ids that operators don't expect
+
+
+def test_classifiers_take_any_column_name_and_ids_of_text(spark):
+    rng = random.Random(3)
+    docs = frame(spark, [prose(rng, 30) if k % 2 else "SCUM!! " * 20 for k in range(60)])
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id"))).withColumn("__text", F.lit("x")).withColumn("__TEXT_", F.lit("y"))
+    labels = named.select("doc_id", (F.length("text") % 2).cast("int").alias("quality"), F.col("text").startswith("SCUM").cast("int").alias("toxic"))
+    for module in (toxicity, quality):
+        out = module.score(named, module.train(named, labels))
+        assert out.count() == 60 and {"__text", "__TEXT_"} <= set(out.columns) and out.filter("__text = 'x' AND __TEXT_ = 'y'").count() == 60

@@ -58,14 +58,15 @@ def statistics(text: bytes) -> tuple[float, ...]:
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """df without its text, with the statistics; one Arrow pass, no shuffle."""
     keep = [c for c in df.columns if c != text and c not in NAMES]
+    own = common.unused("__text", keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.chunks(batches, "__text"):
+        for b in common.chunks(batches, own):
             values = np.array([statistics(t or b"") for t in common.as_bytes(b.column(len(keep)))], np.float64).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(v) for v in values.T)], names=[*keep, *NAMES])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep]
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, ", ".join([*fields, FEATURE_TYPE]))
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias(own)).mapInArrow(run, ", ".join([*fields, FEATURE_TYPE]))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # of (statistic, above, cut)
