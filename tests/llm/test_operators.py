@@ -914,3 +914,13 @@ def test_classifiers_take_any_column_name_and_ids_of_text(spark):
     for module in (toxicity, quality):
         out = module.score(named, module.train(named, labels))
         assert out.count() == 60 and {"__text", "__TEXT_"} <= set(out.columns) and out.filter("__text = 'x' AND __TEXT_ = 'y'").count() == 60
+
+
+def test_very_long_texts_pack_like_others_and_hold_few_pieces(spark, monkeypatch):
+    rng = random.Random(8)
+    text = prose(rng, 20_000) + " 12 ab!\n\n  x"
+    cache = packing.Pieces(packing.ranks(spark))
+    want = cache.ids(text).tolist()
+    monkeypatch.setattr(packing, "LONG", 1000)
+    monkeypatch.setattr(packing, "BLOCK", 37)
+    assert packing.Pieces(packing.ranks(spark)).ids(text).tolist() == want == packing.encoding(packing.ranks(spark)).encode_ordinary(text)

@@ -20,6 +20,7 @@ import base64
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ END = 50256
 ROW_TOKENS = 2048
 GROUP_TOKENS = 1 << 20
 MAX_CACHE = 200_000
+LONG, BLOCK = 1 << 20, 1 << 16  # characters from which on pieces are held in blocks, and pieces of a block
 MAX_RANKS = 64 << 20
 
 
@@ -65,14 +67,20 @@ class Pieces(dict):
     def __init__(self, raw: bytes):
         super().__init__()
         self.encode = encoding(raw).encode_ordinary
-        self.find = regex.compile(PATTERN).findall
+        self.pattern = regex.compile(PATTERN)
 
     def __missing__(self, piece: str) -> bytes:
         self[piece] = ids = np.array(self.encode(piece), "<i4").tobytes()
         return ids
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, self.find(text))), "<i4")
+        """The ids of a whole text; the pieces of a long one are held BLOCK at a time."""
+        if len(text) <= LONG:
+            return np.frombuffer(b"".join(map(self.__getitem__, self.pattern.findall(text))), "<i4")
+        found, parts = (m[0] for m in self.pattern.finditer(text)), []
+        while block := list(islice(found, BLOCK)):
+            parts.append(b"".join(map(self.__getitem__, block)))
+        return np.frombuffer(b"".join(parts), "<i4")
 
 
 class Rooms:
