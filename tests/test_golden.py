@@ -99,7 +99,7 @@ def test_constant_channel_has_no_correlation(spark):
 
 def test_running_matches_cumsum(spark):
     df = spark.createDataFrame([(float(i * 7 % 101), i % 5) for i in range(101)], "k double, n int")
-    got = {r.k: r.t for r in stats.running(df, "k", {"t": "n"}, parts=7).collect()}
+    got = {r.k: r.t for r in stats.running(df, "k", {"t": "n"}, part_rows=7).collect()}
     total = 0
     for r in sorted(df.collect()):
         total += r.n

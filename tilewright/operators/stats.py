@@ -157,19 +157,20 @@ def average_ranks(df: DataFrame, column: str) -> DataFrame:
     return running(counts, "value", {"_to": "n"}).select("value", "n", (F.col("_to") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False, parts: int = 512, part_rows: int = 50_000) -> DataFrame:
+def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False, part_rows: int = 50_000, most_parts: int = 100_000) -> DataFrame:
     """df with running sums in the order of a distinct column, without a window over all rows.
 
-    Values are dealt by approximate quantiles to as many parts as their number asks for, part_rows each and `parts` at most; within a
-    part a window sums up, and the parts before add their totals (a window over as many rows as there are parts).
+    The rows are written once and dealt out by ranges, part_rows or so each; within a part a window sums up, and the parts before
+    add their totals (a window over as many rows as there are parts).
     """
-    fine = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("_c"), F.greatest(F.lit(1), F.least(F.lit(parts), F.ceil(F.count("*") / part_rows))).alias("_n"))
-    cuts = fine.select(F.filter("_c", lambda c, i: (i + 1) % F.ceil(parts / F.col("_n")) == 0).alias("_cuts"))
-    part = F.aggregate("_cuts", F.lit(0), lambda n, c: n + F.when(F.col(order) > c, 1).otherwise(0))
-    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_part", F.coalesce(part, F.lit(0))).drop("_cuts")  # one row of cuts
-    o, p = (F.col(order).desc(), F.col("_part").desc()) if descending else (F.col(order).asc(), F.col("_part").asc())
+    kept = Kept(df.sparkSession, "running")
+    rows = kept.put(df)
+    parts = max(1, min(most_parts, -(-rows.count() // part_rows)))
+    o = F.col(order).desc() if descending else F.col(order).asc()
+    dealt = kept.put(rows.repartitionByRange(parts, o).withColumn("_part", F.spark_partition_id()))
+    kept.drop(rows)
     totals = dealt.groupBy("_part").agg(*(F.sum(v).alias(f"_t{k}") for k, v in sums.items()))
-    w = W.orderBy(p).rowsBetween(W.unboundedPreceding, -1)
+    w = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     before = totals.select("_part", *(F.coalesce(F.sum(f"_t{k}").over(w), F.lit(0)).alias(f"_b{k}") for k in sums))
     inner = W.partitionBy("_part").orderBy(o).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = dealt.select("*", *(F.sum(v).over(inner).alias(f"_i{k}") for k, v in sums.items())).join(F.broadcast(before), "_part")

@@ -15,7 +15,8 @@ from ..operators import augment, catalog, raster, spatial, stats, vectors
 from ..operators.raster import GRID, SIDE
 from ..operators.state_io import scratch
 from ..schema import CATALOG_SQL
-from ..sources import files, scenes
+from ..sources import files, geoparquet, scenes
+from ..streaming import state
 
 # Tables of text.
 
@@ -169,6 +170,42 @@ def _flipped(s: SparkSession, d: str) -> DataFrame:
     return _pixels(out).filter("band = 0").select("tile_id", "row", "col", F.col("value").alias("v"))
 
 
+def _overviews(s: SparkSession, d: str) -> DataFrame:
+    """Tiles written with overviews by the sink, of which the source reads the first."""
+    at = scratch(s, "overviews")
+    files.write_rasters(_tiles(s, d), at, overviews=1)
+    return _pixels(s.read.format("tiles").option("level", "1").option("bands", "0").load(at)).select("tile_id", "row", "col", F.round("value", 4).alias("v"))
+
+
+def _geoparquet(s: SparkSession, d: str) -> DataFrame:
+    """The customers' unit squares, of which those that touch a window come back."""
+    at = scratch(s, "geoparquet")
+    x, y = F.col("x"), F.col("y")
+    ring = F.array(F.array(x, y), F.array(x + 1, y), F.array(x + 1, y + 1), F.array(x, y + 1), F.array(x, y))
+    geoparquet.write_geoparquet(spatial._pts(s, d).select("id", F.array(ring).alias("rings")), at, 4326)
+    some = geoparquet.read_geoparquet(s, at, (10.25, 5.25, 20.75, 15.75))
+    return some.select("id", F.round(F.col("rings")[0][0][0], 6).alias("x"), F.round(F.col("rings")[0][2][1], 6).alias("y1"), F.size(F.col("rings")[0]).alias("n_points"))
+
+
+def _resumed(s: SparkSession, d: str) -> DataFrame:
+    """Early stopping by a stream that was stopped half-way, and one that goes on from the state it left."""
+    at, store = scratch(s, "resumed"), "spark.sql.streaming.stateStore.providerClass"
+    series = state._series(s, d).select("run_id", F.col("epoch").cast("int").alias("epoch"), "value")
+    before = s.conf.get(store)
+    s.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for name, where, after in (("first", "epoch <= 14", None), ("second", "epoch > 14", "first")):
+            series.filter(where).write.parquet(f"{at}/{name}-in")
+            stream = s.readStream.schema(series.schema).parquet(f"{at}/{name}-in")
+            saved = state.saved_state(s.read.parquet(f"{at}/{after}")) if after else None
+            q = state.resumable_stops(stream, 5, 0.5, 8, 3, saved).writeStream.format("parquet").option("path", f"{at}/{name}").option("checkpointLocation", f"{at}/{name}-at").trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        s.conf.set(store, before)
+    rows = s.read.parquet(f"{at}/first").unionByName(s.read.parquet(f"{at}/second"))
+    return rows.select("run_id", "epoch", F.round("smoothed", 5).alias("smoothed"), F.round("best", 5).alias("best"), "counter", "stopped")
+
+
 # Scenes.
 
 
@@ -222,6 +259,9 @@ def _free_riders(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "x11_overviews": _overviews,
+    "x11_geoparquet": _geoparquet,
+    "t04_resumed_stream": _resumed,
     "s01_catalog_csv": _catalog_csv,
     "s02_split_map_yaml": _split_map,
     "s03_stats_json": _stats_json,
@@ -251,6 +291,9 @@ QUERIES = {
 }
 W = f"WITH {GRID}"
 SQL = {
+    "x11_overviews": f"WITH {GRID} SELECT tile_id, (row // 2)::INT AS row, (col // 2)::INT AS col, round(avg(v), 4) AS v FROM grid GROUP BY 1, 2, 3",
+    "x11_geoparquet": "WITH p AS (SELECT c_custkey AS id, (c_custkey * 7919) % 3600 / 100.0::DOUBLE AS x, (c_custkey * 104729) % 2500 / 100.0::DOUBLE AS y FROM customer) SELECT id, round(x, 6) AS x, round(y + 1, 6) AS y1, 5 AS n_points FROM p WHERE x <= 20.75 AND x + 1 >= 10.25 AND y <= 15.75 AND y + 1 >= 5.25",
+    "t04_resumed_stream": state.SQL["t01_early_stopping"],
     "s01_catalog_csv": f"WITH {CATALOG_SQL} SELECT tile_id::VARCHAR AS tile_id, tile_id % 170 - 85.0::DOUBLE AS centroid_lat, tile_id % 350 - 175.0::DOUBLE AS centroid_lon, train_class, region, 'u' || tile_id || '|v' AS uids FROM cat",
     "s02_split_map_yaml": "SELECT unnest(CASE WHEN n_nationkey < 15 THEN ['train'] WHEN n_nationkey < 19 THEN ['val_balanced', 'val_realistic'] ELSE ['test_realistic'] END) AS split, n_name AS region FROM nation",
     "s03_stats_json": " UNION ALL ".join(f"SELECT {i + 1} AS pos, '{c}' AS channel, round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS std FROM lineitem" for i, c in enumerate(stats.CHANNELS)),
