@@ -260,9 +260,9 @@ SQL = {
 }
 
 
-def _ratio_sql(r: int) -> str:
+def ratio_sql(r: int, digits: int = 6) -> str:
     """Average precision at one ratio: the first negatives in hash order, or as many draws with replacement."""
-    return f"""SELECT {r} AS ratio, (SELECT round(sum(pos / allp * (tp / (tp + fp))), 6) FROM (SELECT pos, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS allp
+    return f"""SELECT {r} AS ratio, (SELECT round(sum(pos / allp * (tp / (tp + fp))), {digits}) FROM (SELECT pos, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS allp
       FROM (SELECT score, coalesce(sum(w) FILTER (label = 1), 0)::DOUBLE AS pos, coalesce(sum(w) FILTER (label <> 1), 0)::DOUBLE AS neg FROM val JOIN (
         SELECT tile_id, 1 AS w FROM t WHERE is_pos UNION ALL
         SELECT tile_id, 1 FROM neg, k WHERE k.p * {r} <= k.n AND h <= k.p * {r} UNION ALL
@@ -270,6 +270,7 @@ def _ratio_sql(r: int) -> str:
       (p * {r})::BIGINT AS n_neg, p * {r} > n AS bootstrapped FROM k"""
 
 
-SQL["m03_ap_at_ratios"] = f"""WITH {PIX}, t AS (SELECT tile_id, bool_or(label = 1) AS is_pos FROM pix GROUP BY 1), k AS (SELECT count(*) FILTER (is_pos) AS p, count(*) FILTER (NOT is_pos) AS n FROM t),
-  neg AS (SELECT tile_id, row_number() OVER (ORDER BY md5(tile_id::VARCHAR || '|42'), tile_id) AS h, row_number() OVER (ORDER BY tile_id) - 1 AS i FROM t WHERE NOT is_pos)
-  """ + " UNION ALL ".join(map(_ratio_sql, (1, 5, 20)))
+#: Tiles of a table t(tile_id, is_pos): their counts, and the negatives in hash order and by id.
+DRAWS = """k AS (SELECT count(*) FILTER (is_pos) AS p, count(*) FILTER (NOT is_pos) AS n FROM t),
+  neg AS (SELECT tile_id, row_number() OVER (ORDER BY md5(tile_id::VARCHAR || '|42'), tile_id) AS h, row_number() OVER (ORDER BY tile_id) - 1 AS i FROM t WHERE NOT is_pos)"""
+SQL["m03_ap_at_ratios"] = f"WITH {PIX}, t AS (SELECT tile_id, bool_or(label = 1) AS is_pos FROM pix GROUP BY 1), {DRAWS} " + " UNION ALL ".join(map(ratio_sql, (1, 5, 20)))

@@ -411,7 +411,19 @@ FOC = f"""WITH {GRID}, p AS (SELECT g.tile_id, g.row, g.col, o.v FROM grid g, (S
 SLOPE = f"""WITH {GRID}, q AS (SELECT g.tile_id, g.row, g.col, i, j, o.v FROM grid g, (SELECT unnest(range(-1, 2)) AS i) x, (SELECT unnest(range(-1, 2)) AS j) y, grid o
   WHERE o.tile_id = g.tile_id AND o.row = {_edge('g.row + i', SIDE - 1)} AND o.col = {_edge('g.col + j', SIDE - 1)}),
   d AS (SELECT tile_id, row, col, sum(v * j * CASE i WHEN 0 THEN 2 ELSE 1 END) / 8 AS dx, sum(v * i * CASE j WHEN 0 THEN 2 ELSE 1 END) / 8 AS dy, sum(v) - 9 * sum(v) FILTER (i = 0 AND j = 0) AS lap FROM q GROUP BY 1, 2, 3)"""
+_flood = lambda a, where: f"""{a}m AS (SELECT tile_id, row, col, v / 16 AS s FROM grid WHERE {where}), {a}r AS (SELECT tile_id, row AS r0, col AS c0, row, col FROM {a}m
+  UNION SELECT a.tile_id, a.r0, a.c0, b.row, b.col FROM {a}r a JOIN {a}m b ON a.tile_id = b.tile_id AND abs(a.row - b.row) + abs(a.col - b.col) = 1), {a}c AS (SELECT tile_id, row, col, min(r0 * {SIDE} + c0) AS {a} FROM {a}r GROUP BY 1, 2, 3)"""
+MATCHED = f"""{_flood('p', 'v / 16 >= 0.5 AND label <> 255')}, {_flood('t', 'label = 1')},
+      po AS (SELECT tile_id, p, count(*) AS n, row_number() OVER (PARTITION BY tile_id ORDER BY avg(s) DESC, p) AS i FROM pc JOIN pm USING (tile_id, row, col) GROUP BY 1, 2 HAVING count(*) >= 4),
+      ts AS (SELECT tile_id, t, count(*) AS m FROM tc GROUP BY 1, 2),
+      iou AS (SELECT tile_id, i, t, count(*)::DOUBLE / (any_value(n) + any_value(m) - count(*)) AS u FROM po JOIN pc USING (tile_id, p) JOIN tc USING (tile_id, row, col) JOIN ts USING (tile_id, t) GROUP BY 1, 2, 3 HAVING u >= 0.3),
+      cnt AS (SELECT tile_id, (SELECT count(*) FROM po WHERE po.tile_id = g.tile_id) AS k, (SELECT count(*) FROM ts WHERE ts.tile_id = g.tile_id) AS m FROM (SELECT DISTINCT tile_id FROM grid) g),
+      step AS (SELECT tile_id, 0::BIGINT AS i, []::BIGINT[] AS used FROM cnt UNION ALL
+        SELECT s.tile_id, s.i + 1, CASE WHEN count(x.t) = 0 THEN any_value(s.used) ELSE list_append(any_value(s.used), arg_max(x.t, x.u * 1e6 - x.t * 1e-6)) END
+        FROM step s JOIN cnt c ON c.tile_id = s.tile_id AND s.i < c.k LEFT JOIN iou x ON x.tile_id = s.tile_id AND x.i = s.i + 1 AND NOT list_contains(s.used, x.t) GROUP BY s.tile_id, s.i),
+      matched AS (SELECT tile_id, len(used)::BIGINT AS tp, k - len(used)::BIGINT AS fp, m - len(used)::BIGINT AS fn FROM step JOIN cnt USING (tile_id) WHERE i = k)"""
 SQL = {
+    "r06_object_matching": f"WITH RECURSIVE {GRID}, {MATCHED} SELECT * FROM matched",
     "r01_rasterize": """WITH t AS (SELECT n_nationkey::BIGINT AS tile_id, r + 0.5 AS y0, c + 0.5 AS x FROM nation, range(16) a(r), range(16) b(c)), p AS (SELECT tile_id, x, 16 - y0 AS y, tile_id % 5 AS k FROM t),
       l AS (SELECT tile_id, CASE WHEN tile_id % 4 <> 3 AND x > 2 + k AND x < 9 + k AND y > 2 + k AND y < 9 + k THEN 1 WHEN x > 1 AND x < 6 AND y > 1 AND y < 6 THEN 255 ELSE 0 END AS label FROM p) SELECT tile_id, label, count(*) AS n FROM l WHERE tile_id % 4 <> 3 GROUP BY 1, 2""",
     "r02_dilate": f"WITH {GRID}, m AS ({AROUND.format(f='max(b.mask)', near=FOUR)}) SELECT tile_id, count(*) AS n FROM m WHERE x = 1 GROUP BY 1",

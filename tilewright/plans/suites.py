@@ -64,7 +64,14 @@ QUERIES = {
 }
 W_ = f"WITH {schema.CATALOG_SQL}, {schema.SPLITS_SQL}"
 _row = lambda n, v, q, c: f"SELECT '{n}' AS \"check\", '{v}' AS severity, count(*) AS n_bad, coalesce((SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT {c}::VARCHAR AS k FROM ({q}) ORDER BY {c} LIMIT 5)), '') AS sample FROM ({q})"
+_PAIRS = lambda cols, src, p="": " UNION ALL ".join(f"SELECT '{p}{c}' AS metric, {c}::DOUBLE AS value FROM {src}" for c in cols)
+_RATES = "coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1"
 SQL = {
+    "m02_epoch_validation": f"""WITH RECURSIVE {raster.GRID}, {raster.MATCHED}, pix AS (SELECT tile_id, label, v / 16 AS score FROM grid), val AS (SELECT * FROM pix WHERE label <> 255),
+      t AS (SELECT DISTINCT tile_id, tile_id % 4 = 0 AS is_pos FROM grid), {metrics.DRAWS}, ap AS ({" UNION ALL ".join(metrics.ratio_sql(r, 15) for r in (1, 2, 5))}),
+      px AS (SELECT *, coalesce(tp / nullif(tp + fp + fn, 0), 0) AS iou, {_RATES} FROM (SELECT {metrics.COUNTS} FROM val)), ob AS (SELECT *, {_RATES} FROM (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM matched))
+      SELECT metric, round(value, 6) AS value FROM ({_PAIRS(("iou", "f1", "precision", "recall"), "px")} UNION ALL {_PAIRS(("tp", "fp", "fn", "precision", "recall", "f1"), "ob", "object_")}
+        UNION ALL SELECT 'ap_1_' || ratio, ap FROM ap UNION ALL SELECT 'ap_geomean', exp(avg(ln(greatest(ap, 1e-12)))) FROM ap)""",
     "m20_catalog_suite": f"{W_} " + " UNION ALL ".join([
         _row("class_values", "error", "SELECT * FROM cat WHERE train_class NOT IN ('Positive', 'Negative')", "tile_id"),
         _row("unique_ids", "error", "SELECT * FROM (SELECT tile_id, count(*) OVER (PARTITION BY tile_id) AS n FROM cat) WHERE n > 1", "tile_id"),
