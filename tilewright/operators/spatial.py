@@ -6,7 +6,10 @@ the cells for the points that haven't found theirs; only few candidates, counted
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,9 @@ from .. import schema
 
 HELD, HELD_POINTS = 1000, 20_000  # candidates, and their polygons' points, that each task may hold
 WIDER, CROWDED = 8, 64
+TASK_POINTS, BLOCK = 20_000, 1 << 18  # points of a task; distances that it holds at once
+#: Held candidates to a function of arrays x and y: (place of the nearest, its distance).
+Distances = Callable[[list[dict]], Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -85,13 +91,64 @@ def _nearest(points: DataFrame, candidates: DataFrame, key: str, name: str, dist
     return out.select(key, F.col(f"_b.{name}").alias(name), F.col("_b.dist").alias("dist"))
 
 
-def _held(points: DataFrame, candidates: DataFrame, key: str, name: str, distance: Column) -> DataFrame:
-    """The same by comparing each point with all of a few candidates; the best is kept while a point is still in its task."""
-    d = F.when(distance.isNotNull(), F.struct(distance.alias("dist"), F.col(name)))
-    best = points.crossJoin(F.broadcast(candidates)).groupBy(key).agg(F.min(d).alias("b"))
+def _held(points: DataFrame, candidates: DataFrame, key: str, name: str, distances: Distances) -> DataFrame:
+    """The same by comparing each point with all of a few candidates, which each task holds: (points, candidates) blocks of distances in
+    numpy. Points are dealt out, as a small file of them comes as one part."""
+    held = candidates.orderBy(name).toArrow()  # HELD at most; the first of equal distances has the least name
+    names, measure = held.column(name).combine_chunks(), distances(held.to_pylist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x", "y"))
+            at, dist = measure(x, y) if len(names) else (np.zeros(len(x), np.int64), np.full(len(x), np.nan))
+            none = np.isnan(x) | np.isnan(y) | (not len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0), names.take(pa.array(at, mask=none)), pa.array(dist, mask=none)], names=[key, name, "dist"])
+
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for df, c in ((points, key), (candidates, name))]
+    p = schema.dealt(points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), TASK_POINTS, key)
+    found = p.mapInArrow(run, ", ".join([*kinds, "dist double"]))
+    best = found.groupBy(key).agg(F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", name))).alias("b"))
     return best.select(key, F.col(f"b.{name}").alias(name), F.col("b.dist").alias("dist"))
 
 
+def _blocks(x: np.ndarray, y: np.ndarray, width: int, distance: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the least distance, the distance) of each point, for blocks of points such that some BLOCK numbers are held; NaN counts as farthest."""
+    at, best, step = np.zeros(len(x), np.int64), np.zeros(len(x)), max(1, BLOCK // max(width, 1))
+    with np.errstate(all="ignore"):
+        for s in range(0, len(x), step):
+            d = distance(x[s : s + step, None], y[s : s + step, None])
+            k = np.where(np.isnan(d), np.inf, d).argmin(1)
+            at[s : s + step], best[s : s + step] = k, d[np.arange(len(k)), k]
+    return at, best
+
+
+def _to_centres(held: list[dict]) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    cx, cy = (np.array([c[k] for c in held], np.float64) for k in ("_x", "_y"))
+    return lambda x, y: _blocks(x, y, len(cx), lambda x, y: np.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)))
+
+
+def _to_polygons(held: list[dict]) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Distances to the edges of all rings laid end to end, 0 where the first ring holds the point and no other one does."""
+    gap = [[None, None]]  # of a ring without points; NaN is near to nothing and crossed by nothing
+    rings = [[np.array(r or gap, np.float64).reshape(-1, 2) for r in c["rings"]] for c in held]
+    flat = [r for rs in rings for r in rs]
+    first = np.cumsum([0, *(len(r) for r in flat[:-1])])  # edges of each ring
+    outer = np.cumsum([0, *(len(rs) for rs in rings[:-1])])  # rings of each polygon
+    (x1, y1), (x2, y2) = (np.concatenate(p).T if flat else np.zeros((2, 0)) for p in (flat, [np.roll(r, -1, 0) for r in flat]))
+    dx, dy = x2 - x1, y2 - y1
+    square = dx * dx + dy * dy
+
+    def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        t = np.clip(np.where(square != 0, ((x - x1) * dx + (y - y1) * dy) / square, 0.0), 0.0, 1.0)
+        ex, ey = x1 + t * dx - x, y1 + t * dy - y
+        edge = np.fmin.reduceat(np.fmin.reduceat(np.sqrt(ex * ex + ey * ey), first, 1), outer, 1)
+        crossed = ((y1 > y) != (y2 > y)) & (x < dx * (y - y1) / dy + x1)
+        odd = np.add.reduceat(crossed, first, 1, np.int64) % 2
+        return np.where((odd[:, outer] == 1) & (np.add.reduceat(odd, outer, 1) == 1), 0.0, edge)
+
+    return lambda x, y: _blocks(x, y, len(x1), distance)
+
+
 def _placed(points: DataFrame) -> DataFrame:
     """Points without a place, whose x or y is null or NaN, have none in either; they are near to nothing."""
     there = ~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double"))
@@ -105,7 +162,7 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, name: st
     d = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
     points = _placed(points)
     if c.limit(HELD + 1).count() <= HELD:
-        return _held(points, c, key, name, d)
+        return _held(points, c.filter("_x is not null and _y is not null"), key, name, _to_centres)
     boxes = c.select("*", F.col("_x").alias("min_x"), F.col("_x").alias("max_x"), F.col("_y").alias("min_y"), F.col("_y").alias("max_y"))
     return _nearest(points, boxes, key, name, d, ("_x", "_y"))
 
@@ -131,7 +188,7 @@ def nearest_feature(points: DataFrame, polygons: DataFrame, key: str, name: str)
     c = polygons.select(name, "rings")
     n = c.limit(HELD + 1).agg(F.count("*").alias("n"), F.sum(F.aggregate("rings", F.lit(0), lambda a, r: a + F.size(r))).alias("points")).first()
     if n.n <= HELD and (n.points or 0) <= HELD_POINTS:
-        return _held(points, c, key, name, d)
+        return _held(points, c.filter(F.exists(F.flatten("rings"), lambda p: p[0].isNotNull() & p[1].isNotNull())), key, name, _to_polygons)
     return _nearest(points, with_bounds(c), key, name, d, ("rings",))
 
 
@@ -144,7 +201,7 @@ def region_of(points: DataFrame, polygons: DataFrame, centroids: DataFrame, key:
 
 def covering_cell(points: DataFrame, grid: DataFrame, key: str, cell: float) -> DataFrame:
     """(key, grid, contained): of the grid boxes (grid, min_x, ...) near a point, one that holds it, else the nearest; ties to the first."""
-    p = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
+    p = schema.dealt(points, TASK_POINTS, key).withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
     near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     p = p.withColumn("_dx", near).withColumn("_dy", near).withColumn("cx", F.col("_cx") + F.col("_dx")).withColumn("cy", F.col("_cy") + F.col("_dy"))
     both = p.join(cells_of(grid, cell), ["cx", "cy"])

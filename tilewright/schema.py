@@ -31,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt out by keys to parts of about `rows` rows. Small files come as one part, however many rows are made of theirs; adaptive
+    execution, which joins parts of few bytes, leaves a given number as it is."""
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
+
+
 def first_present(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
     """The first candidate among the columns."""
     return next((c for c in candidates if c in columns), None)
