@@ -87,7 +87,8 @@ def test_held_polygons_with_holes(spark):
     assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()}
     assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-12) for k in want)
     assert got[502] == ("b", 3.0) and got[503] == ("a", 0.0)
-    none = spatial.nearest_feature(df, p.limit(0), "id", "name")
+    assert spatial.nearest_feature(df, p.limit(0), "id", "name").count() == 0
+    none = spatial.nearest_feature(df, p.filter("name = 'd'"), "id", "name")
     assert none.count() == 504 and none.filter("name is not null or dist is not null").count() == 0
 
 

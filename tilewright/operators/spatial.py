@@ -93,15 +93,15 @@ def _nearest(points: DataFrame, candidates: DataFrame, key: str, name: str, dist
 
 def _held(points: DataFrame, candidates: DataFrame, key: str, name: str, distances: Distances) -> DataFrame:
     """The same by comparing each point with all of a few candidates, which each task holds: (points, candidates) blocks of distances in
-    numpy. Points are dealt out, as a small file of them comes as one part."""
+    numpy. Points are dealt out, as a small file of them comes as one part. Without candidates there are no rows."""
     held = candidates.orderBy(name).toArrow()  # HELD at most; the first of equal distances has the least name
     names, measure = held.column(name).combine_chunks(), distances(held.to_pylist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches if len(names) else ():
             x, y = (b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x", "y"))
-            at, dist = measure(x, y) if len(names) else (np.zeros(len(x), np.int64), np.full(len(x), np.nan))
-            none = np.isnan(x) | np.isnan(y) | (not len(names))
+            at, dist = measure(x, y)
+            none = np.isnan(x) | np.isnan(y) | np.isnan(dist)
             yield pa.RecordBatch.from_arrays([b.column(0), names.take(pa.array(at, mask=none)), pa.array(dist, mask=none)], names=[key, name, "dist"])
 
     kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for df, c in ((points, key), (candidates, name))]
@@ -130,7 +130,7 @@ def _to_centres(held: list[dict]) -> Callable[[np.ndarray, np.ndarray], tuple[np
 def _to_polygons(held: list[dict]) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Distances to the edges of all rings laid end to end, 0 where the first ring holds the point and no other one does."""
     gap = [[None, None]]  # of a ring without points; NaN is near to nothing and crossed by nothing
-    rings = [[np.array(r or gap, np.float64).reshape(-1, 2) for r in c["rings"]] for c in held]
+    rings = [[np.array(r or gap, np.float64).reshape(-1, 2) for r in c["rings"] or [gap]] for c in held]
     flat = [r for rs in rings for r in rs]
     first = np.cumsum([0, *(len(r) for r in flat[:-1])])  # edges of each ring
     outer = np.cumsum([0, *(len(rs) for rs in rings[:-1])])  # rings of each polygon
@@ -162,7 +162,7 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, name: st
     d = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
     points = _placed(points)
     if c.limit(HELD + 1).count() <= HELD:
-        return _held(points, c.filter("_x is not null and _y is not null"), key, name, _to_centres)
+        return _held(points, c, key, name, _to_centres)
     boxes = c.select("*", F.col("_x").alias("min_x"), F.col("_x").alias("max_x"), F.col("_y").alias("min_y"), F.col("_y").alias("max_y"))
     return _nearest(points, boxes, key, name, d, ("_x", "_y"))
 
@@ -188,7 +188,7 @@ def nearest_feature(points: DataFrame, polygons: DataFrame, key: str, name: str)
     c = polygons.select(name, "rings")
     n = c.limit(HELD + 1).agg(F.count("*").alias("n"), F.sum(F.aggregate("rings", F.lit(0), lambda a, r: a + F.size(r))).alias("points")).first()
     if n.n <= HELD and (n.points or 0) <= HELD_POINTS:
-        return _held(points, c.filter(F.exists(F.flatten("rings"), lambda p: p[0].isNotNull() & p[1].isNotNull())), key, name, _to_polygons)
+        return _held(points, c, key, name, _to_polygons)
     return _nearest(points, with_bounds(c), key, name, d, ("rings",))
 
 
