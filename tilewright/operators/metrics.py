@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..schema import IGNORE
+from .state_io import Kept
 from .stats import running
 
 FLOOR = 1e-12
@@ -86,21 +87,30 @@ def ap_at_ratios(pixels: DataFrame, tiles: DataFrame, ratios: tuple[int, ...] =
     """
     from .sampling import hash_order, take
 
+    kept = Kept(tiles.sparkSession, "ratios")
+    tiles = kept.put(tiles.select("tile_id", "is_pos"))  # each ratio reads them again
     n = tiles.agg(F.count_if("is_pos").alias("p"), F.count_if(~F.col("is_pos")).alias("n")).first()
-    out = None
-    negatives = tiles.filter(~F.col("is_pos")).select("tile_id")
-    for r in ratios:
-        need = n.p * r
+    negatives, needs = tiles.filter(~F.col("is_pos")).select("tile_id"), {k: n.p * r for k, r in enumerate(ratios)}
+    weights = lambda df, own: df.select("tile_id", *(own.get(k, F.lit(0)).cast("long").alias(f"_w{k}") for k in needs))
+    chosen = weights(tiles.filter("is_pos"), dict.fromkeys(needs, F.lit(1)))
+    for k, need in needs.items():
         if need <= n.n:
-            draw = take(negatives, need, hash_order(F.col("tile_id"), seed), "tile_id").select("tile_id", F.lit(1).alias("w"))
-        else:
-            spark = tiles.sparkSession
-            drawn = F.conv(F.substring(hash_order(F.col("id"), seed).cast("string"), 1, 12), 16, 10).cast("long")
-            picks = spark.range(need).select(F.pmod(drawn, F.lit(max(n.n, 1))).alias("_i")).groupBy("_i").agg(F.count("*").alias("w"))
-            numbered = running(negatives.select("tile_id", F.lit(1).alias("_one")), "tile_id", {"_i": "_one"}).select("tile_id", (F.col("_i") - 1).alias("_i"))
-            draw = numbered.join(picks, "_i").select("tile_id", "w")
-        chosen = draw.union(tiles.filter("is_pos").select("tile_id", F.lit(1)))
-        ap = average_precision(by_score(pixels.join(chosen, "tile_id"), weight="w")).select(F.lit(r).alias("ratio"), "ap", F.lit(need).cast("long").alias("n_neg"), F.lit(need > n.n).alias("bootstrapped"))
+            chosen = chosen.union(weights(take(negatives, need, hash_order(F.col("tile_id"), seed), "tile_id"), {k: F.lit(1)}))
+    if more := {k: need for k, need in needs.items() if need > n.n}:  # the draws of a lesser ratio are the first ones of a greater one
+        drawn = F.conv(F.substring(hash_order(F.col("id"), seed).cast("string"), 1, 12), 16, 10).cast("long")
+        picks = tiles.sparkSession.range(max(more.values())).groupBy(F.pmod(drawn, F.lit(max(n.n, 1))).alias("_i")).agg(*(F.count_if(F.col("id") < need).alias(f"_d{k}") for k, need in more.items()))
+        numbered = running(negatives.select("tile_id", F.lit(1).alias("_one")), "tile_id", {"_i": "_one"}).select("tile_id", (F.col("_i") - 1).alias("_i"))
+        chosen = chosen.union(weights(numbered.join(picks, "_i"), {k: F.col(f"_d{k}") for k in more}))
+    chosen = chosen.groupBy("tile_id").agg(*(F.sum(f"_w{k}").alias(f"_w{k}") for k in needs))
+    true = F.col("label") == 1
+    # generated pixels look few to the optimizer; neither side is broadcast
+    met = pixels.select("tile_id", "score", "label").filter(valid(F.col("label"))).join(chosen.hint("merge"), "tile_id")
+    sums = [F.sum(F.when(c, F.col(f"_w{k}")).otherwise(0)).alias(f"{s}{k}") for k in needs for s, c in (("_pos", true), ("_neg", ~true))]
+    scores = kept.put(met.groupBy("score").agg(*sums))
+    out = None
+    for k, r in enumerate(ratios):
+        own = scores.select("score", F.col(f"_pos{k}").alias("pos"), F.col(f"_neg{k}").alias("neg")).filter("pos + neg > 0")
+        ap = average_precision(own).select(F.lit(r).alias("ratio"), "ap", F.lit(needs[k]).cast("long").alias("n_neg"), F.lit(needs[k] > n.n).alias("bootstrapped"))
         out = ap if out is None else out.union(ap)
     return out
 
