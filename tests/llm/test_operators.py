@@ -924,3 +924,29 @@ def test_very_long_texts_pack_like_others_and_hold_few_pieces(spark, monkeypatch
     monkeypatch.setattr(packing, "LONG", 1000)
     monkeypatch.setattr(packing, "BLOCK", 37)
     assert packing.Pieces(packing.ranks(spark)).ids(text).tolist() == want == packing.encoding(packing.ranks(spark)).encode_ordinary(text)
+
+
+def test_a_family_of_nearly_similar_long_texts_is_no_table_of_pairs(spark, monkeypatch):
+    """Texts that the index and the first tests can't tell from similar ones, and two families that are linked by many pairs."""
+    rng = random.Random(41)
+    texts = []
+    for share, n in ((0.04, 40), (0.028, 30)):  # of words changed: similarities of pairs just below and about the threshold
+        base = prose(rng, 500).split()
+        for _ in range(n):
+            x = list(base)
+            for i in rng.sample(range(500), int(500 * share)):
+                x[i] = prose(rng, 1)
+            texts.append(" ".join(x))
+    want = groups({i: word_set(t, 2) for i, t in enumerate(texts)})
+    most, put = [0], common.Stages.put
+
+    def counted(self, df):
+        out = put(self, df)
+        if set(out.columns) == {"a", "b"}:
+            most.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Stages, "put", counted)
+    rows = minhash.near_duplicates(frame(spark, texts), common.Stages(spark, "family")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == want
+    assert 0 < max(most) < 3 * len(texts)

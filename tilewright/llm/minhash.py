@@ -7,11 +7,13 @@ indexed under each chunk with each choice of that one symbol left out, so all pa
 At similarity 0.8 a pair meets with probability 1 - 2.4e-5, above it more often. Sets too small for any other partner
 than an equal set aren't indexed, as they need no search.
 
-What meets is linked only after a check of the full sets. Each class is checked against one hub; in buckets whose members
-are then still in different components each is checked against its nearest member of another component, and at last against
-all that their signatures and the least hashes of the sets allow. No group emits all of its pairs, and none that the index
-finds and that would connect two components is left out but by two tests that are right with a stated probability: a pair whose
-signatures differ in over FARTHEST symbols (1e-8 at similarity 0.8) and one of long sets whose least hashes lie 4.9 deviations
+What meets is linked only after a check of the full sets. Classes whose signatures differ in at most FARTHEST symbols and that meet
+in the index are of one family: each is compared with one hub, then in buckets that hold several families all members are compared,
+and only edges that join two families are passed on. The full sets are sent to blocks of their family, each once, and checked there,
+nearest signatures first, until the block's members are connected or all their pairs are checked. In a family of several blocks (its
+hub is in each) what then lies outside the family's most common component meets all blocks. So no pair of texts is ever a row but a confirmed
+link that connects two components of a block. Two tests come before the full check that are right with a stated probability: a pair
+whose signatures differ in over FARTHEST symbols (1e-8 at similarity 0.8) and one of long sets whose least hashes lie 4.9 deviations
 under the similarity (5e-7). exact=True does without both: then every pair that the index finds is checked in full.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and is its own component;
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -40,8 +42,10 @@ SYMBOLS = CHUNKS * WIDTH
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Pairs that meet in the index by luck may lie farther apart; up to here they are checked (at similarity 0.8 all but 1e-8 lie nearer).
 FARTHEST = 30
-LOWEST = 256  # least hashes that are kept of each set that meets another
+LOWEST = 256  # least hashes that are compared before long sets are
+LONG = 4 * LOWEST
 BLOCK = 1000
+BLOCK_BYTES = 32 << 20  # of the sets of a block
 MAX_CACHE = 300_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _rng = np.random.default_rng(20)
@@ -130,20 +134,6 @@ def index_keys(classes: DataFrame) -> DataFrame:
     return classes.filter(F.col("sig").isNotNull()).select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def least_hashes(texts: DataFrame, k: int) -> DataFrame:
-    """(id, low): the upper halves of the LOWEST least hashes of each id's set, as 32-bit numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for b in common.chunks(batches):
-            if len(words) > MAX_CACHE:
-                words.clear()
-            low = [(shingles(t or b"", k, words)[:LOWEST] >> np.uint64(32)).astype(np.uint32).tobytes() for t in common.as_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.binary())], names=["id", "low"])
-
-    return texts.select("doc_id", "text").mapInArrow(run, "id long, low binary").groupBy("id").agg(F.max("low").alias("low"))
-
-
 def may_be_similar(n1: int, low1: np.ndarray, n2: int, low2: np.ndarray, similar: int) -> bool:
     """Whether the least hashes of two sets allow the similarity: exactly where both sets are whole, else up to 4.9 deviations."""
     both = np.concatenate([low1, low2])
@@ -170,69 +160,126 @@ def near_signatures(pairs: DataFrame, classes: DataFrame, similar: int, farthest
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
-    """The pairs (a, b) of distinct ids whose full sets are similar enough. Only texts of these ids are read again."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def with_sets(rows: DataFrame, k: int) -> DataFrame:
+    """rows with `set`, the sorted hashes of the shingles, in the place of text, the last column."""
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema][:-1]
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in common.chunks(batches):
             if len(words) > MAX_CACHE:
                 words.clear()
-            sets = [shingles(t or b"", k, words).tobytes() for t in common.as_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["doc_id", "set"])
+            sets = [shingles(t or b"", k, words).tobytes() for t in common.as_bytes(b.columns[-1])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.binary())], names=[*b.schema.names[:-1], "set"])
+
+    return rows.mapInArrow(run, ", ".join([*fields, "set binary"]))
+
+
+def similar_sets(x: np.ndarray, y: np.ndarray, similar: int, exact: bool) -> bool:
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(x):
+        return False
+    if len(x) > LONG and not exact:
+        low = [(s[:LOWEST] >> np.uint64(32)).astype(np.uint32) for s in (x, y)]
+        if not may_be_similar(len(x), low[0], len(y), low[1], similar):
+            return False
+    at = np.searchsorted(y, x)
+    same = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return same > 0 and 100 * same >= similar * (len(x) + len(y) - same)
+
+
+def join_labels(labels: np.ndarray, x: int, y: int) -> None:
+    labels[labels == labels[y]] = labels[x]
+
+
+def block_links(guest: np.ndarray, minor: np.ndarray, ids: np.ndarray, comp: np.ndarray, size: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], similar: int, exact: bool) -> list[tuple[int, int]]:
+    """Confirmed links of a block that connect its components as all its links do; the nearest signatures are checked first."""
+    labels = np.unique(comp, return_inverse=True)[1].reshape(-1)
+    xs, ys, fars = [], [], []
+    for i in range(len(ids) - 1):
+        y = np.arange(i + 1, len(ids))
+        y = y[may_meet(np.full(len(y), i), y, guest, minor, ids, comp, size, similar)]
+        far = (sig[i] != sig[y]).sum(1)
+        ok = far <= (SYMBOLS if exact else FARTHEST)
+        ys.append(y[ok].astype(np.int32)), fars.append(far[ok].astype(np.uint8)), xs.append(np.full(ok.sum(), i, np.int32))
+    if not xs:
+        return []
+    x, y, far = np.concatenate(xs), np.concatenate(ys), np.concatenate(fars)
+    order = far.argsort(kind="stable")
+    x, y, found = x[order], y[order], []
+    for s in range(0, len(x), 1024):
+        a, b = x[s : s + 1024], y[s : s + 1024]
+        apart = labels[a] != labels[b]
+        for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            if labels[i] != labels[j] and similar_sets(sets[i], sets[j], similar, exact):
+                join_labels(labels, i, j)
+                found.append((int(ids[i]), int(ids[j])))
+    return found
+
+
+def confirmed(rows: DataFrame, similar: int, exact: bool) -> DataFrame:
+    """(a, b): the links of each block of rows (MEETING and set)."""
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(y, x)
-                same = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                ok.append(same > 0 and 100 * same >= similar * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(build, "doc_id long, set binary")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
-
-
-def link(docs: DataFrame, classes: DataFrame, k: int, similar: int, stages: common.Stages, exact: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """(a, b) and their components if these are known: confirmed links that connect all classes that any confirmed link of the index connects. classes: (id, n, sig), written;
-    docs: doc_id and text, among them a row for the id of each class.
-
-    First each class is checked against the least class that it meets. Then the members of buckets that still hold several
-    components are compared by signature; each is checked against the nearest member of another component, and at last
-    against all of them that may be similar.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 256):
+            key, block, guest, minor, ids, comp, size = (t.column(i).to_numpy() for i in range(7))
+            sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+            found = []
+            for s, e in zip([0, *edges], [*edges, len(key)], strict=True):
+                if e - s > 1:
+                    sets = [np.frombuffer(x, np.uint64) for x in t.column(8).slice(s, e - s).to_pylist()]
+                    found += block_links(guest[s:e], minor[s:e], ids[s:e], comp[s:e], size[s:e], sig[s:e], sets, similar, exact)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    rows = rows.select(*MEETING, "set").repartition("key", "block").sortWithinPartitions("key", "block")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def several(named: DataFrame, stages: common.Stages) -> DataFrame:
+    """named: (key, id, comp), written. Those whose key has several comps, with most (the key's most common comp), c (its members) and
+    others (those outside most)."""
+    counts = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    split = counts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("c")).filter("comps > 1")
+    return stages.put(named.join(stages.put(split.select("key", F.col("most.comp").alias("most"), "c", (F.col("c") - F.col("most.c")).alias("others"))), "key"))
+
+
+def link(docs: DataFrame, classes: DataFrame, k: int, similar: int, stages: common.Stages, exact: bool = False) -> DataFrame:
+    """(a, b): confirmed links that connect all classes that any confirmed link of the index connects. classes: (id, n, sig), written;
+    docs: doc_id and text, among them a row for the id of each class."""
     keys = index_keys(classes)
     buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub"), F.max("id").alias("last")).filter("c > 1 and hub < last")
     members = stages.put(keys.join(stages.put(buckets.select("key", "hub")), "key"))
-    met = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = stages.put(docs.join(met, "doc_id", "left_semi"))  # all that the checks read
-    sketches = stages.put(least_hashes(texts, k))
-    tested: list[DataFrame] = []
-
-    def check(pairs: DataFrame) -> DataFrame:
-        for t in tested:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        tested.append(stages.put(pairs))
-        return stages.put(confirmed(tested[-1], texts, k, similar))
-
-    links = check(near_signatures(members.filter("id != hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), classes, similar, SYMBOLS if exact else FARTHEST))
-    for nearest in (True, False):
-        comps = components(links, stages)
-        named = stages.put(members.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
-        counts = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        split = counts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("c")).filter("comps > 1")
-        open_ = stages.put(named.join(stages.put(split.select("key", F.col("most.comp").alias("most"), "c", (F.col("c") - F.col("most.c")).alias("others"))), "key"))
-        stages.drop(named)
-        if open_.isEmpty():
-            return links, comps
-        links = stages.put(links.union(check(across(open_, classes, sketches, similar, nearest, exact))))
-        stages.drop(open_)
-    return links, None
+    hubs = members.filter("id != hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
+    near = stages.put(near_signatures(hubs, classes, similar, SYMBOLS if exact else FARTHEST))
+    family = components(near, stages)
+    named = stages.put(members.join(family, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
+    open_ = several(named, stages)
+    if not open_.isEmpty():
+        family = components(stages.put(near.union(across(open_, classes, similar, exact))), stages)
+    stages.drop(named, open_)
+
+    texts = stages.put(docs.join(family.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    own = stages.put(family.select("id", F.col("comp").alias("key")).join(classes.select("id", F.col("n").alias("size"), "sig"), "id"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, 8 * F.sum("size") / BLOCK_BYTES)).cast("int")
+    own = stages.put(own.join(stages.put(own.groupBy("key").agg(blocks.alias("blocks"))), "key"))
+    both = lambda df: with_sets(df.join(texts.select(F.col("doc_id").alias("id"), "text"), "id"), k)
+    home = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
+    at = F.when(F.col("id") == F.col("key"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))
+    alone = both(own.select("key", "id", "blocks", F.col("id").alias("comp"), "size", "sig")).withColumn("block", F.explode(at.cast("array<long>")))
+    links = stages.put(confirmed(alone.withColumn("guest", F.lit(OWN)).withColumn("minor", F.lit(True)), similar, exact))
+
+    large = own.filter("blocks > 1")
+    if large.isEmpty():
+        return links
+    named = stages.put(large.select("key", "id").join(components(links, stages), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
+    open_ = several(named, stages)
+    if open_.isEmpty():
+        return links
+    left = both(open_.join(own.select("id", "blocks", "size", "sig"), "id"))
+    left = meetings(left, F.col("blocks"), F.ceil(F.col("others") * F.col("blocks") / F.col("c")).cast("int"))
+    return stages.put(links.union(confirmed(left, similar, exact)))
 
 
 def first_meeting(equal: np.ndarray) -> np.ndarray:
@@ -244,58 +291,62 @@ def first_meeting(equal: np.ndarray) -> np.ndarray:
     return np.where(errors[at, chunk] <= ERRORS, chunk * WIDTH + np.where(errors[at, chunk] == 0, 0, wrong[at, chunk].argmax(1)), SYMBOLS)
 
 
-def across(open_: DataFrame, classes: DataFrame, sketches: DataFrame, similar: int, nearest: bool, exact: bool = False) -> DataFrame:
-    """Pairs (a, b) of members of different components of a bucket that may be similar. nearest: of each member only the nearest.
+MEETING = ("key", "block", "guest", "minor", "id", "comp", "size", "sig")
+LIES, GUEST, OWN = 0, 1, 2
 
-    A bucket is compared block by chunk: its c members lie in blocks of about BLOCK, its m members outside the most common component
-    (the others) in chunks of about BLOCK as well; a member's block meets every chunk. So no task holds more than two of these at
-    once, and the rows sent are c * (m / BLOCK + 1) + m * (c / BLOCK + 1): they grow with the bucket's size while few components are open.
-    """
+
+def meetings(rows: DataFrame, blocks: Column, chunks: Column) -> DataFrame:
+    """rows: (key, id, comp, most) and more. A key's members lie in blocks, its members outside the most common component (the others)
+    in chunks as well; a member's block meets every chunk. So no task holds more than a block and a chunk at once, and a key's
+    members are sent (number of chunks) times, the others (number of blocks) times more."""
     spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
-    blocks, chunks = F.ceil(F.col("c") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int")
-    rows = open_.withColumn("minor", F.col("comp") != F.col("most"))
+    rows = rows.withColumn("minor", F.col("comp") != F.col("most"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    lies = F.transform(upto(chunks), lambda m: F.struct(spread(blocks, 1).alias("b"), m.alias("m"), F.lit(False).alias("guest")))
-    goes = F.transform(upto(blocks), lambda b: F.struct(b.alias("b"), spread(chunks, 2).alias("m"), F.lit(True).alias("guest")))
+    lies = F.transform(upto(chunks), lambda m: F.struct(spread(blocks, 1).alias("b"), m.alias("m"), F.lit(LIES).alias("guest")))
+    goes = F.transform(upto(blocks), lambda b: F.struct(b.alias("b"), spread(chunks, 2).alias("m"), F.lit(GUEST).alias("guest")))
     rows = rows.withColumn("x", F.explode(F.when(F.col("minor"), F.concat(lies, goes)).otherwise(lies)))
-    rows = rows.withColumn("block", F.col("x.b").cast("long") * 1_000_000_007 + F.col("x.m")).join(classes.select("id", F.col("n").alias("size"), "sig"), "id")
-    rows = rows.withColumn("low", F.lit(None).cast("binary")) if nearest or exact else rows.join(sketches, "id")
-    rows = rows.select("key", "block", F.col("x.guest").alias("guest"), "minor", "id", "comp", "size", "sig", "low").repartition("key", "block").sortWithinPartitions("key", "block")
+    return rows.withColumn("block", F.col("x.b").cast("long") * 1_000_000_007 + F.col("x.m")).withColumn("guest", F.col("x.guest"))
+
+
+def may_meet(x: np.ndarray, y: np.ndarray, guest: np.ndarray, minor: np.ndarray, ids: np.ndarray, comp: np.ndarray, size: np.ndarray, similar: int) -> np.ndarray:
+    """Whether rows x and y of a block are to be compared there: of different components and of sizes that allow the similarity."""
+    # a guest meets those that lie there; of two others the one of lesser id is the guest
+    mine = np.where(minor[x] & minor[y], (ids[x] < ids[y]) == (guest[x] == GUEST), True)
+    ok = (guest[x] == OWN) | ((guest[x] != guest[y]) & mine)
+    return ok & (ids[x] != ids[y]) & (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= similar * np.maximum(size[x], size[y]))
+
+
+def across(open_: DataFrame, classes: DataFrame, similar: int, exact: bool) -> DataFrame:
+    """(a, b): near signatures of members of different components of a bucket. Of each bucket (by block and chunk) only edges that
+    connect two components are returned."""
+    rows = meetings(open_, F.ceil(F.col("c") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int"))
+    rows = rows.join(classes.select("id", F.col("n").alias("size"), "sig"), "id").select(*MEETING).repartition("key", "block").sortWithinPartitions("key", "block")
     farthest = SYMBOLS if exact else FARTHEST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
             key, block, guest, minor, ids, comp, size = (t.column(i).to_numpy() for i in range(7))
             sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-            low, out = t.column(8), [np.zeros((0, 3), np.int64)]
+            labels = np.unique(comp, return_inverse=True)[1].reshape(-1)
+            found = []
             for d in range(1, len(ids)):  # rows and those d further in their group
                 x = np.flatnonzero((key[d:] == key[:-d]) & (block[d:] == block[:-d]))
                 if not len(x):
                     break
                 y = x + d
-                # a guest meets those that lie there; of two others the one of lesser id is the guest
-                mine = np.where(minor[x] & minor[y], (ids[x] < ids[y]) == guest[x], True)
-                ok = (guest[x] != guest[y]) & mine & (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= similar * np.maximum(size[x], size[y]))
+                ok = labels[x] != labels[y]
                 x, y = x[ok], y[ok]
-                equal = sig[x] == sig[y]
-                far = SYMBOLS - equal.sum(1)
-                ok = far <= farthest
-                if not nearest:
-                    ok &= first_meeting(equal) == key[x] >> 8 * (WIDTH - 1)
-                x, y, far = x[ok], y[ok], far[ok]
-                ok = np.array([may_be_similar(size[i], np.frombuffer(low[int(i)].as_py(), np.uint32), size[j], np.frombuffer(low[int(j)].as_py(), np.uint32), similar) for i, j in zip(x, y, strict=True)], bool) if not (nearest or exact) else np.ones(len(x), bool)
-                out.append(np.stack([far, ids[x], ids[y]], 1)[ok])
-            found = np.concatenate(out)
-            if nearest:  # both ways, the nearest of each
-                found = np.concatenate([found, found[:, [0, 2, 1]]])
-                found = found[np.lexsort((found[:, 2], found[:, 0], found[:, 1]))]
-                found = found[np.append(True, found[1:, 1] != found[:-1, 1])] if len(found) else found
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T.copy()], names=["far", "id", "other"])
-
-    found = rows.mapInArrow(run, "far long, id long, other long")
-    if nearest:
-        found = found.groupBy("id").agg(F.min(F.struct("far", "other")).alias("x")).select("id", F.col("x.other").alias("other"))
-    return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+                ok = may_meet(x, y, guest, minor, ids, comp, size, similar)
+                x, y = x[ok], y[ok]
+                ok = (sig[x] != sig[y]).sum(1) <= farthest
+                for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                    if labels[i] != labels[j]:
+                        join_labels(labels, i, j)
+                        found.append((int(ids[i]), int(ids[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.Table]:
@@ -332,13 +383,13 @@ def near_duplicates(docs: DataFrame, stages: common.Stages, k: int = 2, similar:
     classes = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.min("doc_id").alias("least"))
     classes = stages.put(classes)
     indexed = classes.filter("sig is not null").select("id", "n", "sig")
-    links, comps = link(docs.select(F.col("row").alias("doc_id"), "text"), indexed, k, similar, stages, exact)
-    several = stages.put(rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x != y").select("doc_id"))
-    if not several.isEmpty():
-        joins = stages.put(rows.filter("n > 0").join(several, "doc_id").select("doc_id", "h1", "h2").distinct().join(classes, ["h1", "h2"]).select("doc_id", "id"))
+    links = link(docs.select(F.col("row").alias("doc_id"), "text"), indexed, k, similar, stages, exact)
+    repeated = stages.put(rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x != y").select("doc_id"))
+    if not repeated.isEmpty():
+        joins = stages.put(rows.filter("n > 0").join(repeated, "doc_id").select("doc_id", "h1", "h2").distinct().join(classes, ["h1", "h2"]).select("doc_id", "id"))
         hubs = joins.groupBy("doc_id").agg(F.min("id").alias("hub"))
-        comps, links = None, links.union(joins.join(hubs, "doc_id").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    named = stages.put(classes.join(components(links, stages) if comps is None else comps, "id", "left").select("h1", "h2", "least", "comp"))
+        links = links.union(joins.join(hubs, "doc_id").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    named = stages.put(classes.join(components(links, stages), "id", "left").select("h1", "h2", "least", "comp"))
     # what is joined is written, so that a component of very many classes and a class of very many rows can be split
     linked = named.filter("comp is not null")
     least = stages.put(linked.groupBy("comp").agg(F.min("least").alias("component_id")))
