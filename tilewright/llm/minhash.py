@@ -9,10 +9,10 @@ than an equal set aren't indexed, as they need no search.
 
 What meets is linked only after a check of the full sets. Classes whose signatures differ in at most FARTHEST symbols and that meet
 in the index are of one family: each is compared with one hub, then in buckets that hold several families all members are compared,
-and only edges that join two families are passed on. The full sets are sent to blocks of their family, each once, and checked there,
+and only which families join is passed on. The full sets are sent to blocks of their family, each once, and checked there,
 nearest signatures first, until the block's members are connected or all their pairs are checked. In a family of several blocks (its
-hub is in each) what then lies outside the family's most common component meets all blocks. So no pair of texts is ever a row but a confirmed
-link that connects two components of a block. Two tests come before the full check that are right with a stated probability: a pair
+hub is in each) what then lies outside the family's most common component meets all blocks. So pairs of texts are never rows: a block
+returns its components as stars. Two tests come before the full check that are right with a stated probability: a pair
 whose signatures differ in over FARTHEST symbols (1e-8 at similarity 0.8) and one of long sets whose least hashes lie 4.9 deviations
 under the similarity (5e-7). exact=True does without both: then every pair that the index finds is checked in full.
 
@@ -192,8 +192,15 @@ def join_labels(labels: np.ndarray, x: int, y: int) -> None:
     labels[labels == labels[y]] = labels[x]
 
 
+def stars(labels: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """(a, b): the components that a label joins, each with the least of them, so that few rounds settle what blocks have found."""
+    least = np.full(len(labels), np.iinfo(np.int64).max)
+    np.minimum.at(least, labels, comp)
+    return list({(int(a), int(b)) for a, b in zip(least[labels], comp, strict=True) if a != b})
+
+
 def block_links(guest: np.ndarray, minor: np.ndarray, ids: np.ndarray, comp: np.ndarray, size: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], similar: int, exact: bool) -> list[tuple[int, int]]:
-    """Confirmed links of a block that connect its components as all its links do; the nearest signatures are checked first."""
+    """The components of a block that confirmed links join, as stars; the nearest signatures are checked first."""
     labels = np.unique(comp, return_inverse=True)[1].reshape(-1)
     xs, ys, fars = [], [], []
     for i in range(len(ids) - 1):
@@ -206,19 +213,18 @@ def block_links(guest: np.ndarray, minor: np.ndarray, ids: np.ndarray, comp: np.
         return []
     x, y, far = np.concatenate(xs), np.concatenate(ys), np.concatenate(fars)
     order = far.argsort(kind="stable")
-    x, y, found = x[order], y[order], []
+    x, y = x[order], y[order]
     for s in range(0, len(x), 1024):
         a, b = x[s : s + 1024], y[s : s + 1024]
         apart = labels[a] != labels[b]
         for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
             if labels[i] != labels[j] and similar_sets(sets[i], sets[j], similar, exact):
                 join_labels(labels, i, j)
-                found.append((int(ids[i]), int(ids[j])))
-    return found
+    return stars(labels, comp)
 
 
 def confirmed(rows: DataFrame, similar: int, exact: bool) -> DataFrame:
-    """(a, b): the links of each block of rows (MEETING and set)."""
+    """(a, b): the components that the confirmed links of each block of rows (MEETING and set) join. A component is named by an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, 256):
@@ -246,18 +252,19 @@ def several(named: DataFrame, stages: common.Stages) -> DataFrame:
 
 
 def link(docs: DataFrame, classes: DataFrame, k: int, similar: int, stages: common.Stages, exact: bool = False) -> DataFrame:
-    """(a, b): confirmed links that connect all classes that any confirmed link of the index connects. classes: (id, n, sig), written;
+    """(a, b): pairs that connect all classes that any confirmed link of the index connects, and no others. classes: (id, n, sig), written;
     docs: doc_id and text, among them a row for the id of each class."""
     keys = index_keys(classes)
     buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub"), F.max("id").alias("last")).filter("c > 1 and hub < last")
     members = stages.put(keys.join(stages.put(buckets.select("key", "hub")), "key"))
     hubs = members.filter("id != hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
     near = stages.put(near_signatures(hubs, classes, similar, SYMBOLS if exact else FARTHEST))
-    family = components(near, stages)
-    named = stages.put(members.join(family, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
+    # for now a member is of its hub's hub's family; what this leaves apart in a bucket is compared there
+    up = near.select(F.col("b").alias("a"), F.col("a").alias("top"))
+    first = stages.put(near.join(up, "a", "left").select(F.col("b").alias("id"), F.coalesce("top", "a").alias("comp")))
+    named = stages.put(members.join(first, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
     open_ = several(named, stages)
-    if not open_.isEmpty():
-        family = components(stages.put(near.union(across(open_, classes, similar, exact))), stages)
+    family = components(near.union(across(open_, classes, similar, exact)), stages)
     stages.drop(named, open_)
 
     texts = stages.put(docs.join(family.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -317,8 +324,7 @@ def may_meet(x: np.ndarray, y: np.ndarray, guest: np.ndarray, minor: np.ndarray,
 
 
 def across(open_: DataFrame, classes: DataFrame, similar: int, exact: bool) -> DataFrame:
-    """(a, b): near signatures of members of different components of a bucket. Of each bucket (by block and chunk) only edges that
-    connect two components are returned."""
+    """(a, b): components that near signatures of members of a bucket join, by block and chunk, as stars. A component is named by an id."""
     rows = meetings(open_, F.ceil(F.col("c") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int"))
     rows = rows.join(classes.select("id", F.col("n").alias("size"), "sig"), "id").select(*MEETING).repartition("key", "block").sortWithinPartitions("key", "block")
     farthest = SYMBOLS if exact else FARTHEST
@@ -328,7 +334,6 @@ def across(open_: DataFrame, classes: DataFrame, similar: int, exact: bool) -> D
             key, block, guest, minor, ids, comp, size = (t.column(i).to_numpy() for i in range(7))
             sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, SYMBOLS)
             labels = np.unique(comp, return_inverse=True)[1].reshape(-1)
-            found = []
             for d in range(1, len(ids)):  # rows and those d further in their group
                 x = np.flatnonzero((key[d:] == key[:-d]) & (block[d:] == block[:-d]))
                 if not len(x):
@@ -342,8 +347,7 @@ def across(open_: DataFrame, classes: DataFrame, similar: int, exact: bool) -> D
                 for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
                     if labels[i] != labels[j]:
                         join_labels(labels, i, j)
-                        found.append((int(ids[i]), int(ids[j])))
-            if found:
+            if found := stars(labels, comp):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
