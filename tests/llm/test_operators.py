@@ -950,3 +950,18 @@ def test_a_family_of_nearly_similar_long_texts_is_no_table_of_pairs(spark, monke
     rows = minhash.near_duplicates(frame(spark, texts), common.Stages(spark, "family")).collect()
     assert {r.doc_id: r.component_id for r in rows} == want
     assert 0 < max(most) < 3 * len(texts)
+
+
+def test_rows_without_a_match_arent_shuffled(spark):
+    rows = spark.range(0, 20000).select(F.col("id").alias("k"), F.col("id").cast("string").alias("_at"))
+    ids = spark.range(0, 20000, 40).select(F.col("id").alias("k"))
+    got = {r.k for r in common.among(rows, ids, "k").collect()}
+    assert got >= set(range(0, 20000, 40)) and len(got) < 600
+    assert common.among(rows, ids, "k").columns == ["k", "_at"] and common.among(rows, ids.filter("false"), "k").count() == 0
+
+
+def test_index_keys_are_shuffled_once(spark):
+    keys = spark.createDataFrame([(1, 5), (1, 3), (2, 7), (3, 8), (3, 8), (4, 9), (4, 2), (4, 6)], "key long, id long")
+    out = minhash.shared(keys)
+    assert sorted(map(tuple, out.select("key", "id", "hub").collect())) == [(1, 3, 3), (1, 5, 3), (4, 2, 2), (4, 6, 2), (4, 9, 2)]
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

@@ -18,6 +18,8 @@ SQL_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcde
 SQL_WORDS = f"list_filter(regexp_split_to_array({SQL_FOLDED}, '{NOT_WORD}'), lambda x: x <> '')"
 #: A Python worker handles at most about so many text bytes at once, whatever the Arrow batch holds.
 CHUNK_BYTES = 8 << 20
+#: Places of the bitmaps of among(), 4 MB in all, and of one of its rows.
+PLACES, ROW_PLACES = 1 << 25, 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +82,18 @@ class Stages:
         self.live.discard(path)
 
 
+def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key stands in ids (key), and a few others, so a join has to follow; it then shuffles few rows in vain. A bitmap of
+    hashed ids is broadcast, 4 MB at most however many there are: more ids let more rows through, none is lost."""
+    place = F.pmod(F.xxhash64(key), F.lit(PLACES))
+    part, at = unused("_part", rows.columns), unused("_at", rows.columns)
+    bits = unused("_bits", rows.columns)
+    maps = ids.select(place.alias(at)).groupBy(F.floor(F.col(at) / ROW_PLACES).alias(part)).agg(F.bitmap_construct_agg(F.col(at) % ROW_PLACES).alias(bits))
+    both = rows.withColumn(at, place).withColumn(part, F.floor(F.col(at) / ROW_PLACES)).join(F.broadcast(maps), part)
+    byte = F.expr(f"cast(conv(hex(substring({bits}, cast({at} % {ROW_PLACES} div 8 as int) + 1, 1)), 16, 10) as int)")
+    return both.filter(F.getbit(byte, (F.col(at) % 8).cast("int")) == 1).select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null or no words: empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), NOT_WORD), lambda w: w != "")

@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import common
 from .components import components
@@ -134,6 +135,12 @@ def index_keys(classes: DataFrame) -> DataFrame:
     return classes.filter(F.col("sig").isNotNull()).select("id", "sig").mapInArrow(run, "key long, id long")
 
 
+def shared(keys: DataFrame) -> DataFrame:
+    """keys with hub, the least id of each key, for the keys of several ids. The keys are shuffled once; most stand alone and end there."""
+    key = W.partitionBy("key")
+    return keys.withColumn("hub", F.min("id").over(key)).withColumn("last", F.max("id").over(key)).filter("hub < last").drop("last")
+
+
 def may_be_similar(n1: int, low1: np.ndarray, n2: int, low2: np.ndarray, similar: int) -> bool:
     """Whether the least hashes of two sets allow the similarity: exactly where both sets are whole, else up to 4.9 deviations."""
     both = np.concatenate([low1, low2])
@@ -254,9 +261,7 @@ def several(named: DataFrame, stages: common.Stages) -> DataFrame:
 def link(docs: DataFrame, classes: DataFrame, k: int, similar: int, stages: common.Stages, exact: bool = False) -> DataFrame:
     """(a, b): pairs that connect all classes that any confirmed link of the index connects, and no others. classes: (id, n, sig), written;
     docs: doc_id and text, among them a row for the id of each class."""
-    keys = index_keys(classes)
-    buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub"), F.max("id").alias("last")).filter("c > 1 and hub < last")
-    members = stages.put(keys.join(stages.put(buckets.select("key", "hub")), "key"))
+    members = stages.put(shared(index_keys(classes)))
     hubs = members.filter("id != hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
     near = stages.put(near_signatures(hubs, classes, similar, SYMBOLS if exact else FARTHEST))
     # for now a member is of its hub's hub's family; what this leaves apart in a bucket is compared there
@@ -267,7 +272,9 @@ def link(docs: DataFrame, classes: DataFrame, k: int, similar: int, stages: comm
     family = components(near.union(across(open_, classes, similar, exact)), stages)
     stages.drop(named, open_)
 
-    texts = stages.put(docs.join(family.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    wanted = family.select(F.col("id").alias("doc_id"))
+    # an inner join, as the optimizer would take a semi join below the one with the bitmap; each id stands there once
+    texts = stages.put(common.among(docs, wanted, "doc_id").join(wanted, "doc_id").dropDuplicates(["doc_id"]))
     own = stages.put(family.select("id", F.col("comp").alias("key")).join(classes.select("id", F.col("n").alias("size"), "sig"), "id"))
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, 8 * F.sum("size") / BLOCK_BYTES)).cast("int")
     own = stages.put(own.join(stages.put(own.groupBy("key").agg(blocks.alias("blocks"))), "key"))
