@@ -199,3 +199,14 @@ def test_geodesics_against_closed_forms(spark):
     assert got[1][0] == pytest.approx(zone(20, 10, 30), rel=1e-6) and got[2][0] == pytest.approx(zone(20, -40, 20), rel=1e-6)
     assert got[5][0] == pytest.approx(zone(20, 0, 20) - zone(20, 5, 10), rel=1e-6)
     assert got[3] == (None, None) and got[4] == (0.0, 0.0) and got[6][0] == pytest.approx(0, abs=1e-3)
+
+
+@pytest.mark.parametrize("eight", [False, True])
+def test_figures_across_seams_equal_those_of_all_sides(spark, kept, eight):
+    rng, size = np.random.default_rng(5), 5
+    rows = [(tr, tc, r, c, int(v)) for k, tr, tc in ((0.45, 0, 0), (0.6, 0, 1), (0.7, 1, 0), (0.5, 1, 1), (1.1, 2, 0), (0.6, 2, 1), (0.8, -1, 0)) for (r, c), v in np.ndenumerate(rng.random((size, size)) < k)]
+    df = spark.createDataFrame(rows, "tile_row long, tile_col long, row int, col int, mask int")
+    found = lambda f: sorted(map(tuple, f.select("object", "ring", "area", "perimeter", "corners").collect()))
+    want = found(outlines.ring_figures(outlines.seam_outlines(df, size, kept, eight=eight), "object"))
+    assert found(outlines.seam_figures(df, size, kept, eight=eight)) == want and len(want) > 5
+    assert outlines.seam_figures(df.filter("false"), size, kept).count() == 0

@@ -275,6 +275,102 @@ def seam_outlines(df: DataFrame, size: int, kept: Kept, mask: str = "mask", eigh
     return dissolve_rings(kept.put(seam_objects(df, size, kept, mask, eight)), "object", kept, "gcol", "grow", eight)
 
 
+def tile_chains(m: np.ndarray, top: int, left: int, eight: bool = False) -> dict[str, np.ndarray]:
+    """Columns of PIECES of a tile: m has its mask and a pixel more around it, (top, left) is its first pixel in the mosaic.
+
+    What follows a side depends on the two cells ahead alone, so a ring that stays in the tile is complete (RING), and others are
+    cut where they go on in another tile (CHAIN, from the code of its first side, `a`, to that of the side that follows its last, `b`).
+    OVER and EDGE hold both ends of what is connected over the tile's edge: the code of the pixel beyond or of its own.
+    """
+    m = m.astype(bool)
+    here = m[1:-1, 1:-1]
+    h, w = here.shape
+    label = raster.components(here, eight)
+    r, c = np.nonzero(here)
+    code = ((top + np.arange(-1, h + 1)[:, None]) << 32) + left + np.arange(-1, w + 1)
+    first = np.full(label.max(initial=0) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, label[r, c], code[1:-1, 1:-1][r, c])
+    found = []
+    own = np.zeros_like(m)
+    own[1:-1, 1:-1] = True
+    for i, j in [(1, 0), (0, 1)] + [(1, 1), (1, -1)] * eight:
+        for kind, sign in ((OVER, 1), (EDGE, -1)):
+            y, x = r + 1 + sign * i, c + 1 + sign * j
+            ok = m[y, x] & ~own[y, x]
+            found.append((np.full(ok.sum(), kind), first[label[r, c]][ok], code[y, x][ok] if kind == OVER else code[r + 1, c + 1][ok]))
+    kinds, parts, pixels = (np.concatenate(f) for f in zip(*found, strict=True))
+    zeros = np.zeros(len(kinds), np.int64)
+    out = [(kinds, parts, pixels, zeros, zeros, zeros, zeros, zeros)]
+
+    step = np.array(STEPS)
+    cells = [(y, x, np.full(len(y), d)) for d in range(4) for y, x in [np.nonzero(here & ~m[1 + step[d - 1][1] : h + 1 + step[d - 1][1], 1 + step[d - 1][0] : w + 1 + step[d - 1][0]])]]
+    y, x, d = (np.concatenate(a) for a in zip(*cells, strict=True))
+    if len(y):
+        (ax, ay), (nx, ny) = step[d].T, step[(d + 3) % 4].T  # ahead, and away from the cell
+        ahead, beside = m[y + 1 + ay, x + 1 + ax], m[y + 1 + ay + ny, x + 1 + ax + nx]
+        turn = np.where(beside & (ahead | eight), 3, np.where(ahead, 0, 1))
+        ny, nx = y + (turn != 1) * ay + (turn == 3) * ny, x + (turn != 1) * ax + (turn == 3) * nx  # the cell that follows
+        inside = (ny >= 0) & (ny < h) & (nx >= 0) & (nx < w)
+        # a side's first point: the corner of its cell where it begins
+        at_y, at_x = top + y + (d >= 2), left + x + ((d == 1) | (d == 2))
+        name = lambda y, x, d: ((y + HALF) << 32) | ((x + HALF) << 2) | d
+        codes, next_ = name(at_y, at_x, d), name(at_y + ay, at_x + ax, (d + turn) % 4)
+        place = np.full(h * w * 4, -1)
+        place[(y * w + x) * 4 + d] = np.arange(len(y))
+        follow = np.full(len(y), -1)
+        follow[inside] = place[(ny[inside] * w + nx[inside]) * 4 + (d[inside] + turn[inside]) % 4]
+        all_ = np.arange(len(y))
+        jump, least = np.where(inside, follow, all_), all_.copy()
+        for _ in range(len(y).bit_length()):
+            least = np.minimum(least, least[jump])
+            jump = jump[jump]
+        open_ = ~inside[jump]  # chains have come to their last side, which goes on elsewhere; rings haven't
+        of = np.where(open_, jump, least)
+        names, of = np.unique(of, return_inverse=True)
+        starts = np.ones(len(y), bool)
+        starts[follow[inside]] = False
+        begin = np.zeros(len(names), np.int64)
+        begin[of[starts]] = codes[starts]
+        lowest, area_ = np.full(len(names), np.iinfo(np.int64).max), np.zeros(len(names), np.int64)
+        np.minimum.at(lowest, of, codes)
+        np.add.at(area_, of, np.where(d == 1, at_x, np.where(d == 3, -at_x, 0)))
+        chain = ~inside[names]
+        out.append((np.where(chain, CHAIN, RING), first[label[y[names], x[names]]], begin, np.where(chain, next_[names], 0), lowest, area_, np.bincount(of), np.bincount(of, turn != 0)))
+    return {k: np.concatenate(v).astype(np.int64) for k, v in zip(PIECES, zip(*out, strict=True), strict=True)}
+
+
+RING, CHAIN, OVER, EDGE = range(4)
+PIECES = ("kind", "part", "a", "b", "ring", "area", "perimeter", "corners")
+
+
+def seam_figures(df: DataFrame, size: int, kept: Kept, mask: str = "mask", eight: bool = False) -> DataFrame:
+    """What ring_figures() tells of seam_outlines(), without a table of sides: (object, ring, area, perimeter, corners).
+
+    Each tile gets the pixels around it and sums its rings up; of those that cross a seam only the chains between seams are
+    shuffled, and settled in rounds like the objects.
+    """
+    to = lambda c: F.filter(F.array(F.lit(0), F.when(F.col(c) == 0, -1), F.when(F.col(c) == size - 1, 1)), lambda x: x.isNotNull())
+    px = df.filter(F.col(mask) > 0).select("tile_row", "tile_col", "row", "col")
+    px = px.withColumn("_i", F.explode(to("row"))).withColumn("_j", F.explode(to("col")))
+    tile = lambda c, by: (F.col(c) + F.col(by)).cast("long").alias(c)
+    px = px.select(tile("tile_row", "_i"), tile("tile_col", "_j"), *((F.col(c) - F.col(by) * size + 1).cast("int").alias(c) for c, by in (("row", "_i"), ("col", "_j"))))
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((size + 2, size + 2), bool)
+        m[x["row"], x["col"]] = True
+        return pd.DataFrame(tile_chains(m, int(x["tile_row"].iat[0]) * size, int(x["tile_col"].iat[0]) * size, eight))
+
+    pieces = kept.put(px.groupBy("tile_row", "tile_col").applyInPandas(run, ", ".join(f"{c} long" for c in PIECES)))
+    of = lambda kind: pieces.filter(F.col("kind") == kind)
+    over, edge = of(OVER).select("a", F.col("part").alias("x")), of(EDGE).select("a", F.col("part").alias("y"))
+    objects = linked(over.distinct().join(edge.distinct(), "a").select(F.col("x").alias("a"), F.col("y").alias("b")), kept)
+    rings = linked(of(CHAIN).select("a", "b"), kept).select(F.col("id").alias("a"), "root")
+    sums = [F.sum(c).alias(c) for c in PIECES[5:]]
+    crossing = of(CHAIN).join(rings, "a").groupBy("root").agg(F.min("part").alias("part"), F.min("ring").alias("ring"), *sums).drop("root")
+    whole = of(RING).select(*crossing.columns).union(crossing)
+    return whole.join(objects.select(F.col("id").alias("part"), "root"), "part", "left").select(F.coalesce("root", "part").alias("object"), *whole.columns[1:])
+
+
 # Polygons back to pixels.
 
 
@@ -390,7 +486,7 @@ def _seams(s: SparkSession, d: str) -> DataFrame:
 
 def _seam_rings(s: SparkSession, d: str) -> DataFrame:
     kept = Kept(s, "seam-rings")
-    f = ring_figures(seam_outlines(_placed(s, d), raster.SIDE, kept), "object")
+    f = seam_figures(_placed(s, d), raster.SIDE, kept)
     return kept.last(f.groupBy("object").agg(F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter"), F.sum("corners").alias("corners"), F.count_if(F.col("area") < 0).alias("holes")))
 
 
