@@ -177,3 +177,11 @@ def test_small_files_are_dealt_to_several_tasks(tmp_path):
         (tmp_path / f"{i}.tif").write_bytes(b"x")
     parts = tiles.TileReader({"path": str(tmp_path)}).partitions()
     assert len(parts) > 2 and sorted(p.rsplit("/", 1)[1] for x in parts for p in x.paths) == sorted(f"{i}.tif" for i in range(300))
+
+
+def test_a_small_tile_isnt_padded_to_a_large_block():
+    data = np.random.default_rng(3).random((2, 12, 12)).astype("<f4")
+    raw = tiff.write_tiled(tiff.Raster(data, (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 3857, ["a", "b"]), 256, 0)
+    assert (tiff.read(raw, None).data == data).all()
+    assert len(raw) < 3000 and tiff.read(raw, [1], (2, 3, 5, 5)).data.tolist() == data[1:, 2:7, 3:8].tolist()
+    assert b"\x42\x01\x04\x00\x01\x00\x00\x00\x10\x00\x00\x00" in raw  # TILE_WIDTH is 16

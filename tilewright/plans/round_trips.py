@@ -109,6 +109,8 @@ def _drift(s: SparkSession, d: str) -> DataFrame:
 
 # Rasters.
 
+PIXELS = 1 << 18  # of tiles that a task hands on at once
+
 
 def _tiles(s: SparkSession, d: str) -> DataFrame:
     """The pixel tables' tiles as rasters of two bands: value, and mask."""
@@ -125,12 +127,21 @@ def _tiles(s: SparkSession, d: str) -> DataFrame:
 def _pixels(rasters: DataFrame) -> DataFrame:
     """(tile_id, band, row, col, value)."""
 
+    names = ["tile_id", "band", "row", "col", "value"]
+    frame = lambda parts: pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
+            parts, held = [], 0
             for t, h, w, raw in zip(x["tile_id"], x["height"], x["width"], x["data"], strict=True):
                 a = np.frombuffer(raw, "<f4").reshape(-1, int(h), int(w))
-                b, r, c = np.indices(a.shape)
-                yield pd.DataFrame({"tile_id": int(t), "band": b.ravel(), "row": r.ravel(), "col": c.ravel(), "value": a.ravel().astype(float)})
+                parts.append((np.full(a.size, int(t)), *(i.ravel() for i in np.indices(a.shape)), a.ravel().astype(float)))
+                held += a.size
+                if held >= PIXELS:
+                    yield frame(parts)
+                    parts, held = [], 0
+            if parts:
+                yield frame(parts)
 
     return rasters.select("tile_id", "height", "width", "data").mapInPandas(run, "tile_id long, band int, row int, col int, value double")
 

@@ -111,18 +111,27 @@ def read_rasters(spark: SparkSession, path: str, bands: Sequence[int] | None = N
     except ValueError:
         content = True
 
-    def decode(frames):
-        for x in frames:
-            corners = zip(x["row"], x["col"], strict=True) if part else ((None, None),) * len(x)
-            for tile, at, (row, col) in zip(x["tile_id"], x["at"], corners, strict=True):
-                window = (int(row), int(col), size, size) if part else None
-                yield pd.DataFrame([tiles.read_tile(tile, at, wanted, window)], columns=tiles.COLUMNS).astype({"height": "Int32", "width": "Int32", "epsg": "Int32"})
+    def decode(batches):
+        for b in batches:
+            rows, held = [], 0
+            for tile, at, row, col in zip(*(c.to_pylist() for c in b.columns), *([None] * b.num_rows,) * (0 if part else 2), strict=True):
+                rows.append(tiles.read_tile(tile, at, wanted, (int(row), int(col), size, size) if part else None))
+                held += len(rows[-1][6] or b"")
+                if held >= tiles.BATCH_BYTES:
+                    yield tiles.batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield tiles.batch(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(path)
     files = files.select(F.regexp_extract("path", r"([^/]+)\.tif$", 1).alias("tile_id"), F.col("content" if content else "path").alias("at"))
+    if not content:
+        # the scan counts 4 MB for opening a file, so small ones come some 30 to a task, which takes longer to start than to read them
+        n = files.rdd.getNumPartitions()
+        files = files.coalesce(max(1, n // 8, min(n, 4 * spark.sparkContext.defaultParallelism)))
     if part:
-        files = files.join(windows.filter("row is not null and col is not null").select("tile_id", "row", "col"), "tile_id")
-    return files.mapInPandas(decode, tiles.SCHEMA)
+        files = files.join(windows.filter("row is not null and col is not null").select("tile_id", "row", "col"), "tile_id").select("tile_id", "at", "row", "col")
+    return files.mapInArrow(decode, tiles.SCHEMA)
 
 
 def listing(spark: SparkSession, path: str, suffix: str = "tif") -> DataFrame:
