@@ -527,6 +527,40 @@ def test_toxicity_odd(spark, odd):
     assert toxicity.score(spark.createDataFrame([], EMPTY), none).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """More rows of a label than a sample held, a repeated row, several blocks: each row is learned from or cuts once, and the model
+    doesn't depend on the division of the input."""
+    rng = random.Random(36)
+    texts = [prose(rng, 6) + (" grumlat" if i % 40 == 0 else "") for i in range(4200)]
+    df = frame(spark, texts)
+    df = df.union(df.filter("doc_id = 1"))
+    labels = spark.createDataFrame([(i, int(i % 40 == 0)) for i in range(4200)], "doc_id long, toxic int")
+    known = [i for i in [*range(4200), 1] if not held(i)]
+    assert sorted(r.doc_id for r in toxicity.training_rows(df, labels).collect()) == sorted(known)
+    packed = [toxicity.Block.unpack([r[c] for c in toxicity.PACKED]) for r in toxicity.blocks(df, labels, 3).collect()]
+    assert len(packed) == 3 and sum(len(b.ids) for b in packed) == len(known) and sum(b.y.sum() for b in packed) == sum(i % 40 == 0 for i in known)
+    learned, cuts = (sum(f(b) for b in packed) for f in (lambda b: toxicity.slot_counts(b).reshape(2, -1)[:, -1].sum(), lambda b: (~b.fold).sum()))
+    assert learned == cuts and 0.15 < 1 - learned / len(known) < 0.25
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 1200)
+    one, two = toxicity.train(df, labels), toxicity.train(df.repartition(5), labels.repartition(3))
+    assert (one.emb == two.emb).all() and (one.out == two.out).all() and (one.cuts == two.cuts).all()
+    wrong = toxicity.score(df, one).filter((F.col("predicted") == 1) != (F.col("doc_id") % 40 == 0)).count()
+    assert wrong < 20
+
+
+def test_blocks_average_what_they_hold():
+    rng = random.Random(37)
+    make = lambda word: toxicity.Block.of([prose(rng, 8) + (f" {word}" if k % 2 else "") for k in range(80)], np.arange(80) % 2.0, np.zeros(80, bool))
+    a, b = make("grumlat"), make("zorkk")
+    begun = toxicity.State.begin(toxicity.slot_counts(a) + toxicity.slot_counts(b), 7)
+    changes = [begun.change(x, (1.0, 1.0), 0.1, [7, 0, k]) for k, x in enumerate((a, b))]
+    both, alone = begun.changed(sum(changes)), begun.changed(changes[0])
+    held = [{int(s) for s in x.rows[:, :3].ravel()} for x in (a, b)]
+    own, none = sorted(held[0] - held[1]), sorted(set(range(toxicity.SLOTS)) - held[0] - held[1])
+    assert own and np.array_equal(both.model.emb[own], alone.model.emb[own]) and (both.model.emb[own] != begun.model.emb[own]).any()
+    assert np.array_equal(both.model.emb[none], begun.model.emb[none])
+
+
 def junk(rng: random.Random) -> str:
     w = prose(rng, rng.randrange(4, 40)).split()
     return rng.choice([lambda: " ".join(x for x in w for _ in range(9)), lambda: " ".join(x.upper() + "!!" for x in w), lambda: " ".join(x + rng.choice(["###", "$$$"]) for x in w), lambda: " | ".join(w)])()

@@ -5,9 +5,10 @@ widths run over the words, each filter keeps its greatest response over the whol
 those. Cuts are calibrated by language on rows that the training leaves out; the language is guessed from the text's own
 function words, never from a column, and the cut of a language is moved to 0.5.
 
-Labels are learned only from rows outside the held-out fifth, in the order of a hash of the id: at most MAX_TRAIN of each label and
-MAX_TRAIN_BYTES of texts (the bounds of the fit, which choose rows; a row that would pass the second is left out). Fit and
-scoring read whole texts, block by block.
+Labels are learned only from rows outside the held-out fifth, from all of them: a fifth of these makes the cuts, the others the first
+counts and the weights. Rows are dealt to blocks by a hash of the id; every epoch starts at all blocks from the same weights and
+ends with the mean of what the blocks changed, so the driver holds one model whatever the number of rows. Sums are of integers:
+the model doesn't depend on the division of the input. Fit and scoring read whole texts, block by block.
 
 Defined results: a null text is the empty text, whose score comes from no response at all; several labels of an id count
 as their greatest, null labels are left out; without labels of both kinds the score is the smoothed share of ones (0.5
@@ -18,22 +19,26 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-MAX_TRAIN = 3000
-MAX_TRAIN_BYTES = 16 << 20
 THRESHOLD = 0.5
-SLOTS, DIM, WIDTHS, FILTERS, EPOCHS, BATCH = 1 << 15, 16, (1, 2, 3), 16, 10, 64
+SLOTS, DIM, WIDTHS, FILTERS, EPOCHS, BATCH, RATE = 1 << 15, 16, (1, 2, 3), 16, 3, 64, 0.15
+#: Labelled rows and their bytes in a block, of which all are learned; most bytes of a block in one row.
+BLOCK_ROWS, BLOCK_BYTES, PART_BYTES = 2048, 8 << 20, 32 << 20
+PACKED = ("words", "ids", "sizes", "y", "fold")
+#: Parts of a unit in which changes are added up; numbers in a piece of a sum, and tasks that merge pieces.
+POINT, PIECE, MERGERS = float(1 << 32), 1 << 15, 8
+CUT_STEPS, CUT_BINS = 256, 1 << 14
 MAX_CACHE = 200_000
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 #: Frequent function words, to guess a text's language.
@@ -83,14 +88,16 @@ class Cnn:
         if self.prior is not None:
             return np.full(len(texts), self.prior)
         each = [vocabulary.ids(t) for t in texts]
-        rows = np.array(vocabulary.rows or [(0, 0, 0, 0)], np.int64)
+        return self.margins_of(np.array(vocabulary.rows or [(0, 0, 0, 0)], np.int64), each)
+
+    def margins_of(self, rows: np.ndarray, each: list[np.ndarray]) -> np.ndarray:
         used = np.unique(np.concatenate(each)) if each else np.zeros(0, np.int64)
         local = np.zeros(len(rows), np.int64)
         local[used] = np.arange(len(used))
         tables = self.tables(rows[used])
         votes = rows[:, 3]
-        x = np.zeros((len(texts), len(self.out)), np.float32)
-        langs = np.zeros(len(texts), np.int64)
+        x = np.zeros((len(each), len(self.out)), np.float32)
+        langs = np.zeros(len(each), np.int64)
         for i, e in enumerate(each):
             if len(e):
                 langs[i] = guess(votes[e])
@@ -144,27 +151,102 @@ def _pool(ids: np.ndarray, starts: np.ndarray, tables: list[list[np.ndarray]]) -
     return np.hstack(values), np.hstack(places)
 
 
-def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Cnn:
-    rng = np.random.default_rng(seed)
-    ones = float(y.sum())
-    f32 = lambda *s, scale=1.0: (rng.standard_normal(s) * scale).astype(np.float32)
-    model = Cnn(f32(SLOTS, DIM, scale=0.3), [f32(w, DIM, FILTERS, scale=0.5 / np.sqrt(w * DIM)) for w in WIDTHS], f32(len(WIDTHS) * FILTERS, scale=0.1), 0.0, np.zeros(len(LANGS)))
-    if not 0 < ones < len(y):
-        model.prior = float(np.log((ones + 1) / (len(y) - ones + 1)))
-        return model
-    vocabulary = Vocabulary()
-    ids = [vocabulary.ids(t) for t in texts]
-    rows = np.array(vocabulary.rows, np.int64).reshape(-1, 4)
-    fold = rng.permutation(len(y)) % 5 == 0  # for the cuts
-    learn = np.flatnonzero(~fold)
-    start(model, [rows[ids[i], :3] for i in learn], y[learn])
-    params = [model.emb, *model.conv, model.out]
-    square = [np.zeros(len(model.emb), np.float32)] + [np.zeros_like(p) for p in params[1:]]
-    weight = np.where(y == 1, len(y) / (2 * ones), len(y) / (2 * (len(y) - ones)))
-    bias_square, rate = 0.0, 0.15
-    for epoch in range(EPOCHS):
-        step = rate * (1 - epoch / EPOCHS) + 0.01
-        order = rng.permutation(learn)
+@dataclass
+class Block:
+    """Labelled rows in arrays, whole texts."""
+
+    rows: np.ndarray  # of the distinct words, as in Vocabulary
+    ids: list[np.ndarray]  # the words of each text
+    y: np.ndarray
+    fold: np.ndarray  # the rows left to the cuts
+
+    @classmethod
+    def of(cls, texts: list[str], y: np.ndarray, fold: np.ndarray) -> Block:
+        vocabulary = Vocabulary()
+        ids = [vocabulary.ids(t) for t in texts]
+        return cls(np.array(vocabulary.rows, np.int64).reshape(-1, 4), ids, y, fold)
+
+    def pack(self) -> list[bytes]:
+        sizes, flat = [len(i) for i in self.ids], np.concatenate(self.ids)
+        return [zlib.compress(np.asarray(a, t).tobytes(), 1) for a, t in zip((self.rows, flat, sizes, self.y, self.fold), BLOCK_TYPES, strict=True)]
+
+    @classmethod
+    def unpack(cls, columns: list[bytes]) -> Block:
+        rows, flat, sizes, y, fold = (np.frombuffer(zlib.decompress(c), t).astype(to) for c, t, to in zip(columns, BLOCK_TYPES, (np.int64, np.int64, np.int64, np.float64, bool), strict=True))
+        return cls(rows.reshape(-1, 4), np.split(flat, sizes.cumsum()[:-1]), y, fold)
+
+
+BLOCK_TYPES = (np.uint16, np.int32, np.int64, np.uint8, np.uint8)  # SLOTS and LANGS fit the first
+
+
+def slot_counts(block: Block) -> np.ndarray:
+    """By label: the texts to learn from that hold each slot, then the number of those texts."""
+    counts = np.zeros((2, SLOTS + 1), np.int64)
+    for i in np.flatnonzero(~block.fold):
+        counts[int(block.y[i]), np.append(np.unique(block.rows[block.ids[i], :3]), SLOTS)] += 1
+    return counts.ravel()
+
+
+@dataclass
+class State:
+    """A model in training and the sums of its squared gradients: one of each embedding, of all else one each."""
+
+    model: Cnn
+    square: list[np.ndarray]
+    bias_square: float = 0.0
+
+    @classmethod
+    def begin(cls, counts: np.ndarray, seed: int) -> State:
+        """The first dimension starts from the log-odds of each slot's document counts, which the first filter of each width reads."""
+        rng = np.random.default_rng(seed)
+        f32 = lambda *s, scale=1.0: (rng.standard_normal(s) * scale).astype(np.float32)
+        model = Cnn(f32(SLOTS, DIM, scale=0.3), [f32(w, DIM, FILTERS, scale=0.5 / np.sqrt(w * DIM)) for w in WIDTHS], f32(len(WIDTHS) * FILTERS, scale=0.1), 0.0, np.zeros(len(LANGS)))
+        counts = counts.reshape(2, -1)
+        n, counts = counts[:, -1], counts[:, :-1]
+        odds = np.log((counts[1] + 0.3) / (n[1] + 0.6)) - np.log((counts[0] + 0.3) / (n[0] + 0.6))
+        seen = counts.sum(0)
+        model.emb[:, 0] = odds * seen / (seen + 4) / 4  # rare slots stay near 0
+        for j, c in enumerate(model.conv):
+            c[:, 0, 0] = 1.0
+            c[:, 1:, 0] = 0.0
+            model.out[j * FILTERS] = 1.0 / len(c)
+        return cls(model, [np.zeros(SLOTS, np.float32), *map(np.zeros_like, (*model.conv, model.out))])
+
+    def flat(self) -> np.ndarray:
+        """Embeddings and their squares first: what slots have, then the rest."""
+        m = self.model
+        return np.concatenate([a.ravel() for a in (m.emb, *self.square, *m.conv, m.out)] + [[m.bias, self.bias_square]]).astype(np.float64)
+
+    @classmethod
+    def of(cls, flat: np.ndarray, like: State) -> State:
+        m, parts, at = like.model, [], 0
+        for a in (m.emb, *like.square, *m.conv, m.out):
+            parts.append(flat[at : at + a.size].reshape(a.shape).astype(np.float32))
+            at += a.size
+        k = 1 + len(like.square)
+        return cls(Cnn(parts[0], parts[k:-1], parts[-1], float(flat[-2]), m.cuts.copy()), parts[1:k], float(flat[-1]))
+
+    def change(self, block: Block, balance: tuple[float, float], step: float, seed: list[int]) -> np.ndarray:
+        """What an epoch over the block changes in fixed point, so that sums don't depend on their order; then the slots that it
+        holds and 1."""
+        before = self.flat()
+        own = State.of(before, self)
+        own.learn(block, balance, step, np.random.default_rng(seed))
+        held = np.zeros(SLOTS, np.int64)
+        for i in np.flatnonzero(~block.fold):
+            held[block.rows[block.ids[i], :3]] = 1
+        return np.concatenate([np.rint((own.flat() - before) * POINT).astype(np.int64), held, [1]])
+
+    def changed(self, total: np.ndarray) -> State:
+        """The mean of the blocks' changes; a slot's is over the blocks that hold it."""
+        total, held, n = total[: -SLOTS - 1] / POINT, np.maximum(total[-SLOTS - 1 : -1], 1), total[-1]
+        slots = np.concatenate([np.repeat(held, DIM), held])
+        return State.of(self.flat() + total / np.concatenate([slots, np.full(len(total) - len(slots), n)]), self)
+
+    def learn(self, block: Block, balance: tuple[float, float], step: float, rng: np.random.Generator) -> None:
+        """One epoch over the block's rows, in place."""
+        model, rows, ids, y = self.model, block.rows, block.ids, block.y
+        order = rng.permutation(np.flatnonzero(~block.fold))
         for s in range(0, len(order), BATCH):
             b = order[s : s + BATCH]
             flat = np.concatenate([x for i in b for x in (ids[i], [-1] * max(WIDTHS))])
@@ -175,7 +257,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Cnn:
             x, at = _pool(local, starts, [[v @ c[k] for k in range(len(c))] for c in model.conv])
             h = np.maximum(x, 0)
             p = 1 / (1 + np.exp(-np.clip(h @ model.out + model.bias, -30, 30)))
-            d = ((p - y[b]) * weight[b] / len(b)).astype(np.float32)
+            d = ((p - y[b]) * np.take(balance, y[b].astype(int)) / len(b)).astype(np.float32)
             dx = (d[:, None] * model.out) * (x > 0)
             grads, dv = [], np.zeros_like(v)
             padded = np.append(local, [0] * max(WIDTHS))
@@ -191,75 +273,176 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Cnn:
             slots, where = np.unique(r[:, :3], return_inverse=True)
             de = np.zeros((len(slots), DIM), np.float32)
             np.add.at(de, where.reshape(-1), np.repeat(dv[1:], 3, 0))
-            square[0][slots] += (de * de).mean(1)
-            model.emb[slots] -= step * de / (np.sqrt(square[0][slots])[:, None] + 1e-6)
-            for q, g, z in zip(params[1:], grads, square[1:], strict=True):
+            self.square[0][slots] += (de * de).mean(1)
+            model.emb[slots] -= step * de / (np.sqrt(self.square[0][slots])[:, None] + 1e-6)
+            for q, g, z in zip([*model.conv, model.out], grads, self.square[1:], strict=True):
                 z += g * g
                 q -= step * 0.3 * g / (np.sqrt(z) + 1e-6)
-            bias_square += float(d.sum()) ** 2
-            model.bias -= step * 0.3 * float(d.sum()) / (bias_square**0.5 + 1e-6)
-    calibrate(model, [texts[i] for i in np.flatnonzero(fold)], y[fold])
-    return model
+            self.bias_square += float(d.sum()) ** 2
+            model.bias -= step * 0.3 * float(d.sum()) / (self.bias_square**0.5 + 1e-6)
 
 
-def start(model: Cnn, texts: list[np.ndarray], y: np.ndarray) -> None:
-    """The first dimension starts from the log-odds of each slot's document counts, which the first filter of each width reads."""
-    counts = np.zeros((2, SLOTS))
-    for slots, label in zip(texts, y, strict=True):
-        counts[int(label), np.unique(slots)] += 1
-    n = np.array([(y == 0).sum(), (y == 1).sum()])
-    odds = np.log((counts[1] + 0.3) / (n[1] + 0.6)) - np.log((counts[0] + 0.3) / (n[0] + 0.6))
-    seen = counts.sum(0)
-    model.emb[:, 0] = odds * seen / (seen + 4) / 4  # rare slots stay near 0
-    for j, c in enumerate(model.conv):
-        c[:, 0, 0] = 1.0
-        c[:, 1:, 0] = 0.0
-        model.out[j * FILTERS] = 1.0 / len(c)
+def cut_counts(model: Cnn, block: Block) -> np.ndarray:
+    """The rows left to the cuts, by language, label and margin in steps of 1 / CUT_STEPS."""
+    counts = np.zeros((len(LANGS), 2, CUT_BINS), np.int64)
+    own = np.flatnonzero(block.fold)
+    ids = [block.ids[i] for i in own]
+    langs = np.array([guess(block.rows[i, 3]) for i in ids], np.int64)
+    at = np.clip(np.floor(model.margins_of(block.rows, ids) * CUT_STEPS) + CUT_BINS // 2, 0, CUT_BINS - 1).astype(np.int64)
+    np.add.at(counts, (langs, block.y[own].astype(int), at), 1)
+    return counts.ravel()
 
 
-def calibrate(model: Cnn, texts: list[str], y: np.ndarray, least: int = 5) -> None:
+def calibrate(model: Cnn, counts: np.ndarray, least: int = 5) -> None:
     """The cut of each language in the middle of the cuts that make fewest errors; few rows: the cut over all languages."""
-    vocabulary = Vocabulary()
-    m = model.margins(texts, vocabulary)
-    votes = np.array(vocabulary.rows or [(0, 0, 0, 0)])[:, 3]
-    langs = np.array([guess(votes[vocabulary.ids(t)]) if t.split() else 0 for t in texts])
-
-    def best(m: np.ndarray, y: np.ndarray) -> float:
-        edges = np.unique(np.append(m, [m.min() - 1, m.max() + 1]))
-        mids = (edges[1:] + edges[:-1]) / 2
-        wrong = np.array([((m > c) != (y == 1)).sum() for c in mids])
-        top = np.flatnonzero(wrong == wrong.min())
-        return float((mids[top[0]] + mids[top[-1]]) / 2)
-
-    model.cuts[:] = best(m, y) if 0 < y.sum() < len(y) else 0.0
+    counts = counts.reshape(len(LANGS), 2, CUT_BINS)
+
+    def best(zeros: np.ndarray, ones: np.ndarray) -> float:
+        wrong = np.append(0, ones.cumsum()) + zeros.sum() - np.append(0, zeros.cumsum())  # with the cut below each bin
+        seen = np.flatnonzero(zeros + ones)
+        low, high = seen[0], seen[-1] + 1
+        top = low + np.flatnonzero(wrong[low : high + 1] == wrong[low : high + 1].min())
+        return float((top[0] + top[-1]) / 2 - CUT_BINS // 2) / CUT_STEPS
+
+    model.cuts[:] = best(*counts.sum(0)) if counts.sum((0, 2)).all() else 0.0
     for k in range(1, len(LANGS)):
-        own = langs == k
-        if min(y[own].sum(), (1 - y[own]).sum()) >= least:
-            share = y[own].sum() / (y[own].sum() + 20)  # few toxic rows: nearer to the common cut
-            model.cuts[k] = share * best(m[own], y[own]) + (1 - share) * model.cuts[0]
+        n = counts[k].sum(1)
+        if n.min() >= least:
+            share = n[1] / (n[1] + 20)  # few toxic rows: nearer to the common cut
+            model.cuts[k] = share * best(*counts[k]) + (1 - share) * model.cuts[0]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, most_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
-    """(doc_id, text, y) of the rows to learn from. Only lengths are read before the choice, 2 * limit of them on the driver."""
-    picked = (
-        labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id")))
-        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    )
-    halves = [picked.filter(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for c in (F.col("y") == 1, F.col("y") != 1)]
-    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(halves[0].unionByName(halves[1])), "doc_id")
+Sum = Callable[[Callable[[Block, int], np.ndarray]], np.ndarray]
+
+
+def fit_blocks(zeros: int, ones: int, total: Sum, seed: int = 7) -> Cnn:
+    """The model of all blocks; total(f) is the sum of f(block, its number) over them. Every epoch starts at all blocks from the same
+    state and ends with the mean of their changes."""
+    if not zeros or not ones:
+        return Cnn(np.zeros((1, DIM), np.float32), [], np.zeros(0, np.float32), 0.0, np.zeros(len(LANGS)), prior=float(np.log((ones + 1) / (zeros + 1))))
+    balance = ((zeros + ones) / (2 * zeros), (zeros + ones) / (2 * ones))
+    state = State.begin(total(lambda block, _: slot_counts(block)), seed)
+    for epoch in range(EPOCHS):
+        step = RATE * (1 - epoch / EPOCHS) + 0.01
+        state = state.changed(total(lambda block, k, s=state, e=epoch, r=step: s.change(block, balance, r, [seed, e, k])))
+    model = state.model
+    calibrate(model, total(lambda block, _: cut_counts(model, block)))
+    return model
+
+
+def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Cnn:
+    """The same from one block in memory."""
+    block = Block.of(texts, y, np.random.default_rng(seed).permutation(len(y)) % 5 == 0)
+    return fit_blocks(int((y == 0).sum()), int((y != 0).sum()), lambda f: f(block, 0), seed)
+
+
+def wanted(labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of the labels to learn from."""
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id")))
+    return known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+
+
+def nearly(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents with a label to learn from, and of a few others; equal ids of unequal types have unequal hashes."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return common.among(docs, wanted(labels), "doc_id") if docs.schema["doc_id"].dataType == labels.schema["doc_id"].dataType else docs
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int | None = None, most_bytes: int | None = None) -> DataFrame:
+    """(doc_id, text, y) of the rows to learn from: all, or at most limit of each label and most_bytes of texts. Only lengths are read
+    before that choice, 2 * limit of them on the driver."""
+    picked = wanted(labels)
+    if limit is None and most_bytes is None:
+        return nearly(docs, labels).join(picked, "doc_id")
+    halves = [picked.filter(c) for c in (F.col("y") == 1, F.col("y") != 1)]
+    if limit is not None:
+        halves = [h.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for h in halves]
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(halves[0].unionByName(halves[1]), "doc_id")
     found = sizes.groupBy("doc_id", "y").agg(F.sum("size").alias("size")).collect()
-    chosen, left = [], {y: most_bytes // 2 for y in (0, 1)}
+    chosen, left = [], {y: float("inf") if most_bytes is None else most_bytes // 2 for y in (0, 1)}
     for r in sorted(found, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)):
         if r["size"] <= left[min(r.y, 1)]:
             left[min(r.y, 1)] -= r["size"]
             chosen.append((r.doc_id, r.y))
     rows = docs.sparkSession.createDataFrame(chosen, T.StructType([docs.schema["doc_id"], T.StructField("y", T.IntegerType())]))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
-
+    return docs.join(F.broadcast(rows), "doc_id")
+
+
+def blocks(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+    """All rows to learn from in n blocks by a hash of the id, each a row of packed arrays; the rows of a block beyond PART_BYTES of texts
+    make further rows. A fifth of the ids, by another hash, is left to the cuts. Texts are shuffled once: labels go to the blocks as
+    rows of their own and meet the texts there."""
+    kind = docs.schema["doc_id"].dataType
+    both = nearly(docs, labels).withColumn("y", F.lit(None).cast("int")).unionByName(wanted(labels).select(F.col("doc_id").cast(kind), F.lit(None).cast("string").alias("text"), "y"))
+    dealt = both.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n))).repartition(n, "block")
+    keyed = (
+        dealt.withColumn("y", F.max("y").over(Window.partitionBy("block", "doc_id"))).filter(F.col("text").isNotNull() & F.col("y").isNotNull())
+        .sortWithinPartitions("block", "doc_id", "text")
+        .select("block", "text", (F.col("y") > 0).cast("int").alias("y"), (F.pmod(F.xxhash64("doc_id", F.lit("cuts")), F.lit(5)) == 0).cast("int").alias("fold"))
+    )
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Cnn:
-    rows = training_rows(docs, labels, limit).orderBy("doc_id", "y", "text").toPandas()
-    return fit(rows["text"].tolist(), rows["y"].to_numpy(np.float64))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y, fold, held, size = [], [], [], None, 0
+
+        def done() -> pa.RecordBatch:
+            columns = Block.of(texts, np.array(y, np.float64), np.array(fold, bool)).pack()
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], names=["block", *PACKED])
+
+        for b in batches:
+            for block, text, label, cut in zip(*(b.column(c).to_pylist() for c in ("block", "text", "y", "fold")), strict=True):
+                if texts and (block != held or size >= PART_BYTES):
+                    yield done()
+                    texts, y, fold, size = [], [], [], 0
+                held, size = block, size + len(text)
+                texts.append(text)
+                y.append(label)
+                fold.append(cut)
+        if texts:
+            yield done()
+
+    return keyed.mapInArrow(pack, "block long, " + ", ".join(f"{c} binary" for c in PACKED))
+
+
+def total(packed: DataFrame, f: Callable[[Block, int], np.ndarray]) -> np.ndarray:
+    """The sum of f's integers over all blocks. Tasks add their blocks up, pieces of these sums are shuffled; the driver gets one sum."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for b in batches:
+            for r in b.to_pylist():
+                x = f(Block.unpack([r[c] for c in PACKED]), r["block"])
+                out = x if out is None else out + x
+        if out is not None:
+            yield from map(pieces, range(0, len(out), PIECE), (out[i : i + PIECE] for i in range(0, len(out), PIECE)))
+
+    def pieces(at: int, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([values.tobytes()], pa.binary())], names=["at", "sums"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, x in zip(b.column("at").to_pylist(), b.column("sums").to_pylist(), strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(x, np.int64)
+        yield from map(pieces, sums, sums.values())
+
+    found = packed.mapInArrow(add, "at long, sums binary").repartition(MERGERS, "at").mapInArrow(merge, "at long, sums binary").collect()
+    return np.concatenate([np.frombuffer(r.sums, np.int64) for r in sorted(found, key=lambda r: r["at"])])
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Cnn:
+    """The model of all labelled rows outside the held-out fifth."""
+    y = F.col("y") > 0
+    sizes = nearly(docs, labels).select("doc_id", F.octet_length("text").cast("long").alias("size")).join(wanted(labels), "doc_id")
+    n = sizes.agg(F.count_if(~y).alias("zeros"), F.count_if(y).alias("ones"), F.sum("size").alias("bytes")).first()
+    if not n.zeros or not n.ones:
+        return fit_blocks(n.zeros, n.ones, None)
+    stages = common.Stages(docs.sparkSession, "toxicity")
+    try:
+        packed = stages.put(blocks(docs, labels, max(-(-(n.zeros + n.ones) // BLOCK_ROWS), -(-n.bytes // BLOCK_BYTES))))
+        return fit_blocks(n.zeros, n.ones, lambda f: total(packed, f))
+    finally:
+        stages.clear()
 
 
 def score(df: DataFrame, model: Cnn, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
