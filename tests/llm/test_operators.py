@@ -548,6 +548,17 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert wrong < 20
 
 
+def test_toxicity_labels_meet_ids_of_other_types(spark):
+    """Narrower ids, labels beyond their range, null ids, texts without words."""
+    df = frame(spark, [None if i % 3 else "" for i in range(40)]).withColumn("doc_id", F.when(F.col("doc_id") < 38, F.col("doc_id")).cast("int"))
+    labels = spark.createDataFrame([*((i, i % 2) for i in range(40)), (1 << 40, 1), (1 << 41, 1)], "doc_id long, toxic int")
+    known = [i for i in range(38) if not held(i)]
+    packed = [toxicity.Block.unpack([r[c] for c in toxicity.PACKED]) for r in toxicity.blocks(df, labels, 2).collect()]
+    assert sum(len(b.ids) for b in packed) == len(known) == toxicity.training_rows(df, labels).count() and sum(b.y.sum() for b in packed) == sum(i % 2 for i in known)
+    scores = {r.score for r in toxicity.score(df, toxicity.train(df, labels)).collect()}
+    assert len(scores) == 1 and 0 < scores.pop() < 1
+
+
 def test_blocks_average_what_they_hold():
     rng = random.Random(37)
     make = lambda word: toxicity.Block.of([prose(rng, 8) + (f" {word}" if k % 2 else "") for k in range(80)], np.arange(80) % 2.0, np.zeros(80, bool))

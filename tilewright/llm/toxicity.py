@@ -344,7 +344,7 @@ def wanted(labels: DataFrame) -> DataFrame:
 
 def nearly(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text) of the documents with a label to learn from, and of a few others; equal ids of unequal types have unequal hashes."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return common.among(docs, wanted(labels), "doc_id") if docs.schema["doc_id"].dataType == labels.schema["doc_id"].dataType else docs
 
 
@@ -374,7 +374,7 @@ def blocks(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     make further rows. A fifth of the ids, by another hash, is left to the cuts. Texts are shuffled once: labels go to the blocks as
     rows of their own and meet the texts there."""
     kind = docs.schema["doc_id"].dataType
-    both = nearly(docs, labels).withColumn("y", F.lit(None).cast("int")).unionByName(wanted(labels).select(F.col("doc_id").cast(kind), F.lit(None).cast("string").alias("text"), "y"))
+    both = nearly(docs, labels).withColumn("y", F.lit(None).cast("int")).unionByName(wanted(labels).select(F.col("doc_id").try_cast(kind), F.lit(None).cast("string").alias("text"), "y"))
     dealt = both.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n))).repartition(n, "block")
     keyed = (
         dealt.withColumn("y", F.max("y").over(Window.partitionBy("block", "doc_id"))).filter(F.col("text").isNotNull() & F.col("y").isNotNull())
